@@ -7,6 +7,7 @@ text, so a parser bug cannot hide behind an identical bug in the oracle.
 
 from __future__ import annotations
 
+from ..config import ABSTENTION_SENTENCE
 from .driver_tables import CHUNK_OVERLAP, CHUNK_SIZE, EVAL_QUERIES, HASH_DIM, PHENOMENA, RETRIEVE_QUERY
 
 
@@ -223,7 +224,7 @@ pts AS (
 pnorm AS (SELECT chunk_id AS id, sqrt(sum(w * w)) AS pn FROM cvec GROUP BY chunk_id)"""
 
 
-def text_topk_sql(query: str, top_k: int, where: str = "TRUE") -> str:
+def text_topk_sql(query: str, top_k: int, where: str = "TRUE", extra: str = "") -> str:
     """Cosine top-k of one text query against the chunk points (sparse dot product)."""
     return (
         with_(BASE, HX, CHUNKS, TOKENS, POINTS, query_vec_cte("qv", query))
@@ -240,7 +241,7 @@ top AS (SELECT * FROM scored ORDER BY round(distance, 10), id LIMIT {top_k})
 SELECT id AS chunk_id, round(1 - distance, 4) AS score, round(distance, 4) AS distance, document, source_file,
   line_start, line_end, NULLIF(ts_start, '') AS ts_start, NULLIF(ts_end, '') AS ts_end,
   sev_info, sev_warning, sev_error,
-  CAST(row_number() OVER (ORDER BY round(1 - distance, 4) DESC, round(distance, 10), id) AS INTEGER) AS rank
+  CAST(row_number() OVER (ORDER BY round(1 - distance, 4) DESC, round(distance, 10), id) AS INTEGER) AS rank{extra}
 FROM top"""
     )
 
@@ -423,4 +424,186 @@ SQL["q_batch_retrieve"] = (
     "sev_info, sev_warning, sev_error, rank FROM (" + batch_sql(3) + ")"
 )
 
+
+
+
+def sev_text(kv: str, sep: str, empty: str) -> str:
+    parts = ", ".join(
+        f"CASE WHEN sev_{k} > 0 THEN '{k}{kv}' || CAST(sev_{k} AS VARCHAR) END" for k in ("info", "warning", "error"))
+    return f"coalesce(NULLIF(array_to_string(list_filter([{parts}], lambda x: x IS NOT NULL), '{sep}'), ''), '{empty}')"
+
+
+VP_NEW = VPTS + """,
+cur AS (SELECT id, 'v1' AS embedding_model, document, source_file, sev_error FROM vp),
+new AS (SELECT CAST(CAST(id AS BIGINT) + 250 AS VARCHAR) AS id, 'v2' AS embedding_model, document, source_file,
+               sev_error FROM vp),
+up AS (SELECT * FROM cur WHERE id NOT IN (SELECT id FROM new) UNION ALL SELECT * FROM new)"""
+
+SQL["q_index_upsert"] = with_(VP_NEW) + "SELECT * FROM up"
+SQL["q_index_count"] = with_(VP_NEW) + "SELECT embedding_model, count(*) AS n_points FROM up GROUP BY embedding_model"
+
+SQL["q_render_results"] = f"""
+WITH res AS ({text_topk_sql(RETRIEVE_QUERY, 5)})
+SELECT rank, '#' || CAST(rank AS VARCHAR) || '  score=' || printf('%.4f', score) || '  ' || document || chr(10)
+  || '     chunk=' || chunk_id || '  líneas ' || CAST(line_start AS VARCHAR) || '-' || CAST(line_end AS VARCHAR)
+  || '  ts=' || coalesce(ts_start, 'None') || '..' || coalesce(ts_end, 'None')
+  || '  severidades=[' || {sev_text(':', ', ', '-')} || ']' AS rendered
+FROM res"""
+
+SQL["q_corpus_report"] = LOGS + f""",
+per AS (
+  SELECT source_file, count(*) AS lines, count(*) FILTER (WHERE NOT h_corrupt AND NOT h_blank) AS events
+  FROM hx_lines GROUP BY source_file
+  UNION ALL
+  SELECT source_file, count(*) + max(block) + 2, count(*) FILTER (WHERE NOT h_corrupt AND NOT h_blank)
+  FROM ix_data GROUP BY source_file
+),
+per2 AS (
+  SELECT source_file, CAST(1 AS BIGINT) AS files, lines, events,
+    CAST(CASE WHEN events = 0 THEN 0 WHEN events <= {CHUNK_SIZE} THEN 1
+              ELSE 1 + ceil((events - {CHUNK_SIZE}) / {STEP}) END AS BIGINT) AS chunks
+  FROM per
+)
+SELECT source_file, files, lines, events, chunks, chunks AS embeddings, FALSE AS is_total FROM per2
+UNION ALL
+SELECT NULL, count(*), sum(lines), sum(events), sum(chunks), sum(chunks), TRUE FROM per2"""
+
+SQL["q_jsonl_roundtrip"] = SQL["q_parse_haproxy"]
+
+SQL["q_read_files"] = with_(BASE, HX) + """
+SELECT regexp_replace(source_file, '[.]log$', '') AS app, count(*) AS lines,
+  count(*) FILTER (WHERE NOT h_corrupt AND NOT h_blank) AS ok,
+  count(*) FILTER (WHERE h_corrupt) AS errors,
+  count(*) FILTER (WHERE h_blank) AS skipped,
+  sum(line_number) FILTER (WHERE NOT h_corrupt AND NOT h_blank) AS ok_line_sum
+FROM hx_lines GROUP BY 1"""
+
+CX_ID = "regexp_replace(source_file, '\\.[^.]*$', '') || '-' || CAST(chunk_index AS VARCHAR)"
+
+SQL["q_chunk_status_hist"] = with_(BASE, HX, CHUNKS) + f"""
+SELECT {CX_ID} AS chunk_id, 'status' AS dimension, CAST(status_code AS VARCHAR) AS value, count(*) AS n
+FROM cx GROUP BY 1, 3
+UNION ALL
+SELECT {CX_ID}, 'method', method, count(*) FROM cx GROUP BY 1, 3"""
+
+
+def _pred_case() -> str:
+    whens = " ".join(f"WHEN '{q}' THEN coalesce(({p}), FALSE)" for q, _, p in EVAL_QUERIES)
+    return f"CASE query_id {whens} ELSE FALSE END"
+
+
+LABELS = f"""
+br AS ({batch_sql(3)}),
+lab0 AS (
+  SELECT br.query_id, br.rank, br.chunk_id, count(*) AS n_events,
+    count(*) FILTER (WHERE {_pred_case().replace('query_id', 'br.query_id', 1)}) AS n_match
+  FROM br JOIN cx ON cx.source_file = br.source_file AND cx.chunk_index = br.chunk_index
+  GROUP BY br.query_id, br.rank, br.chunk_id
+),
+labels AS (
+  SELECT query_id, rank, chunk_id, n_events, n_match, round(n_match / n_events, 4) AS share,
+    CASE WHEN n_match / n_events >= 0.5 THEN 'R' WHEN n_match > 0 THEN 'P' ELSE 'N' END AS label
+  FROM lab0
+),
+labels2 AS (
+  SELECT *, CASE label WHEN 'R' THEN 1.0 WHEN 'P' THEN 0.5 ELSE 0.0 END AS weight FROM labels
+)"""
+
+
+def _with_labels() -> str:
+    # batch_sql() starts with its own WITH; splice its CTEs in front of ours.
+    b = batch_sql(3)
+    head, body = b.split("\nSELECT query_id, id AS chunk_id", 1)
+    return head + ",\nbr AS (SELECT query_id, id AS chunk_id" + body + ")," + LABELS.split("br AS (" + b + "),", 1)[1]
+
+
+SQL["q_relevance_labels"] = _with_labels() + """
+SELECT query_id, rank, chunk_id, n_events, n_match, share, label, CAST(weight AS DOUBLE) AS weight FROM labels2"""
+
+SQL["q_precision_at_k"] = _with_labels() + """,
+per_q AS (
+  SELECT query_id, max(CASE WHEN rank = 1 THEN label END) AS l1, max(CASE WHEN rank = 1 THEN weight END) AS w1,
+    sum(CASE WHEN rank <= 3 THEN weight END) AS wk,
+    max(CASE WHEN rank <= 3 AND label IN ('R', 'P') THEN 1 ELSE 0 END) AS hit
+  FROM labels2 GROUP BY query_id
+)
+SELECT count(*) AS n_queries,
+  round(avg(CASE WHEN l1 = 'R' THEN 1.0 ELSE 0.0 END), 4) AS p1_strict,
+  round(avg(CASE WHEN l1 IN ('R', 'P') THEN 1.0 ELSE 0.0 END), 4) AS p1_r_or_p,
+  round(avg(coalesce(w1, 0.0)), 4) AS p1_weighted,
+  round(avg(coalesce(wk, 0.0) / 3), 4) AS p3_weighted,
+  round(avg(CAST(hit AS DOUBLE)), 4) AS success3
+FROM per_q"""
+
+_PH = " UNION ALL ".join(
+    [f"SELECT 'all_events' AS phenomenon, count(*) AS n_events FROM ev"]
+    + [f"SELECT '{n}', count(*) FILTER (WHERE coalesce(({p}), FALSE)) FROM ev" for n, p in PHENOMENA]
+)
+SQL["q_phenomena"] = LOGS + f""",
+ev AS (SELECT * EXCLUDE (event_id) FROM hx_events UNION ALL SELECT * EXCLUDE (event_id) FROM ix_events)
+{_PH}"""
+
+EVID_HEADER = ("'[E' || CAST(rank AS VARCHAR) || '] (score ' || printf('%.4f', score) || ') origen=' || source_file"
+               " || ' líneas=' || CAST(line_start AS VARCHAR) || '-' || CAST(line_end AS VARCHAR)"
+               " || ' ts=' || coalesce(ts_start, '-') || '..' || coalesce(ts_end, '-')"
+               f" || ' severidades=' || {sev_text(':', ',', '-')}")
+
+SQL["q_evidence"] = f"""
+WITH res AS ({text_topk_sql(RETRIEVE_QUERY, 5, extra=', text')})
+SELECT 'E' || CAST(rank AS VARCHAR) AS evidence_id, chunk_id, {EVID_HEADER} AS header, coalesce(text, '') AS text
+FROM res"""
+
+ANSWERS = f"""
+ans AS (
+  SELECT conv_id, turn,
+    CASE WHEN conv_id % 10 = 0 THEN '{ABSTENTION_SENTENCE}'
+         ELSE coalesce(text, '') || ' [E' || CAST((conv_id + turn) % 7 + 1 AS VARCHAR) || ']' END AS answer
+  FROM conversations WHERE role = 'assistant'
+)"""
+
+SQL["q_expand_citations"] = f"""
+WITH res AS ({text_topk_sql(RETRIEVE_QUERY, 5)}),
+{ANSWERS},
+ev AS (
+  SELECT CAST(rank AS BIGINT) AS marker_no, '[E' || CAST(rank AS VARCHAR) || '] ' || source_file || ':L'
+    || CAST(line_start AS VARCHAR) || '-L' || CAST(line_end AS VARCHAR) || ' · ' || coalesce(ts_start, '-')
+    || ' → ' || coalesce(ts_end, '-') || ' · ' || {sev_text('×', ', ', '-')} AS expanded
+  FROM res
+),
+m AS (
+  SELECT conv_id, turn, regexp_extract_all(answer, '\\[E([0-9]+)\\]', 1) AS nums FROM ans
+),
+mx AS (
+  SELECT conv_id, turn, i AS marker_pos, nums[i] AS num
+  FROM m, LATERAL (SELECT unnest(generate_series(1, len(nums))) AS i) WHERE len(nums) > 0
+)
+SELECT conv_id, turn, CAST(marker_pos AS INTEGER) AS marker_pos, '[E' || num || ']' AS marker, ev.expanded,
+  ev.expanded IS NOT NULL AS is_known
+FROM mx LEFT JOIN ev ON ev.marker_no = CAST(num AS BIGINT)"""
+
+SQL["q_validate_citations"] = f"""
+WITH {ANSWERS},
+x AS (
+  SELECT conv_id, turn, answer,
+    list_transform(regexp_extract_all(answer, '\\[E([0-9]+)\\]', 1), lambda v: CAST(v AS INTEGER)) AS nums,
+    list_filter(list_filter(regexp_split_to_array(answer, '[.!?]+'), lambda p: trim(p) <> ''),
+                lambda p: regexp_matches(p, '\\p{{L}}')) AS factual
+  FROM ans
+),
+y AS (
+  SELECT conv_id, turn,
+    CAST(len(nums) AS INTEGER) AS n_markers,
+    CAST(len(list_filter(nums, lambda v: v >= 1 AND v <= 5)) AS INTEGER) AS n_valid,
+    trim(answer) = '{ABSTENTION_SENTENCE}' AS is_abstention,
+    CAST(len(factual) AS INTEGER) AS n_sentences,
+    CAST(len(list_filter(factual, lambda p: NOT regexp_matches(p, '\\[E([0-9]+)\\]'))) AS INTEGER) AS n_unc
+  FROM x
+)
+SELECT conv_id, turn, n_markers, n_valid, n_markers - n_valid AS n_unknown, is_abstention, n_sentences,
+  CASE WHEN is_abstention THEN 0 ELSE n_unc END AS n_uncited,
+  CASE WHEN n_markers > 0 THEN round(n_valid / n_markers, 4) END AS valid_share,
+  (n_markers - n_valid = 0) AND (is_abstention OR (n_markers > 0 AND (CASE WHEN is_abstention THEN 0 ELSE n_unc END) = 0))
+    AS passes
+FROM y"""
+
 __all__ = ["SQL", "PHENOMENA"]

@@ -17,6 +17,17 @@ from ..operators.detect import detect_sources
 from ..operators.iis import active_headers
 from ..operators.parse import classify_lines, events_of, parse_stats
 from ..operators.retrieval import build_where, extra_where, retrieve, retrieve_many, search, shape_results
+from ..config import ABSTENTION_SENTENCE
+from ..operators.chunking import chunk_events
+from ..operators.citations import evidence_blocks, expand_markers, validate_answers
+from ..operators.embedding import embed_chunks
+from ..operators.evaluation import chunk_histograms, chunk_membership, phenomenon_counts, precision_at_k, relevance_labels
+from ..operators.index import dedup_last, upsert_frames
+from ..operators.render import render_results
+from ..operators.report import corpus_report
+from ..session import shared_dir
+from ..sources.files import discover_log_files, read_lines
+from ..sources.jsonl import load_events, write_events
 from . import driver_tables as D
 
 EVENT_OUT = ("timestamp", "source", "severity", "client_ip", "method", "path", "status_code", "bytes",
@@ -172,6 +183,135 @@ def q_split_lines(spark: SparkSession, sf: str) -> DataFrame:
                      F.length("line").alias("n_chars"), F.md5(F.col("line")).alias("line_md5"))
 
 
+def q_index_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """K-05/J-03/P-21: upsert by id (left anti + union). The second load re-indexes the
+    whole table under a new model with ids shifted by 250, so half overlaps."""
+    cur = D.vector_points(spark, sf, model="v1")
+    new = D.vector_points(spark, sf, model="v2").withColumn(
+        "id", (F.col("id").cast("long") + 250).cast("string"))
+    merged = upsert_frames(cur, dedup_last(new))
+    return merged.select("id", "embedding_model", "document", "source_file", "sev_error")
+
+
+def q_index_count(spark: SparkSession, sf: str) -> DataFrame:
+    """S-10: points after the upsert of ``q_index_upsert``, in total and per model."""
+    up = q_index_upsert(spark, sf)
+    return up.groupBy("embedding_model").agg(F.count(F.lit(1)).alias("n_points"))
+
+
+def q_render_results(spark: SparkSession, sf: str) -> DataFrame:
+    """P-26: human-readable result lines of the text retrieval."""
+    res = retrieve(spark, D.chunk_points(spark, sf), D.RETRIEVE_QUERY, D.encoder(), top_k=5)
+    return render_results(res).select("rank", "rendered")
+
+
+def q_corpus_report(spark: SparkSession, sf: str) -> DataFrame:
+    """A-12/E-06/U-02: lines, events, chunks and embeddings per file and in total."""
+    cl = classify_lines(D.all_view(spark, sf))
+    ev = events_of(cl)
+    ch = chunk_events(ev, D.CHUNK_SIZE, D.CHUNK_OVERLAP)
+    rec = embed_chunks(ch, D.encoder())
+    rep = corpus_report(cl, ev, ch, rec)
+    return rep.select("source_file", "files", "lines", "events", "chunks", "embeddings", "is_total")
+
+
+def q_jsonl_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """K-01/S-06: events written as JSON Lines (null keys kept) and read back with the closed schema."""
+    path = shared_dir(spark, "events-jsonl")
+    write_events(D.haproxy_events(spark, sf), path)
+    return load_events(spark, path).select(*EVENT_OUT)
+
+
+def _written_logs(spark, sf) -> str:
+    """Render the HAProxy view as real text files, one file per app folder, lines in order."""
+    path = shared_dir(spark, "logs")
+    v = D.haproxy_view(spark, sf).withColumn("app", F.regexp_replace("source_file", "[.]log$", ""))
+    (v.repartition("app").sortWithinPartitions("app", "line_number").select("app", "raw")
+     .write.mode("overwrite").partitionBy("app").text(path))
+    return path
+
+
+def q_read_files(spark: SparkSession, sf: str) -> DataFrame:
+    """S-01/S-03/S-04/E-01 on real files: per app folder lines, parse results and line checksum."""
+    path = _written_logs(spark, sf)
+    lines = read_lines(spark, path, patterns=("*.txt",), recursive=True)
+    cl = classify_lines(lines, forced_source="haproxy")
+    app = F.regexp_extract("source_path", "app=([^/]+)/", 1)
+    return cl.groupBy(app.alias("app")).agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.count_if(F.col("status") == "ok").alias("ok"),
+        F.count_if(F.col("status") == "error").alias("errors"),
+        F.count_if(F.col("status") == "skip").alias("skipped"),
+        F.sum(F.when(F.col("status") == "ok", F.col("line_number"))).alias("ok_line_sum"),
+    )
+
+
+def q_discover(spark: SparkSession, sf: str) -> DataFrame:
+    """S-01/S-02/U-01/T-05: recursive multi-pattern discovery over written log files."""
+    path = _written_logs(spark, sf)
+    return discover_log_files(spark, path, ("*.txt", "*.gz"), recursive=True).select("name", "length")
+
+
+def _members(spark, sf):
+    return chunk_membership(D.haproxy_events(spark, sf), D.CHUNK_SIZE, D.CHUNK_OVERLAP)
+
+
+def q_chunk_status_hist(spark: SparkSession, sf: str) -> DataFrame:
+    """D-01: status and method histogram of every chunk."""
+    return chunk_histograms(_members(spark, sf))
+
+
+def _labels(spark, sf):
+    res = _batch_results(spark, sf)
+    preds = [(q, p) for q, _, p in D.EVAL_QUERIES]
+    return relevance_labels(res, _members(spark, sf), preds)
+
+
+def q_relevance_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """D-02: R/P/N label of every retrieved chunk from its real events."""
+    return _labels(spark, sf)
+
+
+def q_precision_at_k(spark: SparkSession, sf: str) -> DataFrame:
+    """D-03: precision@1 (strict, R-or-P, weighted), precision@3 weighted, success@3."""
+    return precision_at_k(_labels(spark, sf), 3)
+
+
+def q_phenomena(spark: SparkSession, sf: str) -> DataFrame:
+    """D-04: phenomenon inventory over all parsed events."""
+    ev = events_of(classify_lines(D.all_view(spark, sf)))
+    return phenomenon_counts(ev, D.PHENOMENA)
+
+
+def _text_results(spark, sf):
+    return retrieve(spark, D.chunk_points(spark, sf), D.RETRIEVE_QUERY, D.encoder(), top_k=5)
+
+
+def q_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """D-05: evidence blocks E1..Ek with header and chunk text."""
+    return evidence_blocks(_text_results(spark, sf)).select("evidence_id", "chunk_id", "header", "text")
+
+
+def _answers(spark, sf) -> DataFrame:
+    """Assistant turns of ``conversations`` as answers with a deterministic [E#] marker appended
+    (every tenth conversation answers with the abstention sentence)."""
+    c = D.table(spark, sf, "conversations").where(F.col("role") == "assistant")
+    mark = F.concat(F.lit(" [E"), ((F.col("conv_id") + F.col("turn")) % 7 + 1).cast("string"), F.lit("]"))
+    ans = F.when(F.col("conv_id") % 10 == 0, F.lit(ABSTENTION_SENTENCE)).otherwise(
+        F.concat(F.coalesce(F.col("text"), F.lit("")), mark))
+    return c.select("conv_id", "turn", ans.alias("answer"))
+
+
+def q_expand_citations(spark: SparkSession, sf: str) -> DataFrame:
+    """D-06: every [E#] marker expanded to file:Lx-Ly, time range and severities."""
+    return expand_markers(_answers(spark, sf), _text_results(spark, sf))
+
+
+def q_validate_citations(spark: SparkSession, sf: str) -> DataFrame:
+    """D-07: per answer marker validity, abstention, uncited sentences and pass flag."""
+    return validate_answers(_answers(spark, sf), 5)
+
+
 REGISTRY = {
     "q_parse_haproxy": q_parse_haproxy,
     "q_parse_iis": q_parse_iis,
@@ -193,4 +333,18 @@ REGISTRY = {
     "q_batch_retrieve": q_batch_retrieve,
     "q_citation": q_citation,
     "q_split_lines": q_split_lines,
+    "q_index_upsert": q_index_upsert,
+    "q_index_count": q_index_count,
+    "q_render_results": q_render_results,
+    "q_corpus_report": q_corpus_report,
+    "q_jsonl_roundtrip": q_jsonl_roundtrip,
+    "q_read_files": q_read_files,
+    "q_discover": q_discover,
+    "q_chunk_status_hist": q_chunk_status_hist,
+    "q_relevance_labels": q_relevance_labels,
+    "q_precision_at_k": q_precision_at_k,
+    "q_phenomena": q_phenomena,
+    "q_evidence": q_evidence,
+    "q_expand_citations": q_expand_citations,
+    "q_validate_citations": q_validate_citations,
 }
