@@ -46,6 +46,15 @@ def haproxy_iso(accept_date: str | Column) -> Column:
     return F.when(ok, iso)
 
 
+def haproxy_iso_parts(day_s: Column, mon_s: Column, year_s: Column, hms: Column) -> Column:
+    """P-10 from the already split accept-date parts (day, month name, year, time)."""
+    day, year = day_s.try_cast("int"), year_s.try_cast("int")
+    month = F.try_element_at(_month_map(), mon_s)
+    ok = day.isNotNull() & month.isNotNull() & year.isNotNull()
+    iso = F.concat(F.format_string("%04d-%02d-%02d", year, month, day), F.lit("T"), hms, F.lit(TZ_SUFFIX))
+    return F.when(ok, iso)
+
+
 def iis_iso(date_s: str | Column, time_s: str | Column) -> Column:
     """P-11: IIS ``date`` + ``time`` to ISO text; empty or ``-`` parts give null."""
     d, t = col_(date_s), col_(time_s)

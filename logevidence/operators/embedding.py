@@ -12,6 +12,8 @@ Two encoder kinds plug into :func:`embed_chunks`:
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.vectors import token_buckets
+from ..functions.vectors import TOKEN_SPLIT, token_buckets
 from ..schemas import EMBEDDING_FIELDS
 
 EncodeFn = Callable[[list[str]], list[list[float]]]
@@ -42,8 +44,34 @@ def unit_count_vectors(buckets: pd.Series, dim: int) -> pd.Series:
     return pd.Series(list((counts / norm[:, None]).astype(np.float32)))
 
 
+_TOKEN_RE = re.compile(TOKEN_SPLIT)
+_BUCKETS: dict[tuple[str, int], int] = {}
+
+
+def _bucket(tok: str, dim: int) -> int:
+    key = (tok, dim)
+    b = _BUCKETS.get(key)
+    if b is None:
+        if len(_BUCKETS) > 1_000_000:  # bounded per-worker cache
+            _BUCKETS.clear()
+        b = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % dim
+        _BUCKETS[key] = b
+    return b
+
+
+def text_buckets(text: str | None, dim: int) -> list[int]:
+    """Python twin of :func:`logevidence.functions.vectors.token_buckets` (same tokens, same md5 buckets)."""
+    if not text:
+        return []
+    return [_bucket(t, dim) for t in _TOKEN_RE.split(text.lower()) if t]
+
+
 class HashEncoder:
-    """Feature-hashing bag of tokens: bucket = first 8 hex digits of md5(token) mod dim."""
+    """Feature-hashing bag of tokens: bucket = first 8 hex digits of md5(token) mod dim.
+
+    Tokens are lower-cased runs of ``[a-z0-9/<>]``. The md5 of each distinct
+    token is computed once per Python worker (log text repeats its tokens).
+    """
 
     def __init__(self, dim: int = 384, name: str | None = None):
         if dim <= 0:
@@ -55,10 +83,14 @@ class HashEncoder:
         dim = self.dim
 
         @pandas_udf(T.ArrayType(T.FloatType()))
-        def _unit(b: pd.Series) -> pd.Series:
-            return unit_count_vectors(b, dim)
+        def _unit(texts: pd.Series) -> pd.Series:
+            return unit_count_vectors(pd.Series([text_buckets(t, dim) for t in texts], dtype=object), dim)
+
+        return _unit(F.col(text) if isinstance(text, str) else text)
 
-        return _unit(token_buckets(text, dim))
+    def buckets_column(self, text: str | Column) -> Column:
+        """Bucket ids as a JVM expression (used to cross-check the Python path)."""
+        return token_buckets(text, self.dim)
 
 
 class BatchEncoder:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.events import haproxy_iso, severity_of
+from ..functions.events import haproxy_iso_parts, severity_of
 from ..functions.text import WS_CLASS, is_blank, split_ws_nonempty, strip_ws
 from ..schemas import EVENT_FIELDS
 
@@ -42,43 +42,47 @@ HAPROXY_HTTP = (
 )
 # ---------------------------------------------------------------------------
 
-_GROUPS = ("client_ip", "accept_date", "backend", "server", "tt", "status", "bytes", "request")
+# The same grammar with extra capture groups, so one regex pass also splits the
+# accept date (day/month/year before the first ':', time up to the first '.')
+# and the first two whitespace-separated request tokens (method, path).
+_W = WS_CLASS
+_NW = "[^" + WS_CLASS[1:-1] + '"]'
+_ACCEPT = r"\[(?=[^\]])(?:([^:/\]]*)/([^:/\]]*)/([^:/\]]*):([^.\]]*))?[^\]]*\]\s+"
+_REQUEST = '"' + _W + "*(" + _NW + "*)(?:" + _W + "+(" + _NW + "*))?" + '[^"]*"'
+_PARSE = HAPROXY_HTTP.replace(r"\[([^\]]+)\]\s+", _ACCEPT).replace('"([^"]*)"', _REQUEST)
+assert _PARSE != HAPROXY_HTTP
+_GROUPS = ("client_ip", "day", "mon", "year", "hms", "backend", "server", "tt", "status", "bytes", "method", "path")
 _SEP = "\u0001"
-_REWRITE = "(?s)^(?:" + HAPROXY_HTTP + ".*|.*)"
+_REWRITE = "(?s)^(?:" + _PARSE + ".*|.*)"
 _REPLACEMENT = _SEP.join(f"${i + 1}" for i in range(len(_GROUPS)))
 
 
-def parse_request(request: Column) -> tuple[Column, Column]:
-    """P-02: (method, path) from the quoted request; empty or ``-`` gives nulls."""
-    r = strip_ws(request)
-    toks = split_ws_nonempty(request)
-    empty = (r == "") | (r == "-")
-    method = F.when(~empty, F.get(toks, 0))
-    path = F.when(~empty, F.get(toks, 1))
-    return method, path
-
-
 def haproxy_events(lines: DataFrame, source_col: str | None = None) -> DataFrame:
     """Add ``status`` (ok/skip/error) and the 13 event columns to a lines frame.
 
     Keeps every input row; non-``ok`` rows carry null event fields.
     """
     raw = F.col("raw")
-    g = F.split(F.regexp_replace(raw, _REWRITE, _REPLACEMENT), _SEP, -1)
-    parts = lines.withColumn("__g", g)
+    groups = F.split(F.regexp_replace(raw, _REWRITE, _REPLACEMENT), _SEP, -1)
+    # explode of a one-element array: the regex runs once per line and its groups
+    # are a materialised column (projections would otherwise inline it per field).
+    parts = lines.select(*lines.columns, F.explode(F.array(groups)).alias("__g"))
     grp = {n: F.get(F.col("__g"), i) for i, n in enumerate(_GROUPS)}
     blank = is_blank(raw)
     matched = ~blank & (F.coalesce(grp["client_ip"], F.lit("")) != "")
     status_code = grp["status"].try_cast("int")
     tt = grp["tt"].try_cast("long")
-    method, path = parse_request(grp["request"])
+    m, pth = grp["method"], grp["path"]
+    no_request = (pth == "") & ((m == "") | (m == "-"))
+    method = F.when(~no_request, m)
+    path = F.when(~no_request & (pth != ""), pth)
     ok = lambda c: F.when(matched, c)
     src = F.col(source_col) if source_col else F.lit("haproxy")
     keep = [c for c in lines.columns if c not in EVENT_FIELDS and c not in ("status", "__g")]
     return parts.select(
         *keep,
         F.when(blank, "skip").when(matched, "ok").otherwise("error").alias("status"),
-        ok(haproxy_iso(grp["accept_date"])).alias("timestamp"),
+        ok(haproxy_iso_parts(grp["day"], grp["mon"], grp["year"], grp["hms"])).alias("timestamp"),
         src.alias("source"),
         F.when(matched, severity_of(status_code)).otherwise(F.lit("info")).alias("severity"),
         ok(grp["client_ip"]).alias("client_ip"),
@@ -94,4 +98,12 @@ def haproxy_events(lines: DataFrame, source_col: str | None = None) -> DataFrame
     )
 
 
+def parse_request(request: Column) -> tuple[Column, Column]:
+    """P-02 on a bare request string: (method, path); empty or ``-`` gives nulls."""
+    r = strip_ws(request)
+    toks = split_ws_nonempty(request)
+    empty = (r == "") | (r == "-")
+    return F.when(~empty, F.get(toks, 0)), F.when(~empty, F.get(toks, 1))
+
+
 __all__ = ["HAPROXY_HTTP", "haproxy_events", "parse_request", "WS_CLASS"]

@@ -27,31 +27,34 @@ def _key(lines: DataFrame) -> str:
     return "source_path" if "source_path" in lines.columns else "source_file"
 
 
+def _header_names(raw: Column) -> Column:
+    return split_ws_nonempty(F.substring(raw, F.instr(raw, ":") + 1, 1 << 30))
+
+
 def active_headers(lines: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
-    """J-01: add ``header_line`` / ``header`` = the ``#Fields:`` directive in force (or null)."""
+    """J-01: add ``header_line`` and ``header_fields`` = the ``#Fields:`` directive in force (or null).
+
+    The field list is split once, on the header row itself, before the window.
+    """
     key = _key(lines)
     raw = F.col("raw")
     is_hdr = raw.startswith("#") & F.lower(raw).startswith("#fields:")
     s = "__slice"
-    x = lines.withColumn(s, F.floor(F.col("line_number") / F.lit(width))).withColumn("__hdr", is_hdr)
-    hdr_struct = F.when(F.col("__hdr"), F.struct(F.col("line_number").alias("l"), raw.alias("r")))
+    hdr_struct = F.when(is_hdr, F.struct(F.col("line_number").alias("l"), _header_names(raw).alias("f")))
+    x = lines.withColumn(s, F.floor(F.col("line_number") / F.lit(width))).withColumn("__h", hdr_struct)
     w_in = (
         Window.partitionBy(key, s).orderBy("line_number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    x = x.withColumn("__in", F.last(hdr_struct, ignorenulls=True).over(w_in))
-    per_slice = x.groupBy(key, s).agg(F.max(hdr_struct).alias("__last"))  # struct order: line first
+    x = x.withColumn("__in", F.last("__h", ignorenulls=True).over(w_in))
+    per_slice = x.groupBy(key, s).agg(F.max("__h").alias("__last"))  # struct order: line first
     w_prev = Window.partitionBy(key).orderBy(s).rowsBetween(Window.unboundedPreceding, -1)
     carry = per_slice.select(key, s, F.last("__last", ignorenulls=True).over(w_prev).alias("__carry"))
     out = x.join(carry, on=[key, s], how="left")
-    h = F.coalesce(F.col("__in"), F.col("__carry"))
-    return out.withColumn("header_line", h["l"]).withColumn("header", h["r"]).drop(s, "__hdr", "__in", "__carry")
-
-
-def fields_of(header: Column, default_fields: Sequence[str]) -> Column:
-    """Column list in force: the header's names, else the configured list."""
-    names = split_ws_nonempty(F.substring(header, F.instr(header, ":") + 1, 1 << 30))
-    default = F.array(*[F.lit(f) for f in default_fields]).cast("array<string>")
-    return F.when(header.isNotNull() & (F.size(names) > 0), names).otherwise(default)
+    return out.select(
+        *[c for c in lines.columns],
+        F.coalesce(F.col("__in.l"), F.col("__carry.l")).alias("header_line"),
+        F.when(F.col("__in").isNotNull(), F.col("__in.f")).otherwise(F.col("__carry.f")).alias("header_fields"),
+    )
 
 
 def iis_events(
@@ -62,24 +65,36 @@ def iis_events(
     width: int = DEFAULT_WIDTH,
 ) -> DataFrame:
     """Add ``status`` (ok/skip/error) and the 13 event columns to an IIS lines frame."""
+    default = F.array(*[F.lit(f) for f in default_fields]).cast("array<string>")
     if fields_from_header:
         hdr = active_headers(lines, width)
-        fields = fields_of(F.col("header"), default_fields)
+        hf = F.col("header_fields")
+        fields = F.when(hf.isNotNull() & (F.size(hf) > 0), hf).otherwise(default)
     else:
-        hdr = lines.withColumn("header_line", F.lit(None).cast("long")).withColumn("header", F.lit(None).cast("string"))
-        fields = F.array(*[F.lit(f) for f in default_fields]).cast("array<string>")
+        hdr = lines.withColumn("header_line", F.lit(None).cast("long"))
+        fields = default
     raw = F.col("raw")
-    x = hdr.withColumn("__f", fields).withColumn("__v", split_ws_nonempty(raw))
-    f, v = F.col("__f"), F.col("__v")
-    rf, rv = F.reverse(f), F.reverse(v)
-
-    def val(name: str) -> Column:  # last value wins when a name repeats
-        return F.get(rv, F.array_position(rf, F.lit(name)).cast("int") - 1)
-
+    wanted = ("date", "time", "c-ip", "cs-method", "cs-uri-stem", "cs-uri-query", "sc-status", "sc-bytes",
+              "time-taken")
+    # Step 1: reversed field names and values (a repeated name keeps its last value).
+    step1 = hdr.select(
+        *hdr.columns,
+        F.reverse(fields).alias("__rf"),
+        F.reverse(split_ws_nonempty(raw)).alias("__rv"),
+    )
+    # Step 2: every wanted value looked up once.
+    look = {n: F.get(F.col("__rv"), F.array_position(F.col("__rf"), F.lit(n)).cast("int") - 1) for n in wanted}
+    step2 = step1.select(
+        *hdr.columns,
+        (F.size("__rf") > 0).alias("__has_fields"),
+        (F.size("__rf") == F.size("__rv")).alias("__same_n"),
+        *[look[n].alias(f"__{i}") for i, n in enumerate(wanted)],
+    )
+    v = {n: F.col(f"__{i}") for i, n in enumerate(wanted)}
     blank = is_blank(raw)
     directive = raw.startswith("#")
-    matched = ~blank & ~directive & (F.size(f) > 0) & (F.size(f) == F.size(v))
-    stem, query = val("cs-uri-stem"), val("cs-uri-query")
+    matched = ~blank & ~directive & F.col("__has_fields") & F.col("__same_n")
+    stem, query = v["cs-uri-stem"], v["cs-uri-query"]
     path = F.when(
         (F.coalesce(stem, F.lit("")) != "") & (F.coalesce(query, F.lit("")) != "") & (query != DASH),
         F.concat(stem, F.lit("?"), query),
@@ -88,23 +103,23 @@ def iis_events(
     def to_int(c: Column, t: str) -> Column:
         return F.when(c != DASH, c.try_cast(t))
 
-    status_code = to_int(val("sc-status"), "int")
+    status_code = to_int(v["sc-status"], "int")
     ok = lambda c: F.when(matched, c)
     src = F.col(source_col) if source_col else F.lit("iis")
     keep = [c for c in lines.columns if c not in EVENT_FIELDS and c != "status"]
-    return x.select(
+    return step2.select(
         *keep,
         "header_line",
         F.when(blank | directive, "skip").when(matched, "ok").otherwise("error").alias("status"),
-        ok(iis_iso(val("date"), val("time"))).alias("timestamp"),
+        ok(iis_iso(v["date"], v["time"])).alias("timestamp"),
         src.alias("source"),
         F.when(matched, severity_of(status_code)).otherwise(F.lit("info")).alias("severity"),
-        ok(F.nullif(val("c-ip"), F.lit(DASH))).alias("client_ip"),
-        ok(F.nullif(val("cs-method"), F.lit(DASH))).alias("method"),
+        ok(F.nullif(v["c-ip"], F.lit(DASH))).alias("client_ip"),
+        ok(F.nullif(v["cs-method"], F.lit(DASH))).alias("method"),
         ok(path).alias("path"),
         ok(status_code).alias("status_code"),
-        ok(to_int(val("sc-bytes"), "long")).alias("bytes"),
-        ok(to_int(val("time-taken"), "long")).alias("duration_ms"),
+        ok(to_int(v["sc-bytes"], "long")).alias("bytes"),
+        ok(to_int(v["time-taken"], "long")).alias("duration_ms"),
         F.lit(None).cast("string").alias("backend"),
         "source_file",
         "line_number",

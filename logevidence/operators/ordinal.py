@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_WIDTH = 1 << 18
+DEFAULT_WIDTH = 1 << 16
 
 
 def ordinal_within(

@@ -18,6 +18,10 @@ from .haproxy import haproxy_events
 from .iis import iis_events
 
 
+# Largest file list turned into a literal filter (paths travel through the driver).
+MAX_LISTED_FILES = 10_000
+
+
 class ParseError(Exception):
     """Raised under ``on_parse_error='fail'``, naming file, line and raw text."""
 
@@ -40,12 +44,26 @@ def classify_lines(
             return haproxy_events(tagged, "source").withColumn("header_line", F.lit(None).cast("long"))
         return iis_events(tagged, iis_fields, iis_fields_from_header, "source")
     det = detect_sources(lines).select("source_path", "source")
-    # One row per file: AQE turns this into a broadcast join when it is small.
-    tagged = lines.join(det, on="source_path", how="inner")
-    hap = haproxy_events(tagged.where(F.col("source") == "haproxy"), "source").withColumn(
-        "header_line", F.lit(None).cast("long")
-    )
-    iis = iis_events(tagged.where(F.col("source") == "iis"), iis_fields, iis_fields_from_header, "source")
+    # A tiny action (at most two rows reach the driver) picks the plan: a corpus
+    # of one kind is parsed in a single pass without joining the detection back.
+    kinds = sorted(r[0] for r in det.select("source").distinct().collect())
+    if len(kinds) == 1:
+        return classify_lines(lines, forced_source=kinds[0], iis_fields=iis_fields,
+                              iis_fields_from_header=iis_fields_from_header)
+    # Mixed corpus. With a bounded number of IIS files their paths become a
+    # literal filter, which Spark pushes down into the scans; beyond the bound
+    # the per-file table is joined back (AQE broadcasts it when it is small).
+    iis_paths = [r[0] for r in det.where(F.col("source") == "iis").select("source_path").limit(MAX_LISTED_FILES + 1).collect()]
+    if len(iis_paths) <= MAX_LISTED_FILES:
+        is_iis = F.col("source_path").isin(iis_paths)
+        hap_lines = lines.where(~is_iis).withColumn("source", F.lit("haproxy"))
+        iis_lines = lines.where(is_iis).withColumn("source", F.lit("iis"))
+    else:
+        tagged = lines.join(det, on="source_path", how="inner")
+        hap_lines = tagged.where(F.col("source") == "haproxy")
+        iis_lines = tagged.where(F.col("source") == "iis")
+    hap = haproxy_events(hap_lines, "source").withColumn("header_line", F.lit(None).cast("long"))
+    iis = iis_events(iis_lines, iis_fields, iis_fields_from_header, "source")
     return hap.unionByName(iis)
 
 

@@ -50,8 +50,7 @@ def q_iis_header_asof(spark: SparkSession, sf: str) -> DataFrame:
     """J-01: the ``#Fields:`` line in force for every IIS data line."""
     h = active_headers(D.iis_view(spark, sf))
     data = h.where(~F.col("raw").startswith("#") & (F.col("raw") != ""))
-    names = F.split(F.trim(F.substring_index(F.col("header"), ":", -1)), " ")
-    return data.select("source_file", "line_number", "header_line", F.size(names).alias("n_fields"))
+    return data.select("source_file", "line_number", "header_line", F.size("header_fields").alias("n_fields"))
 
 
 def q_detect_source(spark: SparkSession, sf: str) -> DataFrame:

@@ -140,25 +140,33 @@ def iis_lines(events: DataFrame) -> DataFrame:
     row_a = F.when(F.col("h_corrupt"), F.concat_ws(" ", *vals_a)).otherwise(F.concat_ws(" ", *vals_a, taken))
     row_b = F.when(F.col("h_corrupt"), F.concat_ws(" ", *vals_b)).otherwise(F.concat_ws(" ", *vals_b, taken))
     raw = F.when(F.col("h_blank"), F.lit("")).otherwise(F.when(layout_a, row_a).otherwise(row_b))
-    data = k.select(
+    data_line = k.select(
         "source_file",
-        (F.col("k") + block + 2).alias("line_number"),
-        raw.alias("raw"),
         block.alias("block"),
+        (F.col("k") + block + 2).cast("long").alias("line_number"),
+        raw.alias("raw"),
         ((F.col("k") - 1) % IIS_BLOCK == 0).alias("block_head"),
         (F.col("k") == 1).alias("file_head"),
     )
-    headers = data.where("block_head").select(
-        "source_file",
-        (F.col("block") * (IIS_BLOCK + 1) + 2).alias("line_number"),
-        F.concat(F.lit("#Fields: "), F.when(F.col("block") % 2 == 0, F.lit(IIS_FIELDS_A)).otherwise(F.lit(IIS_FIELDS_B))).alias("raw"),
-    )
-    software = data.where("file_head").select("source_file", F.lit(1).cast("long").alias("line_number"), F.lit(IIS_SOFTWARE).alias("raw"))
-    allrows = data.select("source_file", F.col("line_number").cast("long"), "raw").unionByName(
-        headers.select("source_file", F.col("line_number").cast("long"), "raw")
-    ).unionByName(software)
-    return allrows.select(
-        F.concat(F.lit(IIS_DIR), F.col("source_file")).alias("source_path"), "source_file", "line_number", "raw"
+    # Each event row emits its own line plus, when it opens a block, the block's
+    # "#Fields:" line and, for the first block, the "#Software:" line (one pass).
+    fields_line = F.concat(
+        F.lit("#Fields: "), F.when(F.col("block") % 2 == 0, F.lit(IIS_FIELDS_A)).otherwise(F.lit(IIS_FIELDS_B))
+    )
+    emitted = F.filter(
+        F.array(
+            F.struct(F.lit(True).alias("on"), F.col("line_number").alias("line_number"), F.col("raw").alias("raw")),
+            F.struct(F.col("block_head").alias("on"), (F.col("block") * (IIS_BLOCK + 1) + 2).cast("long").alias("line_number"),
+                     fields_line.alias("raw")),
+            F.struct(F.col("file_head").alias("on"), F.lit(1).cast("long").alias("line_number"),
+                     F.lit(IIS_SOFTWARE).alias("raw")),
+        ),
+        lambda x: x["on"],
+    )
+    out = data_line.select("source_file", F.explode(emitted).alias("l"))
+    return out.select(
+        F.concat(F.lit(IIS_DIR), F.col("source_file")).alias("source_path"), "source_file",
+        F.col("l.line_number").alias("line_number"), F.col("l.raw").alias("raw"),
     )
 
 
