@@ -61,7 +61,7 @@ def _sev(name: str):
     return F.coalesce(F.try_element_at(F.col("severities"), F.lit(name)), F.lit(0)).cast("int")
 
 
-def index_points(records: DataFrame) -> DataFrame:
+def index_points(records: DataFrame, extra=()) -> DataFrame:
     """P-19/P-21: embedding records -> index rows (flat metadata, sentinels, citation)."""
     has = set(records.columns)
     s = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -84,6 +84,7 @@ def index_points(records: DataFrame) -> DataFrame:
         _sev("warning").alias("sev_warning"),
         _sev("error").alias("sev_error"),
         *extras,
+        *extra,
     )
 
 
@@ -148,8 +149,9 @@ class VectorIndex:
     def upsert(self, records: DataFrame, order_col: str | None = None, replace_files: bool = False) -> int:
         """K-05: load embedding records; returns the committed version (unchanged if empty)."""
         self.open()
-        new = index_points(records) if "chunk_id" in records.columns else records
-        new = dedup_last(new.select(*POINT.fieldNames(), *([order_col] if order_col else [])), order_col)
+        more = (order_col,) if order_col else ()
+        new = index_points(records, extra=more) if "chunk_id" in records.columns else records
+        new = dedup_last(new.select(*POINT.fieldNames(), *more), order_col)
         new = new.select(*POINT.fieldNames())
         meta = self._meta()
         dims = [r[0] for r in new.select("embedding_dim").distinct().limit(2).collect()]

@@ -44,18 +44,21 @@ def classify_lines(
             return haproxy_events(tagged, "source").withColumn("header_line", F.lit(None).cast("long"))
         return iis_events(tagged, iis_fields, iis_fields_from_header, "source")
     det = detect_sources(lines).select("source_path", "source")
-    # A tiny action (at most two rows reach the driver) picks the plan: a corpus
-    # of one kind is parsed in a single pass without joining the detection back.
-    kinds = sorted(r[0] for r in det.select("source").distinct().collect())
+    # One bounded action picks the plan: up to MAX_LISTED_FILES (path, source)
+    # rows reach the driver. A corpus of one kind is parsed in a single pass; a
+    # mixed one filters each parser's files with a literal list that Spark pushes
+    # into the scans. Beyond the bound the per-file table is joined back instead
+    # (AQE broadcasts it only when it is small).
+    listed = det.limit(MAX_LISTED_FILES + 1).collect()
+    if len(listed) <= MAX_LISTED_FILES:
+        kinds = sorted({r["source"] for r in listed})
+    else:
+        kinds = sorted(r[0] for r in det.select("source").distinct().collect())
     if len(kinds) == 1:
         return classify_lines(lines, forced_source=kinds[0], iis_fields=iis_fields,
                               iis_fields_from_header=iis_fields_from_header)
-    # Mixed corpus. With a bounded number of IIS files their paths become a
-    # literal filter, which Spark pushes down into the scans; beyond the bound
-    # the per-file table is joined back (AQE broadcasts it when it is small).
-    iis_paths = [r[0] for r in det.where(F.col("source") == "iis").select("source_path").limit(MAX_LISTED_FILES + 1).collect()]
-    if len(iis_paths) <= MAX_LISTED_FILES:
-        is_iis = F.col("source_path").isin(iis_paths)
+    if len(listed) <= MAX_LISTED_FILES:
+        is_iis = F.col("source_path").isin([r["source_path"] for r in listed if r["source"] == "iis"])
         hap_lines = lines.where(~is_iis).withColumn("source", F.lit("haproxy"))
         iis_lines = lines.where(is_iis).withColumn("source", F.lit("iis"))
     else:

@@ -43,12 +43,14 @@ def all_view(spark, sf_dir) -> DataFrame:
     return all_lines(table(spark, sf_dir, "events"))
 
 
-def haproxy_classified(spark, sf_dir) -> DataFrame:
-    return classify_lines(haproxy_view(spark, sf_dir))
+def haproxy_classified(spark, sf_dir, source_type: str = "haproxy") -> DataFrame:
+    """The HAProxy files parsed with ``source_type`` configured (as the corpus
+    validation job does); ``source_type='auto'`` runs detection first."""
+    return classify_lines(haproxy_view(spark, sf_dir), source_type=source_type)
 
 
-def haproxy_events(spark, sf_dir, policy: str = "skip") -> DataFrame:
-    return events_of(haproxy_classified(spark, sf_dir), policy)
+def haproxy_events(spark, sf_dir, policy: str = "skip", source_type: str = "haproxy") -> DataFrame:
+    return events_of(haproxy_classified(spark, sf_dir, source_type), policy)
 
 
 def log_chunks(spark, sf_dir) -> DataFrame:

@@ -349,11 +349,12 @@ FROM chunks JOIN sevtxt USING (source_file, chunk_index)"""
 SQL["q_chunk_text"] = with_(BASE, HX, CHUNKS) + "SELECT chunk_id, text FROM chunks"
 SQL["q_embed"] = with_(BASE, HX, CHUNKS, TOKENS) + f"""
 SELECT chunks.chunk_id, 'hash-md5-{HASH_DIM}' AS embedding_model, CAST({HASH_DIM} AS INTEGER) AS embedding_dim,
-  CAST(coalesce(t.n_tokens, 0) AS INTEGER) AS n_tokens, coalesce(t.token_sig, 0) AS token_sig,
+  CAST(coalesce(t.n_tokens, 0) AS INTEGER) AS n_tokens, coalesce(v.bucket_sig, 0) AS bucket_sig,
   CAST(coalesce(v.n_buckets, 0) AS INTEGER) AS n_buckets, round(coalesce(v.max_w, 0), 6) AS max_weight
 FROM chunks
-LEFT JOIN (SELECT chunk_id, count(*) AS n_tokens, sum(b + 1) AS token_sig FROM tok GROUP BY chunk_id) t USING (chunk_id)
-LEFT JOIN (SELECT chunk_id, count(*) AS n_buckets, max(w) AS max_w FROM cvec GROUP BY chunk_id) v USING (chunk_id)"""
+LEFT JOIN (SELECT chunk_id, count(*) AS n_tokens FROM tok GROUP BY chunk_id) t USING (chunk_id)
+LEFT JOIN (SELECT chunk_id, count(*) AS n_buckets, sum(b + 1) AS bucket_sig, max(w) AS max_w FROM cvec
+           GROUP BY chunk_id) v USING (chunk_id)"""
 SQL["q_topk_cosine"] = vector_topk_sql("cosine")
 SQL["q_topk_l2"] = vector_topk_sql("l2")
 SQL["q_topk_ip"] = vector_topk_sql("ip")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.events import severities_text
 from ..functions.text import split_lines
-from ..functions.vectors import token_buckets
+from ..functions.vectors import TOKEN_SPLIT
 from ..operators.detect import detect_sources
 from ..operators.iis import active_headers
 from ..operators.parse import classify_lines, events_of, parse_stats
@@ -37,8 +37,8 @@ RESULT_OUT = ("chunk_id", "score", "distance", "document", "source_file", "line_
 
 
 def q_parse_haproxy(spark: SparkSession, sf: str) -> DataFrame:
-    """P-01..P-04, P-10, P-12, P-14: HAProxy lines -> 13-column events."""
-    return D.haproxy_events(spark, sf).select(*EVENT_OUT)
+    """P-01..P-04, P-10, P-12, P-14 (with P-16 detection): HAProxy lines -> 13-column events."""
+    return D.haproxy_events(spark, sf, source_type="auto").select(*EVENT_OUT)
 
 
 def q_parse_iis(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,14 +98,19 @@ def q_chunk_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_embed(spark: SparkSession, sf: str) -> DataFrame:
-    """X-01, X-02, P-22, J-02: hash-encoded chunk vectors (summarised per chunk)."""
+    """X-01, X-02, P-22, J-02: hash-encoded chunk vectors (summarised per chunk).
+
+    ``bucket_sig`` = sum of (index + 1) over the non-zero components, so the
+    occupied buckets are checked exactly; ``max_weight`` checks the normalisation.
+    """
     rec = D.chunk_records(spark, sf)
-    b = token_buckets(F.col("text"), D.HASH_DIM)
+    toks = F.filter(F.split(F.lower(F.col("text")), TOKEN_SPLIT, -1), lambda t: t != "")
+    idx = F.filter(F.transform("embedding", lambda x, i: F.when(x > 0, i + 1).otherwise(0)), lambda i: i > 0)
     return rec.select(
         "chunk_id", "embedding_model", "embedding_dim",
-        F.size(b).alias("n_tokens"),
-        F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + x + 1).alias("token_sig"),
-        F.size(F.filter("embedding", lambda x: x > 0)).alias("n_buckets"),
+        F.size(toks).alias("n_tokens"),
+        F.aggregate(idx, F.lit(0).cast("long"), lambda a, x: a + x).alias("bucket_sig"),
+        F.size(idx).alias("n_buckets"),
         F.round(F.array_max("embedding").cast("double"), 6).alias("max_weight"),
     )
 

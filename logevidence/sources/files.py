@@ -95,8 +95,14 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], *, patterns: Seq
 
 
 @pandas_udf(T.BinaryType())
-def _gunzip(content: pd.Series) -> pd.Series:
-    return content.map(lambda b: None if b is None else gzip.decompress(bytes(b)))
+def _maybe_gunzip(path: pd.Series, content: pd.Series) -> pd.Series:
+    """Decompress ``.gz`` files (any case); other contents pass through."""
+    out = []
+    for p, b in zip(path, content):
+        if b is not None and str(p).lower().endswith(".gz"):
+            b = gzip.decompress(bytes(b))
+        out.append(b)
+    return pd.Series(out, dtype=object)
 
 
 def read_lines_exact(spark: SparkSession, paths: str | Sequence[str], *, encoding: str = "utf-8",
@@ -106,7 +112,7 @@ def read_lines_exact(spark: SparkSession, paths: str | Sequence[str], *, encodin
         files = _reader(spark, "binaryFile", patterns, recursive).load(_targets(paths, patterns, recursive))
     else:
         files = spark.read.format("binaryFile").load(list(paths))
-    content = F.when(F.lower(F.col("path")).endswith(".gz"), _gunzip(F.col("content"))).otherwise(F.col("content"))
+    content = _maybe_gunzip(F.col("path"), F.col("content"))
     enc = encoding.lower().replace("_", "-")
     text = F.make_valid_utf8(content.cast("string")) if enc in ("utf-8", "utf8") else F.decode(content, encoding)
     lines = files.select(
