@@ -75,7 +75,17 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], *, patterns: Seq
 
     ``paths`` is a folder (discovered with ``patterns``) or an explicit file list.
     """
-    scan = _load_text(spark, paths, patterns, recursive).select(
+    return number_lines(_load_text(spark, paths, patterns, recursive).select("value", "_metadata"))
+
+
+def number_lines(text: DataFrame) -> DataFrame:
+    """Number the rows of a text scan (columns ``value`` and ``_metadata``) per file.
+
+    Inside one block the rows of a task are consecutive, so ``mid - first_mid``
+    is the offset in the block; earlier blocks of the same file contribute their
+    line counts through an exclusive prefix sum over the block table.
+    """
+    scan = text.select(
         F.col("_metadata.file_path").alias("source_path"),
         F.col("_metadata.file_name").alias("source_file"),
         F.col("_metadata.file_block_start").alias("block"),
