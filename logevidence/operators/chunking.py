@@ -43,17 +43,29 @@ def explode_to_chunks(pos_events: DataFrame, chunk_size: int, chunk_overlap: int
     return pos_events.withColumn("chunk_index", F.explode(rng))
 
 
+def stem_collisions(events: DataFrame, key: str = "source_path") -> DataFrame:
+    """Stems shared by several files (their ``<stem>-<i>`` chunk ids would collide)."""
+    stem = path_stem(base_name(F.col(key)))
+    return (events.select(stem.alias("stem"), F.col(key).alias("path")).distinct()
+            .groupBy("stem").agg(F.count(F.lit(1)).alias("n_files")).where("n_files > 1"))
+
+
 def chunk_events(
     events: DataFrame,
     chunk_size: int = 20,
     chunk_overlap: int = 4,
     key: str | None = None,
     stem: Column | None = None,
+    id_scope: str = "stem",
 ) -> DataFrame:
     """Chunks in the CHUNK layout plus ``source_path``, ``chunk_index`` and ``backends``.
 
-    ``chunk_id`` is ``<stem>-<index>``, stem = the file name without its last suffix.
+    ``chunk_id`` is ``<stem>-<index>``, stem = the file name without its last
+    suffix; ``id_scope='path'`` uses the whole path instead (no collisions when
+    equal names live in different folders, see :func:`stem_collisions`).
     """
+    if id_scope not in ("stem", "path"):
+        raise ValueError("id_scope must be 'stem' or 'path'")
     check_chunking(chunk_size, chunk_overlap)
     key = key or ("source_path" if "source_path" in events.columns else "source_file")
     ev = events.withColumn("__line", render_event_line())
@@ -79,7 +91,12 @@ def chunk_events(
     sevs = F.transform(items, lambda s: s["sev"])
     keys = F.array_distinct(sevs)
     sev_map = F.map_from_arrays(keys, F.transform(keys, lambda k: F.size(F.filter(sevs, lambda x: x == k)).cast("int")))
-    file_stem = stem if stem is not None else path_stem(base_name(F.col(key)))
+    if stem is not None:
+        file_stem = stem
+    elif id_scope == "path":
+        file_stem = F.regexp_replace(F.col(key), "(?<=[^/])\\.[^./]*$", "")
+    else:
+        file_stem = path_stem(base_name(F.col(key)))
     out = g.select(
         F.concat(file_stem, F.lit("-"), F.col("chunk_index").cast("string")).alias("chunk_id"),
         F.array_join(F.col("__files"), ",").alias("source_file"),

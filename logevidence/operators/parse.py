@@ -22,6 +22,19 @@ from .iis import iis_events
 MAX_LISTED_FILES = 10_000
 
 
+def _haproxy(lines: DataFrame, **_) -> DataFrame:
+    return haproxy_events(lines, "source").withColumn("header_line", F.lit(None).cast("long"))
+
+
+def _iis(lines: DataFrame, iis_fields=DEFAULT_IIS_FIELDS, iis_fields_from_header=True) -> DataFrame:
+    return iis_events(lines, iis_fields, iis_fields_from_header, "source")
+
+
+# X-03: one DataFrame function per log source. A new source registers a function
+# ``lines (with a 'source' column) -> lines + status + the 13 event columns``.
+PARSERS = {"haproxy": _haproxy, "iis": _iis}
+
+
 class ParseError(Exception):
     """Raised under ``on_parse_error='fail'``, naming file, line and raw text."""
 
@@ -38,11 +51,9 @@ def classify_lines(
     if "source_path" not in lines.columns:
         lines = lines.withColumn("source_path", F.col("source_file"))
     fixed = resolve_source(forced_source, source_type)
+    opts = {"iis_fields": iis_fields, "iis_fields_from_header": iis_fields_from_header}
     if fixed is not None:
-        tagged = lines.withColumn("source", F.lit(fixed))
-        if fixed == "haproxy":
-            return haproxy_events(tagged, "source").withColumn("header_line", F.lit(None).cast("long"))
-        return iis_events(tagged, iis_fields, iis_fields_from_header, "source")
+        return PARSERS[fixed](lines.withColumn("source", F.lit(fixed)), **opts)
     det = detect_sources(lines).select("source_path", "source")
     # One bounded action picks the plan: up to MAX_LISTED_FILES (path, source)
     # rows reach the driver. A corpus of one kind is parsed in a single pass; a
@@ -65,9 +76,7 @@ def classify_lines(
         tagged = lines.join(det, on="source_path", how="inner")
         hap_lines = tagged.where(F.col("source") == "haproxy")
         iis_lines = tagged.where(F.col("source") == "iis")
-    hap = haproxy_events(hap_lines, "source").withColumn("header_line", F.lit(None).cast("long"))
-    iis = iis_events(iis_lines, iis_fields, iis_fields_from_header, "source")
-    return hap.unionByName(iis)
+    return PARSERS["haproxy"](hap_lines, **opts).unionByName(PARSERS["iis"](iis_lines, **opts))
 
 
 def first_error(classified: DataFrame):

@@ -82,16 +82,40 @@ def _and(a: Column | None, b: Column | None) -> Column | None:
     return a & b
 
 
+# Columns only needed for the k winners, never for scoring.
+HEAVY = ("text", "sources", "backends")
+
+
+def _narrow(points: DataFrame, where: Column | None) -> DataFrame:
+    base = points if where is None else points.where(where)  # filter first, then prune
+    return base.select(*[c for c in points.columns if c not in HEAVY])
+
+
 def search(points: DataFrame, vector: Sequence[float], top_k: int = 5, metric: str = "cosine",
            where: Column | None = None) -> DataFrame:
-    """T-01: the ``top_k`` nearest points (filters first, F-06), with column ``distance``."""
+    """T-01: the ``top_k`` nearest points (filters first, F-06), with column ``distance``.
+
+    Scoring reads only ids, vectors and scalar metadata; see :func:`attach_text`.
+    """
     check_top_k(top_k)
     check_metric(metric)
-    base = points if where is None else points.where(where)
-    scored = base.withColumn("distance", distance(metric, "embedding", vector))
+    scored = _narrow(points, where).withColumn("distance", distance(metric, "embedding", vector))
     return scored.orderBy(order_key("distance"), F.col("id")).limit(top_k)
 
 
+def attach_text(points: DataFrame, results: DataFrame, id_col: str = "chunk_id") -> DataFrame:
+    """Add the chunk ``text`` of the (at most k per query) result rows.
+
+    The result ids are collected (a bounded list) and pushed into the index scan
+    as ``id IN (...)``, so the large text column is read only near the winners.
+    """
+    ids = sorted({r[0] for r in results.select(id_col).collect()})
+    if "text" not in points.columns:
+        return results.withColumn("text", F.lit(None).cast("string"))
+    texts = points.where(F.col("id").isin(ids)).select(F.col("id").alias(id_col), "text")
+    return results.join(F.broadcast(texts), on=id_col, how="left")
+
+
 def shape_results(top: DataFrame, metric: str = "cosine", score_threshold: float = 0.0,
                   by: Sequence[str] = ()) -> DataFrame:
     """P-23..P-25, F-07, T-02, W-04 on the k rows of each query.
@@ -208,7 +232,7 @@ def batch_search(points: DataFrame, queries: DataFrame, top_k: int = 5, metric:
     """
     check_top_k(top_k)
     check_metric(metric)
-    base = points if where is None else points.where(where)
+    base = _narrow(points, where)
     keep_cols = [c for c in base.columns]
     dim_row = queries.select(F.max(F.size("vector")).alias("d"), F.count(F.lit(1)).alias("n")).first()
     if not dim_row or not dim_row["n"]:

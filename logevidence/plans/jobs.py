@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Params, check_policy
-from ..operators.chunking import chunk_events
+from ..operators.chunking import chunk_events, stem_collisions
 from ..operators.embedding import HashEncoder, embed_chunks
 from ..operators.index import VectorIndex
 from ..operators.parse import ParseError, classify_lines, events_of, first_error, parse_stats
@@ -76,14 +76,22 @@ def parse_logs(spark: SparkSession, logs_path: str, out_path: str, params: Param
 
 
 def chunk_logs(spark: SparkSession, events_path: str, out_path: str, params: Params = Params(), *,
-               input_format: str = "parquet", output_format: str = "parquet") -> DataFrame:
-    """E-02: events table -> chunks table. An empty events table gives 0 chunks."""
+               input_format: str = "parquet", output_format: str = "parquet", id_scope: str = "stem") -> DataFrame:
+    """E-02: events table -> chunks table. An empty events table gives 0 chunks.
+
+    With stem ids, two files sharing a name in different folders would collide:
+    that is reported as an error (use ``id_scope='path'``).
+    """
     apply_job_conf(spark)
     params.check()
     ev = _read(spark, events_path, input_format, load_events)
     if not ev.inputFiles():
         raise FileNotFoundError(f"no events under {events_path}")
-    ch = chunk_events(ev, params.chunk_size, params.chunk_overlap)
+    if id_scope == "stem" and "source_path" in ev.columns:
+        clash = [r["stem"] for r in stem_collisions(ev).limit(5).collect()]
+        if clash:
+            raise ValueError(f"chunk id collision: files with the same stem {clash}; use id_scope='path'")
+    ch = chunk_events(ev, params.chunk_size, params.chunk_overlap, id_scope=id_scope)
     _write(ch, out_path, output_format, CHUNK_FIELDS)
     return _read(spark, out_path, output_format, load_chunks)
 

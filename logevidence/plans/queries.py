@@ -16,7 +16,7 @@ from ..functions.vectors import TOKEN_SPLIT
 from ..operators.detect import detect_sources
 from ..operators.iis import active_headers
 from ..operators.parse import classify_lines, events_of, parse_stats
-from ..operators.retrieval import build_where, extra_where, retrieve, retrieve_many, search, shape_results
+from ..operators.retrieval import attach_text, build_where, extra_where, retrieve, retrieve_many, search, shape_results
 from ..config import ABSTENTION_SENTENCE
 from ..operators.chunking import chunk_events
 from ..operators.citations import evidence_blocks, expand_markers, validate_answers
@@ -293,7 +293,9 @@ def _text_results(spark, sf):
 
 def q_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """D-05: evidence blocks E1..Ek with header and chunk text."""
-    return evidence_blocks(_text_results(spark, sf)).select("evidence_id", "chunk_id", "header", "text")
+    pts = D.chunk_points(spark, sf)
+    res = retrieve(spark, pts, D.RETRIEVE_QUERY, D.encoder(), top_k=5)
+    return evidence_blocks(attach_text(pts, res)).select("evidence_id", "chunk_id", "header", "text")
 
 
 def _answers(spark, sf) -> DataFrame:

@@ -82,3 +82,14 @@ def test_corpus_golden_counts(spark, n, chunks):
         (F.col("id") + 1).alias("line_number"), F.lit("r").alias("raw"))
     assert chunk_events(df, 20, 4).count() == chunks
     assert math.ceil((n - 20) / 16) + 1 == chunks or n <= 20
+
+
+def test_stem_collisions_and_path_scope(spark):
+    from logevidence.operators.chunking import stem_collisions
+
+    a = events(spark, 3).withColumn("source_path", F.lit("/logs/app1/x.log"))
+    b = events(spark, 3).withColumn("source_path", F.lit("/logs/app2/x.log"))
+    both = a.unionByName(b)
+    assert [r["stem"] for r in stem_collisions(both).collect()] == ["x"]
+    ids = sorted(r["chunk_id"] for r in chunk_events(both, 10, 0, id_scope="path").collect())
+    assert ids == ["/logs/app1/x-0", "/logs/app2/x-0"]
