@@ -238,11 +238,14 @@ def batch_search(points: DataFrame, queries: DataFrame, top_k: int = 5, metric:
     if not dim_row or not dim_row["n"]:
         return None
     per_pass = max(1, MAX_QUERY_MATRIX_BYTES // (8 * max(1, dim_row["d"])))
-    ordered = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector").orderBy("query_id")
-    ordered = ordered.withColumn("__i", F.row_number().over(Window.orderBy("query_id")) - 1)
+    n_pass = -(-int(dim_row["n"]) // per_pass)
+    q = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector")
     parts = []
-    for start in range(0, int(dim_row["n"]), per_pass):
-        rows = ordered.where((F.col("__i") >= start) & (F.col("__i") < start + per_pass)).collect()
+    for i in range(n_pass):  # each pass ships one bounded slice of the query matrix
+        sl = q if n_pass == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_pass)) == i)
+        rows = sl.collect()
+        if not rows:
+            continue
         qids = np.array([r["query_id"] for r in rows], dtype=object)
         qmat = np.array([np.asarray(r["vector"], dtype=np.float64) for r in rows])
         parts.append(_local_topk(base, qids, qmat, top_k, metric, keep_cols))

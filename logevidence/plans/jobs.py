@@ -174,7 +174,7 @@ def validate_corpus(spark: SparkSession, files: Sequence[str] | str, index_root:
     ix = VectorIndex(spark, index_root, f"{params.collection_name}_validacion", params.similarity_metric).open()
     ix.upsert(rec)
     secs["t_index"] = time.perf_counter() - t0
-    report = corpus_report(cl, ev, ch, rec)
+    report = corpus_report(cl, rec, params.on_parse_error)
     return {
         "source": source,
         "collection": f"{params.collection_name}_validacion",

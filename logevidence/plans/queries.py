@@ -215,7 +215,7 @@ def q_corpus_report(spark: SparkSession, sf: str) -> DataFrame:
     ev = events_of(cl)
     ch = chunk_events(ev, D.CHUNK_SIZE, D.CHUNK_OVERLAP)
     rec = embed_chunks(ch, D.encoder())
-    rep = corpus_report(cl, ev, ch, rec)
+    rep = corpus_report(cl, rec)
     return rep.select("source_file", "files", "lines", "events", "chunks", "embeddings", "is_total")
 
 
@@ -227,26 +227,34 @@ def q_jsonl_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _written_logs(spark, sf) -> str:
-    """Render the HAProxy view as real text files, one file per app folder, lines in order."""
+    """Render the HAProxy view as real text files under ``app=<name>/``. Rows are
+    range-partitioned on (app, line) so a large app becomes several part files,
+    each a contiguous run of its lines (no task holds a whole app)."""
     path = shared_dir(spark, "logs")
     v = D.haproxy_view(spark, sf).withColumn("app", F.regexp_replace("source_file", "[.]log$", ""))
-    (v.repartition("app").sortWithinPartitions("app", "line_number").select("app", "raw")
+    (v.repartitionByRange("app", "line_number").sortWithinPartitions("app", "line_number").select("app", "raw")
      .write.mode("overwrite").partitionBy("app").text(path))
     return path
 
 
 def q_read_files(spark: SparkSession, sf: str) -> DataFrame:
-    """S-01/S-03/S-04/E-01 on real files: per app folder lines, parse results and line checksum."""
+    """S-01/S-03/S-04/E-01 on real files: per app folder lines, parse results, characters,
+    and whether every part file is numbered exactly 1..n."""
     path = _written_logs(spark, sf)
     lines = read_lines(spark, path, patterns=("*.txt",), recursive=True)
     cl = classify_lines(lines, forced_source="haproxy")
-    app = F.regexp_extract("source_path", "app=([^/]+)/", 1)
-    return cl.groupBy(app.alias("app")).agg(
+    per_file = cl.groupBy(F.regexp_extract("source_path", "app=([^/]+)/", 1).alias("app"), "source_path").agg(
         F.count(F.lit(1)).alias("lines"),
         F.count_if(F.col("status") == "ok").alias("ok"),
         F.count_if(F.col("status") == "error").alias("errors"),
         F.count_if(F.col("status") == "skip").alias("skipped"),
-        F.sum(F.when(F.col("status") == "ok", F.col("line_number"))).alias("ok_line_sum"),
+        F.sum(F.length("raw")).alias("chars"),
+        ((F.min("line_number") == 1) & (F.max("line_number") == F.count(F.lit(1)))
+         & (F.count_distinct("line_number") == F.count(F.lit(1)))).alias("numbered"),
+    )
+    return per_file.groupBy("app").agg(
+        *[F.sum(c).alias(c) for c in ("lines", "ok", "errors", "skipped", "chars")],
+        F.bool_and("numbered").alias("numbered_1_to_n"),
     )
 
 
