@@ -69,21 +69,55 @@ def _load_text(spark, paths, patterns, recursive):
     return spark.read.format("text").load(list(paths))
 
 
+# Largest per-block offset table broadcast to the line scan (bytes, estimated).
+MAX_BLOCK_TABLE_BYTES = 256 << 20
+_BLOCK_ROW_BYTES = 64  # block start, delta and hashing overhead, plus the path
+
+
 def read_lines(spark: SparkSession, paths: str | Sequence[str], *, patterns: Sequence[str] = ("*.log", "*.gz"),
                recursive: bool = False) -> DataFrame:
     """S-03/S-04 scale mode: ``source_path, source_file, line_number, raw``.
 
     ``paths`` is a folder (discovered with ``patterns``) or an explicit file list.
     """
-    return number_lines(_load_text(spark, paths, patterns, recursive).select("value", "_metadata"))
+    text = _load_text(spark, paths, patterns, recursive)
+    return number_lines(text.select("value", "_metadata"), broadcast_blocks=_block_table_fits(spark, text))
 
 
-def number_lines(text: DataFrame) -> DataFrame:
+def _block_table_fits(spark: SparkSession, text: DataFrame) -> bool:
+    """Bound the per-block table from file metadata alone: blocks <= bytes / split + files.
+
+    The sizes come from a ``binaryFile`` listing of the same files with the content
+    column pruned (one aggregate row reaches the driver).
+    """
+    files = text.inputFiles()
+    if not files:
+        return True
+    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
+    meta = spark.read.format("binaryFile").load(files).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("b"),
+        F.coalesce(F.max(F.length("path")), F.lit(0)).alias("p")).first()
+    blocks = meta["b"] // max(1, split) + meta["n"]
+    return blocks * (_BLOCK_ROW_BYTES + meta["p"]) <= MAX_BLOCK_TABLE_BYTES
+
+
+def _bytes(v: str) -> int:
+    """Parse a Spark byte-size setting such as ``134217728``, ``128m`` or ``128MB``."""
+    t = str(v).strip().lower().rstrip("b")
+    mult = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    if t and t[-1] in mult:
+        return int(float(t[:-1]) * mult[t[-1]])
+    return int(t)
+
+
+def number_lines(text: DataFrame, broadcast_blocks: bool | None = None) -> DataFrame:
     """Number the rows of a text scan (columns ``value`` and ``_metadata``) per file.
 
     Inside one block the rows of a task are consecutive, so ``mid - first_mid``
     is the offset in the block; earlier blocks of the same file contribute their
-    line counts through an exclusive prefix sum over the block table.
+    line counts through an exclusive prefix sum over the block table (one row per
+    block). With a proven size bound the block table is broadcast, so the lines
+    are never shuffled; without one AQE decides after measuring it.
     """
     scan = text.select(
         F.col("_metadata.file_path").alias("source_path"),
@@ -98,7 +132,8 @@ def number_lines(text: DataFrame) -> DataFrame:
         "source_path", "block",
         (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first_mid") + 1).alias("delta"),
     )
-    # One row per block: AQE broadcasts it after measuring it, else shuffles both sides.
+    if broadcast_blocks:
+        offs = F.broadcast(offs)
     return scan.join(offs, on=["source_path", "block"], how="inner").select(
         "source_path", "source_file", (F.col("mid") + F.col("delta")).alias("line_number"), "raw"
     )
