@@ -326,8 +326,9 @@ per AS (
 SELECT source_file, source, files, lines, ok, skipped_errors, kept_errors, ok + kept_errors AS events, FALSE AS is_total
 FROM per
 UNION ALL
-SELECT NULL, NULL, sum(files), sum(lines), sum(ok), sum(skipped_errors), sum(kept_errors),
-  sum(ok) + sum(kept_errors), TRUE FROM per"""
+SELECT NULL, NULL, CAST(sum(files) AS BIGINT), CAST(sum(lines) AS BIGINT), CAST(sum(ok) AS BIGINT),
+  CAST(sum(skipped_errors) AS BIGINT), CAST(sum(kept_errors) AS BIGINT),
+  CAST(sum(ok) + sum(kept_errors) AS BIGINT), TRUE FROM per"""
 SQL["q_on_error_keep"] = with_(BASE, HX) + f"""
 SELECT {EVENT_COLS} FROM hx_events
 UNION ALL
@@ -353,7 +354,7 @@ SELECT chunks.chunk_id, 'hash-md5-{HASH_DIM}' AS embedding_model, CAST({HASH_DIM
   CAST(coalesce(v.n_buckets, 0) AS INTEGER) AS n_buckets, round(coalesce(v.max_w, 0), 6) AS max_weight
 FROM chunks
 LEFT JOIN (SELECT chunk_id, count(*) AS n_tokens FROM tok GROUP BY chunk_id) t USING (chunk_id)
-LEFT JOIN (SELECT chunk_id, count(*) AS n_buckets, sum(b + 1) AS bucket_sig, max(w) AS max_w FROM cvec
+LEFT JOIN (SELECT chunk_id, count(*) AS n_buckets, CAST(sum(b + 1) AS BIGINT) AS bucket_sig, max(w) AS max_w FROM cvec
            GROUP BY chunk_id) v USING (chunk_id)"""
 SQL["q_topk_cosine"] = vector_topk_sql("cosine")
 SQL["q_topk_l2"] = vector_topk_sql("l2")
@@ -467,7 +468,8 @@ per2 AS (
 )
 SELECT source_file, files, lines, events, chunks, chunks AS embeddings, FALSE AS is_total FROM per2
 UNION ALL
-SELECT NULL, count(*), sum(lines), sum(events), sum(chunks), sum(chunks), TRUE FROM per2"""
+SELECT NULL, count(*), CAST(sum(lines) AS BIGINT), CAST(sum(events) AS BIGINT), CAST(sum(chunks) AS BIGINT),
+  CAST(sum(chunks) AS BIGINT), TRUE FROM per2"""
 
 SQL["q_jsonl_roundtrip"] = SQL["q_parse_haproxy"]
 
@@ -476,7 +478,7 @@ SELECT regexp_replace(source_file, '[.]log$', '') AS app, count(*) AS lines,
   count(*) FILTER (WHERE NOT h_corrupt AND NOT h_blank) AS ok,
   count(*) FILTER (WHERE h_corrupt) AS errors,
   count(*) FILTER (WHERE h_blank) AS skipped,
-  sum(length(raw)) AS chars,
+  CAST(sum(length(raw)) AS BIGINT) AS chars,
   TRUE AS numbered_1_to_n
 FROM hx_lines GROUP BY 1"""
 

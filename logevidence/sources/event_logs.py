@@ -25,6 +25,8 @@ IIS_FIELDS_A = ("date time s-ip cs-method cs-uri-stem cs-uri-query s-port cs-use
 IIS_FIELDS_B = "date time c-ip cs-method cs-uri-stem sc-status sc-bytes time-taken"
 IIS_SOFTWARE = "#Software: Microsoft Internet Information Services 10.0"
 IIS_BLOCK = 50
+# Slice width of the line-number windows: small slices spread few large files over many tasks.
+VIEW_SLICE = 4096
 
 
 def _s(c: Column) -> Column:
@@ -95,7 +97,7 @@ def haproxy_lines(events: DataFrame) -> DataFrame:
     named = ev.select(
         F.concat(F.lit("app_"), _s(u % 5), F.lit(".log")).alias("source_file"), "event_id", raw.alias("raw")
     )
-    numbered = ordinal_within(named, ["source_file"], "event_id", out="pos")
+    numbered = ordinal_within(named, ["source_file"], "event_id", out="pos", width=VIEW_SLICE)
     return numbered.select(
         F.concat(F.lit(HAPROXY_DIR), F.col("source_file")).alias("source_path"),
         "source_file",
@@ -119,7 +121,7 @@ def iis_lines(events: DataFrame) -> DataFrame:
     ev = _common(events)
     e, u = F.col("event_id"), F.col("user_id")
     named = ev.withColumn("source_file", iis_file_name(u))
-    k = ordinal_within(named, ["source_file"], "event_id", out="pos").withColumn("k", F.col("pos") + 1)
+    k = ordinal_within(named, ["source_file"], "event_id", out="pos", width=VIEW_SLICE).withColumn("k", F.col("pos") + 1)
     block = F.floor((F.col("k") - 1) / IIS_BLOCK)
     layout_a = block % 2 == 0
     method = F.when(e % 89 == 0, F.lit("-")).otherwise(F.col("h_method"))
