@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -55,19 +56,31 @@ _SHIPPED: set[int] = set()
 
 def ship_package(spark: SparkSession) -> None:
     """``addPyFile`` a zip of this package once per SparkContext (the usual
-    ``--py-files`` route), so Arrow/pandas functions resolve on every executor."""
+    ``--py-files`` route), so Arrow/pandas functions resolve on every executor.
+
+    The zip is written under the shared ``spark.checkpoint.dir`` through the
+    Hadoop FileSystem API, so executors fetch it from shared storage.
+    """
     sc = spark.sparkContext
     if id(sc) in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
-    out = os.path.join(tempfile.mkdtemp(prefix="logevidence-pyfiles-"), "logevidence.zip")
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
         for d, _, files in os.walk(pkg):
             for f in files:
                 if f.endswith(".py"):
                     full = os.path.join(d, f)
                     zf.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    sc.addPyFile(out)
+    target = shared_dir(spark, "pyfiles") + "/logevidence.zip"
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(target)
     _SHIPPED.add(id(sc))
 
 
@@ -82,6 +95,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="logevidence-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        try:
+            spark.conf.set("spark.checkpoint.dir", base)
+        except Exception:  # not settable at runtime on some deployments
+            pass
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
