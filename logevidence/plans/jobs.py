@@ -141,7 +141,7 @@ def retrieve_batch_job(spark: SparkSession, index_root: str, queries: DataFrame,
 
 
 def validate_corpus(spark: SparkSession, files: Sequence[str] | str, index_root: str, params: Params = Params(), *,
-                    source: str = "haproxy", encoder=None) -> dict:
+                    source: str = "haproxy", encoder=None, id_scope: str = "stem") -> dict:
     """E-06: every stage end to end into the separate ``<collection>_validacion``
     collection, with per-file counts, totals and wall-clock seconds per stage."""
     apply_job_conf(spark)
@@ -161,8 +161,12 @@ def validate_corpus(spark: SparkSession, files: Sequence[str] | str, index_root:
     ev = events_of(cl, "keep" if params.on_parse_error == "keep" else "skip")
     secs["t_parse"] = time.perf_counter() - t0
     t0 = time.perf_counter()
+    if id_scope == "stem":
+        clash = [r["stem"] for r in stem_collisions(ev).limit(5).collect()]
+        if clash:
+            raise ValueError(f"chunk id collision: files with the same stem {clash}; use id_scope='path'")
     p_ch = shared_dir(spark, "validate-chunks")
-    chunk_events(ev, params.chunk_size, params.chunk_overlap).write.mode("overwrite").parquet(p_ch)
+    chunk_events(ev, params.chunk_size, params.chunk_overlap, id_scope=id_scope).write.mode("overwrite").parquet(p_ch)
     ch = spark.read.parquet(p_ch)
     secs["t_chunk"] = time.perf_counter() - t0
     t0 = time.perf_counter()

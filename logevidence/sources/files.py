@@ -81,24 +81,31 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], *, patterns: Seq
     ``paths`` is a folder (discovered with ``patterns``) or an explicit file list.
     """
     text = _load_text(spark, paths, patterns, recursive)
-    return number_lines(text.select("value", "_metadata"), broadcast_blocks=_block_table_fits(spark, text))
+    return number_lines(text.select("value", "_metadata"), broadcast_blocks=_block_table_fits(spark, paths))
 
 
-def _block_table_fits(spark: SparkSession, text: DataFrame) -> bool:
-    """Bound the per-block table from file metadata alone: blocks <= bytes / split + files.
+def _block_table_fits(spark: SparkSession, paths: str | Sequence[str]) -> bool:
+    """Bound the per-block table from file-system metadata: blocks <= bytes / split + files.
 
-    The sizes come from a ``binaryFile`` listing of the same files with the content
-    column pruned (one aggregate row reaches the driver).
+    A folder costs one content-summary call (its totals bound the matching
+    files); an explicit list sums the statuses of the listed files.
     """
-    files = text.inputFiles()
-    if not files:
-        return True
+    sc = spark.sparkContext
+    conf = sc._jsc.hadoopConfiguration()
+    Path = sc._jvm.org.apache.hadoop.fs.Path
+    n_bytes = n_files = longest = 0
+    for p in [paths] if isinstance(paths, str) else list(paths):
+        hp = Path(p)
+        fs = hp.getFileSystem(conf)
+        if not fs.exists(hp):
+            continue
+        cs = fs.getContentSummary(hp)
+        n_bytes += cs.getLength()
+        n_files += cs.getFileCount()
+        longest = max(longest, len(p) + 256)
     split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
-    meta = spark.read.format("binaryFile").load(files).agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("b"),
-        F.coalesce(F.max(F.length("path")), F.lit(0)).alias("p")).first()
-    blocks = meta["b"] // max(1, split) + meta["n"]
-    return blocks * (_BLOCK_ROW_BYTES + meta["p"]) <= MAX_BLOCK_TABLE_BYTES
+    blocks = n_bytes // max(1, split) + n_files
+    return blocks * (_BLOCK_ROW_BYTES + longest) <= MAX_BLOCK_TABLE_BYTES
 
 
 def _bytes(v: str) -> int:
