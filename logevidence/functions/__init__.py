@@ -2,7 +2,7 @@
 
 from .events import (  # noqa: F401
     citation,
-    haproxy_iso,
+    haproxy_iso_parts,
     iis_iso,
     render_event_line,
     severities_text,

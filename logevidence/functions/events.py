@@ -26,26 +26,6 @@ def severity_of(status: str | Column) -> Column:
     )
 
 
-def haproxy_iso(accept_date: str | Column) -> Column:
-    """P-10/P-12: ``dd/Mon/YYYY:HH:MM:SS.mmm`` to ISO text, ms dropped, hour part kept as is.
-
-    Any malformed part gives null (the event itself survives).
-    """
-    a = col_(accept_date)
-    date_part = F.substring_index(a, ":", 1)
-    time_part = F.substring(a, F.instr(a, ":") + 1, 1 << 30)
-    dparts = F.split(date_part, "/", -1)
-    day = F.get(dparts, 0).try_cast("int")
-    month = F.try_element_at(_month_map(), F.get(dparts, 1))
-    year = F.get(dparts, 2).try_cast("int")
-    ok = a.contains(":") & (F.size(dparts) == 3) & day.isNotNull() & month.isNotNull() & year.isNotNull()
-    hms = F.substring_index(time_part, ".", 1)
-    iso = F.concat(
-        F.format_string("%04d-%02d-%02d", year, month, day), F.lit("T"), hms, F.lit(TZ_SUFFIX)
-    )
-    return F.when(ok, iso)
-
-
 def haproxy_iso_parts(day_s: Column, mon_s: Column, year_s: Column, hms: Column) -> Column:
     """P-10 from the already split accept-date parts (day, month name, year, time)."""
     day, year = day_s.try_cast("int"), year_s.try_cast("int")

@@ -10,6 +10,12 @@ from ..config import check_source
 SAMPLE_LINES = 10
 
 
+def name_rule(file_name) -> "F.Column":
+    """The name part of P-16: ``haproxy``, ``iis`` or null (content decides)."""
+    name = F.lower(file_name)
+    return F.when(name.contains("haproxy"), "haproxy").when(name.contains("iis") | name.startswith("u_ex"), "iis")
+
+
 def detect_sources(lines: DataFrame) -> DataFrame:
     """One row per file: ``source_path, source_file, source`` by the detection rules.
 
@@ -25,13 +31,7 @@ def detect_sources(lines: DataFrame) -> DataFrame:
         .groupBy(key, "source_file")
         .agg(F.bool_or(directive).alias("__w3c"))
     )
-    name = F.lower(F.col("source_file"))
-    src = (
-        F.when(name.contains("haproxy"), "haproxy")
-        .when(name.contains("iis") | name.startswith("u_ex"), "iis")
-        .when(F.col("__w3c"), "iis")
-        .otherwise("haproxy")
-    )
+    src = F.coalesce(name_rule(F.col("source_file")), F.when(F.col("__w3c"), "iis"), F.lit("haproxy"))
     out = head.select(key, "source_file", src.alias("source"))
     if key != "source_path":
         out = out.withColumn("source_path", F.col("source_file"))

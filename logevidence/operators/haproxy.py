@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.events import haproxy_iso_parts, severity_of
-from ..functions.text import WS_CLASS, is_blank, split_ws_nonempty, strip_ws
+from ..functions.text import WS_CLASS, is_blank
 from ..schemas import EVENT_FIELDS
 
 # ---------------------------------------------------------------------------
@@ -98,12 +98,4 @@ def haproxy_events(lines: DataFrame, source_col: str | None = None) -> DataFrame
     )
 
 
-def parse_request(request: Column) -> tuple[Column, Column]:
-    """P-02 on a bare request string: (method, path); empty or ``-`` gives nulls."""
-    r = strip_ws(request)
-    toks = split_ws_nonempty(request)
-    empty = (r == "") | (r == "-")
-    return F.when(~empty, F.get(toks, 0)), F.when(~empty, F.get(toks, 1))
-
-
-__all__ = ["HAPROXY_HTTP", "haproxy_events", "parse_request", "WS_CLASS"]
+__all__ = ["HAPROXY_HTTP", "haproxy_events"]

@@ -74,14 +74,6 @@ def extra_where(
     return out
 
 
-def _and(a: Column | None, b: Column | None) -> Column | None:
-    if a is None:
-        return b
-    if b is None:
-        return a
-    return a & b
-
-
 # Columns only needed for the k winners, never for scoring.
 HEAVY = ("text", "sources", "backends")
 

@@ -26,7 +26,8 @@ from ..operators.report import corpus_report
 from ..operators.retrieval import build_where, retrieve, retrieve_many
 from ..schemas import CHUNK_FIELDS, EMBEDDING_FIELDS, EVENT_FIELDS
 from ..session import apply_job_conf, shared_dir
-from ..sources.files import existing_files, read_lines
+from ..operators.detect import detect_sources, name_rule, resolve_source
+from ..sources.files import discover_log_files, existing_files, read_head_lines, read_lines
 from ..sources.jsonl import load_chunks, load_embedding_records, load_events, write_jsonl
 
 
@@ -47,6 +48,42 @@ def _read(spark: SparkSession, path: str, fmt: str, loader) -> DataFrame:
     return loader(spark, path) if fmt == "jsonl" else spark.read.parquet(path)
 
 
+def classify_files(spark: SparkSession, logs_path: str, params: Params = Params(), *,
+                   forced_source: str | None = None) -> DataFrame:
+    """E-01 front half on real files: every file is read once by the parser of its kind.
+
+    The kind comes from the file name where the name decides (P-16); only the
+    remaining files are sampled, reading their first block alone. Each kind's
+    files are then read as an explicit list, so no file is scanned by both
+    parsers. The file list is the one Spark keeps on the driver for any scan.
+    """
+    fixed = resolve_source(forced_source, params.source_type)
+    opts = dict(iis_fields=params.iis_fields, iis_fields_from_header=params.iis_fields_from_header)
+    listing = discover_log_files(spark, logs_path, params.effective_patterns(), recursive=params.recursive)
+    if fixed is not None:
+        files = [r["path"] for r in listing.select("path").collect()]
+        if not files:
+            raise FileNotFoundError(f"no log files matching {params.effective_patterns()} under {logs_path}")
+        return classify_lines(read_lines(spark, files), forced_source=fixed, **opts)
+    named = listing.select("path", name_rule(F.col("name")).alias("source")).collect()
+    if not named:
+        raise FileNotFoundError(f"no log files matching {params.effective_patterns()} under {logs_path}")
+    kinds = {r["path"]: r["source"] for r in named}
+    undecided = [p for p, k in kinds.items() if k is None]
+    if undecided:
+        for r in detect_sources(read_head_lines(spark, undecided)).select("source_path", "source").collect():
+            kinds[r["source_path"]] = r["source"]
+    parts = []
+    for kind in ("haproxy", "iis"):
+        files = sorted(p for p, k in kinds.items() if (k or "haproxy") == kind)
+        if files:
+            parts.append(classify_lines(read_lines(spark, files), forced_source=kind, **opts))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def parse_logs(spark: SparkSession, logs_path: str, out_path: str, params: Params = Params(), *,
                forced_source: str | None = None, output_format: str = "parquet") -> ParseResult:
     """E-01: log files -> events table (+ per-file and total statistics).
@@ -57,11 +94,7 @@ def parse_logs(spark: SparkSession, logs_path: str, out_path: str, params: Param
     apply_job_conf(spark)
     params.check()
     check_policy(params.on_parse_error)
-    lines = read_lines(spark, logs_path, patterns=params.effective_patterns(), recursive=params.recursive)
-    if not lines.inputFiles():
-        raise FileNotFoundError(f"no log files matching {params.effective_patterns()} under {logs_path}")
-    cl = classify_lines(lines, forced_source=forced_source, source_type=params.source_type,
-                        iis_fields=params.iis_fields, iis_fields_from_header=params.iis_fields_from_header)
+    cl = classify_files(spark, logs_path, params, forced_source=forced_source)
     bronze = shared_dir(spark, "classified-lines")
     cl.write.mode("overwrite").parquet(bronze)
     cl = spark.read.parquet(bronze)

@@ -108,6 +108,14 @@ def _block_table_fits(spark: SparkSession, paths: str | Sequence[str]) -> bool:
     return blocks * (_BLOCK_ROW_BYTES + longest) <= MAX_BLOCK_TABLE_BYTES
 
 
+def read_head_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """The numbered lines of the first block of each file (enough for P-16's
+    10-line sample). The block filter runs before numbering, so later blocks
+    never reach the line-numbering plan."""
+    text = spark.read.format("text").load(list(paths)).select("value", "_metadata")
+    return number_lines(text.where(F.col("_metadata.file_block_start") == 0), broadcast_blocks=True)
+
+
 def _bytes(v: str) -> int:
     """Parse a Spark byte-size setting such as ``134217728``, ``128m`` or ``128MB``."""
     t = str(v).strip().lower().rstrip("b")

@@ -54,3 +54,16 @@ def test_streaming_ingest_processes_each_file_once(spark, tmpdir_path):
     got = {(r["source_file"], r["line_number"]) for r in ev.collect()}
     assert ("haproxy_1.log", 2) in got and ("haproxy_3.log", 1) in got
     assert spark.read.parquet(f"{out}/chunks").count() == 1 + 1 + 1
+
+
+def test_classify_files_reads_each_kind_separately(spark, tmpdir_path):
+    from logevidence.plans.jobs import classify_files
+
+    logs = f"{tmpdir_path}/mixed"
+    write(f"{logs}/edge.log", [L1, L2])                                    # content -> haproxy
+    write(f"{logs}/web.log", ["#Software: X", "#Fields: date time sc-status", "2026-03-03 09:00:01 404"])
+    write(f"{logs}/iis_named.log", ["#Fields: date time sc-status", "2026-03-03 09:00:01 500"])
+    cl = classify_files(spark, logs)
+    got = {(r["source_file"], r["source"]) for r in cl.select("source_file", "source").distinct().collect()}
+    assert got == {("edge.log", "haproxy"), ("web.log", "iis"), ("iis_named.log", "iis")}
+    assert cl.where("status = 'ok'").count() == 4
