@@ -35,11 +35,36 @@ def load_embedding_records(spark, path, mode="FAILFAST"):
     return read_jsonl(spark, path, EMBEDDING, mode)
 
 
-def require_input(df: DataFrame, what: str) -> DataFrame:
-    """S-09: a stage with no input at all is an error (an empty file is not)."""
+# File suffixes of the stage interchange files (S-09).
+STAGE_SUFFIX = {"events": ".events.jsonl", "chunks": ".chunks.jsonl", "embeddings": ".embeddings.jsonl"}
+STAGE_SCHEMA = {"events": EVENT, "chunks": CHUNK, "embeddings": EMBEDDING}
+
+
+def stage_input(spark: SparkSession, folder: str, stage: str, mode: str = "FAILFAST") -> DataFrame:
+    """S-09: every ``*<stage suffix>`` file under ``folder`` (recursively) as one DataFrame.
+
+    A missing folder or a folder without such files is an error; an empty file
+    is legal and contributes no rows. Column ``stem`` is the file name without
+    the suffix (the per-file grouping key of the next stage).
+    """
+    suffix = STAGE_SUFFIX[stage]
+    sc = spark.sparkContext
+    hp = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    if not hp.getFileSystem(sc._jsc.hadoopConfiguration()).exists(hp):
+        raise FileNotFoundError(f"input folder does not exist: {folder}")
+    schema = STAGE_SCHEMA[stage]
+    if mode.upper() == "PERMISSIVE":
+        schema = T.StructType(list(schema.fields) + [T.StructField("_corrupt_record", T.StringType())])
+    reader = (spark.read.schema(schema).option("mode", mode.upper()).option("recursiveFileLookup", "true")
+              .option("pathGlobFilter", f"*{suffix}"))
+    try:
+        df = reader.json(folder)
+    except Exception as exc:  # no file matched the glob
+        raise FileNotFoundError(f"no *{suffix} files under {folder}") from exc
     if not df.inputFiles():
-        raise FileNotFoundError(f"no {what} input found")
-    return df
+        raise FileNotFoundError(f"no *{suffix} files under {folder}")
+    stem = F.expr(f"left(_metadata.file_name, length(_metadata.file_name) - {len(suffix)})")
+    return df.withColumn("stem", stem).withColumn("stage_file", F.col("_metadata.file_path"))
 
 
 def write_jsonl(df: DataFrame, path: str, fields, per_file: str | None = "source_file") -> None:

@@ -51,3 +51,21 @@ def test_json_array_per_file(spark, tmpdir_path):
         text = "".join(open(os.path.join(d, f), encoding="utf-8").read() for f in sorted(os.listdir(d)) if f.startswith("part-"))
         arr = json.loads(text.replace("\n", ""))
         assert isinstance(arr, list) and len(arr) == 1 and list(arr[0].keys()) == list(EVENT_FIELDS)
+
+
+def test_stage_input_by_suffix(spark, tmpdir_path):
+    from logevidence.sources.jsonl import stage_input
+
+    rec = {k: None for k in EVENT_FIELDS} | {"source": "haproxy", "severity": "info", "source_file": "a.log",
+                                              "line_number": 1, "raw": "r"}
+    os.makedirs(f"{tmpdir_path}/proc/sub")
+    with open(f"{tmpdir_path}/proc/a.events.jsonl", "w") as fh:
+        fh.write(json.dumps(rec) + "\n" + json.dumps(rec | {"line_number": 2}) + "\n")
+    open(f"{tmpdir_path}/proc/sub/empty.events.jsonl", "w").close()
+    open(f"{tmpdir_path}/proc/other.chunks.jsonl", "w").close()
+    df = stage_input(spark, f"{tmpdir_path}/proc", "events")
+    assert sorted((r["stem"], r["line_number"]) for r in df.collect()) == [("a", 1), ("a", 2)]
+    with pytest.raises(FileNotFoundError):
+        stage_input(spark, f"{tmpdir_path}/nope", "events")
+    with pytest.raises(FileNotFoundError):
+        stage_input(spark, f"{tmpdir_path}/proc", "embeddings")
