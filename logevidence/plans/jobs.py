@@ -28,7 +28,7 @@ from ..schemas import CHUNK_FIELDS, EMBEDDING_FIELDS, EVENT_FIELDS
 from ..session import apply_job_conf, shared_dir
 from ..operators.detect import detect_sources, name_rule, resolve_source
 from ..sources.files import discover_log_files, existing_files, read_head_lines, read_lines
-from ..sources.jsonl import load_chunks, load_embedding_records, load_events, write_jsonl
+from ..sources.jsonl import load_chunks, load_embedding_records, load_events, stage_input, write_jsonl
 
 
 @dataclass
@@ -44,7 +44,11 @@ def _write(df: DataFrame, path: str, fmt: str, fields: Sequence[str]) -> None:
         df.write.mode("overwrite").parquet(path)
 
 
-def _read(spark: SparkSession, path: str, fmt: str, loader) -> DataFrame:
+def _read(spark: SparkSession, path: str, fmt: str, loader, stage: str | None = None) -> DataFrame:
+    """``parquet`` tables, ``jsonl`` folders written by this library, or ``stage``:
+    the original ``*.events.jsonl`` / ``*.chunks.jsonl`` / ``*.embeddings.jsonl`` files (S-09)."""
+    if fmt == "stage":
+        return stage_input(spark, path, stage)
     return loader(spark, path) if fmt == "jsonl" else spark.read.parquet(path)
 
 
@@ -117,9 +121,14 @@ def chunk_logs(spark: SparkSession, events_path: str, out_path: str, params: Par
     """
     apply_job_conf(spark)
     params.check()
-    ev = _read(spark, events_path, input_format, load_events)
+    ev = _read(spark, events_path, input_format, load_events, "events")
     if not ev.inputFiles():
         raise FileNotFoundError(f"no events under {events_path}")
+    if input_format == "stage":  # one events file per original log: its stem names the chunks
+        ch = chunk_events(ev, params.chunk_size, params.chunk_overlap, key="stage_file",
+                          stem=F.regexp_replace(F.regexp_extract("stage_file", "([^/]*)$", 1), "[.]events[.]jsonl$", ""))
+        _write(ch, out_path, output_format, CHUNK_FIELDS)
+        return _read(spark, out_path, output_format, load_chunks)
     if id_scope == "stem" and "source_path" in ev.columns:
         clash = [r["stem"] for r in stem_collisions(ev).limit(5).collect()]
         if clash:
@@ -134,7 +143,7 @@ def embed_chunks_job(spark: SparkSession, chunks_path: str, out_path: str, encod
     """E-03: chunks table -> embedding records (model loaded once per worker)."""
     apply_job_conf(spark)
     encoder = encoder or HashEncoder()
-    ch = _read(spark, chunks_path, input_format, load_chunks)
+    ch = _read(spark, chunks_path, input_format, load_chunks, "chunks")
     if not ch.inputFiles():
         raise FileNotFoundError(f"no chunks under {chunks_path}")
     rec = embed_chunks(ch, encoder)
@@ -146,7 +155,7 @@ def index_embeddings(spark: SparkSession, records_path: str, index_root: str, pa
                      input_format: str = "parquet") -> VectorIndex:
     """E-04: embedding records -> versioned parquet index (idempotent upsert by id)."""
     apply_job_conf(spark)
-    rec = _read(spark, records_path, input_format, load_embedding_records)
+    rec = _read(spark, records_path, input_format, load_embedding_records, "embeddings")
     ix = VectorIndex(spark, index_root, params.collection_name, params.similarity_metric).open()
     ix.upsert(rec)
     return ix

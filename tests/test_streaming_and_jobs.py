@@ -67,3 +67,19 @@ def test_classify_files_reads_each_kind_separately(spark, tmpdir_path):
     got = {(r["source_file"], r["source"]) for r in cl.select("source_file", "source").distinct().collect()}
     assert got == {("edge.log", "haproxy"), ("web.log", "iis"), ("iis_named.log", "iis")}
     assert cl.where("status = 'ok'").count() == 4
+
+
+def test_stage_files_of_the_original_layout(spark, tmpdir_path):
+    import json
+
+    from logevidence.schemas import EVENT_FIELDS
+
+    proc = f"{tmpdir_path}/processed"
+    os.makedirs(proc)
+    base = {k: None for k in EVENT_FIELDS} | {"source": "haproxy", "severity": "info", "source_file": "web.log"}
+    with open(f"{proc}/web.events.jsonl", "w") as fh:
+        for i in range(1, 11):
+            fh.write(json.dumps(base | {"line_number": i, "raw": f"r{i}"}) + "\n\n")
+    ch = chunk_logs(spark, proc, f"{tmpdir_path}/ch", Params(chunk_size=4, chunk_overlap=1), input_format="stage")
+    got = sorted((r["chunk_id"], r["line_start"], r["line_end"]) for r in ch.collect())
+    assert got == [("web-0", 1, 4), ("web-1", 4, 7), ("web-2", 7, 10)]
