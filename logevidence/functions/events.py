@@ -57,18 +57,13 @@ def _dash(c: Column) -> Column:
 
 def render_event_line(prefix: str = "") -> Column:
     """P-18: ``[ts] source severity method path status <dur>ms backend``, nulls as ``-``."""
-    c = lambda n: F.col(prefix + n)
-    dur = F.when(c("duration_ms").isNull(), F.lit("-")).otherwise(F.concat(c("duration_ms").cast("string"), F.lit("ms")))
-    return F.concat_ws(
-        " ",
-        F.concat(F.lit("["), _dash(c("timestamp")), F.lit("]")),
-        _dash(c("source")),
-        _dash(c("severity")),
-        _dash(c("method")),
-        _dash(c("path")),
-        _dash(c("status_code")),
-        dur,
-        _dash(c("backend")),
+    c = lambda n: f"{prefix}{n}"
+    dash = lambda n: f"coalesce(CAST({c(n)} AS STRING), '-')"
+    return F.expr(
+        f"concat_ws(' ', concat('[', {dash('timestamp')}, ']'), {dash('source')}, {dash('severity')}, "
+        f"{dash('method')}, {dash('path')}, {dash('status_code')}, "
+        f"CASE WHEN {c('duration_ms')} IS NULL THEN '-' ELSE concat({c('duration_ms')}, 'ms') END, "
+        f"{dash('backend')})"
     )
 
 

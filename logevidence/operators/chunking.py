@@ -71,44 +71,38 @@ def chunk_events(
     ev = events.withColumn("__line", render_event_line())
     pos = positioned_events(ev, key)
     exploded = explode_to_chunks(pos, chunk_size, chunk_overlap)
-    item = F.struct(
-        F.col("pos").alias("p"),
-        F.col("line_number").alias("line"),
-        F.coalesce(F.col("severity"), F.lit("info")).alias("sev"),
-        F.col("__line").alias("txt"),
-    )
     g = exploded.groupBy(key, "chunk_index").agg(
-        F.array_sort(F.collect_list(item)).alias("__items"),
-        F.min(F.nullif(F.col("timestamp"), F.lit(""))).alias("ts_start"),
-        F.max(F.nullif(F.col("timestamp"), F.lit(""))).alias("ts_end"),
-        F.count(F.lit(1)).cast("int").alias("n_events"),
-        F.array_sort(F.collect_set(F.nullif(F.col("source"), F.lit("")))).alias("sources"),
-        F.array_sort(F.collect_set(F.nullif(F.col("source_file"), F.lit("")))).alias("__files"),
-        F.array_sort(F.collect_set(F.col("backend"))).alias("backends"),
+        F.expr("array_sort(collect_list(named_struct('p', pos, 'line', line_number, "
+               "'sev', coalesce(severity, 'info'), 'txt', __line)))").alias("__items"),
+        F.expr("min(nullif(timestamp, ''))").alias("ts_start"),
+        F.expr("max(nullif(timestamp, ''))").alias("ts_end"),
+        F.expr("CAST(count(1) AS INT)").alias("n_events"),
+        F.expr("array_sort(collect_set(nullif(source, '')))").alias("sources"),
+        F.expr("array_sort(collect_set(nullif(source_file, '')))").alias("__files"),
+        F.expr("array_sort(collect_set(backend))").alias("backends"),
     )
-    items = F.col("__items")
-    lines = F.filter(F.transform(items, lambda s: s["line"]), lambda x: x.isNotNull())
-    sevs = F.transform(items, lambda s: s["sev"])
-    keys = F.array_distinct(sevs)
-    sev_map = F.map_from_arrays(keys, F.transform(keys, lambda k: F.size(F.filter(sevs, lambda x: x == k)).cast("int")))
     if stem is not None:
         file_stem = stem
     elif id_scope == "path":
         file_stem = F.regexp_replace(F.col(key), "(?<=[^/])\\.[^./]*$", "")
     else:
         file_stem = path_stem(base_name(F.col(key)))
+    # Everything below works on arrays of at most chunk_size elements.
+    lines = "filter(transform(__items, s -> s.line), x -> x IS NOT NULL)"
+    sevs = "transform(__items, s -> s.sev)"
     out = g.select(
         F.concat(file_stem, F.lit("-"), F.col("chunk_index").cast("string")).alias("chunk_id"),
-        F.array_join(F.col("__files"), ",").alias("source_file"),
+        F.expr("array_join(__files, ',')").alias("source_file"),
         "sources",
-        F.get(lines, 0).alias("line_start"),
-        F.get(lines, F.size(lines) - 1).alias("line_end"),
+        F.expr(f"get({lines}, 0)").alias("line_start"),
+        F.expr(f"try_element_at(reverse({lines}), 1)").alias("line_end"),
         "ts_start",
         "ts_end",
         "n_events",
-        sev_map.alias("severities"),
-        lines.alias("event_lines"),
-        F.array_join(F.transform(items, lambda s: s["txt"]), "\n").alias("text"),
+        F.expr(f"map_from_arrays(array_distinct({sevs}), transform(array_distinct({sevs}), "
+               f"k -> CAST(size(filter({sevs}, x -> x = k)) AS INT)))").alias("severities"),
+        F.expr(lines).alias("event_lines"),
+        F.expr("array_join(transform(__items, s -> s.txt), '\\n')").alias("text"),
         F.col(key).alias("source_path") if key != "source_path" else F.col("source_path"),
         "chunk_index",
         "backends",

@@ -12,8 +12,7 @@ Output shape is the one of :func:`logevidence.sources.files.read_lines`:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..operators.ordinal import ordinal_within
 
@@ -29,147 +28,86 @@ IIS_BLOCK = 50
 VIEW_SLICE = 4096
 
 
-def _s(c: Column) -> Column:
-    return c.cast("string")
+# Column expressions in Spark SQL text: one call builds a whole projection.
+_STATUS = ("CASE WHEN event_type = 'click' THEN 301 WHEN event_type = 'view' AND event_id % 3 = 0 THEN 204 "
+           "WHEN event_type IN ('view', 'purchase') THEN 200 WHEN event_type = 'signup' THEN 404 "
+           "WHEN event_type = 'error' THEN 503 ELSE 200 END")
+_METHOD = ("CASE WHEN event_type IN ('purchase', 'signup') THEN 'POST' "
+           "WHEN event_type = 'view' AND event_id % 3 = 0 THEN 'OPTIONS' ELSE 'GET' END")
+_PATH = ("CASE WHEN event_id % 13 = 0 THEN '/health' WHEN event_type IN ('purchase', 'signup') "
+         "THEN concat('/api/', event_type) ELSE concat('/', event_type, '/', event_id % 50) END")
 
 
 def _common(ev: DataFrame) -> DataFrame:
-    e, t, u = F.col("event_id"), F.col("event_type"), F.col("user_id")
-    status = (
-        F.when(t == "click", 301)
-        .when((t == "view") & (e % 3 == 0), 204)
-        .when(t.isin("view", "purchase"), 200)
-        .when(t == "signup", 404)
-        .when(t == "error", 503)
-        .otherwise(200)
-    )
-    method = (
-        F.when(t.isin("purchase", "signup"), "POST")
-        .when((t == "view") & (e % 3 == 0), "OPTIONS")
-        .otherwise("GET")
-    )
-    path = (
-        F.when(e % 13 == 0, F.lit("/health"))
-        .when(t.isin("purchase", "signup"), F.concat(F.lit("/api/"), t))
-        .otherwise(F.concat(F.lit("/"), t, F.lit("/"), _s(e % 50)))
-    )
-    return ev.select(
+    return ev.selectExpr(
         "event_id", "ts", "user_id", "event_type", "value",
-        status.alias("h_status"), method.alias("h_method"), path.alias("h_path"),
-        (e % 97 == 0).alias("h_corrupt"),
-        ((e % 101 == 0) & (e % 97 != 0)).alias("h_blank"),
+        f"{_STATUS} AS h_status", f"{_METHOD} AS h_method", f"{_PATH} AS h_path",
+        "event_id % 97 = 0 AS h_corrupt", "event_id % 101 = 0 AND event_id % 97 <> 0 AS h_blank",
     )
 
 
+_HAPROXY_RAW = """CASE
+  WHEN h_corrupt THEN concat('corrupt entry ', event_id, ' ', event_type)
+  WHEN h_blank THEN ''
+  ELSE concat(
+    date_format(ts, 'MMM dd HH:mm:ss'), ' lb', user_id % 3, ' haproxy[', user_id % 5 + 1000, ']: ',
+    '10.', user_id % 256, '.', floor(event_id / 256) % 256, '.', event_id % 256, ':', event_id % 20000 + 40000,
+    ' [', date_format(ts, 'dd/MMM/yyyy:HH:mm:ss.SSS'), '] ',
+    CASE WHEN event_id % 2 = 0 THEN 'fe_main' ELSE 'fe_main~' END, ' ',
+    CASE WHEN event_type = 'error' THEN 'be_api/<NOSRV>' ELSE concat('be_app/srv', user_id % 3) END, ' ',
+    CASE WHEN event_type = 'error' THEN '0/-1/-1/-1/-1' ELSE concat('0/0/0/', floor(value), '/', floor(value)) END,
+    ' ', h_status, ' ', floor(value * 10), ' - - ', CASE WHEN event_type = 'error' THEN 'SC--' ELSE '----' END,
+    ' 1/1/0/0/0 0/0 ',
+    CASE WHEN event_id % 11 = 0 THEN concat('{h', user_id, '.example} {-} ')
+         WHEN event_id % 7 = 0 THEN concat('{h', user_id, '.example} ') ELSE '' END,
+    '"', CASE WHEN event_id % 89 = 0 THEN '' ELSE concat(h_method, ' ', h_path, ' HTTP/1.1') END, '"')
+END"""
+
+
 def haproxy_lines(events: DataFrame) -> DataFrame:
     """One HAProxy HTTP log line per event, in files ``app_<user_id % 5>.log``."""
-    ev = _common(events)
-    e, u, t = F.col("event_id"), F.col("user_id"), F.col("event_type")
-    is_err = t == "error"
-    tt = F.when(is_err, F.lit(-1)).otherwise(F.floor("value"))
-    timers = F.when(is_err, F.lit("0/-1/-1/-1/-1")).otherwise(F.concat(F.lit("0/0/0/"), _s(tt), F.lit("/"), _s(tt)))
-    backend = F.when(is_err, F.lit("be_api/<NOSRV>")).otherwise(F.concat(F.lit("be_app/srv"), _s(u % 3)))
-    hdrs = (
-        F.when(e % 11 == 0, F.concat(F.lit("{h"), _s(u), F.lit(".example} {-} ")))
-        .when(e % 7 == 0, F.concat(F.lit("{h"), _s(u), F.lit(".example} ")))
-        .otherwise(F.lit(""))
-    )
-    request = F.when(e % 89 == 0, F.lit("")).otherwise(
-        F.concat(F.col("h_method"), F.lit(" "), F.col("h_path"), F.lit(" HTTP/1.1"))
-    )
-    client = F.concat_ws(
-        "", F.lit("10."), _s(u % 256), F.lit("."), _s(F.floor(e / 256) % 256), F.lit("."), _s(e % 256),
-        F.lit(":"), _s(e % 20000 + 40000),
-    )
-    line = F.concat(
-        F.date_format("ts", "MMM dd HH:mm:ss"), F.lit(" lb"), _s(u % 3), F.lit(" haproxy["), _s(u % 5 + 1000),
-        F.lit("]: "), client, F.lit(" ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss.SSS"), F.lit("] "),
-        F.when(e % 2 == 0, F.lit("fe_main")).otherwise(F.lit("fe_main~")), F.lit(" "), backend, F.lit(" "),
-        timers, F.lit(" "), _s(F.col("h_status")), F.lit(" "), _s(F.floor(F.col("value") * 10)),
-        F.lit(" - - "), F.when(is_err, F.lit("SC--")).otherwise(F.lit("----")),
-        F.lit(" 1/1/0/0/0 0/0 "), hdrs, F.lit('"'), request, F.lit('"'),
-    )
-    raw = (
-        F.when(F.col("h_corrupt"), F.concat(F.lit("corrupt entry "), _s(e), F.lit(" "), t))
-        .when(F.col("h_blank"), F.lit(""))
-        .otherwise(line)
-    )
-    named = ev.select(
-        F.concat(F.lit("app_"), _s(u % 5), F.lit(".log")).alias("source_file"), "event_id", raw.alias("raw")
-    )
+    named = _common(events).selectExpr(
+        "concat('app_', user_id % 5, '.log') AS source_file", "event_id", f"{_HAPROXY_RAW} AS raw")
     numbered = ordinal_within(named, ["source_file"], "event_id", out="pos", width=VIEW_SLICE)
-    return numbered.select(
-        F.concat(F.lit(HAPROXY_DIR), F.col("source_file")).alias("source_path"),
-        "source_file",
-        (F.col("pos") + 1).alias("line_number"),
-        "raw",
-    )
+    return numbered.selectExpr(
+        f"concat('{HAPROXY_DIR}', source_file) AS source_path", "source_file", "pos + 1 AS line_number", "raw")
 
 
-def iis_file_name(user_id: Column) -> Column:
-    r = user_id % 3
-    return (
-        F.when(r == 0, F.lit("u_ex240101.log"))
-        .when(r == 1, F.lit("iis_site1.log"))
-        .otherwise(F.lit("w3svc_2.log"))
-    )
+_IIS_FILE = ("CASE user_id % 3 WHEN 0 THEN 'u_ex240101.log' WHEN 1 THEN 'iis_site1.log' "
+             "ELSE 'w3svc_2.log' END")
+_IIS_VALUES = (
+    "date_format(ts, 'yyyy-MM-dd') AS d_s",
+    "date_format(ts, 'HH:mm:ss') AS t_s",
+    "CASE WHEN event_id % 89 = 0 THEN '-' ELSE h_method END AS m_s",
+    "CASE WHEN event_id % 9 = 0 THEN '-' ELSE concat('10.2.', user_id % 256, '.', event_id % 256) END AS c_s",
+    "CASE WHEN event_id % 4 = 0 THEN concat('id=', user_id) ELSE '-' END AS q_s",
+)
 
 
 def iis_lines(events: DataFrame) -> DataFrame:
     """IIS W3C files: ``#Software`` on line 1, then blocks of 50 events each led by a
     ``#Fields:`` line whose column order alternates between two layouts."""
-    ev = _common(events)
-    e, u = F.col("event_id"), F.col("user_id")
-    named = ev.withColumn("source_file", iis_file_name(u))
-    k = ordinal_within(named, ["source_file"], "event_id", out="pos", width=VIEW_SLICE).withColumn("k", F.col("pos") + 1)
-    block = F.floor((F.col("k") - 1) / IIS_BLOCK)
-    layout_a = block % 2 == 0
-    method = F.when(e % 89 == 0, F.lit("-")).otherwise(F.col("h_method"))
-    cip = F.when(e % 9 == 0, F.lit("-")).otherwise(
-        F.concat(F.lit("10.2."), _s(u % 256), F.lit("."), _s(e % 256))
-    )
-    date_s = F.date_format("ts", "yyyy-MM-dd")
-    time_s = F.date_format("ts", "HH:mm:ss")
-    taken = _s(F.floor("value"))
-    vals_a = [
-        date_s, time_s, F.concat(F.lit("10.1.0."), _s(u % 3 + 1)), method, F.col("h_path"),
-        F.when(e % 4 == 0, F.concat(F.lit("id="), _s(u))).otherwise(F.lit("-")),
-        F.lit("443"), F.lit("-"), cip, F.lit("Mozilla/5.0+(Windows+NT+10.0)"), _s(F.col("h_status")),
-        F.lit("0"), F.lit("0"),
-    ]
-    vals_b = [date_s, time_s, cip, method, F.col("h_path"), _s(F.col("h_status")), _s(F.floor(F.col("value") * 10))]
+    named = _common(events).selectExpr("*", f"{_IIS_FILE} AS source_file")
+    k = ordinal_within(named, ["source_file"], "event_id", out="pos", width=VIEW_SLICE)
+    v = k.selectExpr("*", "pos + 1 AS k", f"floor(pos / {IIS_BLOCK}) AS block", *_IIS_VALUES)
     # A corrupt row loses its last value (time-taken), so its count mismatches.
-    row_a = F.when(F.col("h_corrupt"), F.concat_ws(" ", *vals_a)).otherwise(F.concat_ws(" ", *vals_a, taken))
-    row_b = F.when(F.col("h_corrupt"), F.concat_ws(" ", *vals_b)).otherwise(F.concat_ws(" ", *vals_b, taken))
-    raw = F.when(F.col("h_blank"), F.lit("")).otherwise(F.when(layout_a, row_a).otherwise(row_b))
-    data_line = k.select(
-        "source_file",
-        block.alias("block"),
-        (F.col("k") + block + 2).cast("long").alias("line_number"),
-        raw.alias("raw"),
-        ((F.col("k") - 1) % IIS_BLOCK == 0).alias("block_head"),
-        (F.col("k") == 1).alias("file_head"),
-    )
+    raw = f"""CASE WHEN h_blank THEN ''
+      WHEN block % 2 = 0 THEN concat_ws(' ', d_s, t_s, concat('10.1.0.', user_id % 3 + 1), m_s, h_path, q_s,
+           '443', '-', c_s, 'Mozilla/5.0+(Windows+NT+10.0)', h_status, '0', '0',
+           CASE WHEN h_corrupt THEN NULL ELSE floor(value) END)
+      ELSE concat_ws(' ', d_s, t_s, c_s, m_s, h_path, h_status, floor(value * 10),
+           CASE WHEN h_corrupt THEN NULL ELSE floor(value) END) END"""
     # Each event row emits its own line plus, when it opens a block, the block's
     # "#Fields:" line and, for the first block, the "#Software:" line (one pass).
-    fields_line = F.concat(
-        F.lit("#Fields: "), F.when(F.col("block") % 2 == 0, F.lit(IIS_FIELDS_A)).otherwise(F.lit(IIS_FIELDS_B))
-    )
-    emitted = F.filter(
-        F.array(
-            F.struct(F.lit(True).alias("on"), F.col("line_number").alias("line_number"), F.col("raw").alias("raw")),
-            F.struct(F.col("block_head").alias("on"), (F.col("block") * (IIS_BLOCK + 1) + 2).cast("long").alias("line_number"),
-                     fields_line.alias("raw")),
-            F.struct(F.col("file_head").alias("on"), F.lit(1).cast("long").alias("line_number"),
-                     F.lit(IIS_SOFTWARE).alias("raw")),
-        ),
-        lambda x: x["on"],
-    )
-    out = data_line.select("source_file", F.explode(emitted).alias("l"))
-    return out.select(
-        F.concat(F.lit(IIS_DIR), F.col("source_file")).alias("source_path"), "source_file",
-        F.col("l.line_number").alias("line_number"), F.col("l.raw").alias("raw"),
-    )
+    lines = f"""filter(array(
+        named_struct('on', true, 'line_number', CAST(k + block + 2 AS BIGINT), 'raw', {raw}),
+        named_struct('on', pos % {IIS_BLOCK} = 0, 'line_number', CAST(block * {IIS_BLOCK + 1} + 2 AS BIGINT),
+                     'raw', concat('#Fields: ', CASE WHEN block % 2 = 0 THEN '{IIS_FIELDS_A}' ELSE '{IIS_FIELDS_B}' END)),
+        named_struct('on', pos = 0, 'line_number', CAST(1 AS BIGINT), 'raw', '{IIS_SOFTWARE}')), x -> x.on)"""
+    out = v.selectExpr("source_file", f"explode({lines}) AS l")
+    return out.selectExpr(
+        f"concat('{IIS_DIR}', source_file) AS source_path", "source_file", "l.line_number AS line_number",
+        "l.raw AS raw")
 
 
 def all_lines(events: DataFrame) -> DataFrame:
