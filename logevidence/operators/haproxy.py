@@ -95,6 +95,7 @@ def haproxy_events(lines: DataFrame, source_col: str | None = None) -> DataFrame
         "source_file",
         "line_number",
         raw,
+        F.lit(None).cast("long").alias("header_line"),
     )
 
 

@@ -31,21 +31,17 @@ def ordinal_within(
     """
     keys = list(keys)
     b = "__slice"
-    sliced = df.withColumn(b, F.floor(F.col(order_col) / F.lit(width)))
+    sliced = df.select("*", F.floor(F.col(order_col) / F.lit(width)).alias(b))
     counts = sliced.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("__n"))
     w_prev = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w_prev), F.lit(0)))
-    cols = [*keys, b, "__off"]
-    if total:
-        offs = offs.withColumn(total, F.sum("__n").over(Window.partitionBy(*keys)))
-        cols.append(total)
-    offs = offs.select(*cols)
-    w_in = Window.partitionBy(*keys, b).orderBy(order_col)
-    ranked = sliced.withColumn("__rn", F.row_number().over(w_in))
-    # The offsets side has one row per slice; AQE measures it after its shuffle
-    # and broadcasts it only when it is actually small.
-    return (
-        ranked.join(offs, on=[*keys, b], how="inner")
-        .withColumn(out, (F.col("__off") + F.col("__rn") - 1).cast("long"))
-        .drop(b, "__off", "__rn")
+    offs = counts.select(
+        *keys, b, F.coalesce(F.sum("__n").over(w_prev), F.lit(0)).alias("__off"),
+        *([F.sum("__n").over(Window.partitionBy(*keys)).alias(total)] if total else []),
     )
+    ranked = sliced.select("*", F.row_number().over(Window.partitionBy(*keys, b).orderBy(order_col)).alias("__rn"))
+    # The offsets side has one row per slice; AQE measures it after its shuffle
+    # and broadcasts it only when it is actually small (else the window output,
+    # already partitioned on the join keys, is joined without a new shuffle).
+    joined = ranked.join(offs, on=[*keys, b], how="inner")
+    return joined.select(
+        *df.columns, (F.col("__off") + F.col("__rn") - 1).cast("long").alias(out), *([total] if total else []))

@@ -23,7 +23,7 @@ MAX_LISTED_FILES = 10_000
 
 
 def _haproxy(lines: DataFrame, **_) -> DataFrame:
-    return haproxy_events(lines, "source").withColumn("header_line", F.lit(None).cast("long"))
+    return haproxy_events(lines, "source")
 
 
 def _iis(lines: DataFrame, iis_fields=DEFAULT_IIS_FIELDS, iis_fields_from_header=True) -> DataFrame:
