@@ -125,9 +125,9 @@ class VectorIndex:
         except Exception:  # no commit yet
             return None
 
-    def open(self) -> "VectorIndex":
+    def open(self, meta=None) -> "VectorIndex":
         """S-11: open or create; the stored metric must equal the requested one."""
-        meta = self._meta()
+        meta = self._meta() if meta is None else meta
         if meta is not None and meta["metric"] != self.metric:
             raise ValueError(f"index {self.path} uses metric {meta['metric']!r}, not {self.metric!r}")
         return self
@@ -136,38 +136,42 @@ class VectorIndex:
         meta = self._meta()
         return -1 if meta is None else int(meta["version"])
 
-    def points(self) -> DataFrame:
-        v = self.version()
+    def _points_at(self, v: int) -> DataFrame:
         if v < 0:
             return self.spark.createDataFrame([], POINT)
         return self.spark.read.schema(POINT).parquet(f"{self.path}/v={v}")
 
+    def points(self) -> DataFrame:
+        return self._points_at(self.version())
+
     def count(self) -> int:
         """S-10."""
         return self.points().count()
 
     def upsert(self, records: DataFrame, order_col: str | None = None, replace_files: bool = False) -> int:
         """K-05: load embedding records; returns the committed version (unchanged if empty)."""
-        self.open()
+        meta = self._meta()
+        self.open(meta)
+        current = -1 if meta is None else int(meta["version"])
         more = (order_col,) if order_col else ()
         new = index_points(records, extra=more) if "chunk_id" in records.columns else records
         new = dedup_last(new.select(*POINT.fieldNames(), *more), order_col)
         new = new.select(*POINT.fieldNames())
-        meta = self._meta()
-        dims = [r[0] for r in new.select("embedding_dim").distinct().limit(2).collect()]
+        # One small aggregate: the dimensions present (at most two kept) and a model name.
+        info = new.agg(F.slice(F.array_sort(F.collect_set("embedding_dim")), 1, 2).alias("dims"),
+                       F.first("embedding_model", ignorenulls=True).alias("model")).first()
+        dims = list(info["dims"] or [])
         if not dims:  # empty payload is a no-op
-            return self.version()
+            return current
         if len(dims) > 1 or (meta is not None and meta["dim"] is not None and dims[0] != meta["dim"]):
             raise ValueError(f"embedding dimension mismatch: {dims} vs index {meta['dim'] if meta else None}")
-        v = self.version() + 1
-        merged = upsert_frames(self.points(), new, replace_files)
+        v = current + 1
+        merged = upsert_frames(self._points_at(current), new, replace_files)
         # Cluster by file so that source_file filters skip row groups.
         merged.repartition(F.col("id")).sortWithinPartitions("source_file", "id").write.mode("overwrite").parquet(
             f"{self.path}/v={v}"
         )
-        n = self.spark.read.parquet(f"{self.path}/v={v}").count()
-        model = new.select("embedding_model").first()[0]
-        row = [(v, self.metric, int(dims[0]), model, n, time.time())]
+        row = [(v, self.metric, int(dims[0]), info["model"], None, time.time())]
         self.spark.createDataFrame(row, META).coalesce(1).write.mode("append").json(f"{self.path}/_meta")
         return v
 
