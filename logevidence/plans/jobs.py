@@ -101,7 +101,7 @@ def parse_logs(spark: SparkSession, logs_path: str, out_path: str, params: Param
     cl = classify_files(spark, logs_path, params, forced_source=forced_source)
     bronze = shared_dir(spark, "classified-lines")
     cl.write.mode("overwrite").parquet(bronze)
-    cl = spark.read.parquet(bronze)
+    cl = spark.read.schema(cl.schema).parquet(bronze)
     if params.on_parse_error == "fail":
         bad = first_error(cl)
         if bad is not None:
@@ -199,7 +199,7 @@ def validate_corpus(spark: SparkSession, files: Sequence[str] | str, index_root:
                         iis_fields_from_header=params.iis_fields_from_header)
     p_cl = shared_dir(spark, "validate-classified")
     cl.write.mode("overwrite").parquet(p_cl)
-    cl = spark.read.parquet(p_cl)
+    cl = spark.read.schema(cl.schema).parquet(p_cl)
     ev = events_of(cl, "keep" if params.on_parse_error == "keep" else "skip")
     secs["t_parse"] = time.perf_counter() - t0
     t0 = time.perf_counter()
@@ -208,13 +208,15 @@ def validate_corpus(spark: SparkSession, files: Sequence[str] | str, index_root:
         if clash:
             raise ValueError(f"chunk id collision: files with the same stem {clash}; use id_scope='path'")
     p_ch = shared_dir(spark, "validate-chunks")
-    chunk_events(ev, params.chunk_size, params.chunk_overlap, id_scope=id_scope).write.mode("overwrite").parquet(p_ch)
-    ch = spark.read.parquet(p_ch)
+    chunks = chunk_events(ev, params.chunk_size, params.chunk_overlap, id_scope=id_scope)
+    chunks.write.mode("overwrite").parquet(p_ch)
+    ch = spark.read.schema(chunks.schema).parquet(p_ch)
     secs["t_chunk"] = time.perf_counter() - t0
     t0 = time.perf_counter()
     p_rec = shared_dir(spark, "validate-embeddings")
-    embed_chunks(ch, encoder).write.mode("overwrite").parquet(p_rec)
-    rec = spark.read.parquet(p_rec)
+    records = embed_chunks(ch, encoder)
+    records.write.mode("overwrite").parquet(p_rec)
+    rec = spark.read.schema(records.schema).parquet(p_rec)
     secs["t_embed"] = time.perf_counter() - t0
     t0 = time.perf_counter()
     ix = VectorIndex(spark, index_root, f"{params.collection_name}_validacion", params.similarity_metric).open()
