@@ -37,8 +37,8 @@ ev_base AS (
 
 HX = f"""
 hx AS (
-  SELECT b.*, 'app_' || {s('user_id % 5')} || '.log' AS source_file,
-    row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS line_number
+  SELECT b.*, 'app_' || {s('event_id % 5')} || '.log' AS source_file,
+    event_id // 5 + 1 AS line_number
   FROM ev_base b
 ),
 hx_lines AS (
@@ -83,9 +83,9 @@ _IIS_B = "date time c-ip cs-method cs-uri-stem sc-status sc-bytes time-taken"
 
 IX = f"""
 ix0 AS (
-  SELECT b.*, CASE user_id % 3 WHEN 0 THEN 'u_ex240101.log' WHEN 1 THEN 'iis_site1.log' ELSE 'w3svc_2.log' END
+  SELECT b.*, CASE event_id % 3 WHEN 0 THEN 'u_ex240101.log' WHEN 1 THEN 'iis_site1.log' ELSE 'w3svc_2.log' END
       AS source_file,
-    row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS k
+    event_id // 3 + 1 AS k
   FROM ev_base b
 ),
 ix AS (

@@ -14,8 +14,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..operators.ordinal import ordinal_within
-
 HAPROXY_DIR = "derived://haproxy/"
 IIS_DIR = "derived://iis/"
 
@@ -24,8 +22,6 @@ IIS_FIELDS_A = ("date time s-ip cs-method cs-uri-stem cs-uri-query s-port cs-use
 IIS_FIELDS_B = "date time c-ip cs-method cs-uri-stem sc-status sc-bytes time-taken"
 IIS_SOFTWARE = "#Software: Microsoft Internet Information Services 10.0"
 IIS_BLOCK = 50
-# Slice width of the line-number windows: small slices spread few large files over many tasks.
-VIEW_SLICE = 4096
 
 
 # Column expressions in Spark SQL text: one call builds a whole projection.
@@ -65,15 +61,16 @@ END"""
 
 
 def haproxy_lines(events: DataFrame) -> DataFrame:
-    """One HAProxy HTTP log line per event, in files ``app_<user_id % 5>.log``."""
-    named = _common(events).selectExpr(
-        "concat('app_', user_id % 5, '.log') AS source_file", "event_id", f"{_HAPROXY_RAW} AS raw")
-    numbered = ordinal_within(named, ["source_file"], "event_id", out="pos", width=VIEW_SLICE)
-    return numbered.selectExpr(
-        f"concat('{HAPROXY_DIR}', source_file) AS source_path", "source_file", "pos + 1 AS line_number", "raw")
+    """One HAProxy HTTP log line per event: file ``app_<event_id % 5>.log``, line
+    ``event_id div 5 + 1`` (increasing with ``event_id`` inside a file, no ranking needed)."""
+    return _common(events).selectExpr(
+        f"concat('{HAPROXY_DIR}app_', event_id % 5, '.log') AS source_path",
+        "concat('app_', event_id % 5, '.log') AS source_file",
+        "CAST(floor(event_id / 5) + 1 AS BIGINT) AS line_number",
+        f"{_HAPROXY_RAW} AS raw")
 
 
-_IIS_FILE = ("CASE user_id % 3 WHEN 0 THEN 'u_ex240101.log' WHEN 1 THEN 'iis_site1.log' "
+_IIS_FILE = ("CASE event_id % 3 WHEN 0 THEN 'u_ex240101.log' WHEN 1 THEN 'iis_site1.log' "
              "ELSE 'w3svc_2.log' END")
 _IIS_VALUES = (
     "date_format(ts, 'yyyy-MM-dd') AS d_s",
@@ -87,8 +84,8 @@ _IIS_VALUES = (
 def iis_lines(events: DataFrame) -> DataFrame:
     """IIS W3C files: ``#Software`` on line 1, then blocks of 50 events each led by a
     ``#Fields:`` line whose column order alternates between two layouts."""
-    named = _common(events).selectExpr("*", f"{_IIS_FILE} AS source_file")
-    k = ordinal_within(named, ["source_file"], "event_id", out="pos", width=VIEW_SLICE)
+    # Event k (1-based) of file event_id % 3 is k = event_id div 3 + 1.
+    k = _common(events).selectExpr("*", f"{_IIS_FILE} AS source_file", "CAST(floor(event_id / 3) AS BIGINT) AS pos")
     v = k.selectExpr("*", "pos + 1 AS k", f"floor(pos / {IIS_BLOCK}) AS block", *_IIS_VALUES)
     # A corrupt row loses its last value (time-taken), so its count mismatches.
     raw = f"""CASE WHEN h_blank THEN ''
