@@ -23,8 +23,25 @@ CHUNK_OVERLAP = 4
 HASH_DIM = 384
 
 
+# Tables whose rows carry whole texts (per-row work dominates the scan).
+TEXT_TABLES = ("documents", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return widen(df) if name in TEXT_TABLES else df
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer partitions than the cluster has task slots.
+
+    A table stored as one parquet row group is read by one task, so heavy per-row
+    work after it (splitting whole texts) would run serially until the first
+    shuffle. Large inputs already scan into many splits and are left untouched
+    (no extra shuffle at scale).
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
 
 
 def encoder() -> HashEncoder:
