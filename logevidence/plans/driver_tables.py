@@ -23,8 +23,9 @@ CHUNK_OVERLAP = 4
 HASH_DIM = 384
 
 
-# Tables whose rows carry whole texts (per-row work dominates the scan).
-TEXT_TABLES = ("documents", "conversations")
+# Tables with heavy per-row work downstream (rendering and parsing log lines,
+# splitting whole texts): a one-task scan of them is widened.
+TEXT_TABLES = ("documents", "conversations", "events")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,8 +37,8 @@ def widen(df: DataFrame) -> DataFrame:
     """Spread a scan that yields fewer partitions than the cluster has task slots.
 
     A table stored as one parquet row group is read by one task, so heavy per-row
-    work after it (splitting whole texts) would run serially until the first
-    shuffle. Large inputs already scan into many splits and are left untouched
+    work after it (rendering and parsing log lines, splitting whole texts) would
+    run serially until the first shuffle. Large inputs already scan into many splits and are left untouched
     (no extra shuffle at scale).
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
