@@ -482,6 +482,10 @@ SELECT regexp_replace(source_file, '[.]log$', '') AS app, count(*) AS lines,
   TRUE AS numbered_1_to_n
 FROM hx_lines GROUP BY 1"""
 
+SQL["q_discover"] = with_(BASE, HX) + """
+SELECT regexp_replace(source_file, '[.]log$', '') AS app, CAST(sum(strlen(raw) + 1) AS BIGINT) AS total_bytes
+FROM hx_lines GROUP BY 1"""
+
 CX_ID = "regexp_replace(source_file, '\\.[^.]*$', '') || '-' || CAST(chunk_index AS VARCHAR)"
 
 SQL["q_chunk_status_hist"] = with_(BASE, HX, CHUNKS) + f"""

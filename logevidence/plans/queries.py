@@ -259,9 +259,12 @@ def q_read_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_discover(spark: SparkSession, sf: str) -> DataFrame:
-    """S-01/S-02/U-01/T-05: recursive multi-pattern discovery over written log files."""
+    """S-01/S-02/U-01/T-05: recursive multi-pattern discovery over written log files,
+    summarised per app folder (file count is split-dependent; the byte total is not)."""
     path = _written_logs(spark, sf)
-    return discover_log_files(spark, path, ("*.txt", "*.gz"), recursive=True).select("name", "length")
+    files = discover_log_files(spark, path, ("*.txt", "*.gz"), recursive=True)
+    return files.groupBy(F.regexp_extract("path", "app=([^/]+)/", 1).alias("app")).agg(
+        F.sum("length").alias("total_bytes"))
 
 
 def _members(spark, sf):

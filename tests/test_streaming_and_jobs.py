@@ -83,3 +83,13 @@ def test_stage_files_of_the_original_layout(spark, tmpdir_path):
     ch = chunk_logs(spark, proc, f"{tmpdir_path}/ch", Params(chunk_size=4, chunk_overlap=1), input_format="stage")
     got = sorted((r["chunk_id"], r["line_start"], r["line_end"]) for r in ch.collect())
     assert got == [("web-0", 1, 4), ("web-1", 4, 7), ("web-2", 7, 10)]
+
+
+def test_stages_without_input_fail(spark, tmpdir_path):
+    import pytest
+
+    os.makedirs(f"{tmpdir_path}/empty")
+    with pytest.raises(FileNotFoundError):
+        chunk_logs(spark, f"{tmpdir_path}/empty", f"{tmpdir_path}/o", input_format="stage")
+    with pytest.raises(FileNotFoundError):
+        chunk_logs(spark, f"{tmpdir_path}/missing", f"{tmpdir_path}/o", input_format="stage")
