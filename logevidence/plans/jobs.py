@@ -20,7 +20,7 @@ from ..config import Params, check_policy
 from ..operators.chunking import chunk_events, stem_collisions
 from ..operators.embedding import HashEncoder, embed_chunks
 from ..operators.index import VectorIndex
-from ..operators.parse import ParseError, classify_lines, events_of, first_error, parse_stats
+from ..operators.parse import MAX_LISTED_FILES, ParseError, classify_lines, events_of, first_error, parse_stats
 from ..operators.render import render_results, render_text
 from ..operators.report import corpus_report
 from ..operators.retrieval import build_where, retrieve, retrieve_many
@@ -59,19 +59,22 @@ def classify_files(spark: SparkSession, logs_path: str, params: Params = Params(
     The kind comes from the file name where the name decides (P-16); only the
     remaining files are sampled, reading their first block alone. Each kind's
     files are then read as an explicit list, so no file is scanned by both
-    parsers. The file list is the one Spark keeps on the driver for any scan.
+    parsers. Only up to ``MAX_LISTED_FILES`` paths travel through the driver;
+    larger corpora are classified inside Spark instead.
     """
     fixed = resolve_source(forced_source, params.source_type)
     opts = dict(iis_fields=params.iis_fields, iis_fields_from_header=params.iis_fields_from_header)
     listing = discover_log_files(spark, logs_path, params.effective_patterns(), recursive=params.recursive)
-    if fixed is not None:
-        files = [r["path"] for r in listing.select("path").collect()]
-        if not files:
-            raise FileNotFoundError(f"no log files matching {params.effective_patterns()} under {logs_path}")
-        return classify_lines(read_lines(spark, files), forced_source=fixed, **opts)
-    named = listing.select("path", name_rule(F.col("name")).alias("source")).collect()
+    named = listing.select("path", name_rule(F.col("name")).alias("source")).limit(MAX_LISTED_FILES + 1).collect()
     if not named:
         raise FileNotFoundError(f"no log files matching {params.effective_patterns()} under {logs_path}")
+    if len(named) > MAX_LISTED_FILES:
+        # Too many files to route through the driver: read the folder once per
+        # parser kind and let Spark classify (see classify_lines).
+        lines = read_lines(spark, logs_path, patterns=params.effective_patterns(), recursive=params.recursive)
+        return classify_lines(lines, forced_source=forced_source, source_type=params.source_type, **opts)
+    if fixed is not None:
+        return classify_lines(read_lines(spark, [r["path"] for r in named]), forced_source=fixed, **opts)
     kinds = {r["path"]: r["source"] for r in named}
     undecided = [p for p, k in kinds.items() if k is None]
     if undecided:
