@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the original tool's for identical results.
@@ -56,14 +56,13 @@ class Params:
     timezone: str = "UTC"
     chunk_size: int = 20
     chunk_overlap: int = 4
-    embedding_model: str = "hash-md5-384"
+    embedding_model: str = "hash-md5-384"  # name recorded with the default hash encoder's vectors
     embedding_dim: int = 384
     embedding_batch_size: int = 32
     similarity_metric: str = "cosine"
     collection_name: str = "logevidence"
     top_k: int = 5
     score_threshold: float = 0.0
-    extra: dict = field(default_factory=dict)
 
     def effective_patterns(self) -> tuple[str, ...]:
         """S-02: a non-empty list wins, else the single legacy pattern."""

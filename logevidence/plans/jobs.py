@@ -142,10 +142,11 @@ def chunk_logs(spark: SparkSession, events_path: str, out_path: str, params: Par
 
 
 def embed_chunks_job(spark: SparkSession, chunks_path: str, out_path: str, encoder=None, *,
-                     input_format: str = "parquet", output_format: str = "parquet") -> DataFrame:
+                     input_format: str = "parquet", output_format: str = "parquet",
+                     params: Params = Params()) -> DataFrame:
     """E-03: chunks table -> embedding records (model loaded once per worker)."""
     apply_job_conf(spark)
-    encoder = encoder or HashEncoder()
+    encoder = encoder or HashEncoder(params.embedding_dim)
     ch = _read(spark, chunks_path, input_format, load_chunks, "chunks")
     if not ch.inputFiles():
         raise FileNotFoundError(f"no chunks under {chunks_path}")
@@ -170,7 +171,7 @@ def retrieve_job(spark: SparkSession, index_root: str, query: str, encoder=None,
     apply_job_conf(spark)
     params.check()
     ix = VectorIndex(spark, index_root, params.collection_name, params.similarity_metric).open()
-    res = retrieve(spark, ix.points(), query, encoder or HashEncoder(), top_k=params.top_k,
+    res = retrieve(spark, ix.points(), query, encoder or HashEncoder(params.embedding_dim), top_k=params.top_k,
                    where=build_where(source, severity), metric=params.similarity_metric,
                    score_threshold=params.score_threshold)
     return render_text(query, res) if as_text else render_results(res)
@@ -181,7 +182,7 @@ def retrieve_batch_job(spark: SparkSession, index_root: str, queries: DataFrame,
     """E-05 batched: ``queries(query_id, query)`` in one pass over the index."""
     apply_job_conf(spark)
     ix = VectorIndex(spark, index_root, params.collection_name, params.similarity_metric).open()
-    return retrieve_many(spark, ix.points(), queries, encoder or HashEncoder(), top_k=params.top_k,
+    return retrieve_many(spark, ix.points(), queries, encoder or HashEncoder(params.embedding_dim), top_k=params.top_k,
                          metric=params.similarity_metric, score_threshold=params.score_threshold)
 
 
@@ -191,7 +192,7 @@ def validate_corpus(spark: SparkSession, files: Sequence[str] | str, index_root:
     collection, with per-file counts, totals and wall-clock seconds per stage."""
     apply_job_conf(spark)
     params.check()
-    encoder = encoder or HashEncoder()
+    encoder = encoder or HashEncoder(params.embedding_dim)
     skipped: list[str] = []
     if not isinstance(files, str):
         files, skipped = existing_files(spark, list(files))

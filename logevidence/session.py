@@ -51,7 +51,7 @@ def apply_job_conf(spark: SparkSession) -> SparkSession:
     return spark
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -62,7 +62,7 @@ def ship_package(spark: SparkSession) -> None:
     Hadoop FileSystem API, so executors fetch it from shared storage.
     """
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     buf = io.BytesIO()
@@ -81,7 +81,7 @@ def ship_package(spark: SparkSession) -> None:
     finally:
         out.close()
     sc.addPyFile(target)
-    _SHIPPED.add(id(sc))
+    _SHIPPED.add(sc.applicationId)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
