@@ -88,6 +88,11 @@ class HashEncoder:
 
         return _unit(F.col(text) if isinstance(text, str) else text)
 
+    def encode_local(self, texts: list[str]) -> list[list[float]]:
+        """The same vectors computed in this process (for a handful of query texts)."""
+        vecs = unit_count_vectors(pd.Series([text_buckets(t, self.dim) for t in texts], dtype=object), self.dim)
+        return [[float(x) for x in v] for v in vecs]
+
     def buckets_column(self, text: str | Column) -> Column:
         """Bucket ids as a JVM expression (used to cross-check the Python path)."""
         return token_buckets(text, self.dim)

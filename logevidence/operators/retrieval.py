@@ -145,6 +145,8 @@ def query_vector(spark: SparkSession, encoder, text: str) -> list[float]:
     """Encode one query text with the index's encoder (F-08: blank text is rejected)."""
     if text is None or not str(text).strip():
         raise ValueError("the query must not be empty")
+    if hasattr(encoder, "encode_local"):  # a pure function: no job needed for one vector
+        return encoder.encode_local([text])[0]
     df = spark.createDataFrame([(text,)], "text string")
     return [float(x) for x in df.select(encoder.vector(F.col("text")).alias("v")).first()["v"]]
 

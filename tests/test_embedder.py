@@ -50,3 +50,10 @@ def test_hash_encoder_python_equals_jvm_buckets(spark):
     vecs = [r[0] for r in df.select(HashEncoder(384).vector("text")).collect()]
     assert len(vecs[0]) == 384 and abs(sum(x * x for x in vecs[0]) - 1.0) < 1e-5
     assert all(x == 0.0 for x in vecs[1])
+
+
+def test_local_query_vector_equals_spark_vector(spark):
+    enc = HashEncoder(64)
+    text = "503 error be api <nosrv> 503"
+    df = spark.createDataFrame([(text,)], "text string")
+    assert [float(x) for x in df.select(enc.vector("text")).first()[0]] == enc.encode_local([text])[0]
