@@ -28,8 +28,6 @@ DEFAULT_IIS_FIELDS = (
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 # Every zone label, known or not, is rendered with this offset suffix.
 TZ_SUFFIX = "+00:00"
-# Name of the default embedding model of the original tool (384-d).
-REFERENCE_MODEL_NAME = "all-MiniLM-L6-v2"
 # Sentence an answer must contain, verbatim, to count as an abstention.
 ABSTENTION_SENTENCE = "No hay evidencia suficiente en los logs para responder esa pregunta."
 # Relevance label weights of the retrieval evaluation.

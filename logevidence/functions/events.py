@@ -51,10 +51,6 @@ def iis_iso(date_s: str | Column, time_s: str | Column) -> Column:
     return F.when(ok, iso)
 
 
-def _dash(c: Column) -> Column:
-    return F.coalesce(c.cast("string"), F.lit("-"))
-
-
 def render_event_line(prefix: str = "") -> Column:
     """P-18: ``[ts] source severity method path status <dur>ms backend``, nulls as ``-``."""
     c = lambda n: f"{prefix}{n}"

@@ -182,11 +182,6 @@ chunks AS (
   FROM cx GROUP BY source_file, chunk_index
 )"""
 
-SEV_TEXT = """array_to_string(list_filter([
-      CASE WHEN sev_info > 0 THEN 'info:' || CAST(sev_info AS VARCHAR) END,
-      CASE WHEN sev_warning > 0 THEN 'warning:' || CAST(sev_warning AS VARCHAR) END,
-      CASE WHEN sev_error > 0 THEN 'error:' || CAST(sev_error AS VARCHAR) END], lambda x: x IS NOT NULL), ', ')"""
-
 # -- hashing encoder ------------------------------------------------------------
 
 TOKENS = f"""

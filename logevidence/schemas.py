@@ -134,6 +134,4 @@ RESULT_FIELDS = (
     "rank",
 )
 
-LINES_FIELDS = ("source_path", "source_file", "line_number", "raw")
-
 SEVERITY_KEYS = ("info", "warning", "error")
