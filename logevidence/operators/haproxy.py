@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.events import haproxy_iso_parts, severity_of
+from ..config import MONTHS, TZ_SUFFIX
 from ..functions.text import WS_CLASS, is_blank
 from ..schemas import EVENT_FIELDS
 
@@ -57,6 +57,43 @@ _REWRITE = "(?s)^(?:" + _PARSE + ".*|.*)"
 _REPLACEMENT = _SEP.join(f"${i + 1}" for i in range(len(_GROUPS)))
 
 
+def _sql_projection(source_expr: str, keep: list[str]) -> list[str]:
+    g = {n: f"get(__g, {i})" for i, n in enumerate(_GROUPS)}
+    matched = f"(NOT __blank AND coalesce({g['client_ip']}, '') <> '')"
+    status = f"try_cast({g['status']} AS INT)"
+    tt = f"try_cast({g['tt']} AS BIGINT)"
+    no_request = f"({g['path']} = '' AND ({g['method']} = '' OR {g['method']} = '-'))"
+    months = ", ".join(f"'{m}', {i + 1}" for i, m in enumerate(MONTHS))
+    day, year = f"try_cast({g['day']} AS INT)", f"try_cast({g['year']} AS INT)"
+    month = f"try_element_at(map({months}), {g['mon']})"
+    iso = (f"CASE WHEN {day} IS NOT NULL AND {month} IS NOT NULL AND {year} IS NOT NULL THEN "
+           f"concat(format_string('%04d-%02d-%02d', {year}, {month}, {day}), 'T', {g['hms']}, '{TZ_SUFFIX}') END")
+    sev = (f"CASE WHEN {status} BETWEEN 500 AND 599 THEN 'error' "
+           f"WHEN {status} BETWEEN 400 AND 499 THEN 'warning' ELSE 'info' END")
+
+    def ok(expr: str, name: str) -> str:
+        return f"CASE WHEN {matched} THEN {expr} END AS `{name}`"
+
+    return [
+        *[f"`{c}`" for c in keep],
+        f"CASE WHEN __blank THEN 'skip' WHEN {matched} THEN 'ok' ELSE 'error' END AS status",
+        ok(iso, "timestamp"),
+        f"{source_expr} AS source",
+        f"CASE WHEN {matched} THEN {sev} ELSE 'info' END AS severity",
+        ok(g["client_ip"], "client_ip"),
+        ok(f"CASE WHEN NOT {no_request} THEN {g['method']} END", "method"),
+        ok(f"CASE WHEN NOT {no_request} AND {g['path']} <> '' THEN {g['path']} END", "path"),
+        ok(status, "status_code"),
+        ok(f"try_cast({g['bytes']} AS BIGINT)", "bytes"),
+        ok(f"CASE WHEN {tt} >= 0 THEN {tt} END", "duration_ms"),
+        ok(f"concat({g['backend']}, '/', {g['server']})", "backend"),
+        "source_file",
+        "line_number",
+        "raw",
+        "CAST(NULL AS BIGINT) AS header_line",
+    ]
+
+
 def haproxy_events(lines: DataFrame, source_col: str | None = None) -> DataFrame:
     """Add ``status`` (ok/skip/error) and the 13 event columns to a lines frame.
 
@@ -66,37 +103,10 @@ def haproxy_events(lines: DataFrame, source_col: str | None = None) -> DataFrame
     groups = F.split(F.regexp_replace(raw, _REWRITE, _REPLACEMENT), _SEP, -1)
     # explode of a one-element array: the regex runs once per line and its groups
     # are a materialised column (projections would otherwise inline it per field).
-    parts = lines.select(*lines.columns, F.explode(F.array(groups)).alias("__g"))
-    grp = {n: F.get(F.col("__g"), i) for i, n in enumerate(_GROUPS)}
-    blank = is_blank(raw)
-    matched = ~blank & (F.coalesce(grp["client_ip"], F.lit("")) != "")
-    status_code = grp["status"].try_cast("int")
-    tt = grp["tt"].try_cast("long")
-    m, pth = grp["method"], grp["path"]
-    no_request = (pth == "") & ((m == "") | (m == "-"))
-    method = F.when(~no_request, m)
-    path = F.when(~no_request & (pth != ""), pth)
-    ok = lambda c: F.when(matched, c)
-    src = F.col(source_col) if source_col else F.lit("haproxy")
-    keep = [c for c in lines.columns if c not in EVENT_FIELDS and c not in ("status", "__g")]
-    return parts.select(
-        *keep,
-        F.when(blank, "skip").when(matched, "ok").otherwise("error").alias("status"),
-        ok(haproxy_iso_parts(grp["day"], grp["mon"], grp["year"], grp["hms"])).alias("timestamp"),
-        src.alias("source"),
-        F.when(matched, severity_of(status_code)).otherwise(F.lit("info")).alias("severity"),
-        ok(grp["client_ip"]).alias("client_ip"),
-        ok(method).alias("method"),
-        ok(path).alias("path"),
-        ok(status_code).alias("status_code"),
-        ok(grp["bytes"].try_cast("long")).alias("bytes"),
-        ok(F.when(tt >= 0, tt)).alias("duration_ms"),
-        ok(F.concat(grp["backend"], F.lit("/"), grp["server"])).alias("backend"),
-        "source_file",
-        "line_number",
-        raw,
-        F.lit(None).cast("long").alias("header_line"),
-    )
+    parts = lines.select(*lines.columns, is_blank(raw).alias("__blank"), F.explode(F.array(groups)).alias("__g"))
+    keep = [c for c in lines.columns if c not in EVENT_FIELDS and c not in ("status", "__g", "header_line")]
+    source_expr = f"`{source_col}`" if source_col else "'haproxy'"
+    return parts.selectExpr(*_sql_projection(source_expr, keep))
 
 
 __all__ = ["HAPROXY_HTTP", "haproxy_events"]
