@@ -14,8 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT_IIS_FIELDS
-from ..functions.events import iis_iso, severity_of
+from ..config import DEFAULT_IIS_FIELDS, TZ_SUFFIX
 from ..functions.text import is_blank, split_ws_nonempty
 from ..operators.ordinal import DEFAULT_WIDTH
 from ..schemas import EVENT_FIELDS
@@ -65,63 +64,67 @@ def iis_events(
     width: int = DEFAULT_WIDTH,
 ) -> DataFrame:
     """Add ``status`` (ok/skip/error) and the 13 event columns to an IIS lines frame."""
-    default = F.array(*[F.lit(f) for f in default_fields]).cast("array<string>")
+    default = "CAST(array(" + ", ".join("'" + f.replace("'", "''") + "'" for f in default_fields) + ") AS ARRAY<STRING>)"
     if fields_from_header:
         hdr = active_headers(lines, width)
-        hf = F.col("header_fields")
-        fields = F.when(hf.isNotNull() & (F.size(hf) > 0), hf).otherwise(default)
+        fields = f"CASE WHEN header_fields IS NOT NULL AND size(header_fields) > 0 THEN header_fields ELSE {default} END"
     else:
         hdr = lines.withColumn("header_line", F.lit(None).cast("long"))
         fields = default
-    raw = F.col("raw")
     wanted = ("date", "time", "c-ip", "cs-method", "cs-uri-stem", "cs-uri-query", "sc-status", "sc-bytes",
               "time-taken")
     # Step 1: reversed field names and values (a repeated name keeps its last value).
     step1 = hdr.select(
         *hdr.columns,
-        F.reverse(fields).alias("__rf"),
-        F.reverse(split_ws_nonempty(raw)).alias("__rv"),
+        F.expr(f"reverse({fields})").alias("__rf"),
+        F.reverse(split_ws_nonempty(F.col("raw"))).alias("__rv"),
+        is_blank(F.col("raw")).alias("__blank"),
     )
     # Step 2: every wanted value looked up once.
-    look = {n: F.get(F.col("__rv"), F.array_position(F.col("__rf"), F.lit(n)).cast("int") - 1) for n in wanted}
-    step2 = step1.select(
-        *hdr.columns,
-        (F.size("__rf") > 0).alias("__has_fields"),
-        (F.size("__rf") == F.size("__rv")).alias("__same_n"),
-        *[look[n].alias(f"__{i}") for i, n in enumerate(wanted)],
+    step2 = step1.selectExpr(
+        *[f"`{c}`" for c in hdr.columns], "__blank",
+        "size(__rf) > 0 AS __has_fields", "size(__rf) = size(__rv) AS __same_n",
+        *[f"get(__rv, CAST(array_position(__rf, '{n}') AS INT) - 1) AS `__{i}`" for i, n in enumerate(wanted)],
     )
-    v = {n: F.col(f"__{i}") for i, n in enumerate(wanted)}
-    blank = is_blank(raw)
-    directive = raw.startswith("#")
-    matched = ~blank & ~directive & F.col("__has_fields") & F.col("__same_n")
+    v = {n: f"`__{i}`" for i, n in enumerate(wanted)}
+    directive = "startswith(raw, '#')"
+    matched = f"(NOT __blank AND NOT {directive} AND __has_fields AND __same_n)"
     stem, query = v["cs-uri-stem"], v["cs-uri-query"]
-    path = F.when(
-        (F.coalesce(stem, F.lit("")) != "") & (F.coalesce(query, F.lit("")) != "") & (query != DASH),
-        F.concat(stem, F.lit("?"), query),
-    ).otherwise(stem)
-
-    def to_int(c: Column, t: str) -> Column:
-        return F.when(c != DASH, c.try_cast(t))
-
-    status_code = to_int(v["sc-status"], "int")
-    ok = lambda c: F.when(matched, c)
-    src = F.col(source_col) if source_col else F.lit("iis")
+    path = (f"CASE WHEN coalesce({stem}, '') <> '' AND coalesce({query}, '') <> '' AND {query} <> '{DASH}' "
+            f"THEN concat({stem}, '?', {query}) ELSE {stem} END")
+
+    def to_int(c: str, t: str) -> str:
+        return f"CASE WHEN {c} <> '{DASH}' THEN try_cast({c} AS {t}) END"
+
+    def ok(expr: str, name: str) -> str:
+        return f"CASE WHEN {matched} THEN {expr} END AS `{name}`"
+
+    d, t = v["date"], v["time"]
+    dp, tp = f"split({d}, '-', -1)", f"split({t}, ':', -1)"
+    parts = [f"try_cast(get({dp}, {i}) AS INT)" for i in range(3)] + [f"try_cast(get({tp}, {i}) AS INT)" for i in range(3)]
+    iso = (f"CASE WHEN {d} IS NOT NULL AND {t} IS NOT NULL AND {d} NOT IN ('', '{DASH}') AND {t} NOT IN ('', '{DASH}') "
+           f"AND size({dp}) = 3 AND size({tp}) = 3 AND " + " AND ".join(f"{x} IS NOT NULL" for x in parts)
+           + f" THEN concat(format_string('%04d-%02d-%02dT%02d:%02d:%02d', {', '.join(parts)}), '{TZ_SUFFIX}') END")
+    status = to_int(v["sc-status"], "INT")
+    sev = (f"CASE WHEN {status} BETWEEN 500 AND 599 THEN 'error' WHEN {status} BETWEEN 400 AND 499 THEN 'warning' "
+           f"ELSE 'info' END")
+    src = f"`{source_col}`" if source_col else "'iis'"
     keep = [c for c in lines.columns if c not in EVENT_FIELDS and c != "status"]
-    return step2.select(
-        *keep,
+    return step2.selectExpr(
+        *[f"`{c}`" for c in keep],
         "header_line",
-        F.when(blank | directive, "skip").when(matched, "ok").otherwise("error").alias("status"),
-        ok(iis_iso(v["date"], v["time"])).alias("timestamp"),
-        src.alias("source"),
-        F.when(matched, severity_of(status_code)).otherwise(F.lit("info")).alias("severity"),
-        ok(F.nullif(v["c-ip"], F.lit(DASH))).alias("client_ip"),
-        ok(F.nullif(v["cs-method"], F.lit(DASH))).alias("method"),
-        ok(path).alias("path"),
-        ok(status_code).alias("status_code"),
-        ok(to_int(v["sc-bytes"], "long")).alias("bytes"),
-        ok(to_int(v["time-taken"], "long")).alias("duration_ms"),
-        F.lit(None).cast("string").alias("backend"),
+        f"CASE WHEN __blank OR {directive} THEN 'skip' WHEN {matched} THEN 'ok' ELSE 'error' END AS status",
+        ok(iso, "timestamp"),
+        f"{src} AS source",
+        f"CASE WHEN {matched} THEN {sev} ELSE 'info' END AS severity",
+        ok(f"nullif({v['c-ip']}, '{DASH}')", "client_ip"),
+        ok(f"nullif({v['cs-method']}, '{DASH}')", "method"),
+        ok(path, "path"),
+        ok(status, "status_code"),
+        ok(to_int(v["sc-bytes"], "BIGINT"), "bytes"),
+        ok(to_int(v["time-taken"], "BIGINT"), "duration_ms"),
+        "CAST(NULL AS STRING) AS backend",
         "source_file",
         "line_number",
-        raw,
+        "raw",
     )
