@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT_IIS_FIELDS, TZ_SUFFIX
 from ..functions.text import is_blank, split_ws_nonempty
-from ..operators.ordinal import DEFAULT_WIDTH
+# Line-slice width of the header as-of window: a window partition never holds more
+# than this many lines, and a file of n lines adds n / IIS_WIDTH rows to the small
+# per-slice carry table.
+IIS_WIDTH = 1 << 13
 from ..schemas import EVENT_FIELDS
 
 DASH = "-"
@@ -30,7 +33,7 @@ def _header_names(raw: Column) -> Column:
     return split_ws_nonempty(F.substring(raw, F.instr(raw, ":") + 1, 1 << 30))
 
 
-def active_headers(lines: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
+def active_headers(lines: DataFrame, width: int = IIS_WIDTH) -> DataFrame:
     """J-01: add ``header_line`` and ``header_fields`` = the ``#Fields:`` directive in force (or null).
 
     The field list is split once, on the header row itself, before the window.
@@ -61,7 +64,7 @@ def iis_events(
     default_fields: Sequence[str] = DEFAULT_IIS_FIELDS,
     fields_from_header: bool = True,
     source_col: str | None = None,
-    width: int = DEFAULT_WIDTH,
+    width: int = IIS_WIDTH,
 ) -> DataFrame:
     """Add ``status`` (ok/skip/error) and the 13 event columns to an IIS lines frame."""
     default = "CAST(array(" + ", ".join("'" + f.replace("'", "''") + "'" for f in default_fields) + ") AS ARRAY<STRING>)"
