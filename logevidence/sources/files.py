@@ -97,11 +97,13 @@ def _block_table_fits(spark: SparkSession, paths: str | Sequence[str]) -> bool:
     for p in [paths] if isinstance(paths, str) else list(paths):
         hp = Path(p)
         fs = hp.getFileSystem(conf)
-        if not fs.exists(hp):
-            continue
-        cs = fs.getContentSummary(hp)
-        n_bytes += cs.getLength()
-        n_files += cs.getFileCount()
+        matches = fs.globStatus(hp)  # plain paths match themselves; globs expand
+        if matches is None or len(matches) == 0:
+            return False  # nothing provable about this input: let AQE decide
+        for st in matches:
+            cs = fs.getContentSummary(st.getPath())
+            n_bytes += cs.getLength()
+            n_files += cs.getFileCount()
         longest = max(longest, len(p) + 256)
     split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
     blocks = n_bytes // max(1, split) + n_files
@@ -111,7 +113,8 @@ def _block_table_fits(spark: SparkSession, paths: str | Sequence[str]) -> bool:
 def read_head_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """The numbered lines of the first block of each file (enough for P-16's
     10-line sample). The block filter runs before numbering, so later blocks
-    never reach the line-numbering plan."""
+    never reach the line-numbering plan. The block table then has one row per
+    listed file, and callers pass at most ``MAX_LISTED_FILES`` files."""
     text = spark.read.format("text").load(list(paths)).select("value", "_metadata")
     return number_lines(text.where(F.col("_metadata.file_block_start") == 0), broadcast_blocks=True)
 
