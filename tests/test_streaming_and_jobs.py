@@ -93,3 +93,24 @@ def test_stages_without_input_fail(spark, tmpdir_path):
         chunk_logs(spark, f"{tmpdir_path}/empty", f"{tmpdir_path}/o", input_format="stage")
     with pytest.raises(FileNotFoundError):
         chunk_logs(spark, f"{tmpdir_path}/missing", f"{tmpdir_path}/o", input_format="stage")
+
+
+def test_batch_retrieval_job_and_report(spark, tmpdir_path):
+    import json
+
+    from logevidence.plans.jobs import retrieve_batch_job, write_report
+
+    logs = f"{tmpdir_path}/logs"
+    write(f"{logs}/haproxy_a.log", [L1, L2, L3, L1, L2] * 6)
+    parse_logs(spark, logs, f"{tmpdir_path}/events")
+    chunk_logs(spark, f"{tmpdir_path}/events", f"{tmpdir_path}/chunks", Params(chunk_size=5, chunk_overlap=1))
+    embed_chunks_job(spark, f"{tmpdir_path}/chunks", f"{tmpdir_path}/emb")
+    index_embeddings(spark, f"{tmpdir_path}/emb", f"{tmpdir_path}/index")
+    qs = spark.createDataFrame([("a", "503 nosrv"), ("b", "get 200"), ("c", "   ")], "query_id string, query string")
+    res = retrieve_batch_job(spark, f"{tmpdir_path}/index", qs, params=Params(top_k=2)).collect()
+    assert sorted((r["query_id"], r["rank"]) for r in res) == [("a", 1), ("a", 2), ("b", 1), ("b", 2)]
+    rep = validate_corpus(spark, [f"{logs}/haproxy_a.log"], f"{tmpdir_path}/index2")
+    write_report(rep["report"], f"{tmpdir_path}/report")
+    rows = [json.loads(line) for f in os.listdir(f"{tmpdir_path}/report") if f.endswith(".json")
+            for line in open(f"{tmpdir_path}/report/{f}")]
+    assert sum(r["is_total"] for r in rows) == 1 and len(rows) == 2
