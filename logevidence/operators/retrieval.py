@@ -228,11 +228,12 @@ def batch_search(points: DataFrame, queries: DataFrame, top_k: int = 5, metric:
     check_metric(metric)
     base = _narrow(points, where)
     keep_cols = [c for c in base.columns]
-    dim_row = queries.select(F.max(F.size("vector")).alias("d"), F.count(F.lit(1)).alias("n")).first()
-    if not dim_row or not dim_row["n"]:
+    n = queries.count()  # the vector column is pruned: no encoding for the count
+    if not n:
         return None
-    per_pass = max(1, MAX_QUERY_MATRIX_BYTES // (8 * max(1, dim_row["d"])))
-    n_pass = -(-int(dim_row["n"]) // per_pass)
+    dim = len(queries.select("vector").first()[0] or [])  # one encoder, one dimension
+    per_pass = max(1, MAX_QUERY_MATRIX_BYTES // (8 * max(1, dim)))
+    n_pass = -(-n // per_pass)
     q = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector")
     parts = []
     for i in range(n_pass):  # each pass ships one bounded slice of the query matrix
