@@ -70,3 +70,19 @@ def test_explicit_list_reports_missing(spark, tmpdir_path):
     write(f"{tmpdir_path}/a.log", b"x\n")
     present, missing = existing_files(spark, [f"{tmpdir_path}/a.log", f"{tmpdir_path}/nope.log"])
     assert present == [f"{tmpdir_path}/a.log"] and missing == [f"{tmpdir_path}/nope.log"]
+
+
+def test_line_numbers_without_broadcast_bound(spark, tmpdir_path, monkeypatch):
+    import logevidence.sources.files as files
+
+    monkeypatch.setattr(files, "MAX_BLOCK_TABLE_BYTES", 0)  # no proven bound: AQE picks the join
+    n = 3000
+    write(f"{tmpdir_path}/big.log", "".join(f"row {i}\n" for i in range(1, n + 1)).encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        assert not files._block_table_fits(spark, tmpdir_path)
+        got = rows(read_lines(spark, tmpdir_path))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(got) == n and all(raw == f"row {ln}" for _, ln, raw in got)
