@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logevidence.llm import simhash
-from logevidence.llm.common import bounded_batches, read_documents
+from logevidence.llm import quality_rules, simhash, toxicity
+from logevidence.llm.common import bounded_batches, held_out, read_documents, read_labels
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labelled rows with crc32(doc_id) mod 3 other than 1."""
+    docs, out = read_documents(spark, sf_dir), held_out(F.col("doc_id"), 3, 1)
+    model = toxicity.fit(docs.join(read_labels(spark, sf_dir).select("doc_id", "toxic"), "doc_id").where(~out))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", out.alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of the quality rules for every document."""
+    return quality_rules.quality_digest(read_documents(spark, sf_dir))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +37,7 @@ def _bounded(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
     return run
 
 
-REGISTRY = {f.__name__: _bounded(f) for f in (op8_simhash,)}
+REGISTRY = {f.__name__: _bounded(f) for f in (op1_toxicity, op7_quality_rules, op8_simhash)}
 
 # DuckDB SQL where SQL can express the whole result.
 SQL: dict[str, str] = {}
