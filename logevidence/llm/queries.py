@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logevidence.llm import quality_rules, simhash, toxicity
+from logevidence.llm import bpe, quality_rules, simhash, token_store, toxicity
 from logevidence.llm.common import bounded_batches, held_out, read_documents, read_labels
 
 
@@ -18,6 +18,16 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", out.alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token-id files of all documents, written and read back."""
+    return token_store.token_file_digest(read_documents(spark, sf_dir))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and what they decode to."""
+    return bpe.round_trip_digest(read_documents(spark, sf_dir))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the quality rules for every document."""
     return quality_rules.quality_digest(read_documents(spark, sf_dir))
@@ -37,7 +47,7 @@ def _bounded(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
     return run
 
 
-REGISTRY = {f.__name__: _bounded(f) for f in (op1_toxicity, op7_quality_rules, op8_simhash)}
+REGISTRY = {f.__name__: _bounded(f) for f in (op1_toxicity, op3_token_files, op4_bpe, op7_quality_rules, op8_simhash)}
 
 # DuckDB SQL where SQL can express the whole result.
 SQL: dict[str, str] = {}
