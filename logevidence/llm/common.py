@@ -49,9 +49,11 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def text_hash(text: Column) -> Column:
-    """Tells rows of one doc_id apart by their text; a null text has a hash of its own."""
-    return F.xxhash64(text, text.isNull())
+def key_columns(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """Two longs, never null, that a row is found again by: its id, and a hash
+    that tells rows of one id apart by their text. A null id or text has a
+    key of its own."""
+    return F.coalesce(doc_id.cast("long"), F.lit(0)), F.xxhash64(text, text.isNull(), doc_id.isNull())
 
 
 def bounded_sample(df: DataFrame, limit: int, key: str) -> DataFrame:

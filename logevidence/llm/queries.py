@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logevidence.llm import bpe, quality_rules, simhash, token_store, toxicity
+from logevidence.llm import bpe, mixing, quality_rules, simhash, token_store, toxicity
 from logevidence.llm.common import bounded_batches, held_out, read_documents, read_labels
 
 
@@ -18,6 +18,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", out.alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix of all documents' sources takes of each document."""
+    return mixing.taken_digest(read_documents(spark, sf_dir))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-id files of all documents, written and read back."""
     return token_store.token_file_digest(read_documents(spark, sf_dir))
@@ -47,7 +52,7 @@ def _bounded(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
     return run
 
 
-REGISTRY = {f.__name__: _bounded(f) for f in (op1_toxicity, op3_token_files, op4_bpe, op7_quality_rules, op8_simhash)}
+REGISTRY = {f.__name__: _bounded(f) for f in (op1_toxicity, op2_mixing, op3_token_files, op4_bpe, op7_quality_rules, op8_simhash)}
 
 # DuckDB SQL where SQL can express the whole result.
 SQL: dict[str, str] = {}

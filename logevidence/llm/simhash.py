@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logevidence.llm.common import text_hash, word_batches, written
+from logevidence.llm.common import key_columns, word_batches, written
 from logevidence.llm.components import components
 
 HASH_SEED = 42
@@ -119,7 +119,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` (doc_id, text, ...) -> (doc_id, text_hash, fp, root, component_id), a row per document.
+    """``docs`` (doc_id, text, ...) -> (doc_id, id_key, text_key, fp, root, component_id), a row per document.
 
     Texts without a word have fingerprint 0 and link like any other. Texts are
     lower-cased in A-Z; repeated shingles count. ``component_id`` is the
@@ -127,8 +127,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bit
     smallest fingerprint. Copies share a fingerprint, so only distinct
     fingerprints are compared. An empty table gives an empty result.
     """
+    id_key, text_key = key_columns(F.col("doc_id"), F.col("text"))
     rows = written(
-        docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), fingerprint_column(F.col("text"), shingle_words).alias("fp")),
+        docs.select("doc_id", id_key.alias("id_key"), text_key.alias("text_key"), fingerprint_column(F.col("text"), shingle_words).alias("fp")),
         "fingerprints",
     )
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
@@ -137,24 +138,23 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bit
     rooted = written(rooted, "roots")
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.select("fp", "root").join(smallest, "root")
-    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "id_key", "text_key", "fp", "root", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """One document of each component stays, with all its columns: that of the
-    smallest doc_id, then of the smallest text hash; of equal rows one."""
+    smallest doc_id, then of the smallest text key; of equal rows one."""
     found = near_duplicates(docs, shingle_words, max_bits)
-    # min skips null structs only, so a null doc_id sorts after all others by its flag.
+    # A null doc_id comes after all others.
     stays = (
         found.groupBy("root")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
-        .select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "id_key", "text_key")).alias("first"))
+        .select(F.col("first.id_key").alias("_id"), F.col("first.text_key").alias("_text"))
     )
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")).select(
-        "_row", F.col("_row.doc_id").alias("_id"), text_hash(F.col("_row.text")).alias("_hash")
-    )
-    kept = keyed.alias("d").join(stays.alias("s"), F.col("d._id").eqNullSafe(F.col("s._id")) & (F.col("d._hash") == F.col("s._hash")), "left_semi")
-    return kept.dropDuplicates(["_id", "_hash"]).select("_row.*")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    id_key, text_key = key_columns(F.col("_row.doc_id"), F.col("_row.text"))
+    keyed = docs.select(row.alias("_row")).select("_row", id_key.alias("_id"), text_key.alias("_text"))
+    return keyed.join(stays, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]).select("_row.*")
 
 
 def near_duplicate_digest(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
 from logevidence.llm import simple8b
-from logevidence.llm.common import text_hash
+from logevidence.llm.common import key_columns
 from logevidence.llm.pretokens import Splitter, gather
 from logevidence.session import shared_dir
 
@@ -119,7 +119,8 @@ def write_token_files(docs: DataFrame, path: str, content: bytes | None = None)
             yield _block(part, number, first, keys, ids)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = rows.repartitionByRange(parts, F.col("doc_id"), text_hash(F.col("text"))).sortWithinPartitions("doc_id", text_hash(F.col("text")))
+    _, by_text = key_columns(F.col("doc_id"), F.col("text"))
+    ordered = rows.repartitionByRange(parts, F.col("doc_id"), by_text).sortWithinPartitions(F.col("doc_id"), by_text)
     ordered.mapInArrow(blocks, STORE).write.option("compression", "none").parquet(path)
 
 
