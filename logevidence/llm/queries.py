@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logevidence.llm import bpe, mixing, quality_rules, simhash, token_store, toxicity
+from logevidence.llm import bpe, hilbert, mixing, quality_rules, simhash, token_store, toxicity
 from logevidence.llm.common import bounded_batches, held_out, read_documents, read_labels
 
 
@@ -43,6 +43,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_digest(read_documents(spark, sf_dir))
 
 
+def op9_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document along a Hilbert curve."""
+    return hilbert.shard_digest(read_documents(spark, sf_dir))
+
+
 def _bounded(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         bounded_batches(spark)
@@ -52,7 +57,7 @@ def _bounded(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
     return run
 
 
-REGISTRY = {f.__name__: _bounded(f) for f in (op1_toxicity, op2_mixing, op3_token_files, op4_bpe, op7_quality_rules, op8_simhash)}
+REGISTRY = {f.__name__: _bounded(f) for f in (op1_toxicity, op2_mixing, op3_token_files, op4_bpe, op7_quality_rules, op8_simhash, op9_hilbert)}
 
 # DuckDB SQL where SQL can express the whole result.
 SQL: dict[str, str] = {}
