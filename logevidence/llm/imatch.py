@@ -2,10 +2,11 @@
 
 The lexicon is the terms whose inverse document frequency lies in a band. A
 document's distinct lexicon terms are sorted and hashed once for each of
-several random subsets of the lexicon; two documents are as alike as the
-share of subsets on which their hashes agree. Subsets of several densities
-serve short and long documents: a dense one sees a small change in a short
-text, a thin one still agrees on long texts that differ here and there.
+several random subsets of the lexicon. Subsets of several densities serve
+short and long documents: a dense one sees a small change in a short text, a
+thin one still agrees on long texts that differ here and there. Two documents
+are as alike as the share of subsets on which their hashes agree, at the
+density on which they agree most.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from logevidence.llm.common import global_rank, key_columns, written
 # however many documents there are.
 LEAST_SHARE = 0.001
 MOST_SHARE = 0.1
-# Each subset holds one in 2 ** level of the lexicon.
-LEVELS = (1, 2, 3, 4, 5, 6, 7, 8)
-SUBSETS_A_LEVEL = 4
+# Level -> subsets, each of one in 2 ** level of the lexicon; level 0 is all of it.
+SUBSETS = {0: 1, 2: 12, 4: 12, 6: 12, 8: 12, 10: 12}
+# Subsets with terms that a level needs to be judged by itself.
+LEAST_SUBSETS = 3
 HASH_DIGITS = 6
 
 SPACE = "[ \\t-\\r]+"
@@ -46,14 +48,14 @@ def _subset_hashes(found: Column, otherwise: Column) -> Column:
     A term's membership is independent from subset to subset: each looks at
     other bits of a rehash. A text without a lexicon term hashes as a whole.
     """
-    per_level = []
-    for level in LEVELS:
-        for k in range(SUBSETS_A_LEVEL):
-            mask = (1 << level) - 1
-            subset = F.filter(found, lambda t, s=level * SUBSETS_A_LEVEL + k, m=mask: F.xxhash64(t, F.lit(s)).bitwiseAND(m) == 0)
-            per_level.append(F.when(F.size(found) == 0, F.xxhash64(otherwise, F.lit(level * SUBSETS_A_LEVEL + k))).when(F.size(subset) > 0, F.xxhash64(subset)))
-    digits = [F.coalesce(F.lower(F.right(F.lpad(F.hex(h), 16, "0"), F.lit(HASH_DIGITS))), F.lit("-" * HASH_DIGITS)) for h in per_level]
-    return F.concat(*digits)
+
+    def digits(level: int, k: int) -> Column:
+        seed = F.lit(100 * level + k)
+        subset = F.filter(found, lambda t: F.xxhash64(t, seed).bitwiseAND((1 << level) - 1) == 0)
+        hashed = F.when(F.size(found) == 0, F.xxhash64(otherwise, seed)).when(F.size(subset) > 0, F.xxhash64(subset))
+        return F.coalesce(F.lower(F.right(F.lpad(F.hex(hashed), 16, "0"), F.lit(HASH_DIGITS))), F.lit("-" * HASH_DIGITS))
+
+    return F.concat(*(digits(level, k) for level, n in SUBSETS.items() for k in range(n)))
 
 
 def fingerprints(texts: DataFrame, key: list[str], known: DataFrame) -> DataFrame:
@@ -70,16 +72,21 @@ def fingerprints(texts: DataFrame, key: list[str], known: DataFrame) -> DataFram
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal subset hashes among the subsets where either text has terms; 1 if neither has any."""
-    at = F.sequence(F.lit(0), F.lit(len(LEVELS) * SUBSETS_A_LEVEL - 1))
+    """Largest share, over the levels, of equal subset hashes among the subsets
+    where either text has terms; over all subsets where no level has enough."""
     none = F.lit("-" * HASH_DIGITS)
 
     def part(x: Column, i: Column) -> Column:
         return F.substring(x, i * HASH_DIGITS + 1, F.lit(HASH_DIGITS))
 
-    counted = F.filter(at, lambda i: (part(a, i) != none) | (part(b, i) != none))
-    same = F.filter(counted, lambda i: part(a, i) == part(b, i))
-    return F.when(F.size(counted) == 0, 1.0).otherwise(F.size(same) / F.size(counted))
+    def share(first: int, n: int, least: int) -> Column:
+        counted = F.filter(F.sequence(F.lit(first), F.lit(first + n - 1)), lambda i: (part(a, i) != none) | (part(b, i) != none))
+        same = F.filter(counted, lambda i: part(a, i) == part(b, i))
+        return F.when(F.size(counted) >= least, F.size(same) / F.size(counted))
+
+    firsts = [sum(list(SUBSETS.values())[:i]) for i in range(len(SUBSETS))]
+    levels = [share(first, n, LEAST_SUBSETS) for first, n in zip(firsts, SUBSETS.values(), strict=True)]
+    return F.coalesce(F.greatest(*levels), share(0, sum(SUBSETS.values()), 1), F.lit(1.0))
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
@@ -120,8 +127,9 @@ def fingerprint_digest(docs: DataFrame) -> DataFrame:
     known = written(lexicon(docs.select("text")), "lexicon")
     order = written(neighbours(docs), "order")
     key = ["id_key", "text_key"]
-    both = edited_texts(docs, order).select(*key, F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(False).alias("is_edited"), F.col("text").alias("text")), F.struct(F.lit(True), F.col("edited")))).alias("_t"))
-    found = written(fingerprints(both.select(*key, "edited_sha256", "_t.*"), [*key, "edited_sha256", "is_edited"], known), "fingerprints")
+    versions = (F.struct(F.lit(e).alias("is_edited"), F.col(c).alias("text")) for e, c in ((False, "text"), (True, "edited")))
+    both = edited_texts(docs, order).select(*key, F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.inline(F.array(*versions)))
+    found = written(fingerprints(both, [*key, "edited_sha256", "is_edited"], known), "fingerprints")
     own = found.where("not is_edited").select(*key, "edited_sha256", "fingerprint")
     edited = found.where("is_edited").select(*key, F.col("fingerprint").alias("edited_fingerprint"))
     following = own.select(F.col("id_key").alias("next_id"), F.col("text_key").alias("next_key"), F.col("fingerprint").alias("_next"))

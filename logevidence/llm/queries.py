@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logevidence.llm import bpe, hilbert, mixing, quality_rules, simhash, token_store, toxicity
+from logevidence.llm import bpe, hilbert, imatch, mixing, quality_rules, simhash, token_store, toxicity
 from logevidence.llm.common import bounded_batches, held_out, read_documents, read_labels
 
 
@@ -33,6 +33,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(read_documents(spark, sf_dir))
 
 
+def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-Match fingerprints of every document and of its edited text."""
+    return imatch.fingerprint_digest(read_documents(spark, sf_dir))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the quality rules for every document."""
     return quality_rules.quality_digest(read_documents(spark, sf_dir))
@@ -57,7 +62,7 @@ def _bounded(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
     return run
 
 
-REGISTRY = {f.__name__: _bounded(f) for f in (op1_toxicity, op2_mixing, op3_token_files, op4_bpe, op7_quality_rules, op8_simhash, op9_hilbert)}
+REGISTRY = {f.__name__: _bounded(f) for f in (op1_toxicity, op2_mixing, op3_token_files, op4_bpe, op6_imatch, op7_quality_rules, op8_simhash, op9_hilbert)}
 
 # DuckDB SQL where SQL can express the whole result.
 SQL: dict[str, str] = {}
