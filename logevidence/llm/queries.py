@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logevidence.llm import bpe, hilbert, imatch, mixing, quality_rules, simhash, token_store, toxicity
+from logevidence.llm import bpe, hilbert, imatch, knn_quality, langid, mixing, quality_rules, simhash, token_store, toxicity
 from logevidence.llm.common import bounded_batches, held_out, read_documents, read_labels
 
 
@@ -33,6 +33,13 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(read_documents(spark, sf_dir))
 
 
+def op5_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from labelled rows with crc32(doc_id) mod 5 other than 0."""
+    docs, out = read_documents(spark, sf_dir), held_out(F.col("doc_id"), 5, 0)
+    model = knn_quality.fit(docs, docs.join(read_labels(spark, sf_dir).select("doc_id", "quality"), "doc_id").where(~out))
+    return knn_quality.score_quality(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I-Match fingerprints of every document and of its edited text."""
     return imatch.fingerprint_digest(read_documents(spark, sf_dir))
@@ -53,6 +60,13 @@ def op9_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shard_digest(read_documents(spark, sf_dir))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from rows with crc32(doc_id) mod 4 other than 2."""
+    docs, out = read_documents(spark, sf_dir), held_out(F.col("doc_id"), 4, 2)
+    model = langid.fit(docs, docs.where(~out))
+    return langid.identify(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def _bounded(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         bounded_batches(spark)
@@ -62,7 +76,19 @@ def _bounded(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
     return run
 
 
-REGISTRY = {f.__name__: _bounded(f) for f in (op1_toxicity, op2_mixing, op3_token_files, op4_bpe, op6_imatch, op7_quality_rules, op8_simhash, op9_hilbert)}
+OPERATORS = (
+    op1_toxicity,
+    op2_mixing,
+    op3_token_files,
+    op4_bpe,
+    op5_knn_quality,
+    op6_imatch,
+    op7_quality_rules,
+    op8_simhash,
+    op9_hilbert,
+    op10_langid,
+)
+REGISTRY = {f.__name__: _bounded(f) for f in OPERATORS}
 
 # DuckDB SQL where SQL can express the whole result.
 SQL: dict[str, str] = {}
