@@ -1,14 +1,16 @@
 """Byte-level BPE over the distinct words of a whole table.
 
-Texts become blocks of numbered pre-tokens with their positions. The distinct
-pre-tokens of all blocks are shuffled by pre-token, each distinct one is
-encoded once, its ids go back to the blocks that have it, and the blocks
-reassemble their texts by position. Decoding joins the token-byte table.
+Texts become blocks of numbered pre-tokens with their positions. Each block's
+distinct pre-tokens are dealt by hash to buckets, so equal ones of all blocks
+meet; a bucket encodes each distinct one once, the ids go back to the blocks
+that asked, and the blocks reassemble their texts by position. Decoding joins
+the token-byte table.
 """
 
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -28,7 +30,10 @@ RANKS_PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BLOCK_CHARS = 24_000_000
 BLOCK_STRETCHES = 400_000
 
-BLOCKS = "block long, keys array<long>, lengths array<long>, codes binary, pieces array<string>"
+# Pre-tokens (each block's distinct ones) that a bucket gets at most, about.
+BUCKET_PIECES = 2_000_000
+
+BLOCKS = "block long, keys array<long>, lengths array<long>, codes binary, n_pieces long, pieces array<string>"
 
 
 def read_ranks(path: str = RANKS_PATH) -> bytes:
@@ -71,6 +76,23 @@ def unpack(packed: bytes, n: int) -> np.ndarray:
     return codes
 
 
+def pack_lists(lengths: np.ndarray, joined: bytes) -> bytes:
+    """Lists of bytes, one after another, as one compressed value."""
+    raw = np.array([len(lengths)], dtype="<u4").tobytes() + lengths.astype("<u4").tobytes() + joined
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def unpack_lists(packed: bytes) -> tuple[np.ndarray, bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    n = int(np.frombuffer(raw, dtype="<u4", count=1)[0])
+    return np.frombuffer(raw, dtype="<u4", count=n, offset=4).astype(np.int64), raw[4 * n + 4 :]
+
+
+def _cut(lengths: np.ndarray, joined: bytes) -> list[bytes]:
+    ends = np.cumsum(lengths).tolist()
+    return [joined[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def _block(number: int, keys: list[int | None], texts: list[np.ndarray], splitter: Splitter) -> pa.RecordBatch:
     flat, begins = splitter.offsets()
     joined = np.concatenate(texts)
@@ -87,9 +109,10 @@ def _block(number: int, keys: list[int | None], texts: list[np.ndarray], splitte
             pa.array([keys], pa.list_(pa.int64())),
             pa.array([np.diff(ends, prepend=0)], pa.list_(pa.int64())),
             pa.array([pack(place[codes])], pa.binary()),
+            pa.array([len(names)], pa.int64()),
             pa.array([[names[i] for i in order]], pa.list_(pa.string())),
         ],
-        names=["block", "keys", "lengths", "codes", "pieces"],
+        names=["block", "keys", "lengths", "codes", "n_pieces", "pieces"],
     )
 
 
@@ -121,36 +144,60 @@ def encode(docs: DataFrame, key: str = "doc_id", ranks: bytes | None = None) ->
     """
     content = ranks if ranks is not None else read_ranks()
 
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, pieces in zip(batch.column("block").to_pylist(), batch.column("pieces"), strict=True):
+                raw = [x.encode() for x in pieces.as_py()]
+                bucket = np.fromiter(map(zlib.crc32, raw), dtype=np.int64, count=len(raw)) % buckets
+                order = np.argsort(bucket, kind="stable")
+                for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                    if len(at):
+                        mine = [raw[i] for i in at.tolist()]
+                        words = pack_lists(np.fromiter(map(len, mine), dtype=np.int64, count=len(mine)), b"".join(mine))
+                        gaps = pack_lists(np.diff(at, prepend=0), b"")  # a bucket's places, ascending
+                        yield pa.RecordBatch.from_pylist([{"bucket": int(bucket[at[0]]), "block": block, "at": gaps, "words": words}], schema=dealt_schema)
+
+    dealt_schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("at", pa.binary()), ("words", pa.binary())])
+
     def each_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded, last, ids = _encoding(content).encode_ordinary, None, b""
+        encoded, known = _encoding(content).encode_ordinary, {}
         for batch in batches:
             out = []
-            for piece in batch.column("piece").to_pylist():
-                if piece != last:  # sorted: equal ones are next to each other
-                    last, ids = piece, np.array(encoded(piece), dtype="<u4").tobytes()
-                out.append(ids)
+            for packed in batch.column("words").to_pylist():
+                words = _cut(*unpack_lists(packed))
+                for w in set(words).difference(known):
+                    known[w] = np.array(encoded(w.decode()), dtype="<u4").tobytes()
+                ids = [known[w] for w in words]
+                flat = np.frombuffer(b"".join(ids), dtype=np.uint8).reshape(-1, 4).T  # the high bytes are mostly 0
+                out.append(pack_lists(np.fromiter((len(x) // 4 for x in ids), dtype=np.int64, count=len(ids)), flat.tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("at"), pa.array(out, pa.binary())], names=["block", "at", "ids"])
 
     def reassembled(block: pa.Table, found: pa.Table) -> pa.Table:
         out = []
-        at = found.column("at").to_numpy()
-        order = np.argsort(at)
-        per_piece = found.column("ids").combine_chunks().take(pa.array(order)).to_pylist() if len(order) else []
-        begins = np.concatenate([[0], np.cumsum(np.fromiter((len(x) // 4 for x in per_piece), dtype=np.int64, count=len(per_piece)))])
-        flat = np.frombuffer(b"".join(per_piece), dtype="<u4").astype(np.int32)
+        places, lengths, flats = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)]
+        for at, packed in zip(found.column("at").to_pylist(), found.column("ids").to_pylist(), strict=True):
+            places.append(np.cumsum(unpack_lists(at)[0]))
+            n, planes = unpack_lists(packed)
+            lengths.append(n)
+            flats.append(np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(4, -1).T).view("<i4").ravel())
+        order, n = np.argsort(np.concatenate(places)), np.concatenate(lengths)
+        flat = gather(order, np.concatenate(flats), np.concatenate([[0], np.cumsum(n)]))
+        begins = np.concatenate([[0], np.cumsum(n[order])])
         for row in block.to_pylist():
-            lengths = np.array(row["lengths"], dtype=np.int64)
-            codes = unpack(row["codes"], int(lengths.sum()))
+            pieces_in = np.array(row["lengths"], dtype=np.int64)
+            codes = unpack(row["codes"], int(pieces_in.sum()))
             counts = np.concatenate([[0], np.cumsum((begins[1:] - begins[:-1])[codes])])
-            ends = counts[np.cumsum(lengths)]
+            offsets = pa.array(np.concatenate([[0], counts[np.cumsum(pieces_in)]]).astype(np.int64))
             ids = pa.array(gather(codes, flat, begins), pa.int32())
-            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int64))
             out.append(pa.table([pa.array(row["keys"], pa.int64()), pa.LargeListArray.from_arrays(offsets, ids).cast(pa.list_(pa.int32()))], names=["key", "ids"]))
         return pa.concat_tables(out)
 
     blocks = written(docs.select(F.col(key).cast("long").alias("key"), "text").mapInArrow(_blocks, BLOCKS), "blocks")
-    words = blocks.select("block", F.posexplode("pieces").alias("at", "piece")).repartition("piece").sortWithinPartitions("piece")
-    found = words.mapInArrow(each_once, "block long, at int, ids binary")
+    total = blocks.agg(F.coalesce(F.sum("n_pieces"), F.lit(0))).first()[0]
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_PIECES))
+    words = blocks.select("block", "pieces").mapInArrow(dealt, "bucket int, block long, at binary, words binary")
+    # A partition is a bucket.
+    found = words.repartitionById(buckets, F.col("bucket")).mapInArrow(each_once, "block long, at binary, ids binary")
     joined = blocks.select("block", "keys", "lengths", "codes").groupBy("block").cogroup(found.groupBy("block"))
     return joined.applyInArrow(reassembled, "key long, ids array<int>").withColumnRenamed("key", key)
 
@@ -178,12 +225,17 @@ def decode(encoded: DataFrame, ids: str = "ids", ranks: bytes | None = None) ->
     return encoded.withColumn("decoded", decoded(F.col(ids)))
 
 
-def round_trip_digest(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document."""
-    rows = decode(encode(docs))
-    return rows.select(
+def round_trip(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of every row."""
+    return decode(encode(docs)).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
+        "ids",
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def round_trip_digest(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document."""
+    return round_trip(docs).drop("ids")
