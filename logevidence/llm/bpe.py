@@ -126,9 +126,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
             keys.append(key)
-            texts.append(splitter.split(text or ""))
+            texts.append(np.array(splitter.split(text or ""), dtype=np.int32))
             chars += len(text or "")
-            if chars >= BLOCK_CHARS or len(splitter.parts) >= BLOCK_STRETCHES:
+            if chars >= BLOCK_CHARS or len(splitter) >= BLOCK_STRETCHES:
                 yield _block(number, keys, texts, splitter)
                 (keys, texts, splitter), chars, number = opened(), 0, number + 1
     if keys:

@@ -8,6 +8,7 @@ and only distinct ones go through the pattern.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -16,7 +17,7 @@ import regex
 # The characters of Unicode's White_Space.
 WHITE_SPACE = "\t-\r \x85\xa0  -     　"
 
-ODD_SPACES = re.compile(f"[{WHITE_SPACE}] | [{WHITE_SPACE}]")
+ODD_SPACES = re.compile(f" (?:[{WHITE_SPACE}]|(?<=[{WHITE_SPACE}] ))")
 CUT = re.compile(f"(?<=[^{WHITE_SPACE}]) (?=[^{WHITE_SPACE}])")
 
 
@@ -38,41 +39,39 @@ class Splitter:
         self.find = compiled(pattern).findall
         self.pieces: dict[str, int] = defaultdict()
         self.pieces.default_factory = self.pieces.__len__
-        # Numbers of stretches, and of the pre-tokens of each.
-        self.inner: dict[str, int] = {}
-        self.parts: list[list[int]] = []
-
-    def _new(self, stretch: str) -> list[int]:
-        number = self.pieces.__getitem__
-        word = stretch[1:]
-        if stretch[:1] == " " and word.isalpha():
-            return [number(stretch)]
-        if stretch[:1] == " " and stretch[-1:] in (".", ",") and word[:-1].isalpha():
-            return [number(stretch[:-1]), number(stretch[-1])]
-        return list(map(number, self.find(stretch)))
-
-    def split(self, text: str) -> np.ndarray:
-        """Numbers of the stretches of ``text``, for expand()."""
-        inner, parts = self.inner, self.parts
+        # Stretches with and without a space before; the pre-tokens of all one after another, and their ends.
+        self.spaced: dict[str, int] = {}
+        self.first: dict[str, int] = {}
+        self.flat, self.ends = array("i"), array("q", [0])
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def _number(self, known: dict[str, int], stretch: str, space: str) -> None:
+        flat, pieces = self.flat, self.pieces
+        if space and stretch.isalpha():
+            flat.append(pieces[space + stretch])
+        elif space and stretch[-1:] in (".", ",") and stretch[:-1].isalpha():
+            flat.append(pieces[space + stretch[:-1]])
+            flat.append(pieces[stretch[-1]])
+        else:
+            flat.extend(map(pieces.__getitem__, self.find(space + stretch)))
+        known[stretch] = len(self.ends) - 1
+        self.ends.append(len(flat))
+
+    def split(self, text: str) -> list[int]:
+        """Numbers of the stretches of ``text``, for gather()."""
         first, *rest = stretches(text)
-        for s in set(rest).difference(inner):
-            inner[s] = len(parts)
-            parts.append(self._new(" " + s))
-        out = np.empty(len(rest) + 1, dtype=np.int32)
-        out[1:] = np.fromiter(map(inner.__getitem__, rest), dtype=np.int32, count=len(rest))
-        # A text's first stretch has no space before it; its key can't be that of another stretch.
-        key = "  " + first
-        if key not in inner:
-            inner[key] = len(parts)
-            parts.append(self._new(first))
-        out[0] = inner[key]
-        return out
-
-    def offsets(self) -> tuple[np.ndarray, np.ndarray]:
-        """The pre-tokens of all stretches one after another, and where each stretch's begin."""
-        lengths = np.fromiter(map(len, self.parts), dtype=np.int64, count=len(self.parts))
-        flat = np.fromiter((p for ps in self.parts for p in ps), dtype=np.int32, count=int(lengths.sum()))
-        return flat, np.concatenate([[0], np.cumsum(lengths)])
+        if first not in self.first:
+            self._number(self.first, first, "")
+        for s in set(rest).difference(self.spaced):
+            self._number(self.spaced, s, " ")
+        return [self.first[first], *map(self.spaced.__getitem__, rest)]
+
+    def offsets(self, start: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """The pre-tokens of the stretches from ``start`` on, and where each stretch's begin."""
+        ends = np.array(self.ends[start:], dtype=np.int64)
+        return np.array(self.flat[ends[0] :], dtype=np.int32), ends - ends[0]
 
 
 def gather(codes: np.ndarray, flat: np.ndarray, begins: np.ndarray) -> np.ndarray:

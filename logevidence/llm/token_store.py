@@ -9,8 +9,11 @@ file behind when an executor is lost.
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, islice
 
 import numpy as np
 import public_tokenizers
@@ -27,8 +30,8 @@ from logevidence.session import shared_dir
 TOKENIZER_PATH = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 BLOCK_IDS = 1 << 16
-# Distinct stretches whose ids a task remembers at most.
-REMEMBERED = 300_000
+# Distinct stretches whose ids a worker process remembers at most (some 250 MB).
+REMEMBERED = 1_000_000
 
 STORE = "part int, block int, first_in_part long, n_ids long, width int, words binary, escapes binary, doc_ids array<long>, doc_lengths array<long>"
 
@@ -56,37 +59,53 @@ class TokenIds:
 
     def __init__(self, content: bytes):
         self.tokenize = _model(content)
-        self.alphabet = {b: c for b, c in byte_alphabet().items()}
+        self.alphabet = byte_alphabet()
         self.forget()
 
     def forget(self) -> None:
         self.splitter, self.known = Splitter(public_tokenizers.PATTERN), 0
-        self.piece_ids: list[list[int]] = []
-        self.flat, self.begins = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+        # Ids of pre-tokens, then of stretches, each one after another, and where they end.
+        self.piece_ids, self.piece_ends = array("I"), array("q", [0])
+        self.flat, self.ends = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
 
     def _learn(self) -> None:
         """Ids of the stretches that are new since the last time."""
-        alphabet, tokenize = self.alphabet, self.tokenize
-        for piece in list(self.splitter.pieces)[len(self.piece_ids) :]:
-            self.piece_ids.append([t.id for t in tokenize("".join([alphabet[b] for b in piece.encode()]))])
-        new = [[i for p in parts for i in self.piece_ids[p]] for parts in self.splitter.parts[self.known :]]
-        self.known = len(self.splitter.parts)
-        self.flat = np.concatenate([self.flat, np.fromiter((i for ids in new for i in ids), dtype=np.uint32)])
-        ends = np.cumsum(np.fromiter(map(len, new), dtype=np.int64, count=len(new)))
-        self.begins = np.concatenate([self.begins, self.begins[-1] + ends])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.splitter.parts) > REMEMBERED:
+        alphabet, tokenize, ids, ends = self.alphabet, self.tokenize, self.piece_ids, self.piece_ends
+        blank = alphabet[ord(" ")]
+        for piece in islice(self.splitter.pieces, len(ends) - 1, None):
+            if piece.isascii() and piece.isprintable():  # these stand for themselves, but for the space
+                shown = piece.replace(" ", blank)
+            else:
+                shown = "".join(map(alphabet.__getitem__, piece.encode()))
+            ids.extend([t.id for t in tokenize(shown)])
+            ends.append(len(ids))
+        pieces, begins = self.splitter.offsets(self.known)
+        of_piece = np.array(ends, dtype=np.int64)
+        self.flat = np.concatenate([self.flat, gather(pieces, np.array(ids, dtype=np.uint32), of_piece)])
+        upto = np.concatenate([[0], np.cumsum(np.diff(of_piece)[pieces])])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + upto[begins[1:]]])
+        self.known = len(self.splitter)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after another, and where each text's end."""
+        if len(self.splitter) > REMEMBERED:
             self.forget()
         codes = [self.splitter.split(t) for t in texts]
         self._learn()
-        return [gather(c, self.flat, self.begins) for c in codes]
+        joined = np.fromiter(chain.from_iterable(codes), dtype=np.int64, count=sum(map(len, codes)))
+        upto = np.concatenate([[0], np.cumsum(np.diff(self.ends)[joined])])
+        return gather(joined, self.flat, self.ends), upto[np.cumsum(list(map(len, codes)), dtype=np.int64)]
 
 
-def _block(part: int, number: int, first: int, keys: list[int | None], ids: list[np.ndarray]) -> pa.RecordBatch:
-    joined = np.concatenate(ids)
+@cache
+def _token_ids(content: bytes) -> TokenIds:
+    """One a worker process: what it has learned serves its next tasks too."""
+    return TokenIds(content)
+
+
+def _block(part: int, number: int, first: int, keys: list[int | None], ends: list[int], joined: np.ndarray) -> pa.RecordBatch:
     width, words, escapes = simple8b.encode(joined)
-    row = {"part": part, "block": number, "first_in_part": first, "n_ids": len(joined), "width": width, "words": words, "escapes": escapes, "doc_ids": keys, "doc_lengths": [len(x) for x in ids]}
+    row = {"part": part, "block": number, "first_in_part": first, "n_ids": len(joined), "width": width, "words": words, "escapes": escapes, "doc_ids": keys, "doc_lengths": np.diff(ends, prepend=0).tolist()}
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first_in_part", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()), ("words", pa.binary()), ("escapes", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("doc_lengths", pa.list_(pa.int64()))])
     return pa.RecordBatch.from_pylist([row], schema=schema)
 
@@ -102,21 +121,24 @@ def write_token_files(docs: DataFrame, path: str, content: bytes | None = None)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, first, held = TaskContext.get().partitionId(), 0, 0, 0
-        token_ids, end = TokenIds(tokenizer), np.array([END_ID], dtype=np.uint32)
+        part, number, first = TaskContext.get().partitionId(), 0, 0
+        token_ids = _token_ids(tokenizer)
         keys: list[int | None] = []
-        ids: list[np.ndarray] = []
+        ends: list[int] = []
+        held = np.zeros(0, dtype=np.uint32)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for key, found in zip(batch.column("doc_id").to_pylist(), token_ids.encode(texts), strict=True):
-                keys.append(key)
-                ids.append(np.concatenate([found, end]))
-                held += len(ids[-1])
-                if held >= BLOCK_IDS:
-                    yield _block(part, number, first, keys, ids)
-                    number, first, held, keys, ids = number + 1, first + held, 0, [], []
+            flat, upto = token_ids.encode([t or "" for t in batch.column("text").to_pylist()])
+            upto_end = upto + np.arange(1, len(upto) + 1)  # with the end ids before and its own
+            ends += (len(held) + upto_end).tolist()
+            keys += batch.column("doc_id").to_pylist()
+            held = np.concatenate([held, np.insert(flat, upto, END_ID)])
+            while len(held) >= BLOCK_IDS:
+                n = bisect_left(ends, BLOCK_IDS) + 1  # documents up to the one that fills the block
+                yield _block(part, number, first, keys[:n], ends[:n], held[: ends[n - 1]])
+                number, first, done = number + 1, first + ends[n - 1], ends[n - 1]
+                keys, ends, held = keys[n:], [e - done for e in ends[n:]], held[done:]
         if keys:
-            yield _block(part, number, first, keys, ids)
+            yield _block(part, number, first, keys, ends, held)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     _, by_text = key_columns(F.col("doc_id"), F.col("text"))
