@@ -22,13 +22,13 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from logevidence.llm.common import written
+from logevidence.llm.common import written_buckets
 from logevidence.llm.pretokens import Splitter, gather
 
 RANKS_PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 # A block ends with the text that brings it to so many characters, or distinct stretches.
-BLOCK_CHARS = 24_000_000
-BLOCK_STRETCHES = 400_000
+BLOCK_CHARS = 12_000_000
+BLOCK_STRETCHES = 250_000
 
 # Pre-tokens (each block's distinct ones) that a bucket gets at most, about.
 BUCKET_PIECES = 2_000_000
@@ -192,7 +192,7 @@ def encode(docs: DataFrame, key: str = "doc_id", ranks: bytes | None = None) ->
             out.append(pa.table([pa.array(row["keys"], pa.int64()), pa.LargeListArray.from_arrays(offsets, ids).cast(pa.list_(pa.int32()))], names=["key", "ids"]))
         return pa.concat_tables(out)
 
-    blocks = written(docs.select(F.col(key).cast("long").alias("key"), "text").mapInArrow(_blocks, BLOCKS), "blocks")
+    blocks = written_buckets(docs.select(F.col(key).cast("long").alias("key"), "text").mapInArrow(_blocks, BLOCKS), "blocks", "block")
     total = blocks.agg(F.coalesce(F.sum("n_pieces"), F.lit(0))).first()[0]
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_PIECES))
     words = blocks.select("block", "pieces").mapInArrow(dealt, "bucket int, block long, at binary, words binary")

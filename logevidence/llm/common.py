@@ -44,6 +44,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_buckets(df: DataFrame, name: str, column: str) -> DataFrame:
+    """written(), as a table bucketed by ``column``: a later join or grouping by
+    it does not shuffle these rows again. The table's files are in the shared
+    folder; its name is new each time."""
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, column).option("path", path).option("compression", "zstd").saveAsTable(table)
+    return spark.table(table)
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """True where crc32(doc_id as text) mod modulus is remainder; a null doc_id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
