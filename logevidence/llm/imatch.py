@@ -20,8 +20,10 @@ from logevidence.llm.common import global_rank, key_columns, written
 # however many documents there are.
 LEAST_SHARE = 0.001
 MOST_SHARE = 0.1
-# Level -> subsets, each of one in 2 ** level of the lexicon; level 0 is all of it.
-SUBSETS = {0: 1, 2: 12, 4: 12, 6: 12, 8: 12, 10: 12}
+# Level -> random draws, and subsets of each. A draw deals the lexicon to
+# 2 ** level subsets, of which so many are used; level 0 is the whole lexicon.
+DRAWS = {0: (1, 1), 2: (2, 4), 4: (1, 8), 6: (1, 12), 8: (1, 12), 10: (1, 12)}
+SUBSETS = {level: draws * subsets for level, (draws, subsets) in DRAWS.items()}
 # Subsets with terms that a level needs to be judged by itself.
 LEAST_SUBSETS = 3
 HASH_DIGITS = 6
@@ -42,20 +44,30 @@ def lexicon(texts: DataFrame) -> DataFrame:
     return counts.where((F.col("count") >= LEAST_SHARE * n) & (F.col("count") <= MOST_SHARE * n)).select("term")
 
 
-def _subset_hashes(found: Column, otherwise: Column) -> Column:
-    """The hash of the sorted terms in each random subset, in hex, one after another.
+def _fingerprints(found: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep..., _terms, _whole) -> (keep..., fingerprint).
 
-    A term's membership is independent from subset to subset: each looks at
-    other bits of a rehash. A text without a lexicon term hashes as a whole.
+    The hash of the sorted terms in each random subset, in hex, one after
+    another; a mark where a subset has no term. A draw rehashes the terms: the
+    low bits are a term's subset, and terms of unused subsets fall away at
+    once. A text without a lexicon term hashes as a whole.
     """
-
-    def digits(level: int, k: int) -> Column:
-        seed = F.lit(100 * level + k)
-        subset = F.filter(found, lambda t: F.xxhash64(t, seed).bitwiseAND((1 << level) - 1) == 0)
-        hashed = F.when(F.size(found) == 0, F.xxhash64(otherwise, seed)).when(F.size(subset) > 0, F.xxhash64(subset))
+    none = F.lit(42).cast("long")  # the hash of no terms is the hash's seed
+    dealt = [(level, draw, n) for level, (draws, n) in DRAWS.items() for draw in range(draws)]
+
+    def draw_terms(level: int, draw: int, n: int) -> Column:
+        seed = F.lit(100 * level + draw)
+        rehashed = F.transform(F.col("_terms"), lambda t: F.xxhash64(t, seed))
+        return F.filter(rehashed, lambda u: u.bitwiseAND((1 << level) - 1) < n) if n < 1 << level else rehashed
+
+    def digits(level: int, draw: int, k: int) -> Column:
+        drawn = F.col(f"_draw_{level}_{draw}")
+        subset = F.filter(drawn, lambda u: u.bitwiseAND((1 << level) - 1) == k) if level else drawn
+        hashed = F.coalesce(F.nullif(F.xxhash64(subset), none), F.when(F.size("_terms") == 0, F.xxhash64("_whole", F.lit(1000 * level + 100 * draw + k))))
         return F.coalesce(F.lower(F.right(F.lpad(F.hex(hashed), 16, "0"), F.lit(HASH_DIGITS))), F.lit("-" * HASH_DIGITS))
 
-    return F.concat(*(digits(level, k) for level, n in SUBSETS.items() for k in range(n)))
+    drawn = found.select(*keep, "_terms", "_whole", *(draw_terms(*d).alias(f"_draw_{d[0]}_{d[1]}") for d in dealt))
+    return drawn.select(*keep, F.concat(*(digits(level, draw, k) for level, draw, n in dealt for k in range(n))).alias("fingerprint"))
 
 
 def fingerprints(texts: DataFrame, key: list[str], known: DataFrame) -> DataFrame:
@@ -68,7 +80,7 @@ def fingerprints(texts: DataFrame, key: list[str], known: DataFrame) -> DataFram
     rows = texts.select(*key, whole.alias("_whole"), F.explode_outer(terms(F.col("text"))).alias("term"))
     held = rows.join(F.broadcast(known.withColumn("_in", F.lit(True))), "term", "left")
     mine = held.groupBy(*key).agg(F.sort_array(F.collect_list(F.when(F.col("_in"), F.col("term")))).alias("_terms"), F.max("_whole").alias("_whole"))
-    return mine.select(*key, _subset_hashes(F.col("_terms"), F.col("_whole")).alias("fingerprint"))
+    return _fingerprints(mine, key)
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -53,20 +53,15 @@ def test_lexicon_is_the_band(spark, monkeypatch):
 def test_subset_hashes_against_brute_force(spark):
     """Equal subsets of terms, and only those, have equal hashes."""
     sets = [[1, 2, 3, 4], [4, 3, 2, 1], [1, 2, 3, 5], list(range(40)), list(range(1, 41)), []]
-    frame = spark.createDataFrame([(i, sorted(s), i) for i, s in enumerate(sets)], "i int, terms array<long>, whole long")
-    got = [r.f for r in frame.select("i", im._subset_hashes(F.col("terms"), F.col("whole")).alias("f")).orderBy("i").collect()]
-    member = {}
-    for t in range(41):
-        for level, n in im.SUBSETS.items():
-            for k in range(n):
-                member[t, level, k] = (100 * level + k, (1 << level) - 1)
-    hashes = spark.createDataFrame([(t, level, k, seed, mask) for (t, level, k), (seed, mask) in member.items()], "t long, level int, k int, seed int, mask int")
-    inside = {(r.t, r.level, r.k) for r in hashes.where(F.xxhash64("t", "seed").bitwiseAND(F.col("mask")) == 0).collect()}
-    places = [(level, k) for level, n in im.SUBSETS.items() for k in range(n)]
+    frame = spark.createDataFrame([(i, sorted(s), i) for i, s in enumerate(sets)], "i int, _terms array<long>, _whole long")
+    got = [r.fingerprint for r in im._fingerprints(frame, ["i"]).orderBy("i").collect()]
+    places = [(level, draw, k) for level, (draws, n) in im.DRAWS.items() for draw in range(draws) for k in range(n)]
+    drawn = spark.createDataFrame([(t, level, draw, k, 100 * level + draw, (1 << level) - 1) for t in range(41) for level, draw, k in places], "t long, level int, draw int, k int, seed int, mask int")
+    inside = {(r.t, r.level, r.draw, r.k) for r in drawn.where(F.xxhash64("t", "seed").bitwiseAND(F.col("mask")) == F.col("k")).collect()}
     for a in range(len(sets) - 1):
         for b in range(a):
-            for p, (level, k) in enumerate(places):
-                x, y = ({t for t in sets[s] if (t, level, k) in inside} for s in (a, b))
+            for p, place in enumerate(places):
+                x, y = ({t for t in sets[s] if (t, *place) in inside} for s in (a, b))
                 d = im.HASH_DIGITS
                 assert (got[a][p * d : p * d + d] == got[b][p * d : p * d + d]) == (x == y)
 
