@@ -7,6 +7,8 @@ markers in answer texts to real citations and validate them.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ def evidence_blocks(results: DataFrame) -> DataFrame:
     )
 
 
-def expanded_citation(results: DataFrame) -> DataFrame:
+def expanded_citation(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per evidence: ``[E#] file:Lx-Ly · ts_start → ts_end · sev×n, ...``."""
     sev = F.array_join(
         F.transform(F.map_entries("severities"), lambda e: F.concat(e["key"], F.lit("×"), e["value"].cast("string"))),
@@ -47,20 +49,21 @@ def expanded_citation(results: DataFrame) -> DataFrame:
         F.coalesce(F.col("ts_start"), F.lit("-")), F.lit(" → "), F.coalesce(F.col("ts_end"), F.lit("-")), F.lit(" · "),
         F.when(F.size("severities") > 0, sev).otherwise(F.lit("-")),
     )
-    return results.select(F.col("rank").cast("long").alias("marker_no"), txt.alias("expanded"))
+    return results.select(*by, F.col("rank").cast("long").alias("marker_no"), txt.alias("expanded"))
 
 
 def expand_markers(answers: DataFrame, results: DataFrame, text_col: str = "answer") -> DataFrame:
     """D-06: one row per ``[E#]`` marker of each answer, with its expansion (null if unknown).
 
-    The evidence side holds k rows, so the join broadcasts it.
+    A number beyond any evidence, however long, is unknown.
     """
     keys = [c for c in answers.columns if c != text_col]
     marks = answers.select(*keys, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(MARKER), 1)).alias(
         "marker_pos", "num"))
-    marks = marks.withColumn("marker_no", F.col("num").cast("long"))
-    ev = F.broadcast(expanded_citation(results))
-    out = marks.join(ev, on="marker_no", how="left")
+    marks = marks.withColumn("marker_no", F.col("num").try_cast("long"))
+    # With a query_id on both sides each answer has its own evidence.
+    by = [c for c in ("query_id",) if c in keys and c in results.columns]
+    out = marks.join(expanded_citation(results, by), on=[*by, "marker_no"], how="left")
     return out.select(*keys, (F.col("marker_pos") + 1).alias("marker_pos"),
                       F.concat(F.lit("[E"), F.col("num"), F.lit("]")).alias("marker"),
                       "expanded", F.col("expanded").isNotNull().alias("is_known"))
@@ -76,9 +79,9 @@ def validate_answers(answers: DataFrame, n_evidence: int, text_col: str = "answe
     """
     keys = [c for c in answers.columns if c != text_col]
     t = F.col(text_col)
-    nums = F.transform(F.regexp_extract_all(t, F.lit(MARKER), 1), lambda x: x.cast("int"))
+    nums = F.transform(F.regexp_extract_all(t, F.lit(MARKER), 1), lambda x: x.try_cast("int"))
     n_mark = F.size(nums)
-    n_valid = F.size(F.filter(nums, lambda x: (x >= 1) & (x <= n_evidence)))
+    n_valid = F.size(F.filter(nums, lambda x: F.coalesce((x >= 1) & (x <= n_evidence), F.lit(False))))
     pieces = F.filter(F.split(t, SENTENCE_END, -1), lambda p: F.trim(p) != "")
     factual = F.filter(pieces, lambda p: p.rlike(LETTER))
     uncited = F.size(F.filter(factual, lambda p: ~p.rlike(MARKER)))

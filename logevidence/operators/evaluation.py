@@ -64,8 +64,14 @@ def relevance_labels(results: DataFrame, members: DataFrame, predicates: Sequenc
     )
 
 
-def precision_at_k(labels: DataFrame, k: int = 3) -> DataFrame:
-    """D-03: P@1 strict / R-or-P / weighted, P@k weighted and success@k over all queries."""
+def precision_at_k(labels: DataFrame, k: int = 3, queries: DataFrame | None = None) -> DataFrame:
+    """D-03: P@1 strict / R-or-P / weighted, P@k weighted and success@k over all queries.
+
+    ``queries`` (query_id) lists the queries asked: one without a result counts
+    as a miss. Without it only queries that have labels are known.
+    """
+    if queries is not None:
+        labels = queries.select("query_id").distinct().join(labels, "query_id", "left")
     per_q = labels.groupBy("query_id").agg(
         F.max(F.when(F.col("rank") == 1, F.col("label"))).alias("l1"),
         F.max(F.when(F.col("rank") == 1, F.col("weight"))).alias("w1"),

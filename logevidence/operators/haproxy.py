@@ -1,7 +1,7 @@
 """P-01..P-04, P-10, P-12: HAProxy HTTP-log lines to event columns.
 
 One regex pass per line: ``regexp_replace`` rewrites a matching line into its
-captured groups joined by ``\\x01`` (a non-matching line collapses to the bare
+captured groups joined by line feeds, which no line has (a non-matching line collapses to the bare
 separators), then ``split`` hands the groups out. Everything stays inside
 whole-stage codegen.
 """
@@ -52,7 +52,7 @@ _REQUEST = '"' + _W + "*(" + _NW + "*)(?:" + _W + "+(" + _NW + "*))?" + '[^"]*"'
 _PARSE = HAPROXY_HTTP.replace(r"\[([^\]]+)\]\s+", _ACCEPT).replace('"([^"]*)"', _REQUEST)
 assert _PARSE != HAPROXY_HTTP
 _GROUPS = ("client_ip", "day", "mon", "year", "hms", "backend", "server", "tt", "status", "bytes", "method", "path")
-_SEP = "\u0001"
+_SEP = "\n"
 _REWRITE = "(?s)^(?:" + _PARSE + ".*|.*)"
 _REPLACEMENT = _SEP.join(f"${i + 1}" for i in range(len(_GROUPS)))
 

@@ -2,20 +2,25 @@
 
 Layout under ``<root>/<collection>``:
 
-* ``v=<n>/`` - complete point sets, one per committed upsert;
-* ``_meta/`` - one JSON row per commit (version, metric, dim, model).
-
-An upsert is ``current LEFT ANTI new UNION new`` written to the next version;
-the meta row written afterwards is the commit. Readers take the highest
-committed version, so a failed or half-written upsert is never visible and a
-retried job simply rewrites its version directory. Ids are never deleted
+* ``points-<unique>/`` - complete point sets, one per attempted upsert;
+* ``_meta/v=<n>.json`` - one JSON row per commit (version, folder, metric, dim, model).
+
+An upsert is ``current LEFT ANTI new UNION new`` written to a folder of its own;
+creating ``v=<n>.json``, which fails if it exists, is the commit. Readers take
+the highest committed version, so a failed or half-written upsert is never
+visible, and of two writers one commits and the other one raises. Only a
+missing ``_meta`` folder means an empty index; any other read error is raised.
+Vectors that are null or not of the index's length are refused. Ids are never deleted
 (stale ids survive a re-chunk unless ``replace_files`` is given).
 """
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,7 +56,7 @@ META = T.StructType(
         T.StructField("metric", T.StringType()),
         T.StructField("dim", T.IntegerType()),
         T.StructField("model", T.StringType()),
-        T.StructField("points", T.LongType()),
+        T.StructField("folder", T.StringType()),
         T.StructField("committed_at", T.DoubleType()),
     ]
 )
@@ -118,12 +123,33 @@ class VectorIndex:
         self.metric = check_metric(similarity_metric)
 
     # -- metadata ---------------------------------------------------------
+    def _hadoop(self, path: str):
+        sc = self.spark.sparkContext
+        hp = sc._jvm.org.apache.hadoop.fs.Path(path)
+        return hp, hp.getFileSystem(sc._jsc.hadoopConfiguration())
+
     def _meta(self):
-        try:
-            m = self.spark.read.schema(META).json(f"{self.path}/_meta")
-            return m.orderBy(F.col("version").desc()).first()
-        except Exception:  # no commit yet
+        folder, fs = self._hadoop(f"{self.path}/_meta")
+        if not fs.exists(folder):
             return None
+        m = self.spark.read.schema(META).option("mode", "FAILFAST").json(f"{self.path}/_meta")
+        return m.orderBy(F.col("version").desc()).first()
+
+    def _next_version(self) -> int:
+        """One above every version file, also one that a writer left empty."""
+        folder, fs = self._hadoop(f"{self.path}/_meta")
+        names = [st.getPath().getName() for st in fs.listStatus(folder)] if fs.exists(folder) else []
+        return 1 + max((int(n[2:-5]) for n in names if n.startswith("v=") and n.endswith(".json")), default=-1)
+
+    def _commit(self, meta: dict) -> None:
+        """Create the version's file; raises if another writer has."""
+        target, fs = self._hadoop(f"{self.path}/_meta/v={meta['version']}.json")
+        try:
+            out = fs.create(target, False)
+        except Py4JJavaError as e:
+            raise RuntimeError(f"another writer committed version {meta['version']} of {self.path}") from e
+        out.write(bytearray((json.dumps(meta) + "\n").encode()))
+        out.close()
 
     def open(self, meta=None) -> "VectorIndex":
         """S-11: open or create; the stored metric must equal the requested one."""
@@ -136,13 +162,13 @@ class VectorIndex:
         meta = self._meta()
         return -1 if meta is None else int(meta["version"])
 
-    def _points_at(self, v: int) -> DataFrame:
-        if v < 0:
+    def _points_of(self, meta) -> DataFrame:
+        if meta is None:
             return self.spark.createDataFrame([], POINT)
-        return self.spark.read.schema(POINT).parquet(f"{self.path}/v={v}")
+        return self.spark.read.schema(POINT).parquet(f"{self.path}/{meta['folder']}")
 
     def points(self) -> DataFrame:
-        return self._points_at(self.version())
+        return self._points_of(self._meta())
 
     def count(self) -> int:
         """S-10."""
@@ -157,22 +183,26 @@ class VectorIndex:
         new = index_points(records, extra=more) if "chunk_id" in records.columns else records
         new = dedup_last(new.select(*POINT.fieldNames(), *more), order_col)
         new = new.select(*POINT.fieldNames())
-        # One small aggregate: the dimensions present (at most two kept) and a model name.
-        info = new.agg(F.slice(F.array_sort(F.collect_set("embedding_dim")), 1, 2).alias("dims"),
-                       F.first("embedding_model", ignorenulls=True).alias("model")).first()
-        dims = list(info["dims"] or [])
+        # One small aggregate: the dimensions and models present (at most two kept), and bad vectors.
+        info = new.agg(
+            F.slice(F.array_sort(F.collect_set("embedding_dim")), 1, 2).alias("dims"),
+            F.slice(F.array_sort(F.collect_set("embedding_model")), 1, 2).alias("models"),
+            F.count_if(F.coalesce(F.size("embedding") != F.col("embedding_dim"), F.lit(True)) | F.col("embedding").isNull()).alias("bad"),
+        ).first()
+        dims, models = list(info["dims"] or []), list(info["models"] or [])
         if not dims:  # empty payload is a no-op
             return current
         if len(dims) > 1 or (meta is not None and meta["dim"] is not None and dims[0] != meta["dim"]):
             raise ValueError(f"embedding dimension mismatch: {dims} vs index {meta['dim'] if meta else None}")
-        v = current + 1
-        merged = upsert_frames(self._points_at(current), new, replace_files)
-        # Cluster by file so that source_file filters skip row groups.
-        merged.repartition(F.col("id")).sortWithinPartitions("source_file", "id").write.mode("overwrite").parquet(
-            f"{self.path}/v={v}"
-        )
-        row = [(v, self.metric, int(dims[0]), info["model"], None, time.time())]
-        self.spark.createDataFrame(row, META).coalesce(1).write.mode("append").json(f"{self.path}/_meta")
+        if info["bad"]:
+            raise ValueError(f"{info['bad']} records have no vector of {dims[0]} numbers")
+        if len(models) > 1 or (meta is not None and meta["model"] and models and models[0] != meta["model"]):
+            raise ValueError(f"embedding model mismatch: {models} vs index {meta['model'] if meta else None}")
+        v, folder = self._next_version(), f"points-{uuid.uuid4().hex}"
+        merged = upsert_frames(self._points_of(meta), new, replace_files)
+        # Ranges of files: row groups hold few files, so source_file filters skip the others.
+        merged.repartitionByRange("source_file", "id").sortWithinPartitions("source_file", "id").write.parquet(f"{self.path}/{folder}")
+        self._commit({"version": v, "metric": self.metric, "dim": int(dims[0]), "model": models[0] if models else None, "folder": folder, "committed_at": time.time()})
         return v
 
     def query(self, vector, top_k: int = 5, where=None):

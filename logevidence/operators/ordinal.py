@@ -28,20 +28,24 @@ def ordinal_within(
     """Add ``out`` = 0-based rank of ``order_col`` inside ``keys`` (values unique per key).
 
     With ``total`` set, also add the group size. ``order_col`` must be integral.
+    No row is dropped: null keys are a group, and rows without an order value
+    come before the others of their group, in slices dealt by a hash of the row.
     """
-    keys = list(keys)
-    b = "__slice"
-    sliced = df.select("*", F.floor(F.col(order_col) / F.lit(width)).alias(b))
-    counts = sliced.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("__n"))
-    w_prev = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    k, b = "__key", "__slice"
+    unordered = F.lit(-(1 << 62)) + F.pmod(F.xxhash64(*df.columns), F.lit(64))
+    # A struct of the keys is never null, so groups with null keys join like any other.
+    sliced = df.select(
+        "*", F.struct(*(F.col(c) for c in keys)).alias(k), F.coalesce(F.floor(F.col(order_col) / F.lit(width)), unordered).alias(b))
+    counts = sliced.groupBy(k, b).agg(F.count(F.lit(1)).alias("__n"))
+    w_prev = Window.partitionBy(k).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select(
-        *keys, b, F.coalesce(F.sum("__n").over(w_prev), F.lit(0)).alias("__off"),
-        *([F.sum("__n").over(Window.partitionBy(*keys)).alias(total)] if total else []),
+        k, b, F.coalesce(F.sum("__n").over(w_prev), F.lit(0)).alias("__off"),
+        *([F.sum("__n").over(Window.partitionBy(k)).alias(total)] if total else []),
     )
-    ranked = sliced.select("*", F.row_number().over(Window.partitionBy(*keys, b).orderBy(order_col)).alias("__rn"))
+    ranked = sliced.select("*", F.row_number().over(Window.partitionBy(k, b).orderBy(order_col)).alias("__rn"))
     # The offsets side has one row per slice; AQE measures it after its shuffle
     # and broadcasts it only when it is actually small (else the window output,
     # already partitioned on the join keys, is joined without a new shuffle).
-    joined = ranked.join(offs, on=[*keys, b], how="inner")
+    joined = ranked.join(offs, on=[k, b], how="inner")
     return joined.select(
         *df.columns, (F.col("__off") + F.col("__rn") - 1).cast("long").alias(out), *([total] if total else []))

@@ -18,10 +18,6 @@ from .haproxy import haproxy_events
 from .iis import iis_events
 
 
-# Largest file list turned into a literal filter (paths travel through the driver).
-MAX_LISTED_FILES = 10_000
-
-
 def _haproxy(lines: DataFrame, **_) -> DataFrame:
     return haproxy_events(lines, "source")
 
@@ -55,27 +51,10 @@ def classify_lines(
     if fixed is not None:
         return PARSERS[fixed](lines.withColumn("source", F.lit(fixed)), **opts)
     det = detect_sources(lines).select("source_path", "source")
-    # One bounded action picks the plan: up to MAX_LISTED_FILES (path, source)
-    # rows reach the driver. A corpus of one kind is parsed in a single pass; a
-    # mixed one filters each parser's files with a literal list that Spark pushes
-    # into the scans. Beyond the bound the per-file table is joined back instead
-    # (AQE broadcasts it only when it is small).
-    listed = det.limit(MAX_LISTED_FILES + 1).collect()
-    if len(listed) <= MAX_LISTED_FILES:
-        kinds = sorted({r["source"] for r in listed})
-    else:
-        kinds = sorted(r[0] for r in det.select("source").distinct().collect())
-    if len(kinds) == 1:
-        return classify_lines(lines, forced_source=kinds[0], iis_fields=iis_fields,
-                              iis_fields_from_header=iis_fields_from_header)
-    if len(listed) <= MAX_LISTED_FILES:
-        is_iis = F.col("source_path").isin([r["source_path"] for r in listed if r["source"] == "iis"])
-        hap_lines = lines.where(~is_iis).withColumn("source", F.lit("haproxy"))
-        iis_lines = lines.where(is_iis).withColumn("source", F.lit("iis"))
-    else:
-        tagged = lines.join(det, on="source_path", how="inner")
-        hap_lines = tagged.where(F.col("source") == "haproxy")
-        iis_lines = tagged.where(F.col("source") == "iis")
+    # One row per file; AQE broadcasts it where it is measured to be small.
+    tagged = lines.drop("source").join(det, on="source_path", how="inner")
+    hap_lines = tagged.where(F.col("source") == "haproxy")
+    iis_lines = tagged.where(F.col("source") == "iis")
     return PARSERS["haproxy"](hap_lines, **opts).unionByName(PARSERS["iis"](iis_lines, **opts))
 
 

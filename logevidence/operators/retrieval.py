@@ -7,10 +7,9 @@ D-08 extra pre-filters.
 Single query: the query vector is a literal, the distance a column, and
 ``orderBy(...).limit(k)`` becomes ``TakeOrderedAndProject`` (k rows per task).
 Batched queries: the query matrix (size checked) is shipped to the tasks; each
-Arrow batch of points is scored with one matrix product and reduced to its
-local top-k per query, then a ``row_number`` per query keeps the global top-k
-(Spark plans it as a partial WindowGroupLimit). No point/query pair is ever
-materialised as a row.
+task scores its points in blocks and keeps a running top-k per query, then a
+``row_number`` per query keeps the global top-k (Spark plans it as a partial
+WindowGroupLimit). No point/query pair is ever materialised as a row.
 """
 
 from __future__ import annotations
@@ -24,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import check_metric, check_threshold, check_top_k
+from ..session import shared_dir
 from ..schemas import SEVERITY_KEYS as SEVERITY_KEYS_CHECK
 from ..functions.events import severity_counts_map
 from ..functions.vectors import ORDER_DECIMALS, distance, order_key, score_of
@@ -78,8 +78,10 @@ def extra_where(
 HEAVY = ("text", "sources", "backends")
 
 
-def _narrow(points: DataFrame, where: Column | None) -> DataFrame:
-    base = points if where is None else points.where(where)  # filter first, then prune
+def _narrow(points: DataFrame, where: Column | None, dim: int) -> DataFrame:
+    """Filter first, then prune. A point without a vector of ``dim`` numbers is no neighbour of any query."""
+    base = points if where is None else points.where(where)
+    base = base.where(F.size("embedding") == dim)
     return base.select(*[c for c in points.columns if c not in HEAVY])
 
 
@@ -91,7 +93,7 @@ def search(points: DataFrame, vector: Sequence[float], top_k: int = 5, metric: s
     """
     check_top_k(top_k)
     check_metric(metric)
-    scored = _narrow(points, where).withColumn("distance", distance(metric, "embedding", vector))
+    scored = _narrow(points, where, len(vector)).withColumn("distance", distance(metric, "embedding", vector))
     return scored.orderBy(order_key("distance"), F.col("id")).limit(top_k)
 
 
@@ -160,95 +162,87 @@ def retrieve(spark: SparkSession, points: DataFrame, query: str, encoder, *, top
 
 # -- batched retrieval ---------------------------------------------------------
 
-def _local_topk(points: DataFrame, qids: np.ndarray, qmat: np.ndarray, k: int, metric: str,
-                keep_cols: list[str]) -> DataFrame:
-    """Per Arrow batch: distances to every query by one matmul, keep k best per query."""
-    schema = T.StructType(
-        [T.StructField("query_id", T.StringType()), T.StructField("distance", T.DoubleType())]
-        + [points.schema[c] for c in keep_cols]
-    )
-    qn = np.sqrt((qmat * qmat).sum(axis=1))
-    decimals = ORDER_DECIMALS
+# Numbers of one block of distances inside a task (points x queries).
+BLOCK_DISTANCES = 1 << 20
+
+
+def _distances(mat: np.ndarray, qmat: np.ndarray, metric: str) -> np.ndarray:
+    dots = mat @ qmat.T  # (points, queries)
+    if metric == "cosine":
+        den = np.sqrt((mat * mat).sum(axis=1))[:, None] * np.sqrt((qmat * qmat).sum(axis=1))[None, :]
+        return np.where(den > 0, 1.0 - dots / np.where(den > 0, den, 1.0), 1.0)
+    if metric == "l2":
+        return np.maximum((mat * mat).sum(axis=1)[:, None] - 2.0 * dots + (qmat * qmat).sum(axis=1)[None, :], 0.0)
+    return 1.0 - dots
+
+
+def _best(ids: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k smallest by (rounded distance, id)."""
+    key = np.round(d, ORDER_DECIMALS)
+    if k < len(key):  # every row tied with the k-th key stays a candidate
+        near = np.flatnonzero(key <= np.partition(key, k - 1)[k - 1])
+        ids, d, key = ids[near], d[near], key[near]
+    order = np.lexsort((ids, key))[:k]
+    return ids[order], d[order]
+
+
+def _task_topk(points: DataFrame, qids: list[str], qmat: np.ndarray, k: int, metric: str) -> DataFrame:
+    """Each task keeps a running top-k per query over all its batches: (query_id, id, distance)."""
 
     def run(batches):
+        best = [(np.empty(0, dtype=object), np.empty(0)) for _ in qids]
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            emb = pdf["embedding"].to_numpy()
-            dim = qmat.shape[1]
-            try:
-                mat = np.vstack(emb).astype(np.float64)
-            except (ValueError, TypeError):  # ragged or null vectors score as zero vectors
-                mat = np.zeros((len(pdf), dim), dtype=np.float64)
-                for i, e in enumerate(emb):
-                    if e is not None and len(e) == dim:
-                        mat[i] = e
-            if mat.shape[1] != dim:
-                raise ValueError(f"index vectors have dim {mat.shape[1]}, queries {dim}")
-            dots = mat @ qmat.T  # (points, queries)
-            if metric == "cosine":
-                pn = np.sqrt((mat * mat).sum(axis=1))
-                den = pn[:, None] * qn[None, :]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    d = np.where(den > 0, 1.0 - dots / np.where(den > 0, den, 1.0), 1.0)
-            elif metric == "l2":
-                d = (mat * mat).sum(axis=1)[:, None] - 2.0 * dots + (qmat * qmat).sum(axis=1)[None, :]
-                d = np.maximum(d, 0.0)
-            else:
-                d = 1.0 - dots
-            ids = pdf["id"].to_numpy().astype(str)
-            key = np.round(d, decimals)
-            take = min(k, len(pdf))
-            out = []
-            for j in range(len(qids)):
-                kj = key[:, j]
-                if take < len(kj):  # every row tied with the k-th key stays a candidate
-                    kth = np.partition(kj, take - 1)[take - 1]
-                    cand = np.nonzero(kj <= kth)[0]
-                else:
-                    cand = np.arange(len(kj))
-                order = cand[np.lexsort((ids[cand], kj[cand]))][:take]
-                sub = pdf.iloc[order][keep_cols].copy()
-                sub.insert(0, "distance", d[order, j])
-                sub.insert(0, "query_id", qids[j])
-                out.append(sub)
-            yield pd.concat(out, ignore_index=True)
-
-    return points.mapInPandas(run, schema)
+            ids, mat = pdf["id"].to_numpy(), np.vstack(pdf["embedding"].to_numpy()).astype(np.float64)
+            step = max(1, BLOCK_DISTANCES // len(ids))
+            for a in range(0, len(qids), step):
+                d = _distances(mat, qmat[a : a + step], metric)
+                for j in range(d.shape[1]):
+                    have_ids, have_d = best[a + j]
+                    best[a + j] = _best(np.concatenate([have_ids, ids]), np.concatenate([have_d, d[:, j]]), k)
+        for qid, (ids, d) in zip(qids, best):
+            if len(ids):
+                yield pd.DataFrame({"query_id": qid, "id": ids, "distance": d})
+
+    return points.select("id", "embedding").mapInPandas(run, "query_id string, id string, distance double")
 
 
 def batch_search(points: DataFrame, queries: DataFrame, top_k: int = 5, metric: str = "cosine",
                  where: Column | None = None) -> DataFrame:
     """T-04/J-04: top-k per query for a DataFrame ``(query_id, vector)`` of query vectors.
 
-    The query matrix is collected (its size is checked against
-    ``MAX_QUERY_MATRIX_BYTES``; larger sets run in several exact passes).
+    Queries come to the driver and go to the tasks a pass at a time, as many as
+    ``MAX_QUERY_MATRIX_BYTES`` holds; a pass's winners are written before the
+    next one, so the driver never holds more than one pass. Ids and distances
+    alone are shuffled; the winners' metadata is joined afterwards. Queries
+    without a vector, and an empty query set, have no results.
     """
     check_top_k(top_k)
     check_metric(metric)
-    base = _narrow(points, where)
-    keep_cols = [c for c in base.columns]
-    n = queries.count()  # the vector column is pruned: no encoding for the count
-    if not n:
-        return None
-    dim = len(queries.select("vector").first()[0] or [])  # one encoder, one dimension
-    per_pass = max(1, MAX_QUERY_MATRIX_BYTES // (8 * max(1, dim)))
-    n_pass = -(-n // per_pass)
-    q = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector")
+    q = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector").where(F.size("vector") > 0)
+    sizes = q.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    dim = sizes[1] or 0
+    base = _narrow(points, where, dim)
+    n_pass = max(1, -(-sizes[0] * 8 * dim // MAX_QUERY_MATRIX_BYTES))
     parts = []
-    for i in range(n_pass):  # each pass ships one bounded slice of the query matrix
-        sl = q if n_pass == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_pass)) == i)
-        rows = sl.collect()
-        if not rows:
-            continue
-        qids = np.array([r["query_id"] for r in rows], dtype=object)
-        qmat = np.array([np.asarray(r["vector"], dtype=np.float64) for r in rows])
-        parts.append(_local_topk(base, qids, qmat, top_k, metric, keep_cols))
+    for i in range(n_pass):
+        rows = (q if n_pass == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_pass)) == i)).collect()
+        bad = [r["query_id"] for r in rows if len(r["vector"]) != dim]
+        if bad:
+            raise ValueError(f"query vectors differ in length: {bad[:5]}")
+        found = _task_topk(base, [r["query_id"] for r in rows], np.array([r["vector"] for r in rows], dtype=np.float64).reshape(len(rows), dim), top_k, metric)
+        if n_pass > 1:
+            path = shared_dir(points.sparkSession, "batch-search")
+            found.write.parquet(path)
+            found = points.sparkSession.read.schema(found.schema).parquet(path)
+        parts.append(found)
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)
     w = Window.partitionBy("query_id").orderBy(order_key("distance"), F.col("id"))
-    return cand.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= top_k).drop("__r")
+    top = cand.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= top_k).drop("__r")
+    return top.join(base.drop("embedding"), "id")
 
 
 def retrieve_many(spark: SparkSession, points: DataFrame, queries: DataFrame, encoder, *, top_k: int = 5,
@@ -260,6 +254,4 @@ def retrieve_many(spark: SparkSession, points: DataFrame, queries: DataFrame, en
         encoder.vector(F.col("query")).alias("vector"),
     )
     top = batch_search(points, q, top_k, metric, where)
-    if top is None:
-        return None
     return shape_results(top, metric, score_threshold, by=["query_id"])

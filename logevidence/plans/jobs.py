@@ -20,15 +20,15 @@ from ..config import Params, check_policy
 from ..operators.chunking import chunk_events, stem_collisions
 from ..operators.embedding import HashEncoder, embed_chunks
 from ..operators.index import VectorIndex
-from ..operators.parse import MAX_LISTED_FILES, ParseError, classify_lines, events_of, first_error, parse_stats
+from ..operators.parse import ParseError, classify_lines, events_of, first_error, parse_stats
 from ..operators.render import render_results, render_text
 from ..operators.report import corpus_report
 from ..operators.retrieval import build_where, retrieve, retrieve_many
 from ..schemas import CHUNK_FIELDS, EMBEDDING_FIELDS, EVENT_FIELDS
 from ..session import apply_job_conf, shared_dir
-from ..operators.detect import detect_sources, name_rule, resolve_source
-from ..sources.files import discover_log_files, existing_files, read_head_lines, read_lines
-from ..sources.jsonl import load_chunks, load_embedding_records, load_events, stage_input, write_jsonl
+from ..operators.detect import resolve_source
+from ..sources.files import check_hidden_files, discover_log_files, existing_files, read_lines
+from ..sources.jsonl import load_chunks, load_embedding_records, load_events, stage_input, write_json_array, write_jsonl
 
 
 @dataclass
@@ -37,9 +37,28 @@ class ParseResult:
     stats: DataFrame
 
 
+OUTPUT_FORMATS = ("parquet", "jsonl", "json")
+
+
+def _check_stems(events: DataFrame) -> None:
+    clash = [r["stem"] for r in stem_collisions(events).limit(5).collect()]
+    if clash:
+        raise ValueError(f"chunk id collision: files with the same stem {clash}; use id_scope='path'")
+
+
+def _check_format(fmt: str) -> None:
+    if fmt not in OUTPUT_FORMATS:
+        raise ValueError(f"unknown output format {fmt!r}; use one of {list(OUTPUT_FORMATS)}")
+
+
 def _write(df: DataFrame, path: str, fmt: str, fields: Sequence[str]) -> None:
+    _check_format(fmt)
+    if fmt != "parquet" and "source_path" in df.columns:
+        _check_stems(df)  # the record layout has no path: files of one name could not be told apart later
     if fmt == "jsonl":
         write_jsonl(df, path, fields)
+    elif fmt == "json":
+        write_json_array(df, path, fields)
     else:
         df.write.mode("overwrite").parquet(path)
 
@@ -54,41 +73,25 @@ def _read(spark: SparkSession, path: str, fmt: str, loader, stage: str | None =
 
 def classify_files(spark: SparkSession, logs_path: str, params: Params = Params(), *,
                    forced_source: str | None = None) -> DataFrame:
-    """E-01 front half on real files: every file is read once by the parser of its kind.
+    """E-01 front half on real files, one route for any number and names of files.
 
-    The kind comes from the file name where the name decides (P-16); only the
-    remaining files are sampled, reading their first block alone. Each kind's
-    files are then read as an explicit list, so no file is scanned by both
-    parsers. Only up to ``MAX_LISTED_FILES`` paths travel through the driver;
-    larger corpora are classified inside Spark instead.
+    The folder is read by its patterns; no file list goes through the driver.
+    With one kind the lines go straight to its parser. Otherwise the numbered
+    lines are written once, so the text files are scanned for that only, and
+    the kinds (P-16) and both parsers read that table.
     """
     fixed = resolve_source(forced_source, params.source_type)
     opts = dict(iis_fields=params.iis_fields, iis_fields_from_header=params.iis_fields_from_header)
-    listing = discover_log_files(spark, logs_path, params.effective_patterns(), recursive=params.recursive)
-    named = listing.select("path", name_rule(F.col("name")).alias("source")).limit(MAX_LISTED_FILES + 1).collect()
-    if not named:
-        raise FileNotFoundError(f"no log files matching {params.effective_patterns()} under {logs_path}")
-    if len(named) > MAX_LISTED_FILES:
-        # Too many files to route through the driver: read the folder once per
-        # parser kind and let Spark classify (see classify_lines).
-        lines = read_lines(spark, logs_path, patterns=params.effective_patterns(), recursive=params.recursive)
-        return classify_lines(lines, forced_source=forced_source, source_type=params.source_type, **opts)
-    if fixed is not None:
-        return classify_lines(read_lines(spark, [r["path"] for r in named]), forced_source=fixed, **opts)
-    kinds = {r["path"]: r["source"] for r in named}
-    undecided = [p for p, k in kinds.items() if k is None]
-    if undecided:
-        for r in detect_sources(read_head_lines(spark, undecided)).select("source_path", "source").collect():
-            kinds[r["source_path"]] = r["source"]
-    parts = []
-    for kind in ("haproxy", "iis"):
-        files = sorted(p for p, k in kinds.items() if (k or "haproxy") == kind)
-        if files:
-            parts.append(classify_lines(read_lines(spark, files), forced_source=kind, **opts))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    patterns = params.effective_patterns()
+    check_hidden_files(spark, logs_path, patterns, params.recursive)
+    if discover_log_files(spark, logs_path, patterns, recursive=params.recursive).isEmpty():
+        raise FileNotFoundError(f"no log files matching {patterns} under {logs_path}")
+    lines = read_lines(spark, logs_path, patterns=patterns, recursive=params.recursive, encoding=params.encoding)
+    if fixed is None:
+        path = shared_dir(spark, "numbered-lines")
+        lines.write.parquet(path)
+        lines = spark.read.schema(lines.schema).parquet(path)
+    return classify_lines(lines, forced_source=fixed, **opts)
 
 
 def parse_logs(spark: SparkSession, logs_path: str, out_path: str, params: Params = Params(), *,
@@ -101,6 +104,7 @@ def parse_logs(spark: SparkSession, logs_path: str, out_path: str, params: Param
     apply_job_conf(spark)
     params.check()
     check_policy(params.on_parse_error)
+    _check_format(output_format)
     cl = classify_files(spark, logs_path, params, forced_source=forced_source)
     bronze = shared_dir(spark, "classified-lines")
     cl.write.mode("overwrite").parquet(bronze)
@@ -110,8 +114,7 @@ def parse_logs(spark: SparkSession, logs_path: str, out_path: str, params: Param
         if bad is not None:
             raise ParseError(f"unparseable line in {bad['source_file']}:{bad['line_number']} -> {bad['raw']!r}")
     ev = events_of(cl, "keep" if params.on_parse_error == "keep" else "skip")
-    _write(ev if output_format != "jsonl" else ev.select(*EVENT_FIELDS, "source_path"), out_path, output_format,
-           EVENT_FIELDS)
+    _write(ev, out_path, output_format, EVENT_FIELDS)
     return ParseResult(out_path, parse_stats(cl, params.on_parse_error))
 
 
@@ -133,9 +136,7 @@ def chunk_logs(spark: SparkSession, events_path: str, out_path: str, params: Par
         _write(ch, out_path, output_format, CHUNK_FIELDS)
         return _read(spark, out_path, output_format, load_chunks)
     if id_scope == "stem" and "source_path" in ev.columns:
-        clash = [r["stem"] for r in stem_collisions(ev).limit(5).collect()]
-        if clash:
-            raise ValueError(f"chunk id collision: files with the same stem {clash}; use id_scope='path'")
+        _check_stems(ev)
     ch = chunk_events(ev, params.chunk_size, params.chunk_overlap, id_scope=id_scope)
     _write(ch, out_path, output_format, CHUNK_FIELDS)
     return _read(spark, out_path, output_format, load_chunks)
@@ -198,7 +199,8 @@ def validate_corpus(spark: SparkSession, files: Sequence[str] | str, index_root:
         files, skipped = existing_files(spark, list(files))
     secs = {}
     t0 = time.perf_counter()
-    lines = read_lines(spark, files, patterns=params.effective_patterns(), recursive=params.recursive)
+    lines = read_lines(spark, files, patterns=params.effective_patterns(), recursive=params.recursive,
+                       encoding=params.encoding)
     cl = classify_lines(lines, forced_source=source, iis_fields=params.iis_fields,
                         iis_fields_from_header=params.iis_fields_from_header)
     p_cl = shared_dir(spark, "validate-classified")
@@ -208,9 +210,7 @@ def validate_corpus(spark: SparkSession, files: Sequence[str] | str, index_root:
     secs["t_parse"] = time.perf_counter() - t0
     t0 = time.perf_counter()
     if id_scope == "stem":
-        clash = [r["stem"] for r in stem_collisions(ev).limit(5).collect()]
-        if clash:
-            raise ValueError(f"chunk id collision: files with the same stem {clash}; use id_scope='path'")
+        _check_stems(ev)
     p_ch = shared_dir(spark, "validate-chunks")
     chunks = chunk_events(ev, params.chunk_size, params.chunk_overlap, id_scope=id_scope)
     chunks.write.mode("overwrite").parquet(p_ch)
@@ -246,4 +246,4 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 __all__ = ["parse_logs", "chunk_logs", "embed_chunks_job", "index_embeddings", "retrieve_job", "retrieve_batch_job",
-           "validate_corpus", "write_report", "ParseResult", "F"]
+           "validate_corpus", "write_report", "ParseResult"]

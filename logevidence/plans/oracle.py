@@ -610,3 +610,35 @@ SELECT conv_id, turn, n_markers, n_valid, n_markers - n_valid AS n_unknown, is_a
 FROM y"""
 
 __all__ = ["SQL", "PHENOMENA"]
+
+SQL["q_precision_misses"] = SQL["q_precision_at_k"].replace("FROM per_q", f"""FROM (
+  SELECT q.query_id, l1, w1, wk, coalesce(hit, 0) AS hit
+  FROM (SELECT unnest({[q for q, _, _ in EVAL_QUERIES]}) AS query_id) q
+  LEFT JOIN (SELECT * FROM per_q WHERE query_id IN ({", ".join(f"'{q}'" for q in sorted(x for x, _, _ in EVAL_QUERIES)[: len(EVAL_QUERIES) // 2])})) USING (query_id)
+)""")
+
+SQL["q_parse_files"] = with_(BASE, HX) + """
+SELECT regexp_replace(source_file, '[.]log$', '') AS app, severity, count(*) AS n_events,
+  CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(duration_ms) AS BIGINT) AS duration_ms,
+  CAST(sum(length(raw)) AS BIGINT) AS chars
+FROM hx_events GROUP BY 1, 2"""
+
+SQL["q_jobs_jsonl"] = with_(BASE, HX, CHUNKS) + """
+SELECT chunk_id, source_file, line_start, line_end, ts_start, ts_end FROM chunks"""
+
+SQL["q_index_disk"] = """
+WITH old AS (
+  SELECT vec_id AS id, 'label_' || CAST(label AS VARCHAR) AS source_file,
+    round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS vector_sum FROM embeddings
+),
+merged AS (
+  SELECT id + 250 AS id, 'second' AS state, source_file, vector_sum FROM old
+  UNION ALL
+  SELECT id, 'loaded', source_file, vector_sum FROM old WHERE id NOT IN (SELECT id + 250 FROM old)
+)
+SELECT CAST(id AS VARCHAR) AS id, state, source_file, vector_sum, (SELECT count(*) FROM merged) AS n_points FROM merged"""
+
+SQL["q_chunk_null_lines"] = with_(BASE, HX) + """
+SELECT source_file, count(*) AS n_events, count(*) FILTER (WHERE line_number % 10 <> 0) AS n_numbered,
+  count(*) AS n_positions, count(*) - 1 AS last
+FROM hx_events GROUP BY 1"""

@@ -17,18 +17,19 @@ from ..operators.detect import detect_sources
 from ..operators.iis import active_headers
 from ..operators.parse import classify_lines, events_of, parse_stats
 from ..operators.retrieval import attach_text, build_where, extra_where, retrieve, retrieve_many, search, shape_results
-from ..config import ABSTENTION_SENTENCE
-from ..operators.chunking import chunk_events
+from ..config import ABSTENTION_SENTENCE, Params
+from ..operators.chunking import chunk_events, positioned_events
 from ..operators.citations import evidence_blocks, expand_markers, validate_answers
 from ..operators.embedding import embed_chunks
 from ..operators.evaluation import chunk_histograms, chunk_membership, phenomenon_counts, precision_at_k, relevance_labels
-from ..operators.index import dedup_last, upsert_frames
+from ..operators.index import VectorIndex, dedup_last, upsert_frames
 from ..operators.render import render_results
 from ..operators.report import corpus_report
 from ..session import shared_dir
 from ..sources.files import discover_log_files, read_lines
 from ..sources.jsonl import load_events, write_events
 from . import driver_tables as D
+from .jobs import chunk_logs, embed_chunks_job, parse_logs
 
 EVENT_OUT = ("timestamp", "source", "severity", "client_ip", "method", "path", "status_code", "bytes",
              "duration_ms", "backend", "source_file", "line_number", "raw")
@@ -289,7 +290,15 @@ def q_relevance_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_precision_at_k(spark: SparkSession, sf: str) -> DataFrame:
     """D-03: precision@1 (strict, R-or-P, weighted), precision@3 weighted, success@3."""
-    return precision_at_k(_labels(spark, sf), 3)
+    asked = spark.createDataFrame([(q,) for q, _, _ in D.EVAL_QUERIES], "query_id string")
+    return precision_at_k(_labels(spark, sf), 3, asked)
+
+
+def q_precision_misses(spark: SparkSession, sf: str) -> DataFrame:
+    """D-03 where half of the queries have no result: they count as misses."""
+    ids = sorted(q for q, _, _ in D.EVAL_QUERIES)
+    asked = spark.createDataFrame([(q,) for q in ids], "query_id string")
+    return precision_at_k(_labels(spark, sf).where(F.col("query_id").isin(ids[: len(ids) // 2])), 3, asked)
 
 
 def q_phenomena(spark: SparkSession, sf: str) -> DataFrame:
@@ -319,6 +328,60 @@ def _answers(spark, sf) -> DataFrame:
     return c.select("conv_id", "turn", ans.alias("answer"))
 
 
+def q_parse_files(spark: SparkSession, sf: str) -> DataFrame:
+    """E-01/S-01/S-03/P-16 as a user calls it: log files under folders whose names hold spaces,
+    hashes and brackets, through the parse job with detection, events read back as JSON Lines."""
+    path = shared_dir(spark, "odd-logs")
+    v = D.haproxy_view(spark, sf).withColumn("app", F.concat(F.regexp_replace("source_file", "[.]log$", ""), F.lit(" #1 [a] %2")))
+    (v.repartitionByRange("app", "line_number").sortWithinPartitions("app", "line_number").select("app", "raw")
+     .write.partitionBy("app").text(path))
+    out = shared_dir(spark, "odd-events")
+    parse_logs(spark, path, out, Params(recursive=True, file_patterns=("*.txt",)))
+    return load_parquet_events(spark, out)
+
+
+def load_parquet_events(spark: SparkSession, path: str) -> DataFrame:
+    """Events of the parse job, counted per original app and severity."""
+    ev = spark.read.parquet(path)
+    app = F.regexp_extract(F.url_decode(F.replace("source_path", F.lit("+"), F.lit("%2B"))), "app=([^ /]+) #1 ", 1)
+    return ev.groupBy(app.alias("app"), "severity").agg(
+        F.count(F.lit(1)).alias("n_events"), F.sum("bytes").alias("bytes"), F.sum("duration_ms").alias("duration_ms"),
+        F.sum(F.length("raw")).alias("chars"))
+
+
+def q_jobs_jsonl(spark: SparkSession, sf: str) -> DataFrame:
+    """S-06..S-08/K-01/K-03/K-04/E-02/E-03: events, chunks and embedding records through the jobs as JSON Lines."""
+    events, chunks, records = (shared_dir(spark, f"stage-{x}") for x in ("events", "chunks", "records"))
+    write_events(D.haproxy_events(spark, sf), events)
+    params = Params(chunk_size=D.CHUNK_SIZE, chunk_overlap=D.CHUNK_OVERLAP, embedding_dim=D.HASH_DIM)
+    chunk_logs(spark, events, chunks, params, input_format="jsonl", output_format="jsonl")
+    rec = embed_chunks_job(spark, chunks, records, input_format="jsonl", output_format="jsonl", params=params)
+    return rec.select("chunk_id", "source_file", "line_start", "line_end", "ts_start", "ts_end")
+
+
+def q_index_disk(spark: SparkSession, sf: str) -> DataFrame:
+    """K-05/S-10/S-11/X-04 on the stored index: a load, a second one with overlapping and repeated ids
+    (the later of each counts), every point with its vector, and the count."""
+    ix = VectorIndex(spark, shared_dir(spark, "index"), "disk").open()
+    ix.upsert(D.vector_points(spark, sf, model="m"))
+    shifted = D.vector_points(spark, sf, model="m").withColumn("id", (F.col("id").cast("long") + 250).cast("string"))
+    first = shifted.withColumn("document", F.lit("first")).withColumn("seq", F.lit(1))
+    ix.upsert(first.unionByName(shifted.withColumn("document", F.lit("second")).withColumn("seq", F.lit(2))), order_col="seq")
+    return ix.points().select(
+        "id", F.when(F.col("document") == "second", "second").otherwise("loaded").alias("state"), "source_file",
+        F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("vector_sum"),
+        F.lit(ix.count()).alias("n_points"))
+
+
+def q_chunk_null_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """F-09/W-02: events whose line number is missing stay in their file's chunks."""
+    ev = D.haproxy_events(spark, sf).withColumn("line_number", F.when(F.col("line_number") % 10 != 0, F.col("line_number")))
+    pos = positioned_events(ev, "source_file")
+    return pos.groupBy("source_file").agg(
+        F.count(F.lit(1)).alias("n_events"), F.count("line_number").alias("n_numbered"),
+        F.count_distinct("pos").alias("n_positions"), F.max("pos").cast("long").alias("last"))
+
+
 def q_expand_citations(spark: SparkSession, sf: str) -> DataFrame:
     """D-06: every [E#] marker expanded to file:Lx-Ly, time range and severities."""
     return expand_markers(_answers(spark, sf), _text_results(spark, sf))
@@ -326,7 +389,7 @@ def q_expand_citations(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_validate_citations(spark: SparkSession, sf: str) -> DataFrame:
     """D-07: per answer marker validity, abstention, uncited sentences and pass flag."""
-    return validate_answers(_answers(spark, sf), 5)
+    return validate_answers(_answers(spark, sf), _text_results(spark, sf).count())
 
 
 REGISTRY = {
@@ -364,4 +427,9 @@ REGISTRY = {
     "q_evidence": q_evidence,
     "q_expand_citations": q_expand_citations,
     "q_validate_citations": q_validate_citations,
+    "q_chunk_null_lines": q_chunk_null_lines,
+    "q_index_disk": q_index_disk,
+    "q_jobs_jsonl": q_jobs_jsonl,
+    "q_parse_files": q_parse_files,
+    "q_precision_misses": q_precision_misses,
 }

@@ -12,12 +12,14 @@ Two reading modes:
   each file must fit in one row (< 2 GB).
 
 Deviations of the text source (documented): it splits on ``\\n``, ``\\r\\n`` and
-``\\r`` only, and, like every Spark file source, skips names starting with
-``.`` or ``_``.
+``\\r`` only. Spark's file sources leave out names starting with ``.`` or ``_``;
+``check_hidden_files`` raises for those.
 """
 
 from __future__ import annotations
 
+import codecs
+import fnmatch
 import gzip
 from collections.abc import Sequence
 
@@ -38,15 +40,28 @@ def _brace(patterns: Sequence[str]) -> str:
 
 
 def _reader(spark: SparkSession, fmt: str, patterns: Sequence[str], recursive: bool):
-    r = spark.read.format(fmt)
-    if recursive:
-        r = r.option("recursiveFileLookup", "true").option("pathGlobFilter", _brace(patterns))
-    return r
+    """The files of a folder whose names match; in flat mode its own files only, never those of a sub-folder."""
+    return spark.read.format(fmt).option("pathGlobFilter", _brace(patterns)).option("recursiveFileLookup", str(recursive).lower())
 
 
-def _targets(root: str, patterns: Sequence[str], recursive: bool) -> str:
-    # Flat mode globs the top level only, so sub-folders are never listed.
-    return root if recursive else f"{root.rstrip('/')}/{_brace(patterns)}"
+def check_hidden_files(spark: SparkSession, root: str, patterns: Sequence[str], recursive: bool) -> None:
+    """Raise for matching files that Spark's file sources would leave out (names with ``_`` or ``.`` first)."""
+    sc = spark.sparkContext
+    hp = sc._jvm.org.apache.hadoop.fs.Path(root)
+    fs = hp.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(hp):
+        raise FileNotFoundError(f"input folder does not exist: {root}")
+    hidden, folders = [], [hp]
+    while folders and len(hidden) < 5:
+        for st in fs.listStatus(folders.pop()):
+            name = st.getPath().getName()
+            if st.isDirectory():
+                if recursive:
+                    folders.append(st.getPath())
+            elif name[0] in "_." and not name.endswith(".crc") and any(fnmatch.fnmatchcase(name, p) for p in patterns):
+                hidden.append(name)
+    if hidden:
+        raise ValueError(f"log files with names that Spark does not read, rename them: {sorted(hidden)[:5]}")
 
 
 def discover_log_files(spark: SparkSession, root: str, patterns: Sequence[str] = ("*.log",), *,
@@ -55,7 +70,7 @@ def discover_log_files(spark: SparkSession, root: str, patterns: Sequence[str] =
 
     Only file metadata is read (the content column is pruned).
     """
-    df = _reader(spark, "binaryFile", patterns, recursive).load(_targets(root, patterns, recursive))
+    df = _reader(spark, "binaryFile", patterns, recursive).load(root)
     return (
         df.select("path", F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "length")
         .dropDuplicates(["path"])
@@ -65,84 +80,61 @@ def discover_log_files(spark: SparkSession, root: str, patterns: Sequence[str] =
 
 def _load_text(spark, paths, patterns, recursive):
     if isinstance(paths, str):
-        return _reader(spark, "text", patterns, recursive).load(_targets(paths, patterns, recursive))
+        return _reader(spark, "text", patterns, recursive).load(paths)
     return spark.read.format("text").load(list(paths))
 
 
-# Largest per-block offset table broadcast to the line scan (bytes, estimated).
-MAX_BLOCK_TABLE_BYTES = 256 << 20
-_BLOCK_ROW_BYTES = 64  # block start, delta and hashing overhead, plus the path
-
-
 def read_lines(spark: SparkSession, paths: str | Sequence[str], *, patterns: Sequence[str] = ("*.log", "*.gz"),
-               recursive: bool = False) -> DataFrame:
+               recursive: bool = False, encoding: str = "utf-8") -> DataFrame:
     """S-03/S-04 scale mode: ``source_path, source_file, line_number, raw``.
 
-    ``paths`` is a folder (discovered with ``patterns``) or an explicit file list.
+    ``paths`` is a folder (discovered with ``patterns``; names may hold any
+    character) or an explicit file list. Bytes that are not valid UTF-8 become
+    replacement characters; another ``encoding`` must be one whose line feeds
+    are single bytes (Latin and most others; not UTF-16: see ``read_lines_exact``).
     """
     text = _load_text(spark, paths, patterns, recursive)
-    return number_lines(text.select("value", "_metadata"), broadcast_blocks=_block_table_fits(spark, paths))
+    return number_lines(text.select("value", "_metadata"), encoding)
 
 
-def _block_table_fits(spark: SparkSession, paths: str | Sequence[str]) -> bool:
-    """Bound the per-block table from file-system metadata: blocks <= bytes / split + files.
+def _plain_name(encoded):
+    """Spark's file metadata has names URL-encoded; a plus sign stands for itself there."""
+    return F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
 
-    A folder costs one content-summary call (its totals bound the matching
-    files); an explicit list sums the statuses of the listed files.
-    """
-    sc = spark.sparkContext
-    conf = sc._jsc.hadoopConfiguration()
-    Path = sc._jvm.org.apache.hadoop.fs.Path
-    n_bytes = n_files = longest = 0
-    for p in [paths] if isinstance(paths, str) else list(paths):
-        hp = Path(p)
-        fs = hp.getFileSystem(conf)
-        matches = fs.globStatus(hp)  # plain paths match themselves; globs expand
-        if matches is None or len(matches) == 0:
-            return False  # nothing provable about this input: let AQE decide
-        for st in matches:
-            cs = fs.getContentSummary(st.getPath())
-            n_bytes += cs.getLength()
-            n_files += cs.getFileCount()
-        longest = max(longest, len(p) + 256)
-    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
-    blocks = n_bytes // max(1, split) + n_files
-    return blocks * (_BLOCK_ROW_BYTES + longest) <= MAX_BLOCK_TABLE_BYTES
-
-
-def read_head_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """The numbered lines of the first block of each file (enough for P-16's
-    10-line sample). The block filter runs before numbering, so later blocks
-    never reach the line-numbering plan. The block table then has one row per
-    listed file, and callers pass at most ``MAX_LISTED_FILES`` files."""
-    text = spark.read.format("text").load(list(paths)).select("value", "_metadata")
-    return number_lines(text.where(F.col("_metadata.file_block_start") == 0), broadcast_blocks=True)
-
-
-def _bytes(v: str) -> int:
-    """Parse a Spark byte-size setting such as ``134217728``, ``128m`` or ``128MB``."""
-    t = str(v).strip().lower().rstrip("b")
-    mult = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    if t and t[-1] in mult:
-        return int(float(t[:-1]) * mult[t[-1]])
-    return int(t)
-
-
-def number_lines(text: DataFrame, broadcast_blocks: bool | None = None) -> DataFrame:
+
+def _decoder(encoding: str):
+    """Decoding that Spark's own charsets leave out, a batch at a time."""
+
+    @pandas_udf(T.StringType())
+    def decoded(values: pd.Series) -> pd.Series:
+        return values.map(lambda b: None if b is None else bytes(b).decode(encoding, "replace"))
+
+    return decoded
+
+
+def number_lines(text: DataFrame, encoding: str = "utf-8") -> DataFrame:
     """Number the rows of a text scan (columns ``value`` and ``_metadata``) per file.
 
     Inside one block the rows of a task are consecutive, so ``mid - first_mid``
     is the offset in the block; earlier blocks of the same file contribute their
     line counts through an exclusive prefix sum over the block table (one row per
-    block). With a proven size bound the block table is broadcast, so the lines
-    are never shuffled; without one AQE decides after measuring it.
+    block), which AQE broadcasts where it is measured to be small.
     """
+    name = codecs.lookup(encoding).name
+    if name.startswith(("utf-16", "utf-32")):
+        raise ValueError(f"{encoding} needs read_lines_exact")
+    if name == "utf-8":
+        raw = F.make_valid_utf8("value")
+    elif name == "iso8859-1":
+        raw = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    else:
+        raw = _decoder(name)(F.col("value").cast("binary"))
     scan = text.select(
-        F.col("_metadata.file_path").alias("source_path"),
-        F.col("_metadata.file_name").alias("source_file"),
+        _plain_name(F.col("_metadata.file_path")).alias("source_path"),
+        _plain_name(F.col("_metadata.file_name")).alias("source_file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("mid"),
-        F.col("value").alias("raw"),
+        raw.alias("raw"),
     )
     blocks = scan.groupBy("source_path", "block").agg(F.min("mid").alias("first_mid"), F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("source_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -150,8 +142,6 @@ def number_lines(text: DataFrame, broadcast_blocks: bool | None = None) -> DataF
         "source_path", "block",
         (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first_mid") + 1).alias("delta"),
     )
-    if broadcast_blocks:
-        offs = F.broadcast(offs)
     return scan.join(offs, on=["source_path", "block"], how="inner").select(
         "source_path", "source_file", (F.col("mid") + F.col("delta")).alias("line_number"), "raw"
     )
@@ -172,7 +162,7 @@ def read_lines_exact(spark: SparkSession, paths: str | Sequence[str], *, encodin
                      patterns: Sequence[str] = ("*.log", "*.gz"), recursive: bool = False) -> DataFrame:
     """S-03/S-04 exact mode (``str.splitlines`` boundaries, any Spark-supported charset)."""
     if isinstance(paths, str):
-        files = _reader(spark, "binaryFile", patterns, recursive).load(_targets(paths, patterns, recursive))
+        files = _reader(spark, "binaryFile", patterns, recursive).load(paths)
     else:
         files = spark.read.format("binaryFile").load(list(paths))
     content = _maybe_gunzip(F.col("path"), F.col("content"))

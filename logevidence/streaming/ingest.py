@@ -5,7 +5,9 @@ micro-batch of newly arrived files. A file source hands each file to exactly
 one micro-batch, whole, so per-file line numbers, IIS header carry-forward and
 chunk windows computed inside ``foreachBatch`` are exact. Outputs are written to
 ``batch=<id>`` folders with overwrite, so a retried micro-batch replaces its own
-output (exactly-once together with the checkpoint).
+output (exactly-once together with the checkpoint). Under ``fail`` an unparseable
+line ends the stream. Lines appended to a file that was already taken are not
+read: files must arrive whole.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import Params
 from ..operators.chunking import chunk_events
-from ..operators.parse import classify_lines, events_of
+from ..operators.parse import ParseError, classify_lines, events_of, first_error
 from ..session import apply_job_conf, shared_dir
 from ..sources.files import _brace, number_lines
 
@@ -40,6 +42,10 @@ def start_ingest(spark: SparkSession, logs_dir: str, out_dir: str, params: Param
         lines = number_lines(batch)
         cl = classify_lines(lines, forced_source=forced_source, source_type=params.source_type,
                             iis_fields=params.iis_fields, iis_fields_from_header=params.iis_fields_from_header)
+        if params.on_parse_error == "fail":
+            bad = first_error(cl)
+            if bad is not None:
+                raise ParseError(f"unparseable line in {bad['source_file']}:{bad['line_number']} -> {bad['raw']!r}")
         ev_path = f"{out_dir}/events/batch={batch_id}"
         events_of(cl, policy).write.mode("overwrite").parquet(ev_path)
         ev = batch.sparkSession.read.parquet(ev_path)

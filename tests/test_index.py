@@ -24,10 +24,11 @@ def test_upsert_idempotent_and_never_deletes(spark, tmpdir_path):
     ix.upsert(records(spark, ["a", "b"]))
     ix.upsert(records(spark, ["c"]))
     assert ix.count() == 3
-    ix.upsert(records(spark, ["a", "b"], model="m2"))
+    again = records(spark, ["a", "b"]).selectExpr("* except (source_file)", "'g.log' AS source_file")
+    ix.upsert(again)
     assert ix.count() == 3
-    got = {r["id"]: r["embedding_model"] for r in ix.points().collect()}
-    assert got == {"a": "m2", "b": "m2", "c": "m"}
+    got = {r["id"]: r["source_file"] for r in ix.points().collect()}
+    assert got == {"a": "g.log", "b": "g.log", "c": "f.log"}
     v = ix.version()
     assert ix.upsert(records(spark, [])) == v  # empty payload is a no-op
 
@@ -47,10 +48,52 @@ def test_duplicates_in_one_load_last_wins(spark, tmpdir_path):
 
     from logevidence.operators.index import dedup_last
 
-    df = records(spark, ["a"]).unionByName(records(spark, ["a"], model="late"))
-    df = df.withColumn("seq", F.when(F.col("embedding_model") == "late", 2).otherwise(1))
+    late = records(spark, ["a"]).selectExpr("* except (source_file)", "'late' AS source_file")
+    df = records(spark, ["a"]).unionByName(late)
+    df = df.withColumn("seq", F.when(F.col("source_file") == "late", 2).otherwise(1))
     out = dedup_last(index_points(df, extra=("seq",)), "seq").collect()
-    assert len(out) == 1 and out[0]["embedding_model"] == "late"
+    assert len(out) == 1 and out[0]["source_file"] == "late"
     ix = VectorIndex(spark, tmpdir_path, "dup")
     ix.upsert(df, order_col="seq")
-    assert [r["embedding_model"] for r in ix.points().collect()] == ["late"]
+    assert [r["source_file"] for r in ix.points().collect()] == ["late"]
+
+
+def test_refused_vectors_and_models(spark, tmpdir_path):
+    from pyspark.sql import functions as F
+
+    ix = VectorIndex(spark, tmpdir_path, "bad")
+    for vector in (F.lit(None).cast("array<float>"), F.array(F.lit(1.0).cast("float"))):
+        with pytest.raises(ValueError, match="no vector"):
+            ix.upsert(records(spark, ["a"]).withColumn("embedding", vector))
+    assert ix.count() == 0
+    ix.upsert(records(spark, ["a"]))
+    with pytest.raises(ValueError, match="model mismatch"):
+        ix.upsert(records(spark, ["b"], model="other"))
+    with pytest.raises(ValueError, match="model mismatch"):
+        VectorIndex(spark, tmpdir_path, "new").upsert(records(spark, ["b"], model="x").unionByName(records(spark, ["c"], model="y")))
+
+
+def test_only_one_of_two_writers_commits(spark, tmpdir_path, monkeypatch):
+    one, two = VectorIndex(spark, tmpdir_path, "race"), VectorIndex(spark, tmpdir_path, "race")
+    one.upsert(records(spark, ["a"]))
+    monkeypatch.setattr(two, "_next_version", lambda: 0)  # it looked before the other one committed
+    with pytest.raises(RuntimeError, match="another writer"):
+        two.upsert(records(spark, ["b"]))
+    assert [r["id"] for r in one.points().collect()] == ["a"]
+
+
+def test_unreadable_commit_is_no_empty_index(spark, tmpdir_path):
+    ix = VectorIndex(spark, tmpdir_path, "torn")
+    ix.upsert(records(spark, ["a"]))
+    with open(f"{ix.path}/_meta/v=1.json", "w") as fh:
+        fh.write("{not json\n")
+    with pytest.raises(Exception):
+        ix.count()
+    with open(f"{ix.path}/_meta/v=1.json", "w") as fh:  # a writer that died before it wrote
+        fh.write("")
+    import os
+
+    os.remove(f"{ix.path}/_meta/.v=0.json.crc") if os.path.exists(f"{ix.path}/_meta/.v=0.json.crc") else None
+    assert ix.count() == 1
+    ix.upsert(records(spark, ["b"]))
+    assert ix.count() == 2

@@ -72,17 +72,59 @@ def test_explicit_list_reports_missing(spark, tmpdir_path):
     assert present == [f"{tmpdir_path}/a.log"] and missing == [f"{tmpdir_path}/nope.log"]
 
 
-def test_line_numbers_without_broadcast_bound(spark, tmpdir_path, monkeypatch):
-    import logevidence.sources.files as files
-
-    monkeypatch.setattr(files, "MAX_BLOCK_TABLE_BYTES", 0)  # no proven bound: AQE picks the join
+def test_line_numbers_over_small_splits(spark, tmpdir_path):
     n = 3000
     write(f"{tmpdir_path}/big.log", "".join(f"row {i}\n" for i in range(1, n + 1)).encode())
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
     try:
-        assert not files._block_table_fits(spark, tmpdir_path)
         got = rows(read_lines(spark, tmpdir_path))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert len(got) == n and all(raw == f"row {ln}" for _, ln, raw in got)
+
+
+HAPROXY = ("Feb  6 12:14:14 localhost haproxy[14389]: 10.0.1.2:33317 [06/Feb/2009:12:14:14.655] http-in static/srv1 "
+           '10/0/30/69/109 200 2750 - - ---- 1/1/1/1/0 0/0 {1wt.eu} {} "GET /%s HTTP/1.1"')
+
+
+def test_any_file_name_encoding_and_folder(spark, tmpdir_path):
+    """Names with spaces, hashes and brackets, a folder named like a log, Latin-1 and bad UTF-8 bytes."""
+    from logevidence.config import Params
+    from logevidence.plans.jobs import classify_files
+
+    for i, name in enumerate(("web site.log", "web#1.log", "web[1].log", "web%20x.log", "web{a}.log")):
+        write(f"{tmpdir_path}/in/{name}", (HAPROXY % f"p{i}").encode() + b"\n")
+    write(f"{tmpdir_path}/in/old.log/inner.txt", b"not a log\n")
+    write(f"{tmpdir_path}/in/u_ex1.log", b"#Fields: date time cs-method cs-uri-stem sc-status\n2026-01-01 00:00:00 GET /i 200\n")
+    got = classify_files(spark, f"{tmpdir_path}/in").where("status = 'ok'").select("source_file", "path", "source").collect()
+    assert sorted(r["path"] for r in got) == ["/i", "/p0", "/p1", "/p2", "/p3", "/p4"]
+    assert {r["source"] for r in got if r["path"] == "/i"} == {"iis"}
+    assert {r["source_file"] for r in got} >= {"web site.log", "web#1.log", "web[1].log", "web%20x.log", "web{a}.log"}
+    write(f"{tmpdir_path}/latin/x.log", (HAPROXY % "café").encode("latin-1") + b"\n")
+    latin = classify_files(spark, f"{tmpdir_path}/latin", Params(encoding="latin-1")).collect()
+    assert [r["path"] for r in latin] == ["/café"]
+    write(f"{tmpdir_path}/cp/x.log", (HAPROXY % "šč").encode("cp1250") + b"\n")
+    assert [r["path"] for r in classify_files(spark, f"{tmpdir_path}/cp", Params(encoding="cp1250")).collect()] == ["/šč"]
+    bad = classify_files(spark, f"{tmpdir_path}/latin").collect()
+    assert "\ufffd" in bad[0]["raw"]
+
+
+def test_hidden_names_are_refused(spark, tmpdir_path):
+    import pytest
+
+    from logevidence.plans.jobs import classify_files
+
+    write(f"{tmpdir_path}/a.log", b"x\n")
+    write(f"{tmpdir_path}/_access.log", b"x\n")
+    with pytest.raises(ValueError, match="_access.log"):
+        classify_files(spark, tmpdir_path)
+
+
+def test_control_characters_stay_in_their_field(spark, tmpdir_path):
+    from logevidence.operators.haproxy import haproxy_events
+    from conftest import lines_df
+
+    line = HAPROXY.replace("static/srv1", "sta\x01tic/s\x02rv1") % "a\x01b"
+    r = haproxy_events(lines_df(spark, [line])).first()
+    assert (r["status"], r["backend"], r["path"], r["method"], r["status_code"]) == ("ok", "sta\x01tic/s\x02rv1", "/a\x01b", "GET", 200)
