@@ -21,13 +21,13 @@ LETTER = r"\p{L}"
 
 
 def evidence_blocks(results: DataFrame) -> DataFrame:
-    """D-05: ``evidence_id`` (E<rank>), a metadata header and the chunk text, per result row."""
+    """D-05: ``evidence_id`` (E<rank>), a two-line metadata header and the chunk text, per result row."""
     by = [c for c in ("query_id",) if c in results.columns]
     header = F.concat(
         F.lit("["), F.concat(F.lit("E"), F.col("rank").cast("string")), F.lit("] (score "),
-        F.format_string("%.4f", F.col("score")), F.lit(") origen="), F.col("source_file"),
+        F.format_string("%.2f", F.col("score")), F.lit(") origen="), F.col("source_file"),
         F.lit(" líneas="), F.col("line_start").cast("string"), F.lit("-"), F.col("line_end").cast("string"),
-        F.lit(" ts="), F.coalesce(F.col("ts_start"), F.lit("-")), F.lit(".."), F.coalesce(F.col("ts_end"), F.lit("-")),
+        F.lit("\n     ts="), F.coalesce(F.col("ts_start"), F.lit("-")), F.lit(".."), F.coalesce(F.col("ts_end"), F.lit("-")),
         F.lit(" severidades="), severities_text(F.col("severities"), ":", ",", "-"),
     )
     return results.select(
@@ -37,6 +37,26 @@ def evidence_blocks(results: DataFrame) -> DataFrame:
     )
 
 
+def evidence_text(results: DataFrame) -> DataFrame:
+    """D-05: all evidence of a query (k blocks) as one text, blocks apart by a line of dashes."""
+    blocks = evidence_blocks(results)
+    by = [c for c in ("query_id",) if c in blocks.columns]
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "block")))
+    return blocks.groupBy(*by).agg(F.array_join(F.transform(ordered, lambda b: b["block"]), "\n---\n").alias("evidence"))
+
+
+def answer_metrics(validated: DataFrame) -> DataFrame:
+    """Over all answers of :func:`validate_answers`: valid share of the markers, cited share of the factual
+    sentences (abstentions have none to cite), and share of answers that don't pass."""
+    factual = F.when(F.col("is_abstention"), 0).otherwise(F.col("n_sentences"))
+    return validated.agg(
+        F.count(F.lit(1)).alias("n_answers"),
+        F.round(F.try_divide(F.sum("n_valid"), F.sum("n_markers")), 4).alias("marker_validity"),
+        F.round(F.try_divide(F.sum(factual - F.col("n_uncited")), F.sum(factual)), 4).alias("grounding"),
+        F.round(F.avg(F.when(F.col("passes"), 0.0).otherwise(1.0)), 4).alias("unverified_share"),
+    )
+
+
 def expanded_citation(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per evidence: ``[E#] file:Lx-Ly · ts_start → ts_end · sev×n, ...``."""
     sev = F.array_join(

@@ -140,7 +140,8 @@ def embed_chunks(chunks: DataFrame, encoder, model_name: str | None = None) -> D
         "chunk_id",
         "embedding",
         F.lit(name).alias("embedding_model"),
-        F.size("embedding").cast("int").alias("embedding_dim"),
+        # A constant where the encoder knows it, so that reading it doesn't run the encoder.
+        (F.lit(encoder.dim) if hasattr(encoder, "dim") else F.size("embedding")).cast("int").alias("embedding_dim"),
         "source_file",
         "line_start",
         "line_end",

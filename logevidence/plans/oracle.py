@@ -546,9 +546,9 @@ SQL["q_phenomena"] = LOGS + f""",
 ev AS (SELECT * EXCLUDE (event_id) FROM hx_events UNION ALL SELECT * EXCLUDE (event_id) FROM ix_events)
 {_PH}"""
 
-EVID_HEADER = ("'[E' || CAST(rank AS VARCHAR) || '] (score ' || printf('%.4f', score) || ') origen=' || source_file"
+EVID_HEADER = ("'[E' || CAST(rank AS VARCHAR) || '] (score ' || printf('%.2f', score) || ') origen=' || source_file"
                " || ' líneas=' || CAST(line_start AS VARCHAR) || '-' || CAST(line_end AS VARCHAR)"
-               " || ' ts=' || coalesce(ts_start, '-') || '..' || coalesce(ts_end, '-')"
+               " || chr(10) || '     ts=' || coalesce(ts_start, '-') || '..' || coalesce(ts_end, '-')"
                f" || ' severidades=' || {sev_text(':', ',', '-')}")
 
 SQL["q_evidence"] = f"""
@@ -642,3 +642,15 @@ SQL["q_chunk_null_lines"] = with_(BASE, HX) + """
 SELECT source_file, count(*) AS n_events, count(*) FILTER (WHERE line_number % 10 <> 0) AS n_numbered,
   count(*) AS n_positions, count(*) - 1 AS last
 FROM hx_events GROUP BY 1"""
+
+SQL["q_answer_metrics"] = f"""
+SELECT count(*) AS n_answers,
+  round(sum(n_valid) / NULLIF(sum(n_markers), 0), 4) AS marker_validity,
+  round(sum(CASE WHEN is_abstention THEN 0 ELSE n_sentences - n_uncited END)
+        / NULLIF(sum(CASE WHEN is_abstention THEN 0 ELSE n_sentences END), 0), 4) AS grounding,
+  round(avg(CASE WHEN passes THEN 0.0 ELSE 1.0 END), 4) AS unverified_share
+FROM ({SQL["q_validate_citations"]})"""
+
+SQL["q_evidence_text"] = f"""
+SELECT string_agg(header || chr(10) || text, chr(10) || '---' || chr(10) ORDER BY evidence_id) AS evidence
+FROM ({SQL["q_evidence"]})"""

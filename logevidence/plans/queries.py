@@ -19,7 +19,7 @@ from ..operators.parse import classify_lines, events_of, parse_stats
 from ..operators.retrieval import attach_text, build_where, extra_where, retrieve, retrieve_many, search, shape_results
 from ..config import ABSTENTION_SENTENCE, Params
 from ..operators.chunking import chunk_events, positioned_events
-from ..operators.citations import evidence_blocks, expand_markers, validate_answers
+from ..operators.citations import answer_metrics, evidence_blocks, evidence_text, expand_markers, validate_answers
 from ..operators.embedding import embed_chunks
 from ..operators.evaluation import chunk_histograms, chunk_membership, phenomenon_counts, precision_at_k, relevance_labels
 from ..operators.index import VectorIndex, dedup_last, upsert_frames
@@ -392,6 +392,17 @@ def q_validate_citations(spark: SparkSession, sf: str) -> DataFrame:
     return validate_answers(_answers(spark, sf), _text_results(spark, sf).count())
 
 
+def q_answer_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """D-07 over all answers: marker validity, grounding and unverified share."""
+    return answer_metrics(q_validate_citations(spark, sf))
+
+
+def q_evidence_text(spark: SparkSession, sf: str) -> DataFrame:
+    """D-05: the evidence of one query as one text."""
+    pts = D.chunk_points(spark, sf)
+    return evidence_text(attach_text(pts, retrieve(spark, pts, D.RETRIEVE_QUERY, D.encoder(), top_k=5)))
+
+
 REGISTRY = {
     "q_parse_haproxy": q_parse_haproxy,
     "q_parse_iis": q_parse_iis,
@@ -427,6 +438,8 @@ REGISTRY = {
     "q_evidence": q_evidence,
     "q_expand_citations": q_expand_citations,
     "q_validate_citations": q_validate_citations,
+    "q_answer_metrics": q_answer_metrics,
+    "q_evidence_text": q_evidence_text,
     "q_chunk_null_lines": q_chunk_null_lines,
     "q_index_disk": q_index_disk,
     "q_jobs_jsonl": q_jobs_jsonl,
