@@ -21,6 +21,7 @@ from logevidence.llm.common import SPACE_BYTES, key_columns, word_batches, writt
 
 BLOCK_WORDS = 64
 SHARD_SLOTS = 8_192
+TASK_SLOTS = 1_000_000
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
 SEED = 20_24
@@ -159,7 +160,9 @@ def slots(plan: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SH
         .select(F.lit(shards).cast("long").alias("shard"), "place", F.least("drawn", "quota").alias("first"), (F.col("quota") - F.least("drawn", "quota")).alias("n"))
     )
     runs = counts.select("shard", "place", "first", "n").union(balance).where("n > 0")
-    return runs.repartition("shard", "place").mapInArrow(mapped, "shard int, slot long, source_no int, block long")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_SLOTS)
+    found = runs.repartition(tasks, "shard", "place").mapInArrow(mapped, "shard int, slot long, source_no int, block long")
+    return found
 
 
 def _quota(size: int, target: float, block_words: int) -> int:
@@ -193,7 +196,8 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # One row per source.
     named = sized.join(F.broadcast(plan.select(F.col("source").alias("_s"), "source_no")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source")
     placed = written(stream_places(named), "stream")
-    taken = slots(plan).join(spans(placed), ["source_no", "block"])
+    # Both sides are many times the rows that they are made of, by which Spark would take them for small.
+    taken = slots(plan).join(spans(placed).hint("merge"), ["source_no", "block"])
     return placed, plan, taken
 
 
