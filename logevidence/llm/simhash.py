@@ -110,9 +110,10 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     )
     replicas = coded.select("half", F.explode(F.concat(F.array(_flip(F.col("bits"), s)), two)).alias("anchor"), F.col("fp").alias("v"))
     near = (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits)
+    # Replicas are many times the rows that they are made of, by which Spark would take them for small.
     return (
         home.alias("a")
-        .join(replicas.alias("b"), (F.col("a.half") == F.col("b.half")) & (F.col("a.anchor") == F.col("b.anchor")) & near)
+        .join(replicas.hint("merge").alias("b"), (F.col("a.half") == F.col("b.half")) & (F.col("a.anchor") == F.col("b.anchor")) & near)
         .select("u", "v")
         .distinct()
     )
