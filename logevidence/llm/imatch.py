@@ -20,6 +20,9 @@ from logevidence.llm.common import global_rank, key_columns, written
 # however many documents there are.
 LEAST_SHARE = 0.001
 MOST_SHARE = 0.1
+# Terms are words hashed to 2 ** TERM_BITS numbers. The lexicon is a bitmap of
+# them, 512 KB at any size of the corpus, and is looked up where the words are.
+TERM_BITS = 22
 # Level -> random draws, and subsets of each. A draw deals the lexicon to
 # 2 ** level subsets, of which so many are used; level 0 is the whole lexicon.
 DRAWS = {0: (1, 1), 2: (2, 4), 4: (1, 8), 6: (1, 12), 8: (1, 12), 10: (1, 12)}
@@ -32,18 +35,29 @@ SPACE = "[ \\t-\\r]+"
 
 
 def terms(text: Column) -> Column:
-    """Hashes of the distinct lower-cased words; none for null and empty texts."""
+    """Numbers of the distinct lower-cased words; none for null and empty texts."""
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE)
-    return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
+    mask = (1 << TERM_BITS) - 1
+    return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w).bitwiseAND(mask).cast("int")))
 
 
 def lexicon(texts: DataFrame) -> DataFrame:
-    """``texts`` (text) -> (term): hashes of the terms in the band, over all rows."""
+    """``texts`` (text) -> (term): the terms in the band, over all rows."""
     n = texts.count()
     counts = texts.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").count()
     return counts.where((F.col("count") >= LEAST_SHARE * n) & (F.col("count") <= MOST_SHARE * n)).select("term")
 
 
+def bitmap(known: DataFrame) -> Column:
+    """The lexicon as a constant array of longs, a bit a term: 2 ** (TERM_BITS - 6) numbers at most come here."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("term").bitwiseAND(63))
+    rows = known.groupBy(F.shiftright("term", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).collect()
+    longs = ["0"] * (1 << TERM_BITS - 6)
+    for r in rows:
+        longs[r["at"]] = str(r["bits"])
+    return F.split(F.lit(",".join(longs)), ",").cast("array<long>")  # folded to a constant once
+
+
 def _fingerprints(found: DataFrame, keep: list[str]) -> DataFrame:
     """(keep..., _terms, _whole) -> (keep..., fingerprint).
 
@@ -70,17 +84,16 @@ def _fingerprints(found: DataFrame, keep: list[str]) -> DataFrame:
     return drawn.select(*keep, F.concat(*(digits(level, draw, k) for level, draw, n in dealt for k in range(n))).alias("fingerprint"))
 
 
-def fingerprints(texts: DataFrame, key: list[str], known: DataFrame) -> DataFrame:
-    """``texts`` (key..., text) -> (key..., fingerprint); key rows are distinct.
+def fingerprints(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """``texts`` (text, ...) -> fingerprint and the other columns, row by row: nothing is shuffled."""
+    keep = [c for c in texts.columns if c != "text"]
+    bits = bitmap(known)
 
-    Terms meet the broadcast lexicon where they are; only a document's own
-    lexicon terms, as hashes, are shuffled.
-    """
-    whole = F.xxhash64(F.col("text"), F.lit("whole"))
-    rows = texts.select(*key, whole.alias("_whole"), F.explode_outer(terms(F.col("text"))).alias("term"))
-    held = rows.join(F.broadcast(known.withColumn("_in", F.lit(True))), "term", "left")
-    mine = held.groupBy(*key).agg(F.sort_array(F.collect_list(F.when(F.col("_in"), F.col("term")))).alias("_terms"), F.max("_whole").alias("_whole"))
-    return _fingerprints(mine, key)
+    def is_known(term: Column) -> Column:
+        return F.call_function("getbit", F.get(bits, F.shiftright(term, 6)), term.bitwiseAND(63)) == 1
+
+    found = texts.select(*keep, F.array_sort(F.filter(terms(F.col("text")), is_known)).alias("_terms"), F.xxhash64(F.col("text"), F.lit("whole")).alias("_whole"))
+    return _fingerprints(found, keep)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -136,12 +149,12 @@ def fingerprint_digest(docs: DataFrame) -> DataFrame:
     Null texts count as empty; an empty table gives an empty result; a table
     of one document has itself as the next.
     """
-    known = written(lexicon(docs.select("text")), "lexicon")
+    known = lexicon(docs.select("text"))
     order = written(neighbours(docs), "order")
     key = ["id_key", "text_key"]
     versions = (F.struct(F.lit(e).alias("is_edited"), F.col(c).alias("text")) for e, c in ((False, "text"), (True, "edited")))
     both = edited_texts(docs, order).select(*key, F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.inline(F.array(*versions)))
-    found = written(fingerprints(both, [*key, "edited_sha256", "is_edited"], known), "fingerprints")
+    found = written(fingerprints(both, known), "fingerprints")
     own = found.where("not is_edited").select(*key, "edited_sha256", "fingerprint")
     edited = found.where("is_edited").select(*key, F.col("fingerprint").alias("edited_fingerprint"))
     following = own.select(F.col("id_key").alias("next_id"), F.col("text_key").alias("next_key"), F.col("fingerprint").alias("_next"))
