@@ -1,29 +1,29 @@
 """P-05..P-09, P-11 and J-01: IIS W3C lines to event columns.
 
 The ``#Fields:`` directive in force for a line is the latest one above it in the
-same file (an as-of join by line number). It is computed without a whole-file
-window: inside fixed-width line slices a running ``last(ignorenulls)`` finds
-the header, and a slice with no header of its own takes the last header of the
-slices before it from a small per-slice table (one row per slice).
+same file (an as-of join by line number). Directives are rare, so they alone are
+grouped: by slices of a file's lines, the last ones of slices by slices of
+slices, and the last ones of those by file. A line looks the three small tables
+up by equality; it is neither shuffled nor sorted where AQE finds them small.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_IIS_FIELDS, TZ_SUFFIX
 from ..functions.text import is_blank, split_ws_nonempty
-# Line-slice width of the header as-of window: a window partition never holds more
-# than this many lines, and a file of n lines adds n / IIS_WIDTH rows to the small
-# per-slice carry table.
-IIS_WIDTH = 1 << 13
 from ..schemas import EVENT_FIELDS
 
 DASH = "-"
 
+# Lines of a slice, and slices of a slice of slices: the directives that a line
+# compares itself with are at most so many a table.
+IIS_WIDTH = 1 << 10
+
 
 def _key(lines: DataFrame) -> str:
     return "source_path" if "source_path" in lines.columns else "source_file"
@@ -36,28 +36,39 @@ def _header_names(raw: Column) -> Column:
 def active_headers(lines: DataFrame, width: int = IIS_WIDTH) -> DataFrame:
     """J-01: add ``header_line`` and ``header_fields`` = the ``#Fields:`` directive in force (or null).
 
-    The field list is split once, on the header row itself, before the window.
+    The field list is split once, on the header row itself.
     """
     key = _key(lines)
-    raw = F.col("raw")
+    raw, line = F.col("raw"), F.col("line_number")
     is_hdr = raw.startswith("#") & F.lower(raw).startswith("#fields:")
-    s = "__slice"
-    hdr_struct = F.when(is_hdr, F.struct(F.col("line_number").alias("l"), _header_names(raw).alias("f")))
-    x = lines.withColumn(s, F.floor(F.col("line_number") / F.lit(width))).withColumn("__h", hdr_struct)
-    w_in = (
-        Window.partitionBy(key, s).orderBy("line_number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    x = x.withColumn("__in", F.last("__h", ignorenulls=True).over(w_in))
-    per_slice = x.groupBy(key, s).agg(F.max("__h").alias("__last"))  # struct order: line first
-    w_prev = Window.partitionBy(key).orderBy(s).rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_slice.select(key, s, F.last("__last", ignorenulls=True).over(w_prev).alias("__carry"))
-    out = x.join(carry, on=[key, s], how="left")
-    return out.select(
-        *[c for c in lines.columns],
-        F.coalesce(F.col("__in.l"), F.col("__carry.l")).alias("header_line"),
-        F.when(F.col("__in").isNotNull(), F.col("__in.f")).otherwise(F.col("__carry.f")).alias("header_fields"),
+    heads = lines.where(is_hdr).select(
+        F.col(key).alias("__k"), line.alias("l"), _header_names(raw).alias("f"), F.floor(line / width).alias("__s1"))
+
+    def grouped(rows: DataFrame, by: list[str], at: str, name: str) -> DataFrame:
+        """Per group its directives in the order of ``at``."""
+        return rows.groupBy("__k", *by).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), "l", "f"))).alias(name))
+
+    def last_of(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+        last = F.element_at(F.col(name), -1)
+        return rows.select("__k", *by, last["l"].alias("l"), last["f"].alias("f"))
+
+    in_slice = grouped(heads, ["__s1"], "l", "__a1")
+    slices = last_of(in_slice, ["__s1"], "__a1").withColumn("__s2", F.floor(F.col("__s1") / width))
+    in_slices = grouped(slices, ["__s2"], "__s1", "__a2")
+    in_file = grouped(last_of(in_slices, ["__s2"], "__a2"), [], "__s2", "__a3")
+
+    s1, s2 = F.floor(line / width), F.floor(F.floor(line / width) / width)
+    out = (
+        lines.withColumns({"__k": F.col(key), "__s1": s1, "__s2": s2})
+        .join(in_slice, ["__k", "__s1"], "left").join(in_slices, ["__k", "__s2"], "left").join(in_file, ["__k"], "left")
     )
 
+    def latest(name: str, before: Column) -> Column:
+        return F.try_element_at(F.filter(name, lambda e: e["at"] < before), F.lit(-1))
+
+    out = out.withColumn("__h", F.coalesce(latest("__a1", line + 1), latest("__a2", F.col("__s1")), latest("__a3", F.col("__s2"))))
+    return out.select(*lines.columns, F.col("__h.l").alias("header_line"), F.col("__h.f").alias("header_fields"))
+
 
 def iis_events(
     lines: DataFrame,
