@@ -11,6 +11,9 @@ density on which they agree most.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logevidence.llm.common import global_rank, key_columns, written
@@ -20,9 +23,6 @@ from logevidence.llm.common import global_rank, key_columns, written
 # however many documents there are.
 LEAST_SHARE = 0.001
 MOST_SHARE = 0.1
-# Terms are words hashed to 2 ** TERM_BITS numbers. The lexicon is a bitmap of
-# them, 512 KB at any size of the corpus, and is looked up where the words are.
-TERM_BITS = 22
 # Level -> random draws, and subsets of each. A draw deals the lexicon to
 # 2 ** level subsets, of which so many are used; level 0 is the whole lexicon.
 DRAWS = {0: (1, 1), 2: (2, 4), 4: (1, 8), 6: (1, 12), 8: (1, 12), 10: (1, 12)}
@@ -35,27 +35,52 @@ SPACE = "[ \\t-\\r]+"
 
 
 def terms(text: Column) -> Column:
-    """Numbers of the distinct lower-cased words; none for null and empty texts."""
+    """Hashes of the distinct lower-cased words; none for null and empty texts."""
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE)
-    mask = (1 << TERM_BITS) - 1
-    return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w).bitwiseAND(mask).cast("int")))
+    return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
 def lexicon(texts: DataFrame) -> DataFrame:
-    """``texts`` (text) -> (term): the terms in the band, over all rows."""
+    """``texts`` (text) -> (term): hashes of the words in the band, over all rows."""
     n = texts.count()
     counts = texts.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").count()
     return counts.where((F.col("count") >= LEAST_SHARE * n) & (F.col("count") <= MOST_SHARE * n)).select("term")
 
 
-def bitmap(known: DataFrame) -> Column:
-    """The lexicon as a constant array of longs, a bit a term: 2 ** (TERM_BITS - 6) numbers at most come here."""
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("term").bitwiseAND(63))
-    rows = known.groupBy(F.shiftright("term", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).collect()
-    longs = ["0"] * (1 << TERM_BITS - 6)
-    for r in rows:
-        longs[r["at"]] = str(r["bits"])
-    return F.split(F.lit(",".join(longs)), ",").cast("array<long>")  # folded to a constant once
+def place(term: int, steps: list[int], size: int) -> int:
+    """A term's one place in a table of ``size``: the steps of its lowest bits, each of a length of its own, from its start."""
+    return (term >> 16) + steps[term & len(steps) - 1] * (term >> 40 & 0xFFFFFF | 1) & size - 1
+
+
+def hash_table(terms: list[int]) -> tuple[list[int], list[int]]:
+    """(steps, table), each 2 ** k longs: a term is in the table at its place, or nowhere.
+
+    The terms of equal lowest bits take the first steps that find free places
+    for all of them. A free place holds a number that belongs elsewhere.
+    """
+    size = 1 << max(2, (len(terms) + len(terms) // 4).bit_length())
+    while True:
+        groups: dict[int, list[int]] = defaultdict(list)
+        for term in terms:
+            groups[term & size // 4 - 1].append(term)
+        steps, table = [0] * (size // 4), {}
+        for low, group in sorted(groups.items(), key=lambda g: -len(g[1])):
+            for steps[low] in range(10_000):
+                places = {place(term, steps, size): term for term in group}
+                if len(places) == len(group) and table.keys().isdisjoint(places):
+                    table |= places
+                    break
+            else:
+                break
+        else:
+            at = place(0, steps, size)
+            other = next(k << 16 for k in count(1) if place(k << 16, steps, size) != at)
+            return steps, [table.get(i, other if i == at else 0) for i in range(size)]
+        size *= 2
+
+
+def _constant(longs: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, longs))), ",").cast("array<long>")  # folded to a constant once
 
 
 def _fingerprints(found: DataFrame, keep: list[str]) -> DataFrame:
@@ -85,14 +110,22 @@ def _fingerprints(found: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def fingerprints(texts: DataFrame, known: DataFrame) -> DataFrame:
-    """``texts`` (text, ...) -> fingerprint and the other columns, row by row: nothing is shuffled."""
+    """``texts`` (text, ...) -> fingerprint and the other columns, row by row: nothing is shuffled.
+
+    The terms of ``known`` come here, a bounded number, and go along as a hash
+    table. It stands once in the plan, whose text the driver keeps.
+    """
     keep = [c for c in texts.columns if c != "text"]
-    bits = bitmap(known)
+    steps, table = hash_table([r["term"] for r in known.collect()])
+    steps_of, held = _constant(steps), _constant(table)
 
     def is_known(term: Column) -> Column:
-        return F.call_function("getbit", F.get(bits, F.shiftright(term, 6)), term.bitwiseAND(63)) == 1
+        step = F.shiftright(term, 40).bitwiseAND(0xFFFFFF).bitwiseOR(1)
+        at = F.shiftright(term, 16) + F.get(steps_of, term.bitwiseAND(len(steps) - 1).cast("int")) * step
+        return F.get(held, at.bitwiseAND(len(table) - 1).cast("int")) == term
 
-    found = texts.select(*keep, F.array_sort(F.filter(terms(F.col("text")), is_known)).alias("_terms"), F.xxhash64(F.col("text"), F.lit("whole")).alias("_whole"))
+    mine = F.filter(terms(F.col("text")), is_known)
+    found = texts.select(*keep, F.array_sort(mine).alias("_terms"), F.xxhash64(F.col("text"), F.lit("whole")).alias("_whole"))
     return _fingerprints(found, keep)
 
 

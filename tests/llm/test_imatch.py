@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -57,6 +58,42 @@ def test_lexicon_is_the_band(spark, monkeypatch):
     assert {r.t for r in terms.where(bit == 1).collect()} == wanted
 
 
+def test_lexicon_is_the_band_of_words(spark, monkeypatch):
+    monkeypatch.setattr(im, "LEAST_SHARE", 0.02)
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    count = Counter(w for r in texts.collect() for w in set(re.split("[ \t-\r]+", r.text.lower())) if w)
+    n = texts.count()
+    band = [w for w, k in count.items() if im.LEAST_SHARE * n <= k <= im.MOST_SHARE * n]
+    wanted = spark.createDataFrame([(w,) for w in band], "w string").select(F.xxhash64("w").alias("h"))
+    assert {r.term for r in im.lexicon(texts).collect()} == {r.h for r in wanted.collect()}
+
+
+def test_lexicon_is_of_whole_words(spark, monkeypatch):
+    """Words whose hashes agree in their lowest 22 bits are counted and known each by itself."""
+    numbers = {}
+    for r in spark.range(20_000).select(F.format_string("w%d", "id").alias("w")).select("w", F.xxhash64("w").alias("h")).collect():
+        numbers.setdefault(r.h & (1 << 22) - 1, []).append(r)
+    (a, b), (c, d), (e, f) = [pair for pair in numbers.values() if len(pair) == 2][:3]
+    monkeypatch.setattr(im, "LEAST_SHARE", 0.1)
+    held = [[a, e], [a, e], [b, c], [d]] + [[]] * 16
+    texts = spark.createDataFrame([(" ".join(r.w for r in words),) for words in held], "text string")
+    known = im.lexicon(texts)
+    assert {r.term for r in known.collect()} == {a.h, e.h}
+    shown = [f"{a.w} {e.w}", f"{a.w} {e.w} {f.w} {b.w}", f"{a.w} {f.w}", a.w, f"{b.w} {c.w}", f"{b.w} {d.w}"]
+    rows = im.fingerprints(spark.createDataFrame(list(enumerate(shown)), "i int, text string"), known).orderBy("i").collect()
+    got = [r.fingerprint for r in rows]
+    assert got[0] == got[1] and got[2] == got[3] and len({got[0], got[2], got[4], got[5]}) == 4
+
+
+def test_hash_table():
+    rng = random.Random(5)
+    for n in (0, 1, 2, 3, 1_000, 40_000):
+        held = {rng.getrandbits(64) - (1 << 63) for _ in range(n)} | ({0, -1, 1 << 32} if n > 2 else set())
+        steps, table = im.hash_table(list(held))
+        others = [0, -1, *(k << 16 for k in range(1, 99)), *(rng.getrandbits(64) - (1 << 63) for _ in range(1_000)), *(t ^ 1 << 60 for t in held)]
+        assert all((table[im.place(t, steps, len(table))] == t) == (t in held) for t in [*held, *others])
+
+
 def test_subset_hashes_against_brute_force(spark):
     """Equal subsets of terms, and only those, have equal hashes."""
     sets = [[1, 2, 3, 4], [4, 3, 2, 1], [1, 2, 3, 5], list(range(40)), list(range(1, 41)), []]
