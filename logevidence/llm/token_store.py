@@ -9,6 +9,8 @@ file behind when an executor is lost.
 
 from __future__ import annotations
 
+import json
+import re
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -54,11 +56,23 @@ def _model(content: bytes):
     return Tokenizer.from_buffer(content).model.tokenize
 
 
+def added_tokens(content: bytes) -> dict[str, int]:
+    """Ids of the strings that the tokenizer cuts out of a text before all else."""
+    tokens = json.loads(content).get("added_tokens", [])
+    for t in tokens:
+        if t["single_word"] or t["lstrip"] or t["rstrip"]:
+            raise ValueError(f"added token {t['content']!r}: single_word, lstrip and rstrip aren't built")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 class TokenIds:
-    """Ids of texts by the tokenizer's merges, each distinct pre-token once while remembered."""
+    """Ids of texts by the tokenizer's added tokens and merges, each distinct pre-token once while remembered."""
 
     def __init__(self, content: bytes):
         self.tokenize = _model(content)
+        self.added = added_tokens(content)
+        # The first match counts, of those at one place the longest.
+        self.find_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.alphabet = byte_alphabet()
         self.forget()
 
@@ -88,6 +102,17 @@ class TokenIds:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after another, and where each text's end."""
+        if not any(a in t for t in texts for a in self.added):
+            return self._merged(texts)
+        # Text, token, text, ..., text; the texts between are each split by themselves.
+        cut = [self.find_added.split(t) if any(a in t for a in self.added) else [t] for t in texts]
+        flat, ends = self._merged([between for c in cut for between in c[::2]])
+        followed = np.array([k < len(c) // 2 for c in cut for k in range(len(c) // 2 + 1)])
+        flat = np.insert(flat, ends[followed], [self.added[x] for c in cut for x in c[1::2]])
+        return flat, (ends + np.cumsum(followed))[~followed]
+
+    def _merged(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """encode() of texts without added tokens."""
         if len(self.splitter) > REMEMBERED:
             self.forget()
         codes = [self.splitter.split(t) for t in texts]
@@ -114,8 +139,8 @@ def write_token_files(docs: DataFrame, path: str, content: bytes | None = None)
     """Write the ids of ``docs`` (doc_id, text, ...), END_ID after each, under ``path``.
 
     Ascending doc_id, nulls first; rows of one doc_id by a hash of their text.
-    Null and empty texts are just the end id. Whole texts of any length;
-    special tokens' strings are ordinary text. An empty table writes no block.
+    Null and empty texts are just the end id. Whole texts of any length; added
+    tokens inside them get their ids. An empty table writes no block.
     """
     tokenizer = content if content is not None else read_tokenizer()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

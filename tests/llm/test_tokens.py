@@ -1,4 +1,5 @@
 import hashlib
+import json
 import tempfile
 import zlib
 
@@ -39,6 +40,45 @@ def test_token_ids_as_the_tokenizer(texts):
     assert [x.tolist() for x in np.split(flat, ends)[:-1]] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+END_OF_TEXT = "<|endoftext|>"
+HOLDING = ["a <|endoftext|> b", END_OF_TEXT, 2 * END_OF_TEXT, "<|endoftext|> a", "wo<|endoftext|>rd", "a  <|endoftext|>  b\n", "", "<|endoftext| >", "<|endof<|endoftext|>text|>", "plain text", "\n<|endoftext|>\n\n<|endoftext|>'s"]
+
+
+def test_added_tokens_as_the_tokenizer():
+    content = token_store.read_tokenizer()
+    whole = Tokenizer.from_buffer(content)
+    for texts in (HOLDING, HOLDING[::-1], *([t] for t in HOLDING)):
+        flat, ends = TokenIds(content).encode(texts)
+        assert [x.tolist() for x in np.split(flat, ends)[:-1]] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.one_of(ODD, st.just(END_OF_TEXT)), max_size=5).map("".join), max_size=4))
+def test_added_tokens_in_odd_texts(texts):
+    content = token_store.read_tokenizer()
+    whole = Tokenizer.from_buffer(content)
+    flat, ends = TokenIds(content).encode(texts)
+    assert [x.tolist() for x in np.split(flat, ends)[:-1]] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_token_files_with_added_tokens(spark):
+    whole, at, wanted = Tokenizer.from_file(token_store.TOKENIZER_PATH), 0, []
+    for doc_id, text in enumerate(HOLDING):
+        ids = np.array([*whole.encode(text, add_special_tokens=False).ids, 0], dtype="<u4")
+        wanted.append((doc_id, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    docs = spark.createDataFrame(list(enumerate(HOLDING)), "doc_id long, text string")
+    assert sorted(tuple(r) for r in token_store.token_file_digest(docs).collect()) == wanted
+
+
+def test_added_tokens_of_other_kinds_are_refused():
+    file = json.loads(token_store.read_tokenizer())
+    file["added_tokens"][0]["lstrip"] = True
+    with pytest.raises(ValueError, match="lstrip"):
+        token_store.added_tokens(json.dumps(file).encode())
+    assert token_store.added_tokens(b"{}") == {}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.one_of(st.just(0), st.integers(0, 3), st.integers(0, 50_257), st.integers(0, 2**32 - 1)), max_size=600))
 def test_simple8b_round_trip(values):
