@@ -27,7 +27,7 @@ from ..operators.retrieval import build_where, retrieve, retrieve_many
 from ..schemas import CHUNK_FIELDS, EMBEDDING_FIELDS, EVENT_FIELDS
 from ..session import apply_job_conf, shared_dir
 from ..operators.detect import resolve_source
-from ..sources.files import check_hidden_files, discover_log_files, existing_files, read_lines
+from ..sources.files import check_hidden_files, check_hidden_names, discover_log_files, existing_files, read_lines
 from ..sources.jsonl import load_chunks, load_embedding_records, load_events, stage_input, write_json_array, write_jsonl
 
 
@@ -83,7 +83,6 @@ def classify_files(spark: SparkSession, logs_path: str, params: Params = Params(
     fixed = resolve_source(forced_source, params.source_type)
     opts = dict(iis_fields=params.iis_fields, iis_fields_from_header=params.iis_fields_from_header)
     patterns = params.effective_patterns()
-    check_hidden_files(spark, logs_path, patterns, params.recursive)
     if discover_log_files(spark, logs_path, patterns, recursive=params.recursive).isEmpty():
         raise FileNotFoundError(f"no log files matching {patterns} under {logs_path}")
     lines = read_lines(spark, logs_path, patterns=patterns, recursive=params.recursive, encoding=params.encoding)
@@ -197,6 +196,9 @@ def validate_corpus(spark: SparkSession, files: Sequence[str] | str, index_root:
     skipped: list[str] = []
     if not isinstance(files, str):
         files, skipped = existing_files(spark, list(files))
+        check_hidden_names(files)
+    else:
+        check_hidden_files(spark, files, params.effective_patterns(), params.recursive)
     secs = {}
     t0 = time.perf_counter()
     lines = read_lines(spark, files, patterns=params.effective_patterns(), recursive=params.recursive,

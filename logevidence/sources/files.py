@@ -12,8 +12,8 @@ Two reading modes:
   each file must fit in one row (< 2 GB).
 
 Deviations of the text source (documented): it splits on ``\\n``, ``\\r\\n`` and
-``\\r`` only. Spark's file sources leave out names starting with ``.`` or ``_``;
-``check_hidden_files`` raises for those.
+``\\r`` only. Spark's file sources leave out files and folders with names
+starting with ``.`` or ``_``; ``check_hidden_files`` raises for log files there.
 """
 
 from __future__ import annotations
@@ -44,32 +44,53 @@ def _reader(spark: SparkSession, fmt: str, patterns: Sequence[str], recursive: b
     return spark.read.format(fmt).option("pathGlobFilter", _brace(patterns)).option("recursiveFileLookup", str(recursive).lower())
 
 
+def _left_out(name: str, folder: bool = False) -> bool:
+    """Spark's rule for the names of files and folders that its file sources pass over."""
+    if folder and name.startswith(("_metadata", "_common_metadata")):
+        return False
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _refuse(hidden: list[str]) -> None:
+    if hidden:
+        raise ValueError(f"log files with names that Spark does not read, rename them: {sorted(hidden)[:5]}")
+
+
+def check_hidden_names(paths: Sequence[str]) -> None:
+    """check_hidden_files() for an explicit file list: there only the files' own names count."""
+    _refuse([p for p in paths if _left_out(p.rsplit("/", 1)[-1])])
+
+
 def check_hidden_files(spark: SparkSession, root: str, patterns: Sequence[str], recursive: bool) -> None:
-    """Raise for matching files that Spark's file sources would leave out (names with ``_`` or ``.`` first)."""
+    """Raise for matching files that Spark's file sources would leave out, by their own name or a folder's below ``root``."""
     sc = spark.sparkContext
     hp = sc._jvm.org.apache.hadoop.fs.Path(root)
     fs = hp.getFileSystem(sc._jsc.hadoopConfiguration())
-    if not fs.exists(hp):
+    roots = [hp] if fs.exists(hp) else [st.getPath() for st in fs.globStatus(hp) or ()]
+    if not roots:
         raise FileNotFoundError(f"input folder does not exist: {root}")
-    hidden, folders = [], [hp]
+    hidden, folders = [], [(p, "") for p in roots]
     while folders and len(hidden) < 5:
-        for st in fs.listStatus(folders.pop()):
+        folder, within = folders.pop()  # ``within``: the path below a folder that is left out
+        for st in fs.listStatus(folder):
             name = st.getPath().getName()
+            shown = f"{within}{name}"
             if st.isDirectory():
                 if recursive:
-                    folders.append(st.getPath())
-            elif name[0] in "_." and not name.endswith(".crc") and any(fnmatch.fnmatchcase(name, p) for p in patterns):
-                hidden.append(name)
-    if hidden:
-        raise ValueError(f"log files with names that Spark does not read, rename them: {sorted(hidden)[:5]}")
+                    folders.append((st.getPath(), f"{shown}/" if within or _left_out(name, folder=True) else ""))
+            elif (within or _left_out(name)) and not name.endswith(".crc") and any(fnmatch.fnmatchcase(name, p) for p in patterns):
+                hidden.append(shown)
+    _refuse(hidden)
 
 
 def discover_log_files(spark: SparkSession, root: str, patterns: Sequence[str] = ("*.log",), *,
                        recursive: bool = False) -> DataFrame:
     """S-01/U-01/T-05: ``path, name, length`` of matching files, deduplicated, sorted by path.
 
-    Only file metadata is read (the content column is pruned).
+    Only file metadata is read (the content column is pruned). Matching files
+    that Spark would leave out are an error.
     """
+    check_hidden_files(spark, root, patterns, recursive)
     df = _reader(spark, "binaryFile", patterns, recursive).load(root)
     return (
         df.select("path", F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "length")

@@ -128,3 +128,23 @@ def test_control_characters_stay_in_their_field(spark, tmpdir_path):
     line = HAPROXY.replace("static/srv1", "sta\x01tic/s\x02rv1") % "a\x01b"
     r = haproxy_events(lines_df(spark, [line])).first()
     assert (r["status"], r["backend"], r["path"], r["method"], r["status_code"]) == ("ok", "sta\x01tic/s\x02rv1", "/a\x01b", "GET", 200)
+
+
+def test_files_in_hidden_folders_are_refused(spark, tmpdir_path):
+    """Each file is read by Spark or makes discovery an error, whatever its own or its folders' names."""
+    names = ["in/_old/x.log", "in/.old/x.log", "in/app/_old/deep/x.log", "_x.log", "app/.x.log", "_metadata.log", "x._COPYING_/x.log",
+             "_a=b.log", "_a=b/x.log", "_metadata/x.log", "app/x.log", "x.log"]
+    for i, name in enumerate(names):
+        root = f"{tmpdir_path}/_{i}"
+        write(f"{root}/{name}", b"1\n")
+        write(f"{root}/_old/note.txt", b"1\n")  # matches no pattern
+        read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log").text(root).count()
+        try:
+            found = [r["name"] for r in discover_log_files(spark, root, recursive=True).collect()]
+        except ValueError as e:
+            assert read == 0 and "does not read" in str(e) and name.rsplit("/", 1)[-1] in str(e), name
+        else:
+            assert read == 1 and found == [name.rsplit("/", 1)[-1]], name
+    write(f"{tmpdir_path}/flat/_old/x.log", b"1\n")
+    write(f"{tmpdir_path}/flat/y.log", b"1\n")
+    assert [r["name"] for r in discover_log_files(spark, f"{tmpdir_path}/flat").collect()] == ["y.log"]

@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from test_haproxy_parser import L1, L2, L3, L4
 
 from logevidence.config import Params
@@ -114,3 +115,19 @@ def test_batch_retrieval_job_and_report(spark, tmpdir_path):
     rows = [json.loads(line) for f in os.listdir(f"{tmpdir_path}/report") if f.endswith(".json")
             for line in open(f"{tmpdir_path}/report/{f}")]
     assert sum(r["is_total"] for r in rows) == 1 and len(rows) == 2
+
+
+def test_validation_and_parsing_refuse_hidden_logs(spark, tmpdir_path):
+    write(f"{tmpdir_path}/a/_archive/haproxy_a.log", [L1])
+    write(f"{tmpdir_path}/a/haproxy_b.log", [L2])
+    write(f"{tmpdir_path}/b/_access.log", [L1])
+    deep = Params(recursive=True)
+    for call in (
+        lambda: parse_logs(spark, f"{tmpdir_path}/a", f"{tmpdir_path}/events", deep),
+        lambda: validate_corpus(spark, f"{tmpdir_path}/a", f"{tmpdir_path}/index", deep),
+        lambda: validate_corpus(spark, f"{tmpdir_path}/b", f"{tmpdir_path}/index"),
+        lambda: validate_corpus(spark, [f"{tmpdir_path}/b/_access.log", f"{tmpdir_path}/a/haproxy_b.log"], f"{tmpdir_path}/index"),
+    ):
+        with pytest.raises(ValueError, match="does not read"):
+            call()
+    assert parse_logs(spark, f"{tmpdir_path}/a", f"{tmpdir_path}/events").stats.where("is_total").first()["files"] == 1
