@@ -10,17 +10,18 @@ calibrates the probabilities.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logevidence.llm.common import bounded_sample
 from logevidence.llm.sparse_terms import Counts, collect_counts, document_frequency, hashed, nonzero, overlapping, raw_texts
 
 UNDETERMINED = "und"
-# Labelled documents that the model is trained on at most, evenly drawn.
+# Labelled documents that the model is trained on at most: half of them dealt
+# evenly to the languages, half by the languages' shares of the rows.
 FIT_DOCUMENTS = 8_000
 BITS = 14
 ORDERS = (1, 2, 3)
@@ -93,13 +94,13 @@ def train(model: LanguageModel, counts: list[Counts], y: np.ndarray, epochs: int
     model.weights = current(np.arange(shape[0])).astype(np.float32)
 
 
-def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
+def fit_temperature(logits: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> float:
     """The temperature with the least log loss (golden-section search on its logarithm)."""
     if not len(y):
         return 1.0
 
     def loss(t: float) -> float:
-        return -np.log(softmax(logits / np.exp(t))[np.arange(len(y)), y] + 1e-12).mean()
+        return float(np.average(-np.log(softmax(logits / np.exp(t))[np.arange(len(y)), y] + 1e-12), weights=weights))
 
     low, high, ratio = -4.0, 3.0, (5**0.5 - 1) / 2
     for _ in range(40):
@@ -108,23 +109,43 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
+def sample_by_language(known: DataFrame, limit: int) -> tuple[DataFrame, dict[str, int]]:
+    """About ``limit`` rows at most of ``known`` (doc_id, text, lang), and the rows of each language.
+
+    Each language has its part of the rows, all of them where it has no more,
+    drawn by a hash of doc_id. One row per language comes here.
+    """
+    rows = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    n = sum(rows.values())
+    if n <= limit:
+        return known, rows
+    parts = [(x, min(1 << 30, int(limit / 2 * (1 / len(rows) / k + 1 / n) * (1 << 30)))) for x, k in rows.items()]
+    below = known.sparkSession.createDataFrame(parts, "lang string, _below long")
+    drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) < F.col("_below")
+    return known.join(F.broadcast(below), "lang").where(drawn).select("doc_id", "text", "lang"), rows
+
+
 def fit(docs: DataFrame, labelled: DataFrame, limit: int = FIT_DOCUMENTS) -> LanguageModel:
     """``docs`` (text): document frequencies of all; ``labelled`` (doc_id, text, lang).
 
     Rows without a language or a text teach nothing. A quarter of the sample
-    is kept for the temperature. Without labelled rows no language is known
+    is kept for the temperature; a row there weighs as many rows as it stands
+    for. Without labelled rows no language is known
     and every text is undetermined.
     """
     n, df = document_frequency(docs, count_grams, 1 << BITS)
     idf = np.log((n + 1) / (df + 1)).astype(np.float32) + 0.1
-    known = labelled.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", "lang")
-    labels, counts = collect_counts(bounded_sample(known, limit, "doc_id"), "lang", count_grams)
+    known = labelled.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    sample, rows = sample_by_language(known, limit)
+    labels, counts = collect_counts(sample, "lang", count_grams)
     model = LanguageModel(sorted(set(labels)), idf)
     if labels:
         y = np.array([model.languages.index(x) for x in labels])
         kept = max(1, len(y) * 3 // 4)
         train(model, counts[:kept], y[:kept])
-        model.temperature = fit_temperature(np.array([model.logits(c) for c in counts[kept:]]).reshape(-1, len(model.languages)), y[kept:])
+        drawn = Counter(labels)
+        stands_for = np.array([rows[x] / drawn[x] for x in labels[kept:]])
+        model.temperature = fit_temperature(np.array([model.logits(c) for c in counts[kept:]]).reshape(-1, len(model.languages)), y[kept:], stands_for)
     return model
 
 

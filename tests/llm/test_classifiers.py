@@ -72,6 +72,20 @@ def test_language_held_out(docs, language_model):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_rare_language_is_learned(spark):
+    """20 rows of 8,020 are a language of their own in a sample of 100."""
+    common, rare = "the quick brown fox number %d", "быстрая лиса номер %d"
+    rows = [(i, (rare if i % 401 == 0 else common) % i, "ru" if i % 401 == 0 else "en") for i in range(8_020)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").cache()
+    sample, counts = langid.sample_by_language(frame, 100)
+    assert counts == {"ru": 20, "en": 8_000}
+    drawn = {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()}
+    assert drawn["ru"] == 20 and 50 <= drawn["en"] <= 100
+    shown = spark.createDataFrame([(1, rare % 77_777), (2, common % 77_777)], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.identify(shown, langid.fit(frame, frame, limit=100)).collect()} == {1: "ru", 2: "en"}
+    assert langid.sample_by_language(frame, 8_020)[0].count() == 8_020
+
+
 def test_language_weights_are_sparse_and_calibrated(language_model):
     assert (language_model.weights == 0).mean() > 0.3
     y = np.array([0, 1, 1, 0])
