@@ -123,6 +123,8 @@ VOTES_IF_GOOD = (0.002, 0.25, 0.748)  # shares of -1, 0, 1
 VOTES_IF_FAULTY = (0.95, 0.04, 0.01)  # of the rule for that fault
 VOTES_IF_OTHER_FAULT = (0.05, 0.3, 0.65)  # of another rule
 PRIOR_SHARE = 0.1
+# The same for a rule's votes on its own fault: much, else the fault's class could come to mean another thing.
+OWN_FAULT_SHARE = 1.0
 
 
 @dataclass
@@ -163,14 +165,14 @@ def fit(voted: DataFrame, rounds: int = 500) -> RuleModel:
         odds = np.exp(odds - odds.max(axis=1, keepdims=True))
         return odds / odds.sum(axis=1, keepdims=True)
 
+    own = np.arange(1, k + 1), np.arange(k)
     share, table = first, start
     for _ in range(rounds):
         held = classes(share, table) * n[:, None]
         counts = held.sum(axis=0) + weight * first
         seen = np.einsum("pc,pjv->cjv", held, is_vote) + weight * first[:, None, None] * start
+        seen[own] += OWN_FAULT_SHARE * n.sum() * np.array(VOTES_IF_FAULTY)
         now = counts / counts.sum(), seen / seen.sum(axis=2, keepdims=True)
-        # A fault stays what its rule votes against, else its class could come to mean another thing.
-        now[1][np.arange(1, k + 1), np.arange(k)] = VOTES_IF_FAULTY
         moved = max(np.abs(now[0] - share).max(), np.abs(now[1] - table).max())
         share, table = now
         if moved < 1e-9:

@@ -73,6 +73,18 @@ def test_em_against_explicit_classes(spark):
     assert np.all((model.posterior >= 0) & (model.posterior <= 1)) and 0 <= model.accuracy("symbols") <= 1
 
 
+def test_votes_on_own_faults_are_estimated(spark):
+    """They move from the prior to what is seen, and the class keeps its meaning."""
+    k, prior = len(q.RULES), np.array(q.VOTES_IF_FAULTY)
+    good = sum(2 * 3**j for j in range(k))
+    faulty = good - 2  # only the first rule votes against these
+    model = q.fit(spark.createDataFrame([(good,)] * 700 + [(faulty,)] * 300, "pattern int"))
+    held = (1 - model.posterior[faulty]) * 300
+    assert held > 250 and prior[0] + 0.005 < model.votes[1, 0, 0] < 1
+    assert (model.votes[np.arange(1, k + 1), np.arange(k)].argmax(axis=1) == 0).all()
+    assert np.allclose(model.votes.sum(axis=2), 1) and model.posterior[good] > 0.9
+
+
 def test_edge_cases(edge, clashing, empty):
     got = q.quality_digest(edge).collect()
     assert len(got) == edge.count()
