@@ -2,7 +2,7 @@
 import json
 import os
 
-from conftest import lines_df
+from helpers import lines_df
 from test_haproxy_parser import L1, L2, L3, L4
 from test_iis_parser import ROWS
 

@@ -1,4 +1,4 @@
-from conftest import lines_df
+from helpers import lines_df
 
 from logevidence.operators.haproxy import haproxy_events
 

@@ -1,7 +1,7 @@
 """The single-pass Spark parser against a brute-force Python reading of the same grammar."""
 import re
 
-from conftest import lines_df
+from helpers import lines_df
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

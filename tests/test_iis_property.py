@@ -1,5 +1,5 @@
 """IIS parsing (header as-of + field mapping) against a sequential brute-force reading."""
-from conftest import lines_df
+from helpers import lines_df
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

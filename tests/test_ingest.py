@@ -123,7 +123,7 @@ def test_hidden_names_are_refused(spark, tmpdir_path):
 
 def test_control_characters_stay_in_their_field(spark, tmpdir_path):
     from logevidence.operators.haproxy import haproxy_events
-    from conftest import lines_df
+    from helpers import lines_df
 
     line = HAPROXY.replace("static/srv1", "sta\x01tic/s\x02rv1") % "a\x01b"
     r = haproxy_events(lines_df(spark, [line])).first()

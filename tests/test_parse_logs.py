@@ -1,5 +1,5 @@
 import pytest
-from conftest import lines_df
+from helpers import lines_df
 from test_haproxy_parser import L1, L2, L3, L4
 
 from logevidence.operators.detect import detect_sources, resolve_source
