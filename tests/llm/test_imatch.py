@@ -41,23 +41,6 @@ def test_small_table(small):
     assert max(map(len, copies.values())) == 1
 
 
-def test_lexicon_is_the_band(spark, monkeypatch):
-    monkeypatch.setattr(im, "LEAST_SHARE", 0.02)
-    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
-    split = [{w for w in re.split("[ \t-\r]+", r.text.lower()) if w} for r in texts.collect()]
-    vocabulary = sorted(set().union(*split))
-    numbers = spark.createDataFrame([(w,) for w in vocabulary], "w string").select("w", F.xxhash64("w").alias("h")).collect()
-    term = {r.w: r.h & (1 << im.TERM_BITS) - 1 for r in numbers}
-    count = Counter(t for words in split for t in {term[w] for w in words})
-    wanted = {t for t, k in count.items() if im.LEAST_SHARE * len(split) <= k <= im.MOST_SHARE * len(split)}
-    known = im.lexicon(texts)
-    assert {r.term for r in known.collect()} == wanted
-    # The bitmap knows those terms and no others.
-    terms = spark.createDataFrame([(t,) for t in sorted(set(term.values()))], "t int")
-    bit = F.call_function("getbit", F.get(im.bitmap(known), F.shiftright("t", 6)), F.col("t").bitwiseAND(63))
-    assert {r.t for r in terms.where(bit == 1).collect()} == wanted
-
-
 def test_lexicon_is_the_band_of_words(spark, monkeypatch):
     monkeypatch.setattr(im, "LEAST_SHARE", 0.02)
     texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
