@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logevidence.llm import bpe, hilbert, imatch, knn_quality, langid, mixing, quality_rules, simhash, token_store, toxicity
+from logevidence.llm import bpe, hilbert, imatch, knn_quality, langid, mixing, quality_rules, simhash, token_store, toxicity, whitening
 from logevidence.llm.common import bounded_batches, held_out, read_documents, read_labels
 
 
@@ -67,6 +67,11 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened embeddings, a row per usable vector and component."""
+    return whitening.whitening_digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def _bounded(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         bounded_batches(spark)
@@ -87,6 +92,7 @@ OPERATORS = (
     op8_simhash,
     op9_hilbert,
     op10_langid,
+    op11_whitening,
 )
 REGISTRY = {f.__name__: _bounded(f) for f in OPERATORS}
 
