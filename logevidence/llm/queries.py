@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logevidence.llm import bpe, hilbert, imatch, knn_quality, langid, mixing, quality_rules, simhash, token_store, toxicity, whitening
+from logevidence.llm import bpe, hilbert, imatch, knn_quality, langid, mixing, quality_rules, setsketch, simhash, token_store, toxicity, whitening
 from logevidence.llm.common import bounded_batches, held_out, read_documents, read_labels
 
 
@@ -72,6 +72,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitening_digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and component of every document; links at 80 % common shingles."""
+    return setsketch.near_duplicate_digest(read_documents(spark, sf_dir))
+
+
 def _bounded(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         bounded_batches(spark)
@@ -93,6 +98,7 @@ OPERATORS = (
     op9_hilbert,
     op10_langid,
     op11_whitening,
+    op12_setsketch,
 )
 REGISTRY = {f.__name__: _bounded(f) for f in OPERATORS}
 
