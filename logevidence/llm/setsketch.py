@@ -8,10 +8,10 @@ all registers of a band are candidates; the likelihood of how many registers
 are larger, smaller and equal, given both sizes, judges a candidate; the full
 sets confirm it.
 
-Groups of candidates aren't compared pair by pair. In rounds, each group
-holds its open members against one pivot, and what is linked counts as one
-component from then on. Only where that finds nothing more, pairs that still
-lie in different components meet, and all of them.
+Groups of candidates aren't compared pair by pair. Each group holds its
+members against one pivot, and what is linked counts as one component from
+then on. The few members that stay outside of the pivot's component meet all
+members of the group where it lies; only links leave that join.
 """
 
 from __future__ import annotations
@@ -127,8 +127,9 @@ def common_elements(a: np.ndarray, b: np.ndarray) -> int:
 def sketches(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, ...) -> (doc_id, id_key, text_key, n, set_id, sketch), a row per document.
 
-    ``set_id`` is a 128-bit hash of the shingle set, null without shingles;
-    null and empty texts have none.
+    ``set_id`` is a 128-bit hash of the shingle set, ``sketch`` its registers,
+    a long for each band; both are null without shingles. Null and empty texts
+    have none.
     """
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,32 +140,79 @@ def sketches(docs: DataFrame) -> DataFrame:
                     *(batch.column(c) for c in ("doc_id", "id_key", "text_key")),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                    pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([registers(s).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ],
                 names=["doc_id", "id_key", "text_key", "n", "set_id", "sketch"],
             )
 
     id_key, text_key = key_columns(F.col("doc_id"), F.col("text"))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_key.alias("id_key"), text_key.alias("text_key"), "text")
-    return keyed.mapInArrow(sketched, "doc_id long, id_key long, text_key long, n long, set_id binary, sketch binary")
-
-
-def _sized(a: str, b: str) -> Column:
-    """Sizes that the similarity allows."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PER_CENT
+    return keyed.mapInArrow(sketched, "doc_id long, id_key long, text_key long, n long, set_id binary, sketch array<long>")
 
 
 def groups(nodes: DataFrame) -> DataFrame:
-    """``nodes`` (node, n, sketch) -> (bucket, node, n): the groups of equal bands that have two nodes or more.
+    """``nodes`` (node, sketch) -> (bucket, band, node): the groups of equal bands that have two nodes or more.
 
     A bucket is a hash of the band's number and registers: an accidental one
     is a candidate that isn't confirmed.
     """
-    size = 2 * BAND_REGISTERS
-    bands = F.array(*(F.xxhash64(F.substring("sketch", i * size + 1, size), F.lit(i)) for i in range(BANDS)))
-    dealt = nodes.select("node", "n", F.explode(bands).alias("bucket"))
+    dealt = nodes.select("node", F.posexplode("sketch").alias("band", "_registers")).select("node", "band", F.xxhash64("_registers", "band").alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("_members")).where("_members > 1").select("bucket")
-    return dealt.join(shared, "bucket").select("bucket", "node", "n")
+    return dealt.join(shared, "bucket").select("bucket", "band", "node")
+
+
+def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (node, id_key, text_key) -> (node, elements): the sorted shingle hashes, from the texts."""
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = pa.array([shingle_set(raw).view(np.int64) for raw in raw_texts(batch.column("text"))], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), sets], names=["node", "elements"])
+
+    id_key, text_key = key_columns(F.col("doc_id"), F.col("text"))
+    texts = docs.select(id_key.alias("id_key"), text_key.alias("text_key"), "text").join(wanted, ["id_key", "text_key"])
+    return texts.dropDuplicates(["node"]).select("node", "text").mapInArrow(elements, "node long, elements array<long>")
+
+
+def shared_counts(sets: DataFrame) -> DataFrame:
+    """``sets`` (node, elements) -> (node, shared): elements that another node has too.
+
+    Two nodes have no more in common than the smaller of their counts. Nodes
+    that no other can be similar to aren't returned.
+    """
+    alone = sets.select("node", F.explode("elements").alias("_e")).groupBy("_e").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("_k")).where("_k = 1")
+    own = alone.groupBy("node").agg(F.count(F.lit(1)).alias("_own"))
+    counted = sets.select("node", F.size("elements").cast("long").alias("n")).join(own, "node", "left").withColumn("shared", F.col("n") - F.coalesce("_own", F.lit(0)))
+    return counted.where(F.col("shared") * 100 >= F.col("n") * PER_CENT).select("node", "shared")
+
+
+def _may_link(a: str, b: str) -> Column:
+    """Whether sizes and shared counts allow the similarity."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    common = F.least(f"{a}.shared", f"{b}.shared", n, m)
+    return common * 100 >= (n + m - common) * PER_CENT
+
+
+def least_equal() -> int:
+    """Equal registers that a pair at the least similarity has, but for once in 4e9 times."""
+    s = PER_CENT / 100
+    share = np.arange(1, REGISTERS) / REGISTERS
+    unlikely = REGISTERS * (share * np.log(share / s) + (1 - share) * np.log((1 - share) / (1 - s))) > SLACK
+    return int((unlikely & (share < s)).sum()) + 1
+
+
+def _registers_allow(a: str, b: str) -> Column:
+    """Whether enough registers are equal, and this band is the first that is: a pair counts in one group only."""
+    lowest = F.lit(0x0001000100010001)  # of each of a long's registers
+    equal, first = F.lit(REGISTERS), F.lit(True)
+    for i in range(BANDS):
+        x, y = F.get(f"{a}.sketch", F.lit(i)), F.get(f"{b}.sketch", F.lit(i))
+        differ = x.bitwiseXOR(y)
+        for shift in (8, 4, 2, 1):  # all bits of a register come together in its lowest
+            differ = differ.bitwiseOR(F.shiftrightunsigned(differ, shift))
+        equal = equal - F.bit_count(differ.bitwiseAND(lowest))
+        first = first & ((F.col(f"{a}.band") <= i) | (x != y))
+    return first & (equal >= least_equal())
 
 
 def judged(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -172,7 +220,7 @@ def judged(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for c in ("sketch_u", "sketch_v"))
+            a, b = (batch.column(c).flatten().to_numpy().view(np.uint16).reshape(-1, REGISTERS) for c in ("sketch_u", "sketch_v"))
             n, m = (batch.column(c).to_numpy().astype(float) for c in ("n_u", "n_v"))
             yes = plausible((a > b).sum(axis=1), (a < b).sum(axis=1), n, m)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(yes)) for c in ("u", "v")], names=["u", "v"])
@@ -191,7 +239,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             yes = []
             for x, y in zip(batch.column("a"), batch.column("b"), strict=True):
-                a, b = (np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (x, y))
+                a, b = (z.values.to_numpy().view(np.uint64) for z in (x, y))
                 common = common_elements(a, b)
                 yes.append(100 * common >= PER_CENT * (len(a) + len(b) - common))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(yes, pa.bool_())) for c in ("u", "v")], names=["u", "v"])
@@ -200,70 +248,78 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(b, "v").join(a, "u").mapInArrow(linked, "u long, v long")
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (node, id_key, text_key) -> (node, elements): the sorted shingle hashes, from the texts."""
-
-    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = pa.array([shingle_set(raw).tobytes() for raw in raw_texts(batch.column("text"))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), sets], names=["node", "elements"])
+def _open(members: DataFrame, nodes: DataFrame, found: DataFrame | None, salt: int) -> DataFrame:
+    """-> (bucket, band, node, root, n, shared, p): the members of groups of several components, each with the group's pivot.
 
-    id_key, text_key = key_columns(F.col("doc_id"), F.col("text"))
-    texts = docs.select(id_key.alias("id_key"), text_key.alias("text_key"), "text").join(wanted, ["id_key", "text_key"])
-    return texts.dropDuplicates(["node"]).select("node", "text").mapInArrow(elements, "node long, elements binary")
-
-
-def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
-    if links is None:
-        return members.withColumn("root", F.col("node"))
-    return members.join(written(components(links), "labels"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    The pivot has the largest share of elements in common with others; of
+    equal ones, that of the least hash of this round. After the first round,
+    only the hash counts.
+    """
+    known = members.join(nodes.select("node", "n", "shared"), "node")
+    if found is None:
+        labelled = known.withColumn("root", F.col("node"))
+    else:
+        labelled = known.join(written(components(found), "labels"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labelled = written(labelled, "labelled")
+    own = (F.col("n") - F.col("shared")) / F.col("n") if salt == 0 else F.lit(0.0)
+    pivot = F.min(F.struct(own.alias("_own"), F.xxhash64("node", F.lit(salt)).alias("_order"), "node", "root", "n", "shared"))
+    pivots = labelled.groupBy("bucket").agg(pivot.alias("p"), F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("bucket", "p")
+    return labelled.join(pivots, "bucket")
 
 
-def _against_pivots(members: DataFrame, salt: int) -> DataFrame:
-    """(u, v): each open node v with one pivot u of its groups; a group's pivot has the least hash of this round."""
-    order = F.xxhash64("node", F.lit(salt))
-    pivots = members.groupBy("bucket").agg(F.min(F.struct(order.alias("_order"), "node", "n", "root")).alias("p"), F.min("root").alias("_a"), F.max("root").alias("_b"))
-    pivots = pivots.where("_a < _b").select("bucket", "p")
-    met = members.join(pivots, "bucket").where(F.col("root") != F.col("p.root")).where(_sized("n", "p.n"))
+def _against_pivots(open_members: DataFrame) -> DataFrame:
+    """(u, v): each open node v with one pivot u of its groups."""
+    met = open_members.alias("a").where(F.col("root") != F.col("p.root")).where(_may_link("a", "p"))
     return met.groupBy("node").agg(F.min("p").alias("p")).select(F.least("node", "p.node").alias("u"), F.greatest("node", "p.node").alias("v")).distinct()
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """(u, v): all pairs of a group that lie in different components."""
-    spread = members.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("bucket")
-    open_members = members.join(spread, "bucket")
-    a, b = (open_members.select("bucket", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("root").alias(f"root_{c}")) for c in ("u", "v"))
-    met = a.join(b.hint("merge"), "bucket").where("u < v and root_u != root_v").where(_sized("n_u", "n_v"))
-    return met.select("u", "v").distinct()
+def _across(open_members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): all links inside of groups between different components, compared where the group meets.
+
+    Of such a pair one is outside of the pivot's component: those meet all
+    members. Counts and registers rule out most pairs; nodes for which some
+    pair is left bring their full sets.
+    """
+    rows = open_members.withColumn("main", F.col("p.root")).drop("p").join(nodes.select("node", "sketch"), "node")
+    rows = written(rows, "open")
+    outside = rows.where("root != main")
+    apart = (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
+    allowed = (F.col("a.bucket") == F.col("b.bucket")) & apart & _may_link("a", "b") & _registers_allow("a", "b")
+    hopeful = written(outside.alias("a").join(rows.hint("merge").alias("b"), allowed, "left_semi"), "hopeful")
+    met = rows.join(hopeful.select("bucket").distinct(), "bucket", "left_semi")
+    left, right = (x.join(sets, "node").alias(name) for x, name in ((hopeful, "a"), (met, "b")))
+    common = F.size(F.array_intersect("a.elements", "b.elements"))
+    similar = common * 100 >= (F.col("a.n") + F.col("b.n") - common) * PER_CENT
+    return left.join(right.hint("merge"), allowed & similar).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
 
 def links(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
     """``nodes`` (node, id_key, text_key, n, sketch) -> (u, v): confirmed links that connect all that are linked; None without any.
 
     A link inside of what others connect may be missing, none between two
-    components is.
+    components is. Rounds of pivots go on while most of their pairs are links.
     """
     members = written(groups(nodes), "groups")
-    wanted = members.select("node").distinct()
-    if wanted.isEmpty():
+    grouped = nodes.join(members.select("node").distinct(), "node")
+    sets = written(_full_sets(docs, grouped.select("node", "id_key", "text_key")), "sets")
+    nodes = written(grouped.select("node", "n", "sketch").join(shared_counts(sets), "node"), "grouped")
+    if nodes.isEmpty():
         return None
-    nodes = written(nodes.join(wanted, "node"), "grouped")
-    sets = written(_full_sets(docs, nodes.select("node", "id_key", "text_key")), "sets")
-    found, salt, checked = None, 0, None
+    found, salt = None, 0
     while True:
-        open_members = written(_labelled(members, found), "labelled")
-        last = salt < 0
-        pairs = _across(open_members) if last else _against_pivots(open_members, salt)
-        if checked is not None:
-            pairs = pairs.join(checked, ["u", "v"], "left_anti")
-        pairs = written(pairs, "pairs")
+        open_members = _open(members, nodes, found, salt)
+        pairs = written(_against_pivots(open_members), "pairs")
         new = written(confirmed(judged(pairs, nodes), sets), "links")
-        none = new.isEmpty()
-        found = found if none else new if found is None else found.unionByName(new)
-        if last:
-            return found
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        salt = -1 if none else salt + 1
+        tried, linked = pairs.count(), new.count()
+        if linked:
+            found = new if found is None else found.unionByName(new)
+        if 2 * linked <= tried:
+            break
+        salt += 1
+    rest = written(_across(_open(members, nodes, found, salt + 1), nodes, sets), "links")
+    if rest.isEmpty():
+        return found
+    return rest if found is None else found.unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
