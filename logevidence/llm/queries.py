@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logevidence.llm import bpe, hilbert, imatch, knn_quality, langid, mixing, quality_rules, setsketch, simhash, token_store, toxicity, whitening
+from logevidence.llm import alignment, bpe, hilbert, imatch, knn_quality, langid, mixing, quality_rules, setsketch, simhash, token_store, toxicity, whitening
 from logevidence.llm.common import bounded_batches, held_out, read_documents, read_labels
 
 
@@ -77,6 +77,11 @@ def op12_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicate_digest(read_documents(spark, sf_dir))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of every document's tokens by two tokenizers."""
+    return alignment.alignment_digest(read_documents(spark, sf_dir))
+
+
 def _bounded(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         bounded_batches(spark)
@@ -99,6 +104,7 @@ OPERATORS = (
     op10_langid,
     op11_whitening,
     op12_setsketch,
+    op13_alignment,
 )
 REGISTRY = {f.__name__: _bounded(f) for f in OPERATORS}
 
