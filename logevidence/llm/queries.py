@@ -13,7 +13,7 @@ from logevidence.llm.common import bounded_batches, held_out, read_documents, re
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from labelled rows with crc32(doc_id) mod 3 other than 1."""
     docs, out = read_documents(spark, sf_dir), held_out(F.col("doc_id"), 3, 1)
-    model = toxicity.fit(docs.join(read_labels(spark, sf_dir).select("doc_id", "toxic"), "doc_id").where(~out))
+    model = toxicity.fit(docs.select("doc_id", "text").join(read_labels(spark, sf_dir).select("doc_id", "toxic"), "doc_id").where(~out))
     scored = toxicity.score_toxicity(docs, model)
     return scored.select("doc_id", out.alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
 
@@ -36,7 +36,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from labelled rows with crc32(doc_id) mod 5 other than 0."""
     docs, out = read_documents(spark, sf_dir), held_out(F.col("doc_id"), 5, 0)
-    model = knn_quality.fit(docs, docs.join(read_labels(spark, sf_dir).select("doc_id", "quality"), "doc_id").where(~out))
+    model = knn_quality.fit(docs, docs.select("doc_id", "text").join(read_labels(spark, sf_dir).select("doc_id", "quality"), "doc_id").where(~out))
     return knn_quality.score_quality(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 

@@ -202,17 +202,15 @@ def least_equal() -> int:
 
 
 def _registers_allow(a: str, b: str) -> Column:
-    """Whether enough registers are equal, and this band is the first that is: a pair counts in one group only."""
-    lowest = F.lit(0x0001000100010001)  # of each of a long's registers
-    equal, first = F.lit(REGISTERS), F.lit(True)
-    for i in range(BANDS):
-        x, y = F.get(f"{a}.sketch", F.lit(i)), F.get(f"{b}.sketch", F.lit(i))
-        differ = x.bitwiseXOR(y)
-        for shift in (8, 4, 2, 1):  # all bits of a register come together in its lowest
-            differ = differ.bitwiseOR(F.shiftrightunsigned(differ, shift))
-        equal = equal - F.bit_count(differ.bitwiseAND(lowest))
-        first = first & ((F.col(f"{a}.band") <= i) | (x != y))
-    return first & (equal >= least_equal())
+    """Whether this band is the first that is equal, so that a pair counts in one group only, and enough registers are."""
+    first = F.lit(True)
+    for i in range(BANDS - 1):
+        first = first & ((F.col(f"{a}.band") <= i) | (F.get(f"{a}.sketch", F.lit(i)) != F.get(f"{b}.sketch", F.lit(i))))
+    differ = F.zip_with(f"{a}.sketch", f"{b}.sketch", lambda x, y: x.bitwiseXOR(y))
+    for shift in (8, 4, 2, 1):  # all bits of a register come together in its lowest
+        differ = F.transform(differ, lambda d, shift=shift: d.bitwiseOR(F.shiftrightunsigned(d, shift)))
+    unequal = F.aggregate(differ, F.lit(0), lambda n, d: n + F.bit_count(d.bitwiseAND(F.lit(0x0001000100010001))))
+    return first & (unequal <= REGISTERS - least_equal())
 
 
 def judged(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
