@@ -27,8 +27,8 @@ from logevidence.llm.pretokens import Splitter, gather
 
 RANKS_PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 # A block ends with the text that brings it to so many characters, or distinct stretches.
-BLOCK_CHARS = 12_000_000
-BLOCK_STRETCHES = 250_000
+BLOCK_CHARS = 6_000_000
+BLOCK_STRETCHES = 150_000
 
 # Pre-tokens (each block's distinct ones) that a bucket gets at most, about.
 BUCKET_PIECES = 2_000_000
