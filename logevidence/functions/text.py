@@ -13,6 +13,8 @@ WS_CLASS = (
     "\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 )
 LINE_BREAK = "\\r\\n|[\\n\\r\\x{0B}\\x{0C}\\x{1C}-\\x{1E}\\x{85}\\x{2028}\\x{2029}]"
+# The boundaries inside of a row that ends at a line feed.
+LINE_BREAK_IN_ROW = "[\\r\\x{0B}\\x{0C}\\x{1C}-\\x{1E}\\x{85}\\x{2028}\\x{2029}]"
 # ---------------------------------------------------------------------------
 
 

@@ -43,7 +43,11 @@ def classify_lines(
     iis_fields: Sequence[str] = DEFAULT_IIS_FIELDS,
     iis_fields_from_header: bool = True,
 ) -> DataFrame:
-    """Every input line with ``source``, ``status`` and the event columns."""
+    """Every input line with ``source``, ``status`` and the event columns.
+
+    Where the source is to be detected, the files' first lines are read first:
+    of one kind only, the lines go straight to its parser, without a join.
+    """
     if "source_path" not in lines.columns:
         lines = lines.withColumn("source_path", F.col("source_file"))
     fixed = resolve_source(forced_source, source_type)
@@ -51,6 +55,10 @@ def classify_lines(
     if fixed is not None:
         return PARSERS[fixed](lines.withColumn("source", F.lit(fixed)), **opts)
     det = detect_sources(lines).select("source_path", "source")
+    kinds = [r["source"] for r in det.select("source").distinct().collect()]  # two at most
+    if len(kinds) < 2:
+        kind = kinds[0] if kinds else "haproxy"
+        return PARSERS[kind](lines.withColumn("source", F.lit(kind)), **opts)
     # One row per file; AQE broadcasts it where it is measured to be small.
     tagged = lines.drop("source").join(det, on="source_path", how="inner")
     hap_lines = tagged.where(F.col("source") == "haproxy")

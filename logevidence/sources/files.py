@@ -2,18 +2,19 @@
 
 Two reading modes:
 
-* ``scale`` (default): the text source. Files are split into blocks and read in
-  parallel; gzip files are one block each. The 1-based line number comes from
-  ``monotonically_increasing_id`` (consecutive inside a block) plus the number
-  of lines in the earlier blocks of the same file, taken from a per-block count
-  table (one row per block). No window ever spans a whole file.
+* ``scale`` (default): the text source, split at line feeds; each row is then
+  split at the other Python line boundaries, so lines equal ``str.splitlines``.
+  Files are split into blocks and read in parallel; gzip files are one block
+  each. The 1-based line number comes from ``monotonically_increasing_id`` over
+  the split lines (consecutive inside a block) plus the number of lines in the
+  earlier blocks of the same file, taken from a per-block count table (one row
+  per block). No window ever spans a whole file.
 * ``exact``: ``binaryFile`` + decode + split on every Python line boundary.
   Matches ``str.splitlines`` and supports single-byte/UTF-16 encodings, but
   each file must fit in one row (< 2 GB).
 
-Deviations of the text source (documented): it splits on ``\\n``, ``\\r\\n`` and
-``\\r`` only. Spark's file sources leave out files and folders with names
-starting with ``.`` or ``_``; ``check_hidden_files`` raises for log files there.
+Spark's file sources leave out files and folders with names starting with
+``.`` or ``_``; ``check_hidden_files`` raises for log files there.
 """
 
 from __future__ import annotations
@@ -29,7 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.text import split_lines
+from ..functions.text import LINE_BREAK_IN_ROW, split_lines
+
+# Rows end at line feeds only; the other boundaries are found in the decoded rows.
+LINE_FEED = "\n"
 
 
 def _brace(patterns: Sequence[str]) -> str:
@@ -101,8 +105,8 @@ def discover_log_files(spark: SparkSession, root: str, patterns: Sequence[str] =
 
 def _load_text(spark, paths, patterns, recursive):
     if isinstance(paths, str):
-        return _reader(spark, "text", patterns, recursive).load(paths)
-    return spark.read.format("text").load(list(paths))
+        return _reader(spark, "text", patterns, recursive).option("lineSep", LINE_FEED).load(paths)
+    return spark.read.format("text").option("lineSep", LINE_FEED).load(list(paths))
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str], *, patterns: Sequence[str] = ("*.log", "*.gz"),
@@ -134,12 +138,18 @@ def _decoder(encoding: str):
 
 
 def number_lines(text: DataFrame, encoding: str = "utf-8") -> DataFrame:
-    """Number the rows of a text scan (columns ``value`` and ``_metadata``) per file.
+    """Number the lines of a text scan (columns ``value`` and ``_metadata``, ``lineSep`` LINE_FEED) per file.
 
-    Inside one block the rows of a task are consecutive, so ``mid - first_mid``
-    is the offset in the block; earlier blocks of the same file contribute their
+    A row has the lines between its line boundaries, most often one. Inside one
+    block the lines of a task are consecutive, so ``mid - first_mid`` is the
+    offset in the block; earlier blocks of the same file contribute their
     line counts through an exclusive prefix sum over the block table (one row per
     block), which AQE broadcasts where it is measured to be small.
+
+    A carriage return before the line feed, or at the file's end, belongs to
+    it. A last row without a line feed has no empty line after a boundary at its
+    end: whether there is one shows in the file's size (not of compressed
+    files, whose last line feed is taken for granted).
     """
     name = codecs.lookup(encoding).name
     if name.startswith(("utf-16", "utf-32")):
@@ -150,22 +160,35 @@ def number_lines(text: DataFrame, encoding: str = "utf-8") -> DataFrame:
         raw = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     else:
         raw = _decoder(name)(F.col("value").cast("binary"))
-    scan = text.select(
+    rows = text.select(
         _plain_name(F.col("_metadata.file_path")).alias("source_path"),
         _plain_name(F.col("_metadata.file_name")).alias("source_file"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("mid"),
-        raw.alias("raw"),
+        F.col("_metadata.file_size").alias("file_size"),
+        (F.octet_length("value") + 1).cast("long").alias("size"),
+        F.when(raw.endswith("\r"), F.left(raw, F.length(raw) - 1)).otherwise(raw).alias("row"),
+        raw.endswith("\r").alias("returned"),
     )
-    blocks = scan.groupBy("source_path", "block").agg(F.min("mid").alias("first_mid"), F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("source_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    parts = F.when(F.col("row").rlike(LINE_BREAK_IN_ROW), F.split("row", LINE_BREAK_IN_ROW, -1)).otherwise(F.array("row"))
+    lines = rows.select("source_path", "source_file", "block", "file_size", "size", "returned", F.size(parts).alias("parts"), F.posexplode(parts).alias("part", "raw"))
+    scan = lines.withColumn("mid", F.monotonically_increasing_id())
+    blocks = scan.groupBy("source_path", "block").agg(
+        F.min("mid").alias("first_mid"), F.count(F.lit(1)).alias("n"), F.max("mid").alias("last_mid"),
+        F.sum(F.when(F.col("part") == 0, F.col("size"))).alias("bytes"), F.max("file_size").alias("file_size"),
+    )
+    in_file = Window.partitionBy("source_path")
+    before = in_file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # Rows count a line feed each; a byte order mark (3 bytes) isn't among the rows' bytes.
+    over = F.sum("bytes").over(in_file) - F.col("file_size")
     offs = blocks.select(
         "source_path", "block",
         (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first_mid") + 1).alias("delta"),
+        F.when((F.col("block") == F.max("block").over(in_file)) & over.isin(1, -2), F.col("last_mid")).alias("open_mid"),
     )
-    return scan.join(offs, on=["source_path", "block"], how="inner").select(
-        "source_path", "source_file", (F.col("mid") + F.col("delta")).alias("line_number"), "raw"
-    )
+    after_boundary = (F.col("part") == F.col("parts") - 1) & (F.col("part") > 0) & (F.col("raw") == "") & ~F.col("returned")
+    return scan.join(offs, on=["source_path", "block"], how="inner").where(
+        ~(after_boundary & F.col("mid").eqNullSafe(F.col("open_mid")))
+    ).select("source_path", "source_file", (F.col("mid") + F.col("delta")).alias("line_number"), "raw")
 
 
 @pandas_udf(T.BinaryType())

@@ -19,7 +19,7 @@ from ..config import Params
 from ..operators.chunking import chunk_events
 from ..operators.parse import ParseError, classify_lines, events_of, first_error
 from ..session import apply_job_conf, shared_dir
-from ..sources.files import _brace, number_lines
+from ..sources.files import LINE_FEED, _brace, check_hidden_files, number_lines
 
 
 def start_ingest(spark: SparkSession, logs_dir: str, out_dir: str, params: Params = Params(), *,
@@ -28,8 +28,10 @@ def start_ingest(spark: SparkSession, logs_dir: str, out_dir: str, params: Param
     """Stream new files of ``logs_dir`` into ``out_dir/events`` and ``out_dir/chunks``."""
     apply_job_conf(spark)
     params.check()
+    check_hidden_files(spark, logs_dir, params.effective_patterns(), params.recursive)
     reader = (
         spark.readStream.format("text")
+        .option("lineSep", LINE_FEED)
         .option("pathGlobFilter", _brace(params.effective_patterns()))
         .option("maxFilesPerTrigger", str(max_files_per_trigger))
     )
@@ -39,7 +41,7 @@ def start_ingest(spark: SparkSession, logs_dir: str, out_dir: str, params: Param
     policy = "keep" if params.on_parse_error == "keep" else "skip"
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        lines = number_lines(batch)
+        lines = number_lines(batch, params.encoding)
         cl = classify_lines(lines, forced_source=forced_source, source_type=params.source_type,
                             iis_fields=params.iis_fields, iis_fields_from_header=params.iis_fields_from_header)
         if params.on_parse_error == "fail":

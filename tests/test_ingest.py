@@ -148,3 +148,47 @@ def test_files_in_hidden_folders_are_refused(spark, tmpdir_path):
     write(f"{tmpdir_path}/flat/_old/x.log", b"1\n")
     write(f"{tmpdir_path}/flat/y.log", b"1\n")
     assert [r["name"] for r in discover_log_files(spark, f"{tmpdir_path}/flat").collect()] == ["y.log"]
+
+
+BOUNDARIES = "\r \x0b \x0c \x1c \x1d \x1e \x85 \u2028 \u2029".split(" ")
+
+
+def _odd_text(rng, lines):
+    pieces = []
+    for i in range(lines):
+        pieces.append("word" * rng.randrange(3) + str(i))
+        pieces.append(rng.choice(["\n"] * 6 + ["\r\n", "\r\r\n", "\n\n", *BOUNDARIES, "\x0b\n", "\u2028\r\n"]))
+    return "".join(pieces)
+
+
+def test_lines_equal_splitlines_over_several_blocks(spark, tmpdir_path):
+    import random
+
+    rng = random.Random(8)
+    texts = {"many.log": _odd_text(rng, 6_000), "plain.log": "a\nb", "bom.log": "\ufeffa\x0b", "empty.log": ""}
+    for k, end in enumerate(["", "\n", "\r", "\r\n", "\x0b", "\x0b\n", "\x85\r", "\x0b\x0b", "\u2029\r\n", "\r\r"]):
+        texts[f"end{k}.log"] = "first\nlast" + end
+    for name, text in texts.items():
+        with open(f"{tmpdir_path}/{name}", "wb") as f:
+            f.write(text.encode())
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = read_lines(spark, tmpdir_path)
+        found = {}
+        for r in got.collect():
+            found.setdefault(r.source_file, []).append((r.line_number, r.raw))
+        blocks = got.rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    assert blocks > 1 and len(texts["many.log"]) > 5 * 4096
+    for name, text in texts.items():
+        lines = text.removeprefix("\ufeff").splitlines()
+        assert sorted(found.get(name, [])) == list(enumerate(lines, 1)), name
+
+
+def test_latin_lines(spark, tmpdir_path):
+    with open(f"{tmpdir_path}/latin.log", "wb") as f:
+        f.write("caf\u00e9\x85two\n\u00fc\x85".encode("latin-1"))
+    rows_ = read_lines(spark, tmpdir_path, encoding="latin-1").orderBy("line_number").collect()
+    assert [r.raw for r in rows_] == "caf\u00e9\x85two\n\u00fc\x85".splitlines()
