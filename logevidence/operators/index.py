@@ -2,12 +2,14 @@
 
 Layout under ``<root>/<collection>``:
 
-* ``points-<unique>/`` - complete point sets, one per attempted upsert;
-* ``_meta/v=<n>.json`` - one JSON row per commit (version, folder, metric, dim, model).
-
-An upsert is ``current LEFT ANTI new UNION new`` written to a folder of its own;
-creating ``v=<n>.json``, which fails if it exists, is the commit. Readers take
-the highest committed version, so a failed or half-written upsert is never
+* ``points-<unique>/part=<p>/`` - the parts that one attempted upsert has touched, whole;
+* ``_meta/v=<n>.json`` - one JSON row per commit (version, each part's folder, metric, dim, model).
+
+A point's part is a hash of its id, so an upsert reads and rewrites only the
+parts that its ids fall into: there it is ``current LEFT ANTI new UNION new``,
+written to a folder of its own; all other parts stay where they are. Creating
+``v=<n>.json``, which fails if it exists, is the commit. Readers take the
+highest committed version, so a failed or half-written upsert is never
 visible, and of two writers one commits and the other one raises. Only a
 missing ``_meta`` folder means an empty index; any other read error is raised.
 Vectors that are null or not of the index's length are refused. Ids are never deleted
@@ -28,6 +30,10 @@ from pyspark.sql import types as T
 from ..config import check_metric
 from ..functions.events import citation
 from ..schemas import INDEX_EXTRA_FIELDS, INDEX_POINT_FIELDS
+from ..session import shared_dir
+
+# Parts of a new index: at 100 TB of points choose so many that one is some GB.
+PARTS = 64
 
 POINT = T.StructType(
     [
@@ -56,7 +62,8 @@ META = T.StructType(
         T.StructField("metric", T.StringType()),
         T.StructField("dim", T.IntegerType()),
         T.StructField("model", T.StringType()),
-        T.StructField("folder", T.StringType()),
+        T.StructField("parts", T.IntegerType()),
+        T.StructField("folders", T.MapType(T.StringType(), T.StringType())),
         T.StructField("committed_at", T.DoubleType()),
     ]
 )
@@ -117,8 +124,12 @@ class VectorIndex:
     """X-04: ``upsert`` / ``count`` / ``query`` over a versioned parquet point table."""
 
     def __init__(self, spark: SparkSession, root: str, collection_name: str = "logevidence",
-                 similarity_metric: str = "cosine"):
+                 similarity_metric: str = "cosine", parts: int = PARTS):
+        """``parts`` counts when the index is created; an existing one keeps its own."""
+        if parts < 1:
+            raise ValueError("parts must be > 0")
         self.spark = spark
+        self.parts = parts
         self.path = f"{root.rstrip('/')}/{collection_name}"
         self.metric = check_metric(similarity_metric)
 
@@ -162,10 +173,11 @@ class VectorIndex:
         meta = self._meta()
         return -1 if meta is None else int(meta["version"])
 
-    def _points_of(self, meta) -> DataFrame:
-        if meta is None:
-            return self.spark.createDataFrame([], POINT)
-        return self.spark.read.schema(POINT).parquet(f"{self.path}/{meta['folder']}")
+    def _points_of(self, meta, parts=None) -> DataFrame:
+        """The points of all parts, or of some."""
+        folders = {} if meta is None else meta["folders"]
+        paths = [f"{self.path}/{folder}/part={p}" for p, folder in sorted(folders.items()) if parts is None or int(p) in parts]
+        return self.spark.read.schema(POINT).parquet(*paths) if paths else self.spark.createDataFrame([], POINT)
 
     def points(self) -> DataFrame:
         return self._points_of(self._meta())
@@ -175,18 +187,28 @@ class VectorIndex:
         return self.points().count()
 
     def upsert(self, records: DataFrame, order_col: str | None = None, replace_files: bool = False) -> int:
-        """K-05: load embedding records; returns the committed version (unchanged if empty)."""
+        """K-05: load embedding records; returns the committed version (unchanged if empty).
+
+        The new points are written first, so that an encoder runs once. With
+        ``replace_files`` every part may hold points of those files, and all
+        are rewritten.
+        """
         meta = self._meta()
         self.open(meta)
         current = -1 if meta is None else int(meta["version"])
+        parts = self.parts if meta is None else int(meta["parts"])
+        part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
         more = (order_col,) if order_col else ()
         new = index_points(records, extra=more) if "chunk_id" in records.columns else records
-        new = dedup_last(new.select(*POINT.fieldNames(), *more), order_col)
-        new = new.select(*POINT.fieldNames())
-        # One small aggregate: the dimensions and models present (at most two kept), and bad vectors.
+        new = dedup_last(new.select(*POINT.fieldNames(), *more), order_col).select(*POINT.fieldNames())
+        loaded = shared_dir(self.spark, "index-load")
+        new.write.parquet(loaded)
+        new = self.spark.read.schema(POINT).parquet(loaded)
+        # One small aggregate: the dimensions and models present (at most two kept), the parts, and bad vectors.
         info = new.agg(
             F.slice(F.array_sort(F.collect_set("embedding_dim")), 1, 2).alias("dims"),
             F.slice(F.array_sort(F.collect_set("embedding_model")), 1, 2).alias("models"),
+            F.collect_set(part).alias("parts"),
             F.count_if(F.coalesce(F.size("embedding") != F.col("embedding_dim"), F.lit(True)) | F.col("embedding").isNull()).alias("bad"),
         ).first()
         dims, models = list(info["dims"] or []), list(info["models"] or [])
@@ -198,11 +220,21 @@ class VectorIndex:
             raise ValueError(f"{info['bad']} records have no vector of {dims[0]} numbers")
         if len(models) > 1 or (meta is not None and meta["model"] and models and models[0] != meta["model"]):
             raise ValueError(f"embedding model mismatch: {models} vs index {meta['model'] if meta else None}")
+        folders = {} if meta is None else dict(meta["folders"])
+        touched = set(info["parts"]) | ({int(p) for p in folders} if replace_files else set())
         v, folder = self._next_version(), f"points-{uuid.uuid4().hex}"
-        merged = upsert_frames(self._points_of(meta), new, replace_files)
+        merged = upsert_frames(self._points_of(meta, touched), new, replace_files).withColumn("part", part)
         # Ranges of files: row groups hold few files, so source_file filters skip the others.
-        merged.repartitionByRange("source_file", "id").sortWithinPartitions("source_file", "id").write.parquet(f"{self.path}/{folder}")
-        self._commit({"version": v, "metric": self.metric, "dim": int(dims[0]), "model": models[0] if models else None, "folder": folder, "committed_at": time.time()})
+        order = ("part", "source_file", "id")
+        merged.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("part").parquet(f"{self.path}/{folder}")
+        # A part whose points were all replaced away has no folder of its own.
+        target, fs = self._hadoop(f"{self.path}/{folder}")
+        written = {st.getPath().getName() for st in fs.listStatus(target)}
+        for p in touched:
+            folders.pop(str(p), None)
+            if f"part={p}" in written:
+                folders[str(p)] = folder
+        self._commit({"version": v, "metric": self.metric, "dim": int(dims[0]), "model": models[0] if models else None, "parts": parts, "folders": folders, "committed_at": time.time()})
         return v
 
     def query(self, vector, top_k: int = 5, where=None):

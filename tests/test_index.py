@@ -97,3 +97,25 @@ def test_unreadable_commit_is_no_empty_index(spark, tmpdir_path):
     assert ix.count() == 1
     ix.upsert(records(spark, ["b"]))
     assert ix.count() == 2
+
+
+def test_upsert_rewrites_only_touched_parts(spark, tmpdir_path):
+    ids = [f"c{i}" for i in range(400)]
+    ix = VectorIndex(spark, tmpdir_path, "col", parts=32)
+    ix.upsert(records(spark, ids))
+    before = dict(ix._meta()["folders"])
+    some = ids[:4]  # 1 %
+    again = records(spark, some).selectExpr("* except (source_file)", "'new.log' AS source_file")
+    VectorIndex(spark, tmpdir_path, "col", parts=5).upsert(again)  # the index keeps its own number of parts
+    after = dict(ix._meta()["folders"])
+    moved = {p for p in after if after[p] != before[p]}
+    assert 1 <= len(moved) <= 4 and set(before) == set(after) and len(before) == 32
+    got = {r["id"]: r["source_file"] for r in ix.points().collect()}
+    assert len(got) == 400 and {i for i, f in got.items() if f == "new.log"} == set(some)
+
+
+def test_replace_files_removes_stale_ids_in_all_parts(spark, tmpdir_path):
+    ix = VectorIndex(spark, tmpdir_path, "col", parts=8)
+    ix.upsert(records(spark, [f"c{i}" for i in range(50)]))
+    ix.upsert(records(spark, ["z"]), replace_files=True)
+    assert [r["id"] for r in ix.points().collect()] == ["z"] and len(ix._meta()["folders"]) == 1
