@@ -32,7 +32,7 @@ from logevidence.llm.token_store import byte_alphabet
 BYTE_LEVEL_PATH = public_tokenizers.path("byte_bpe_50k.json")
 PIECES_PATH = public_tokenizers.path("piece_bpe_32k.model")
 # Distinct stretches whose tokens a worker process remembers at most.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 # Bytes of text whose tokens are held at once, and of a block; a longer text stands alone.
 CHUNK_BYTES = 1 << 20
 BLOCK_BYTES = 8 << 20
@@ -102,8 +102,8 @@ class PieceTokens:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=content)
         size = self.model.get_piece_size()
         single = np.array([self.model.is_byte(i) for i in range(size)])
-        self.decoded = [bytes([int(p[3:-1], 16)]) if b else p.replace("▁", " ").encode() for p, b in zip(map(self.model.id_to_piece, range(size)), single, strict=True)]
-        self.single = single
+        decoded = [bytes([int(p[3:-1], 16)]) if b else p.replace("▁", " ").encode() for p, b in zip(map(self.model.id_to_piece, range(size)), single, strict=True)]
+        self.single, self.decoded = single, _table(decoded)
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, bytes]]:
         """(ids, byte ends, bytes of all tokens) of each text."""
@@ -113,7 +113,7 @@ class PieceTokens:
             spans = np.fromiter(chain.from_iterable(found["offsets"]), dtype=np.int64, count=2 * len(ids)).reshape(-1, 2)
             lengths = np.where(self.single[ids], 1, spans[:, 1] - spans[:, 0])
             lengths[:1] += 1 - self.single[ids[:1]]  # the space before the text has no span
-            out.append((ids, np.cumsum(lengths), b"".join(map(self.decoded.__getitem__, found["ids"]))))
+            out.append((ids, np.cumsum(lengths), gather(ids, *self.decoded).tobytes()))
         return out
 
 
@@ -123,13 +123,25 @@ def _tokenizers(byte_level: bytes, pieces: bytes) -> tuple[ByteLevelTokens, Piec
     return ByteLevelTokens(byte_level), PieceTokens(pieces)
 
 
+def _table(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Byte strings one after another, and where each begins: for gather()."""
+    return np.frombuffer(b"".join(values), dtype=np.uint8), np.concatenate([[0], np.cumsum(np.fromiter(map(len, values), dtype=np.int64, count=len(values)))])
+
+
+@cache
+def _shown(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """What code 4 * id + follower reads: the decimal id, and one of the four marks that may follow it."""
+    return _table([b"%d%c" % (i, mark) for i in range(size) for mark in b",|,;"])
+
+
 def aligned(a_ids: np.ndarray, a_ends: np.ndarray, b_ids: np.ndarray, b_ends: np.ndarray) -> tuple[int, np.ndarray, bytes]:
     """Two token sequences over the same bytes -> number of groups, links as pairs (a id << 32 | b id), and the groups as text.
 
     A group ends where tokens of both end; it reads ``a1,a2|b1``, groups follow each other with ``;``.
     """
-    common = np.intersect1d(a_ends, b_ends, assume_unique=True)
-    segments = np.union1d(a_ends, b_ends)
+    ends = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")  # two ascending runs
+    again = ends[1:] == ends[:-1]
+    common, segments = ends[1:][again], ends[np.concatenate([[True], ~again])]
     links = a_ids[np.searchsorted(a_ends, segments)] << 32 | b_ids[np.searchsorted(b_ends, segments)]
     a_group, b_group = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
     a_upto, b_upto = (np.cumsum(np.bincount(g, minlength=len(common))) for g in (a_group, b_group))
@@ -137,20 +149,8 @@ def aligned(a_ids: np.ndarray, a_ends: np.ndarray, b_ids: np.ndarray, b_ends: np
     shown = np.empty(len(a_ids) + len(b_ids), dtype=np.int64)
     shown[np.arange(len(a_ids)) + np.concatenate([[0], b_upto])[a_group]] = a_ids * 4 + (a_ends == common[a_group])
     shown[np.arange(len(b_ids)) + a_upto[b_group]] = b_ids * 4 + 2 + (b_ends == common[b_group])
-    return len(common), links, b"".join(map(_shown().__getitem__, shown.tolist()))[:-1]
-
-
-class _Shown(dict):
-    """Code -> decimal id and what follows it."""
-
-    def __missing__(self, code: int) -> bytes:
-        self[code] = text = b"%d%c" % (code >> 2, b",|,;"[code & 3])
-        return text
-
-
-@cache
-def _shown() -> _Shown:
-    return _Shown()
+    size = 1 << int(max(a_ids.max(), b_ids.max())).bit_length()
+    return len(common), links, gather(shown, *_shown(size))[:-1].tobytes()
 
 
 def _chunks(texts: list[str | None]) -> Iterator[list[int]]:
