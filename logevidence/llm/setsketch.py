@@ -17,7 +17,7 @@ members of the group where it lies; only links leave that join.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -201,14 +201,18 @@ def least_equal() -> int:
     return int((unlikely & (share < s)).sum()) + 1
 
 
+def _folded(shift: int) -> Callable[[Column], Column]:
+    return lambda d: d.bitwiseOR(F.shiftrightunsigned(d, shift))
+
+
 def _registers_allow(a: str, b: str) -> Column:
     """Whether this band is the first that is equal, so that a pair counts in one group only, and enough registers are."""
     first = F.lit(True)
     for i in range(BANDS - 1):
         first = first & ((F.col(f"{a}.band") <= i) | (F.get(f"{a}.sketch", F.lit(i)) != F.get(f"{b}.sketch", F.lit(i))))
     differ = F.zip_with(f"{a}.sketch", f"{b}.sketch", lambda x, y: x.bitwiseXOR(y))
-    for shift in (8, 4, 2, 1):  # all bits of a register come together in its lowest
-        differ = F.transform(differ, lambda d, shift=shift: d.bitwiseOR(F.shiftrightunsigned(d, shift)))
+    for step in (_folded(8), _folded(4), _folded(2), _folded(1)):  # all bits of a register come together in its lowest
+        differ = F.transform(differ, step)
     unequal = F.aggregate(differ, F.lit(0), lambda n, d: n + F.bit_count(d.bitwiseAND(F.lit(0x0001000100010001))))
     return first & (unequal <= REGISTERS - least_equal())
 

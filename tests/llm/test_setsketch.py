@@ -104,3 +104,21 @@ def test_long_texts_are_taken_whole(monkeypatch):
 @pytest.mark.parametrize("a, b", [([], [1]), ([1, 2, 9], [2, 9, 10, 11]), ([5], [5])])
 def test_common_elements(a, b):
     assert sk.common_elements(*(np.array(x, dtype=np.uint64) for x in (a, b))) == len(set(a) & set(b))
+
+
+def test_register_test_of_the_join(spark):
+    """Pairs pass in their first equal band, and only with enough equal registers."""
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 1 << 16, sk.REGISTERS, dtype=np.uint16)
+    rows, wanted = [], []
+    for k, changed in enumerate((0, 1, 30, sk.REGISTERS - sk.least_equal(), sk.REGISTERS - sk.least_equal() + 1, 100)):
+        b = a.copy()
+        b[rng.choice(sk.REGISTERS, changed, replace=False)] ^= 1 << int(rng.integers(0, 16))
+        x, y = a.view(np.int64), b.view(np.int64)
+        for band in range(sk.BANDS):
+            if x[band] == y[band]:
+                rows.append((100 * k + band, (band, x.tolist()), (y.tolist(),)))
+                if changed <= sk.REGISTERS - sk.least_equal() and band == np.flatnonzero(x == y)[0]:
+                    wanted.append(100 * k + band)
+    frame = spark.createDataFrame(rows, "i int, a struct<band int, sketch array<long>>, b struct<sketch array<long>>")
+    assert sorted(r.i for r in frame.where(sk._registers_allow("a", "b")).collect()) == wanted
