@@ -468,6 +468,19 @@ SELECT NULL, count(*), CAST(sum(lines) AS BIGINT), CAST(sum(events) AS BIGINT),
 
 SQL["q_jsonl_roundtrip"] = SQL["q_parse_haproxy"]
 
+SQL["q_line_boundaries"] = """
+WITH marked AS (
+  SELECT replace(text, '. ', CASE doc_id % 4 WHEN 0 THEN chr(11) WHEN 1 THEN chr(8232) WHEN 2 THEN chr(13)
+                             ELSE chr(133) || chr(28) END) || chr(10) AS text
+  FROM documents WHERE text IS NOT NULL
+),
+parts AS (
+  SELECT regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]') AS a FROM marked
+),
+lines AS (SELECT unnest(a[1:len(a) - 1]) AS raw FROM parts)
+SELECT CAST(length(raw) AS INTEGER) AS n_chars, count(*) AS n_lines, min(md5(raw)) AS first_md5, max(md5(raw)) AS last_md5
+FROM lines GROUP BY 1"""
+
 SQL["q_read_files"] = with_(BASE, HX) + """
 SELECT regexp_replace(source_file, '[.]log$', '') AS app, count(*) AS lines,
   count(*) FILTER (WHERE NOT h_corrupt AND NOT h_blank) AS ok,

@@ -259,6 +259,18 @@ def q_read_files(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def q_line_boundaries(spark: SparkSession, sf: str) -> DataFrame:
+    """S-03 in the default mode: documents with other line boundaries in place of sentence ends, written as
+    text files and read as lines, counted by length."""
+    path = shared_dir(spark, "boundaries")
+    docs = D.table(spark, sf, "documents").where(F.col("text").isNotNull())
+    mark = F.element_at(F.array(F.lit("\x0b"), F.lit("\u2028"), F.lit("\r"), F.lit("\x85\x1c")), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
+    docs.select(F.replace("text", F.lit(". "), mark).alias("value")).write.text(path)
+    lines = read_lines(spark, path, patterns=("*.txt",))
+    return lines.groupBy(F.length("raw").alias("n_chars")).agg(
+        F.count(F.lit(1)).alias("n_lines"), F.min(F.md5("raw")).alias("first_md5"), F.max(F.md5("raw")).alias("last_md5"))
+
+
 def q_discover(spark: SparkSession, sf: str) -> DataFrame:
     """S-01/S-02/U-01/T-05: recursive multi-pattern discovery over written log files,
     summarised per app folder (file count is split-dependent; the byte total is not)."""
@@ -430,6 +442,7 @@ REGISTRY = {
     "q_corpus_report": q_corpus_report,
     "q_jsonl_roundtrip": q_jsonl_roundtrip,
     "q_read_files": q_read_files,
+    "q_line_boundaries": q_line_boundaries,
     "q_discover": q_discover,
     "q_chunk_status_hist": q_chunk_status_hist,
     "q_relevance_labels": q_relevance_labels,
