@@ -279,8 +279,8 @@ def _across(open_members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataF
     """(u, v): all links inside of groups between different components, compared where the group meets.
 
     Of such a pair one is outside of the pivot's component: those meet all
-    members. Counts and registers rule out most pairs; nodes for which some
-    pair is left bring their full sets.
+    members. Counts and registers rule out most pairs; only members of which some
+    pair is left, on either side, bring their full sets.
     """
     rows = open_members.withColumn("main", F.col("p.root")).drop("p").join(nodes.select("node", "sketch"), "node")
     rows = written(rows, "open")
@@ -288,7 +288,7 @@ def _across(open_members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataF
     apart = (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
     allowed = (F.col("a.bucket") == F.col("b.bucket")) & apart & _may_link("a", "b") & _registers_allow("a", "b")
     hopeful = written(outside.alias("a").join(rows.hint("merge").alias("b"), allowed, "left_semi"), "hopeful")
-    met = rows.join(hopeful.select("bucket").distinct(), "bucket", "left_semi")
+    met = written(rows.alias("b").join(hopeful.hint("merge").alias("a"), allowed, "left_semi"), "met")
     left, right = (x.join(sets, "node").alias(name) for x, name in ((hopeful, "a"), (met, "b")))
     common = F.size(F.array_intersect("a.elements", "b.elements"))
     similar = common * 100 >= (F.col("a.n") + F.col("b.n") - common) * PER_CENT
