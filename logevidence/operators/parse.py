@@ -76,6 +76,37 @@ def first_error(classified: DataFrame):
     return None if row is None or row["m"] is None else row["m"]
 
 
+# What the error of a stopped write begins with.
+STOPPED = "unparseable line met in "
+
+
+def stop_at_errors(classified: DataFrame) -> DataFrame:
+    """F-02 ``fail``: the same rows, whose evaluation fails at an unparseable line.
+
+    A write of them is given up by the first task that meets one, and nothing
+    of it is committed; clean lines need no pass of their own.
+    """
+    place = F.concat(F.lit(STOPPED), F.col("source_file"), F.lit(":"), F.col("line_number").cast("string"))
+    return classified.withColumn("status", F.when(F.col("status") == "error", F.raise_error(place)).otherwise(F.col("status")))
+
+
+def error_of(bad) -> ParseError:
+    return ParseError(f"unparseable line in {bad['source_file']}:{bad['line_number']} -> {bad['raw']!r}")
+
+
+def line_counts() -> list:
+    """A-02 as aggregates of classified lines, for ``DataFrame.observe`` on the pass that writes them."""
+    of = lambda s: F.count_if(F.col("status") == s)
+    return [F.count(F.lit(1)).alias("lines"), of("ok").alias("ok"), of("error").alias("errors")]
+
+
+def totals_of(seen: dict, on_parse_error: str) -> dict:
+    """The grand total of ``parse_stats`` from observed line counts (without the number of files)."""
+    skipped = seen["errors"] if on_parse_error == "skip" else 0
+    kept = seen["errors"] if on_parse_error == "keep" else 0
+    return {"lines": seen["lines"], "ok": seen["ok"], "skipped_errors": skipped, "kept_errors": kept, "events": seen["ok"] + kept}
+
+
 def events_of(classified: DataFrame, on_parse_error: str = "skip", keep_path: bool = True) -> DataFrame:
     """F-02: ``skip`` drops unparseable lines, ``keep`` keeps them as P-15
     placeholders at their position, ``fail`` raises on the first one."""
@@ -83,7 +114,7 @@ def events_of(classified: DataFrame, on_parse_error: str = "skip", keep_path: bo
     if on_parse_error == "fail":
         bad = first_error(classified)
         if bad is not None:
-            raise ParseError(f"unparseable line in {bad['source_file']}:{bad['line_number']} -> {bad['raw']!r}")
+            raise error_of(bad)
     wanted = ["ok", "error"] if on_parse_error == "keep" else ["ok"]
     cols = (["source_path"] if keep_path else []) + list(EVENT_FIELDS)
     return classified.where(F.col("status").isin(*wanted)).select(*cols)

@@ -11,16 +11,18 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
+from contextlib import nullcontext
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Params, check_policy
 from ..operators.chunking import chunk_events, stem_collisions
 from ..operators.embedding import HashEncoder, embed_chunks
 from ..operators.index import VectorIndex
-from ..operators.parse import ParseError, classify_lines, events_of, first_error, parse_stats
+from ..operators.parse import (STOPPED, classify_lines, error_of, events_of, first_error, line_counts, parse_stats,
+                               stop_at_errors, totals_of)
 from ..operators.render import render_results, render_text
 from ..operators.report import corpus_report
 from ..operators.retrieval import build_where, retrieve, retrieve_many
@@ -28,13 +30,15 @@ from ..schemas import CHUNK_FIELDS, EMBEDDING_FIELDS, EVENT_FIELDS
 from ..session import apply_job_conf, shared_dir
 from ..operators.detect import resolve_source
 from ..sources.files import check_hidden_files, check_hidden_names, discover_log_files, existing_files, read_lines
-from ..sources.jsonl import load_chunks, load_embedding_records, load_events, stage_input, write_json_array, write_jsonl
+from ..sources.jsonl import (STAGE_SCHEMA, STAGE_SUFFIX, load_chunks, load_embedding_records, load_events,
+                             naming_bad_records, stage_input, write_json_array, write_jsonl)
 
 
 @dataclass
 class ParseResult:
     events_path: str
     stats: DataFrame
+    totals: dict  # the total of ``stats``, counted while the lines were written
 
 
 OUTPUT_FORMATS = ("parquet", "jsonl", "json")
@@ -71,6 +75,13 @@ def _read(spark: SparkSession, path: str, fmt: str, loader, stage: str | None =
     return loader(spark, path) if fmt == "jsonl" else spark.read.parquet(path)
 
 
+def _bad_records_named(spark: SparkSession, path: str, fmt: str, stage: str):
+    """Errors of JSON input name file and line; tables have none of the kind."""
+    if fmt == "parquet":
+        return nullcontext()
+    return naming_bad_records(spark, path, STAGE_SCHEMA[stage], f"*{STAGE_SUFFIX[stage]}" if fmt == "stage" else "*")
+
+
 def classify_files(spark: SparkSession, logs_path: str, params: Params = Params(), *,
                    forced_source: str | None = None) -> DataFrame:
     """E-01 front half on real files, one route for any number and names of files.
@@ -98,7 +109,9 @@ def parse_logs(spark: SparkSession, logs_path: str, out_path: str, params: Param
     """E-01: log files -> events table (+ per-file and total statistics).
 
     The classified lines are written once; events and statistics are both
-    derived from that table, so the text is parsed exactly once.
+    derived from that table, so the text is parsed exactly once. Totals are
+    counted on the writing pass. Under ``fail`` that write stops at the first task
+    with an unparseable line, and the first such line of all is then looked up.
     """
     apply_job_conf(spark)
     params.check()
@@ -106,15 +119,18 @@ def parse_logs(spark: SparkSession, logs_path: str, out_path: str, params: Param
     _check_format(output_format)
     cl = classify_files(spark, logs_path, params, forced_source=forced_source)
     bronze = shared_dir(spark, "classified-lines")
-    cl.write.mode("overwrite").parquet(bronze)
+    counted = Observation("lines")
+    to_write = stop_at_errors(cl) if params.on_parse_error == "fail" else cl
+    try:
+        to_write.observe(counted, *line_counts()).write.mode("overwrite").parquet(bronze)
+    except Exception as exc:
+        if STOPPED not in str(exc):
+            raise
+        raise error_of(first_error(cl)) from exc
     cl = spark.read.schema(cl.schema).parquet(bronze)
-    if params.on_parse_error == "fail":
-        bad = first_error(cl)
-        if bad is not None:
-            raise ParseError(f"unparseable line in {bad['source_file']}:{bad['line_number']} -> {bad['raw']!r}")
     ev = events_of(cl, "keep" if params.on_parse_error == "keep" else "skip")
     _write(ev, out_path, output_format, EVENT_FIELDS)
-    return ParseResult(out_path, parse_stats(cl, params.on_parse_error))
+    return ParseResult(out_path, parse_stats(cl, params.on_parse_error), totals_of(counted.get, params.on_parse_error))
 
 
 def chunk_logs(spark: SparkSession, events_path: str, out_path: str, params: Params = Params(), *,
@@ -129,15 +145,15 @@ def chunk_logs(spark: SparkSession, events_path: str, out_path: str, params: Par
     ev = _read(spark, events_path, input_format, load_events, "events")
     if not ev.inputFiles():
         raise FileNotFoundError(f"no events under {events_path}")
-    if input_format == "stage":  # one events file per original log: its stem names the chunks
-        ch = chunk_events(ev, params.chunk_size, params.chunk_overlap, key="stage_file",
-                          stem=F.regexp_replace(F.regexp_extract("stage_file", "([^/]*)$", 1), "[.]events[.]jsonl$", ""))
+    with _bad_records_named(spark, events_path, input_format, "events"):
+        if input_format == "stage":  # one events file per original log: its stem names the chunks
+            ch = chunk_events(ev, params.chunk_size, params.chunk_overlap, key="stage_file",
+                              stem=F.regexp_replace(F.regexp_extract("stage_file", "([^/]*)$", 1), "[.]events[.]jsonl$", ""))
+        else:
+            if id_scope == "stem" and "source_path" in ev.columns:
+                _check_stems(ev)
+            ch = chunk_events(ev, params.chunk_size, params.chunk_overlap, id_scope=id_scope)
         _write(ch, out_path, output_format, CHUNK_FIELDS)
-        return _read(spark, out_path, output_format, load_chunks)
-    if id_scope == "stem" and "source_path" in ev.columns:
-        _check_stems(ev)
-    ch = chunk_events(ev, params.chunk_size, params.chunk_overlap, id_scope=id_scope)
-    _write(ch, out_path, output_format, CHUNK_FIELDS)
     return _read(spark, out_path, output_format, load_chunks)
 
 
@@ -151,7 +167,8 @@ def embed_chunks_job(spark: SparkSession, chunks_path: str, out_path: str, encod
     if not ch.inputFiles():
         raise FileNotFoundError(f"no chunks under {chunks_path}")
     rec = embed_chunks(ch, encoder)
-    _write(rec, out_path, output_format, EMBEDDING_FIELDS)
+    with _bad_records_named(spark, chunks_path, input_format, "chunks"):
+        _write(rec, out_path, output_format, EMBEDDING_FIELDS)
     return _read(spark, out_path, output_format, load_embedding_records)
 
 
@@ -161,7 +178,8 @@ def index_embeddings(spark: SparkSession, records_path: str, index_root: str, pa
     apply_job_conf(spark)
     rec = _read(spark, records_path, input_format, load_embedding_records, "embeddings")
     ix = VectorIndex(spark, index_root, params.collection_name, params.similarity_metric).open()
-    ix.upsert(rec)
+    with _bad_records_named(spark, records_path, input_format, "embeddings"):
+        ix.upsert(rec)
     return ix
 
 

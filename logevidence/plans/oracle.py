@@ -7,7 +7,7 @@ text, so a parser bug cannot hide behind an identical bug in the oracle.
 
 from __future__ import annotations
 
-from ..config import ABSTENTION_SENTENCE
+from ..config import ABSTENTION_SENTENCE, Params
 from .driver_tables import CHUNK_OVERLAP, CHUNK_SIZE, EVAL_QUERIES, HASH_DIM, PHENOMENA, RETRIEVE_QUERY
 
 
@@ -667,3 +667,19 @@ FROM ({SQL["q_validate_citations"]})"""
 SQL["q_evidence_text"] = f"""
 SELECT string_agg(header || chr(10) || text, chr(10) || '---' || chr(10) ORDER BY evidence_id) AS evidence
 FROM ({SQL["q_evidence"]})"""
+
+SQL["q_validate_corpus"] = with_(BASE, HX) + """
+SELECT is_total, count(*) AS lines, count(*) FILTER (WHERE NOT h_corrupt AND NOT h_blank) AS events,
+  TRUE AS all_windows, TRUE AS all_embedded, TRUE AS all_indexed, CAST(1 AS INTEGER) AS skipped_files,
+  'COLLECTION' AS collection
+FROM hx_lines, (VALUES (FALSE), (TRUE)) t(is_total) GROUP BY is_total""".replace("COLLECTION", f"{Params().collection_name}_validacion")
+
+SQL["q_stage_jobs"] = SQL["q_render_results"]
+
+SQL["q_json_array"] = with_(BASE, HX) + """
+SELECT source_file, count(*) AS n_records, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(length(raw)) AS BIGINT) AS chars,
+  min(line_number) AS first_line, CAST(1 AS BIGINT) AS n_open, max(line_number) AS last_line, CAST(1 AS BIGINT) AS n_close
+FROM hx_events GROUP BY source_file"""
+
+SQL["q_bad_records"] = with_(BASE, HX) + """
+SELECT regexp_replace(source_file, '[.]log$', '') AS app, raw, TRUE AS numbered FROM hx_lines WHERE h_corrupt"""

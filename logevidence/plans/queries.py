@@ -20,16 +20,17 @@ from ..operators.retrieval import attach_text, build_where, extra_where, retriev
 from ..config import ABSTENTION_SENTENCE, Params
 from ..operators.chunking import chunk_events, positioned_events
 from ..operators.citations import answer_metrics, evidence_blocks, evidence_text, expand_markers, validate_answers
-from ..operators.embedding import embed_chunks
+from ..operators.embedding import BatchEncoder, HashEncoder, embed_chunks
 from ..operators.evaluation import chunk_histograms, chunk_membership, phenomenon_counts, precision_at_k, relevance_labels
 from ..operators.index import VectorIndex, dedup_last, upsert_frames
 from ..operators.render import render_results
 from ..operators.report import corpus_report
 from ..session import shared_dir
 from ..sources.files import discover_log_files, read_lines
-from ..sources.jsonl import load_events, write_events
+from ..schemas import EVENT, EVENT_FIELDS
+from ..sources.jsonl import STAGE_SUFFIX, bad_records, load_events, write_chunks, write_events, write_json_array
 from . import driver_tables as D
-from .jobs import chunk_logs, embed_chunks_job, parse_logs
+from .jobs import chunk_logs, embed_chunks_job, index_embeddings, parse_logs, retrieve_job, validate_corpus, write_report
 
 EVENT_OUT = ("timestamp", "source", "severity", "client_ip", "method", "path", "status_code", "bytes",
              "duration_ms", "backend", "source_file", "line_number", "raw")
@@ -371,6 +372,74 @@ def q_jobs_jsonl(spark: SparkSession, sf: str) -> DataFrame:
     return rec.select("chunk_id", "source_file", "line_start", "line_end", "ts_start", "ts_end")
 
 
+def q_validate_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """E-06/S-05/K-06/A-12: the corpus job over an explicit list of log files with a missing one; its report, written
+    and read as JSON, as sums that no split of the files changes, and whether the stages' counts agree."""
+    path = _written_logs(spark, sf)
+    # Parts of one write: at most apps x shuffle partitions.
+    files = [r["path"] for r in discover_log_files(spark, path, ("*.txt",), recursive=True).collect()]
+    params = Params(chunk_size=D.CHUNK_SIZE, chunk_overlap=D.CHUNK_OVERLAP, embedding_dim=D.HASH_DIM)
+    done = validate_corpus(spark, [*files, f"{path}/gone.txt"], shared_dir(spark, "index"), params, id_scope="path")
+    out = shared_dir(spark, "report")
+    write_report(done["report"], out)
+    n, step = F.col("events"), D.CHUNK_SIZE - D.CHUNK_OVERLAP
+    windows = F.when(n == 0, 0).when(n <= D.CHUNK_SIZE, 1).otherwise(1 + F.ceil((n - D.CHUNK_SIZE) / step))
+    return spark.read.schema(done["report"].schema).json(out).groupBy("is_total").agg(
+        F.sum("lines").alias("lines"), F.sum("events").alias("events"),
+        F.bool_and(F.col("is_total") | (F.col("chunks") == windows)).alias("all_windows"),
+        F.bool_and(F.col("chunks") == F.col("embeddings")).alias("all_embedded"),
+        (F.sum("chunks") == F.lit(done["indexed_count"])).alias("all_indexed"),
+        F.lit(len(done["skipped_files"])).alias("skipped_files"),
+        F.lit(done["collection"]).alias("collection"),
+    )
+
+
+def _as_stage_files(spark: SparkSession, path: str, stage: str) -> str:
+    """Give the part files of a ``file=<stem>`` folder the names of a stage's interchange files."""
+    sc = spark.sparkContext
+    for i, r in enumerate(discover_log_files(spark, path, ("*.json",), recursive=True).collect()):
+        old = sc._jvm.org.apache.hadoop.fs.Path(r["path"])
+        old.getFileSystem(sc._jsc.hadoopConfiguration()).rename(old, sc._jvm.org.apache.hadoop.fs.Path(old.getParent(), f"p{i}{STAGE_SUFFIX[stage]}"))
+    return path
+
+
+def q_stage_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """S-09/X-02/E-03..E-05/P-26: chunk files named by stage through a batch encoder, the index job and the retrieval job."""
+    chunks, records, root = (shared_dir(spark, f"stage-{x}") for x in ("chunks", "records", "index"))
+    params = Params(embedding_dim=D.HASH_DIM, top_k=5)
+    encoder = BatchEncoder(lambda: HashEncoder(D.HASH_DIM).encode_local, "batched-hash")
+    write_chunks(D.log_chunks(spark, sf), chunks)
+    embed_chunks_job(spark, _as_stage_files(spark, chunks, "chunks"), records, encoder, input_format="stage",
+                     output_format="jsonl", params=params)
+    index_embeddings(spark, _as_stage_files(spark, records, "embeddings"), root, params, input_format="stage")
+    return retrieve_job(spark, root, D.RETRIEVE_QUERY, encoder, params).select("rank", "rendered")
+
+
+def q_json_array(spark: SparkSession, sf: str) -> DataFrame:
+    """K-02: events as one JSON array per file, in lines of one record each, read back; the arrays' ends by file."""
+    path = shared_dir(spark, "arrays")
+    write_json_array(D.haproxy_events(spark, sf), path)
+    lines = spark.read.text(path).withColumn("record", F.from_json(F.expr("substr(ltrim('[', value), 1, length(ltrim('[', value)) - 1)"), EVENT))
+    return lines.groupBy("record.source_file").agg(
+        F.count(F.lit(1)).alias("n_records"), F.sum("record.bytes").alias("bytes"),
+        F.sum(F.length("record.raw")).alias("chars"),
+        F.min(F.when(F.col("value").startswith("["), F.col("record.line_number"))).alias("first_line"),
+        F.count_if(F.col("value").startswith("[")).alias("n_open"),
+        F.max(F.when(F.col("value").endswith("]"), F.col("record.line_number"))).alias("last_line"),
+        F.count_if(F.col("value").endswith("]")).alias("n_close"))
+
+
+def q_bad_records(spark: SparkSession, sf: str) -> DataFrame:
+    """S-06/F-10: JSON Lines files of events with unparseable and blank lines among them: the lines that are no records."""
+    path = shared_dir(spark, "mixed-jsonl")
+    cl = D.haproxy_classified(spark, sf).withColumn("app", F.regexp_replace("source_file", "[.]log$", ""))
+    record = F.to_json(F.struct(*EVENT_FIELDS), {"ignoreNullFields": "false"})
+    value = F.when(F.col("status") == "ok", record).otherwise(F.col("raw"))
+    cl.select("app", value.alias("value")).write.partitionBy("app").text(path)
+    bad = bad_records(spark, path, EVENT)
+    return bad.select(F.regexp_extract("source_path", "app=([^/]+)/", 1).alias("app"), "raw", (F.col("line_number") > 0).alias("numbered"))
+
+
 def q_index_disk(spark: SparkSession, sf: str) -> DataFrame:
     """K-05/S-10/S-11/X-04 on the stored index: a load, a second one with overlapping and repeated ids
     (the later of each counts), every point with its vector, and the count."""
@@ -458,4 +527,8 @@ REGISTRY = {
     "q_jobs_jsonl": q_jobs_jsonl,
     "q_parse_files": q_parse_files,
     "q_precision_misses": q_precision_misses,
+    "q_validate_corpus": q_validate_corpus,
+    "q_stage_jobs": q_stage_jobs,
+    "q_json_array": q_json_array,
+    "q_bad_records": q_bad_records,
 }

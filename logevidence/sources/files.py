@@ -110,16 +110,17 @@ def _load_text(spark, paths, patterns, recursive):
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str], *, patterns: Sequence[str] = ("*.log", "*.gz"),
-               recursive: bool = False, encoding: str = "utf-8") -> DataFrame:
+               recursive: bool = False, encoding: str = "utf-8", boundaries: str = LINE_BREAK_IN_ROW) -> DataFrame:
     """S-03/S-04 scale mode: ``source_path, source_file, line_number, raw``.
 
     ``paths`` is a folder (discovered with ``patterns``; names may hold any
     character) or an explicit file list. Bytes that are not valid UTF-8 become
     replacement characters; another ``encoding`` must be one whose line feeds
     are single bytes (Latin and most others; not UTF-16: see ``read_lines_exact``).
+    ``boundaries`` is the pattern of line boundaries beside the line feed.
     """
     text = _load_text(spark, paths, patterns, recursive)
-    return number_lines(text.select("value", "_metadata"), encoding)
+    return number_lines(text.select("value", "_metadata"), encoding, boundaries)
 
 
 def _plain_name(encoded):
@@ -137,7 +138,7 @@ def _decoder(encoding: str):
     return decoded
 
 
-def number_lines(text: DataFrame, encoding: str = "utf-8") -> DataFrame:
+def number_lines(text: DataFrame, encoding: str = "utf-8", boundaries: str = LINE_BREAK_IN_ROW) -> DataFrame:
     """Number the lines of a text scan (columns ``value`` and ``_metadata``, ``lineSep`` LINE_FEED) per file.
 
     A row has the lines between its line boundaries, most often one. Inside one
@@ -169,7 +170,7 @@ def number_lines(text: DataFrame, encoding: str = "utf-8") -> DataFrame:
         F.when(raw.endswith("\r"), F.left(raw, F.length(raw) - 1)).otherwise(raw).alias("row"),
         raw.endswith("\r").alias("returned"),
     )
-    parts = F.when(F.col("row").rlike(LINE_BREAK_IN_ROW), F.split("row", LINE_BREAK_IN_ROW, -1)).otherwise(F.array("row"))
+    parts = F.when(F.col("row").rlike(boundaries), F.split("row", boundaries, -1)).otherwise(F.array("row"))
     lines = rows.select("source_path", "source_file", "block", "file_size", "size", "returned", F.size(parts).alias("parts"), F.posexplode(parts).alias("part", "raw"))
     scan = lines.withColumn("mid", F.monotonically_increasing_id())
     blocks = scan.groupBy("source_path", "block").agg(

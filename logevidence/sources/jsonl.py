@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +12,11 @@ from pyspark.sql import types as T
 from ..functions.text import path_stem
 from ..schemas import CHUNK, CHUNK_FIELDS, EMBEDDING, EMBEDDING_FIELDS, EVENT, EVENT_FIELDS
 from ..operators.ordinal import ordinal_within
+from .files import read_lines
+
+
+class RecordError(ValueError):
+    """A line that holds no record of its stage, named by file and line."""
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, mode: str = "FAILFAST") -> DataFrame:
@@ -20,6 +28,36 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, mode: str =
     return spark.read.schema(schema).option("mode", mode.upper()).json(path)
 
 
+def bad_records(spark: SparkSession, path: str, schema: T.StructType, pattern: str = "*") -> DataFrame:
+    """``source_path, source_file, line_number, raw`` of the lines under ``path`` that hold no record of ``schema``.
+
+    Lines are those of the JSON reader (line feeds and carriage returns), counted
+    from 1 in each file; blank ones are no records and no errors (F-10).
+    """
+    marked = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    lines = read_lines(spark, path, patterns=(pattern,), recursive=True, boundaries="\r")
+    record = F.from_json("raw", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return lines.where((F.trim("raw") != "") & record["_corrupt_record"].isNotNull())
+
+
+@contextmanager
+def naming_bad_records(spark: SparkSession, path: str, schema: T.StructType, pattern: str = "*") -> Iterator[None]:
+    """Turn a reader's failure inside the block into a RecordError that names the first bad line in (path, line) order.
+
+    Good input pays nothing: lines are numbered only after a failure.
+    """
+    try:
+        yield
+    except Exception as exc:
+        if not any(c in str(exc) for c in ("MALFORMED_RECORD", "FAILED_READ_FILE")):
+            raise
+        at = F.min(F.struct("source_path", "line_number", "source_file", "raw"))
+        bad = bad_records(spark, path, schema, pattern).agg(at.alias("m")).first()["m"]
+        if bad is None:
+            raise
+        raise RecordError(f"invalid record in {bad['source_file']}:{bad['line_number']} -> {bad['raw'][:200]!r}") from exc
+
+
 def load_events(spark, path, mode="FAILFAST"):
     """S-06."""
     return read_jsonl(spark, path, EVENT, mode)
