@@ -209,8 +209,13 @@ def quality_digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
+    """The documents that the rules keep, with all their columns.
+
+    Null and empty texts go, as they fail the base; repeated rows stay or go
+    together; an empty table gives an empty result. Features are counted once
+    and written with the rows.
+    """
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    model = fit(_voted(packed.select(features_column(F.col("_row.text")).alias("_f"))))
-    rows = packed.select("_row", features_column(F.col("_row.text")).alias("_f"))
+    rows = written(packed.select("_row", features_column(F.col("_row.text")).alias("_f")), "features")
+    model = fit(_voted(rows))
     return rows.where(_judged(model, F.col("_f"))[1]).select("_row.*")

@@ -24,8 +24,8 @@ from logevidence.llm.common import bounded_sample, word_batches
 PREDICT_AT = 0.7
 # Labelled documents that the model is fitted on, at most (evenly drawn).
 FIT_DOCUMENTS = 20_000
-# Pieces in the model at most, the most significant ones; bounds what is broadcast.
-MAX_PIECES = 50_000
+# A piece is in the model from this significance on. That takes some MIN_Z**2 / 2 contexts among the sample's, so the
+# sample bounds the model: by a fraction of its distinct contexts.
 MIN_Z = 5.0
 PRIOR_WEIGHT = 1_000.0
 MIN_LOG_ODDS = 1.0
@@ -209,7 +209,6 @@ def fit(labelled: DataFrame, limit: int = FIT_DOCUMENTS) -> ToxicityModel:
         counted.select("piece", odds.alias("odds"), z.alias("z"), (nil / (n0 + PRIOR_WEIGHT)).alias("p0"))
         .where((F.col("z") >= MIN_Z) & (F.abs("odds") >= MIN_LOG_ODDS))
         .orderBy(F.col("z").desc(), "piece")
-        .limit(MAX_PIECES)
         .collect()
     )
     scores = {r.piece: min(r.odds, MAX_LOG_ODDS) - DRIFT for r in known}
