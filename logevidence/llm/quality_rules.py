@@ -123,8 +123,9 @@ VOTES_IF_GOOD = (0.002, 0.25, 0.748)  # shares of -1, 0, 1
 VOTES_IF_FAULTY = (0.95, 0.04, 0.01)  # of the rule for that fault
 VOTES_IF_OTHER_FAULT = (0.05, 0.3, 0.65)  # of another rule
 PRIOR_SHARE = 0.1
-# The same for a rule's votes on its own fault: much, else the fault's class could come to mean another thing.
-OWN_FAULT_SHARE = 1.0
+# A rule's votes on its own fault: the whole of that weight for each fault, not only the fault's part of it, else the
+# class of a rare fault comes to mean the documents that its rule says nothing about.
+OWN_FAULT_SHARE = PRIOR_SHARE
 
 
 @dataclass

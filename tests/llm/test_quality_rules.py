@@ -80,7 +80,8 @@ def test_votes_on_own_faults_are_estimated(spark):
     faulty = good - 2  # only the first rule votes against these
     model = q.fit(spark.createDataFrame([(good,)] * 700 + [(faulty,)] * 300, "pattern int"))
     held = (1 - model.posterior[faulty]) * 300
-    assert held > 250 and prior[0] + 0.005 < model.votes[1, 0, 0] < 1
+    # 0.3 of the table votes so without exception; a prior as heavy as the table would hold the rate at 0.96.
+    assert held > 250 and prior[0] + 0.02 < model.votes[1, 0, 0] < 1
     assert (model.votes[np.arange(1, k + 1), np.arange(k)].argmax(axis=1) == 0).all()
     assert np.allclose(model.votes.sum(axis=2), 1) and model.posterior[good] > 0.9
 
