@@ -6,6 +6,9 @@ several bytes, and pieces that stand for single bytes, are cut by the bytes
 that the tokens decode to. Two token sequences over one text cut it into
 segments; each segment is a link of the two tokens that it lies in.
 
+Texts are cut into stretches where both tokenizers start a token; stretches
+repeat, and each distinct one is encoded and aligned once.
+
 Links are counted over the corpus by id pair. A block of documents sends each
 of its distinct pairs once and gets each one's count back.
 """
@@ -13,10 +16,10 @@ of its distinct pairs once and gets each one's count back.
 from __future__ import annotations
 
 import hashlib
-from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain, islice
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import public_tokenizers
@@ -26,20 +29,23 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from logevidence.llm.common import written
-from logevidence.llm.pretokens import Splitter, gather
+from logevidence.llm.pretokens import CUT, ODD_SPACES, gather
 from logevidence.llm.token_store import byte_alphabet
 
 BYTE_LEVEL_PATH = public_tokenizers.path("byte_bpe_50k.json")
 PIECES_PATH = public_tokenizers.path("piece_bpe_32k.model")
-# Distinct stretches whose tokens a worker process remembers at most.
-REMEMBERED = 800_000
+# Fixed value: what pieces have for a space.
+SPACE_MARK = "\u2581"
+# Distinct stretches that a worker process remembers at most before a block, and bytes of them and their groups.
+REMEMBERED = 600_000
+REMEMBERED_BYTES = 64 << 20
 # Bytes of text whose tokens are held at once, and of a block; a longer text stands alone.
 CHUNK_BYTES = 1 << 20
 BLOCK_BYTES = 8 << 20
 
 BLOCK = (
     "block long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, hashes array<string>, "
-    "pairs array<long>, totals array<long>, places binary, times binary, ends array<long>"
+    "pairs array<long>, totals array<long>, places binary, widths binary, stretches binary, ends array<long>"
 )
 
 
@@ -50,77 +56,141 @@ def read_file(path: str) -> bytes:
 
 
 class ByteLevelTokens:
-    """Ids and byte lengths of texts, each distinct pre-token once while remembered."""
+    """Ids, byte lengths and bytes of texts by the byte-level tokenizer."""
 
     def __init__(self, content: bytes):
         self.tokenizer = Tokenizer.from_buffer(content)
         self.tokenizer.encode_special_tokens = True
         byte_of = {c: b for b, c in byte_alphabet().items()}
-        spelled = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.decoded = {i: bytes(map(byte_of.__getitem__, s)) for s, i in spelled.items() if all(c in byte_of for c in s)}
-        self.forget()
+        spelled = {i: s for s, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if all(c in byte_of for c in s)}
+        self.decoded = _table([bytes(map(byte_of.__getitem__, spelled.get(i, ""))) for i in range(self.tokenizer.get_vocab_size())])
 
-    def forget(self) -> None:
-        self.splitter, self.known = Splitter(public_tokenizers.PATTERN), 0
-        self.piece_ids, self.piece_lengths, self.piece_ends = array("q"), array("q"), array("q", [0])
-        self.flat = self.lengths = np.zeros(0, dtype=np.int64)
-        self.ends = np.zeros(1, dtype=np.int64)
-
-    def _learn(self) -> None:
-        """Tokens of the stretches that are new since the last time."""
-        new = list(islice(self.splitter.pieces, len(self.piece_ends) - 1, None))
-        for piece, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            ids = found.ids
-            if piece.isascii():
-                self.piece_lengths.extend([end - start for start, end in found.offsets])
-            else:  # characters of several bytes may be cut inside
-                self.piece_lengths.extend([len(self.decoded.get(i, b"")) for i in ids])
-            if b"".join(self.decoded.get(i, b"") for i in ids) != piece.encode():
-                ids = [-1] * len(ids)
-            self.piece_ids.extend(ids)
-            self.piece_ends.append(len(self.piece_ids))
-        pieces, begins = self.splitter.offsets(self.known)
-        of_piece = np.array(self.piece_ends, dtype=np.int64)
-        self.flat, self.lengths = (np.concatenate([held, gather(pieces, np.array(of, dtype=np.int64), of_piece)]) for held, of in ((self.flat, self.piece_ids), (self.lengths, self.piece_lengths)))
-        upto = np.concatenate([[0], np.cumsum(np.diff(of_piece)[pieces])])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + upto[begins[1:]]])
-        self.known = len(self.splitter)
-
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(ids, byte ends) of each text; an id is -1 where the bytes aren't those of the text."""
-        if len(self.splitter) > REMEMBERED:
-            self.forget()
-        codes = [np.array(self.splitter.split(t), dtype=np.int64) for t in texts]
-        self._learn()
-        return [(gather(c, self.flat, self.ends), np.cumsum(gather(c, self.lengths, self.ends))) for c in codes]
+    def encode(self, texts: list[str]) -> Tokens:
+        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        ids, counts = _flat([e.ids for e in found])
+        spans = np.fromiter(chain.from_iterable(chain.from_iterable(e.offsets for e in found)), dtype=np.int64, count=2 * len(ids))
+        # Characters of several bytes may be cut inside: there the decoded bytes say where.
+        whole = np.repeat(np.array([t.isascii() for t in texts], dtype=bool), counts)
+        lengths = np.where(whole, spans[1::2] - spans[::2], np.diff(self.decoded[1])[ids])
+        return Tokens(ids, counts, lengths, gather(ids, *self.decoded).tobytes())
 
 
 class PieceTokens:
-    """Ids and byte lengths of texts, with the space that the tokenizer puts before them."""
+    """Ids, byte lengths and bytes of texts, with the space that the tokenizer puts before them."""
 
     def __init__(self, content: bytes):
         self.model = sentencepiece.SentencePieceProcessor(model_proto=content)
-        size = self.model.get_piece_size()
-        single = np.array([self.model.is_byte(i) for i in range(size)])
-        decoded = [bytes([int(p[3:-1], 16)]) if b else p.replace("▁", " ").encode() for p, b in zip(map(self.model.id_to_piece, range(size)), single, strict=True)]
-        self.single, self.decoded = single, _table(decoded)
-
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, bytes]]:
-        """(ids, byte ends, bytes of all tokens) of each text."""
-        out = []
-        for found in self.model.encode(texts, num_threads=1, return_type="offset_mapping", return_bytes=True):
-            ids = np.array(found["ids"], dtype=np.int64)
-            spans = np.fromiter(chain.from_iterable(found["offsets"]), dtype=np.int64, count=2 * len(ids)).reshape(-1, 2)
-            lengths = np.where(self.single[ids], 1, spans[:, 1] - spans[:, 0])
-            lengths[:1] += 1 - self.single[ids[:1]]  # the space before the text has no span
-            out.append((ids, np.cumsum(lengths), gather(ids, *self.decoded).tobytes()))
-        return out
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.single = np.array([self.model.is_byte(i) for i in range(len(pieces))])
+        self.decoded = _table([bytes([int(p[3:-1], 16)]) if b else p.replace(SPACE_MARK, " ").encode() for p, b in zip(pieces, self.single, strict=True)])
+        # No piece goes on over a space: then each space between words ends a token.
+        self.by_word = not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces)
+
+    def encode(self, texts: list[str]) -> Tokens:
+        found = self.model.encode(texts, num_threads=1, return_type="offset_mapping", return_bytes=True)
+        ids, counts = _flat([f["ids"] for f in found])
+        spans = np.fromiter(chain.from_iterable(chain.from_iterable(f["offsets"] for f in found)), dtype=np.int64, count=2 * len(ids))
+        lengths = np.where(self.single[ids], 1, spans[1::2] - spans[::2])
+        first = (np.cumsum(counts) - counts)[counts > 0]
+        lengths[first] += ~self.single[ids[first]]  # the space before a text has no span
+        return Tokens(ids, counts, lengths, gather(ids, *self.decoded).tobytes())
+
+
+class Tokens(NamedTuple):
+    """Tokens of several texts, one after another."""
+
+    ids: np.ndarray
+    counts: np.ndarray  # tokens of each text
+    lengths: np.ndarray  # bytes of each token's span
+    decoded: bytes  # bytes of all tokens, by their spelling
+
+    def of(self, kept: np.ndarray) -> Tokens:
+        """Those of the texts that are ``kept``."""
+        here = np.repeat(kept, self.counts)
+        return Tokens(self.ids[here], self.counts[kept], self.lengths[here], b"")
+
+    def faithful(self, raw: list[bytes], sizes: np.ndarray) -> np.ndarray:
+        """Of each text, whether its tokens' spans and spellings give the bytes of ``raw``."""
+        begins = np.concatenate([[0], np.cumsum(self.counts)])
+        spans, spelled = (np.concatenate([[0], np.cumsum(n)])[begins] for n in (self.lengths, sizes[self.ids]))
+        same = [self.decoded[x:y] == r for r, x, y in zip(raw, spelled[:-1].tolist(), spelled[1:].tolist(), strict=True)]
+        return np.array(same, dtype=bool) & (np.diff(spans) == np.diff(spelled)) & (np.diff(spans) > 0)
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    return np.fromiter(chain.from_iterable(lists), dtype=np.int64, count=int(counts.sum())), counts
+
+
+class Stretches:
+    """Texts as numbers of stretches, each distinct one aligned once while remembered.
+
+    Both tokenizers start a token at a single space between two characters that
+    aren't white space (of the pieces, the vocabulary is asked), so a text's
+    tokens, groups and links are those of its stretches, one after another.
+    """
+
+    def __init__(self, byte_level: bytes, pieces: bytes):
+        self.a, self.b = ByteLevelTokens(byte_level), PieceTokens(pieces)
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.shown: list[bytes] = []
+        self.size = 0
+        # Of each stretch: tokens of a and b, groups, links; all 0 where a tokenizer doesn't give its bytes back.
+        self.counts = np.zeros((4, 0), dtype=np.int64)
+        self.links, self.begins = np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
+
+    def full(self) -> bool:
+        return len(self.shown) > REMEMBERED or self.size > REMEMBERED_BYTES
+
+    def split(self, text: str) -> list[str]:
+        if not self.b.by_word:
+            return [text]
+        odd = text.startswith(" ") or text.endswith(" ") or ODD_SPACES.search(text)
+        return CUT.split(text) if odd else text.split(" ")
+
+    def numbers(self, texts: list[str]) -> list[np.ndarray]:
+        """The stretches of each text."""
+        cut = [self.split(t) for t in texts]
+        new = sorted(set(chain.from_iterable(cut)).difference(self.number))
+        if new:
+            self._learn(new)
+        known = self.number.__getitem__
+        return [np.fromiter(map(known, c), dtype=np.int64, count=len(c)) for c in cut]
+
+    def _learn(self, new: list[str]) -> None:
+        spaced = [f" {s}" for s in new]
+        raw = [s.encode() for s in spaced]
+        x, y = self.a.encode(spaced), self.b.encode(new)
+        good = x.faithful(raw, np.diff(self.a.decoded[1])) & y.faithful(raw, np.diff(self.b.decoded[1]))
+        counts = np.zeros((4, len(new)), dtype=np.int64)
+        shown = [b""] * len(new)
+        if good.any():
+            x, y = x.of(good), y.of(good)
+            a_ends, b_ends = np.cumsum(x.lengths), np.cumsum(y.lengths)
+            past = a_ends[np.cumsum(x.counts) - 1]  # where each stretch ends
+            groups, segments, links, marks = aligned(x.ids, a_ends, y.ids, b_ends)
+            per = [np.diff(np.searchsorted(at, past, side="right"), prepend=0) for at in (groups, segments)]
+            counts[:, good] = x.counts, y.counts, *per
+            table = _shown(1 << int(max(x.ids.max(), y.ids.max())).bit_length())
+            text = gather(marks, *table).tobytes()
+            ends = np.cumsum(np.diff(table[1])[marks])[np.cumsum(x.counts + y.counts) - 1].tolist()
+            for i, start, end in zip(np.flatnonzero(good).tolist(), [0, *ends], ends):
+                shown[i] = text[start:end]
+            self.links = np.concatenate([self.links, links])
+        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(counts[3])])
+        self.counts = np.concatenate([self.counts, counts], axis=1)
+        self.number.update(zip(new, range(len(self.shown), len(self.shown) + len(new))))
+        self.shown += shown
+        self.size += sum(map(len, raw)) + sum(map(len, shown))
 
 
 @cache
-def _tokenizers(byte_level: bytes, pieces: bytes) -> tuple[ByteLevelTokens, PieceTokens]:
-    """One pair a worker process: what it has learned serves its next tasks too."""
-    return ByteLevelTokens(byte_level), PieceTokens(pieces)
+def _stretches(byte_level: bytes, pieces: bytes) -> Stretches:
+    """One a worker process: what it has learned serves its next tasks too."""
+    return Stretches(byte_level, pieces)
 
 
 def _table(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -134,10 +204,10 @@ def _shown(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _table([b"%d%c" % (i, mark) for i in range(size) for mark in b",|,;"])
 
 
-def aligned(a_ids: np.ndarray, a_ends: np.ndarray, b_ids: np.ndarray, b_ends: np.ndarray) -> tuple[int, np.ndarray, bytes]:
-    """Two token sequences over the same bytes -> number of groups, links as pairs (a id << 32 | b id), and the groups as text.
+def aligned(a_ids: np.ndarray, a_ends: np.ndarray, b_ids: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two token sequences over the same bytes -> where groups end, where links end, links as pairs (a id << 32 | b id), and the groups as codes of _shown().
 
-    A group ends where tokens of both end; it reads ``a1,a2|b1``, groups follow each other with ``;``.
+    A group ends where tokens of both end; it reads ``a1,a2|b1;``.
     """
     ends = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")  # two ascending runs
     again = ends[1:] == ends[:-1]
@@ -149,8 +219,7 @@ def aligned(a_ids: np.ndarray, a_ends: np.ndarray, b_ids: np.ndarray, b_ends: np
     shown = np.empty(len(a_ids) + len(b_ids), dtype=np.int64)
     shown[np.arange(len(a_ids)) + np.concatenate([[0], b_upto])[a_group]] = a_ids * 4 + (a_ends == common[a_group])
     shown[np.arange(len(b_ids)) + a_upto[b_group]] = b_ids * 4 + 2 + (b_ends == common[b_group])
-    size = 1 << int(max(a_ids.max(), b_ids.max())).bit_length()
-    return len(common), links, gather(shown, *_shown(size))[:-1].tobytes()
+    return common, segments, links, shown
 
 
 def _chunks(texts: list[str | None]) -> Iterator[list[int]]:
@@ -167,42 +236,41 @@ def _chunks(texts: list[str | None]) -> Iterator[list[int]]:
         yield run
 
 
-def _block(number: int, doc_ids: list[int | None], texts: list[str | None], a: ByteLevelTokens, b: PieceTokens) -> dict:
+def _block(number: int, doc_ids: list[int | None], texts: list[str | None], known: Stretches) -> dict:
+    if known.full():
+        known.forget()
     n = len(texts)
     counts = np.zeros((4, n), dtype=np.int64)
     hashes, found = [""] * n, [np.zeros(0, dtype=np.int64)] * n
     for run in _chunks(texts):
-        spaced = [f" {texts[i]}" for i in run]
-        for i, text, (a_ids, a_ends), (b_ids, b_ends, b_bytes) in zip(run, spaced, a.encode(spaced), b.encode([texts[i] for i in run]), strict=True):
-            raw = text.encode()
-            if b_bytes != raw or a_ends[-1] != len(raw) or b_ends[-1] != len(raw) or (a_ids < 0).any():
-                continue
-            groups, found[i], shown = aligned(a_ids, a_ends, b_ids, b_ends)
-            counts[:, i] = len(a_ids), len(b_ids), groups, len(found[i])
-            hashes[i] = hashlib.sha256(shown).hexdigest()
-    pairs, at = np.unique(np.concatenate(found), return_inverse=True)
-    totals = np.bincount(at, minlength=len(pairs))
-    # Of each document its distinct pairs' places in the block's, and how often each.
-    document = np.repeat(np.arange(n), counts[3])
-    keys, times = np.unique(document * max(1, len(pairs)) + at, return_counts=True)
-    ends = np.searchsorted(keys, np.arange(1, n + 1) * max(1, len(pairs)))
+        for i, codes in zip(run, known.numbers([texts[i] for i in run]), strict=True):
+            of_stretch = known.counts[:, codes]
+            if of_stretch[0].all():
+                counts[:, i], found[i] = of_stretch.sum(axis=1), codes
+                text = b"".join(map(known.shown.__getitem__, codes.tolist()))
+                hashes[i] = hashlib.sha256(memoryview(text)[:-1]).hexdigest()  # nothing follows the last group
+    stretches, at = np.unique(np.concatenate(found), return_inverse=True)
+    pairs, places = np.unique(gather(stretches, known.links, known.begins), return_inverse=True)
+    widths = known.counts[3, stretches]
+    totals = np.zeros(len(pairs), dtype=np.int64)
+    np.add.at(totals, places, np.repeat(np.bincount(at, minlength=len(stretches)), widths))
     return {
-        "block": number, "doc_ids": doc_ids, "n_a": counts[0], "n_b": counts[1], "n_groups": counts[2], "n_links": counts[3], "hashes": hashes,
-        "pairs": pairs, "totals": totals, "places": (keys % max(1, len(pairs))).astype(np.int32).tobytes(), "times": times.astype(np.int32).tobytes(), "ends": ends,
+        "block": number, "doc_ids": doc_ids, "n_a": counts[0], "n_b": counts[1], "n_groups": counts[2], "n_links": counts[3], "hashes": hashes, "pairs": pairs, "totals": totals,
+        "places": places.astype(np.int32).tobytes(), "widths": widths.astype(np.int32).tobytes(), "stretches": at.astype(np.int32).tobytes(), "ends": np.cumsum(list(map(len, found))),
     }
 
 
 def blocks(docs: DataFrame, byte_level: bytes, pieces: bytes) -> DataFrame:
     """``docs`` (doc_id, text, ...) -> aligned documents, many a row: their counts, and their links by distinct pair."""
     longs = pa.list_(pa.int64())
-    kinds = {"block": pa.int64(), "hashes": pa.list_(pa.string()), "places": pa.binary(), "times": pa.binary()}
+    kinds = {"block": pa.int64(), "hashes": pa.list_(pa.string()), "places": pa.binary(), "widths": pa.binary(), "stretches": pa.binary()}
     names = [c.split()[0] for c in BLOCK.split(", ")]
     schema = pa.schema([(c, kinds.get(c, longs)) for c in names])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        a, b = _tokenizers(byte_level, pieces)
+        known = _stretches(byte_level, pieces)
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
@@ -210,7 +278,7 @@ def blocks(docs: DataFrame, byte_level: bytes, pieces: bytes) -> DataFrame:
             for i, t in enumerate(texts):
                 size += len(t or "")
                 if size > BLOCK_BYTES or i == len(texts) - 1:
-                    yield pa.RecordBatch.from_pylist([_block(number, ids[start : i + 1], texts[start : i + 1], a, b)], schema=schema)
+                    yield pa.RecordBatch.from_pylist([_block(number, ids[start : i + 1], texts[start : i + 1], known)], schema=schema)
                     number, start, size = number + 1, i + 1, 0
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(made, BLOCK)
@@ -225,6 +293,11 @@ def pair_counts(made: DataFrame) -> DataFrame:
     return counts.withColumn("b", b).join(most, "b").select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
 
 
+def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of ``values`` that end at ``ends``."""
+    return np.diff(np.concatenate([[0], np.cumsum(values)])[ends], prepend=0)
+
+
 def _documents(rows: DataFrame) -> DataFrame:
     """Blocks with ``known`` (count and best of each of their pairs, in the pairs' order) -> a row per document."""
 
@@ -234,10 +307,10 @@ def _documents(rows: DataFrame) -> DataFrame:
                 column = lambda c, row=row: batch.column(c)[row].values
                 known = batch.column("known")[row].values
                 count, best = (known.field(f).to_numpy(zero_copy_only=False).astype(np.int64) if known is not None else np.zeros(0, np.int64) for f in ("count", "best"))
-                places, times = (np.frombuffer(batch.column(c)[row].as_buffer(), dtype=np.int32).astype(np.int64) for c in ("places", "times"))
+                places, widths, stretches = (np.frombuffer(batch.column(c)[row].as_buffer(), dtype=np.int32) for c in ("places", "widths", "stretches"))
                 ends = column("ends").to_numpy()
-                sums = (np.concatenate([[0], np.cumsum(times * of[places])])[np.concatenate([[0], ends])] for of in (best, count))
-                n_best, count_sum = (np.diff(s) for s in sums)
+                # Pairs' figures summed by stretch, and those of its stretches by document.
+                n_best, count_sum = (_sums(_sums(of[places], np.cumsum(widths))[stretches], ends) for of in (best, count))
                 yield pa.RecordBatch.from_arrays(
                     [*(column(c) for c in ("doc_ids", "n_a", "n_b", "n_groups", "n_links")), pa.array(n_best), pa.array(count_sum), column("hashes")],
                     names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],

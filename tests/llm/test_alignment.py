@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import public_tokenizers
@@ -121,7 +122,21 @@ def test_pairs(spark, libraries):
 
 def test_forgetting_changes_nothing(libraries, monkeypatch):
     monkeypatch.setattr(al, "REMEMBERED", 3)
-    tokens = al.ByteLevelTokens(al.read_file(al.BYTE_LEVEL_PATH))
-    for text in ODD * 2:
-        ids, ends = tokens.encode([text, text])[1]
-        assert ids.tolist() == libraries[0].encode(text, add_special_tokens=False).ids and ends[-1] == len(text.encode())
+    known = al.Stretches(al.read_file(al.BYTE_LEVEL_PATH), al.read_file(al.PIECES_PATH))
+    for number, text in enumerate(ODD * 2):
+        row = al._block(number, [1, 2], [text, text], known)
+        wanted = brute(libraries, [text])[0]
+        for c, of_row in zip(("n_a", "n_b", "n_groups", "n_links"), wanted):
+            assert row[c].tolist() == [of_row] * 2
+        assert row["hashes"] == [wanted[6]] * 2
+
+
+def test_stretches_are_those_of_whole_texts(libraries, monkeypatch):
+    known = al.Stretches(al.read_file(al.BYTE_LEVEL_PATH), al.read_file(al.PIECES_PATH))
+    parts = ["a", "of", "don't", "12", "é", "中", "\n", "\t", " ", "  ", "x.", "\u00a0", "\u3000", "<s>", "\U0001f600", "(ab)", "\x1c", "\u2028"]
+    mixer = random.Random(5)
+    texts = [mixer.choice(["", " "]).join(mixer.choices(parts, k=mixer.randint(1, 12))) for _ in range(3_000)]
+    cut = al._block(0, list(range(len(texts))), texts, known)
+    wanted = brute(libraries, texts)
+    assert cut["n_links"].tolist() == [r[3] for r in wanted] and cut["hashes"] == [r[6] for r in wanted]
+    assert sum(r[3] > 0 for r in wanted) > 500
