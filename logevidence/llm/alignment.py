@@ -37,11 +37,11 @@ PIECES_PATH = public_tokenizers.path("piece_bpe_32k.model")
 # Fixed value: what pieces have for a space.
 SPACE_MARK = "\u2581"
 # Distinct stretches that a worker process remembers at most before a block, and bytes of them and their groups.
-REMEMBERED = 600_000
-REMEMBERED_BYTES = 64 << 20
+REMEMBERED = 400_000
+REMEMBERED_BYTES = 48 << 20
 # Bytes of text whose tokens are held at once, and of a block; a longer text stands alone.
-CHUNK_BYTES = 1 << 20
-BLOCK_BYTES = 8 << 20
+CHUNK_BYTES = 1 << 19
+BLOCK_BYTES = 4 << 20
 
 BLOCK = (
     "block long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, hashes array<string>, "
@@ -302,6 +302,7 @@ def _documents(rows: DataFrame) -> DataFrame:
     """Blocks with ``known`` (count and best of each of their pairs, in the pairs' order) -> a row per document."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _stretches.cache_clear()  # the worker process aligns no more texts
         for batch in batches:
             for row in range(batch.num_rows):
                 column = lambda c, row=row: batch.column(c)[row].values
