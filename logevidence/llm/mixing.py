@@ -219,11 +219,15 @@ def _word_ends(raw: bytes) -> np.ndarray:
     return np.stack([np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)], axis=1)
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix as documents: a row per span of each slot, with the document's
-    other columns, the span's text, and its length in code points as n_chars
-    where there is such a column."""
-    _, _, taken = mix(docs)
+def _mixed_runs(docs: DataFrame) -> DataFrame:
+    """-> (_row, _run): a row per run of words that a slot takes of a document.
+
+    ``_row`` has the document's columns, ``_run`` has shard, source_no, slot,
+    place (words of the block before the run) and text.
+    """
+    _, plan, taken = mix(docs)
+    # One row per source.
+    taken = taken.join(F.broadcast(plan.select("source_no", "source")), "source_no")
 
     @F.arrow_udf("array<string>")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -233,14 +237,49 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
             out.append([text[ends[s["from_word"], 0] : ends[s["past_word"] - 1, 1]].decode() for s in wanted])
         return pa.array(out, pa.list_(pa.string()))
 
-    # Equal rows have one text, so one of them serves the spans of all.
-    span = F.struct("shard", "slot", "from_word", "past_word")
-    wanted = taken.groupBy(F.col("id_key").alias("_id"), F.col("text_key").alias("_key")).agg(F.array_sort(F.collect_list(span)).alias("_spans"))
+    # Rows of one id, text and source have one text, so one of them serves the spans of all.
+    keys = ["_id", "_key", "_source"]
+    place = (F.col("first") + F.col("from_word") - F.col("block") * BLOCK_WORDS).alias("place")
+    span = F.struct("shard", "slot", "source_no", place, "from_word", "past_word")
+    # A null source has a key of its own.
+    of_source = lambda c: F.concat(F.lit("="), c.cast("string"))
+    known = F.coalesce(of_source(F.col("source")), F.lit("")).alias("_source")
+    wanted = taken.groupBy(F.col("id_key").alias("_id"), F.col("text_key").alias("_key"), known).agg(F.array_sort(F.collect_list(span)).alias("_spans"))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     id_key, text_key = key_columns(F.col("_row.doc_id"), F.col("_row.text"))
-    once = docs.select(row.alias("_row")).select("_row", id_key.alias("_id"), text_key.alias("_key")).dropDuplicates(["_id", "_key"])
-    pieces = once.join(wanted, ["_id", "_key"]).select("_row", F.explode(cut(F.col("_row.text"), F.col("_spans"))).alias("_text"))
-    shown = {c: F.col(f"_row.`{c}`") for c in docs.columns} | {"text": F.col("_text")}
+    named = F.coalesce(of_source(F.col("_row.source")), F.lit("")).alias("_source")
+    once = docs.select(row.alias("_row")).select("_row", id_key.alias("_id"), text_key.alias("_key"), named).dropDuplicates(keys)
+    texts = once.join(wanted, keys).select("_row", "_spans", cut(F.col("_row.text"), F.col("_spans")).alias("_texts"))
+    run = texts.select("_row", F.explode(F.arrays_zip("_spans", "_texts")).alias("_run"))
+    return run.select("_row", F.struct(*(f"_run._spans.{c}" for c in ("shard", "source_no", "slot", "place")), F.col("_run._texts").alias("text")).alias("_run"))
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mix as documents: a row per run of words of each slot, with the
+    document's other columns, the run's text, and its length in code points as
+    n_chars where there is such a column.
+
+    Null, empty and wordless texts are in no row. Repeated rows are taken each
+    by their own share. An empty table gives an empty result.
+    """
+    shown = {c: F.col(f"_row.`{c}`") for c in docs.columns} | {"text": F.col("_run.text")}
     if "n_chars" in shown:
-        shown["n_chars"] = F.char_length("_text").cast(docs.schema["n_chars"].dataType)
-    return pieces.select(*(v.alias(c) for c, v in shown.items()))
+        shown["n_chars"] = F.char_length("_run.text").cast(docs.schema["n_chars"].dataType)
+    return _mixed_runs(docs).select(*(v.alias(c) for c, v in shown.items()))
+
+
+def mixed_blocks(docs: DataFrame) -> DataFrame:
+    """The mix as blocks: (shard, source, slot, doc_ids, text), a row per slot.
+
+    A block has BLOCK_WORDS words, the last one of a source's stream may have
+    fewer. ``doc_ids`` and ``text`` follow the stream's order; words of
+    different documents are joined by a space. A null source is a source; slots
+    are numbered from 0 in each source. Null, empty and wordless texts are in
+    no block, an empty table gives none; columns beside doc_id, text and source
+    don't matter.
+    """
+    run = F.struct("_run.place", F.col("_row.doc_id").cast("long").alias("doc_id"), "_run.text")
+    runs = _mixed_runs(docs).select("_run.shard", "_run.source_no", "_run.slot", F.col("_row.source").cast("string").alias("source"), run.alias("run"))
+    # A slot has no more runs than words.
+    blocks = runs.groupBy("shard", "source_no", "source", "slot").agg(F.array_sort(F.collect_list("run")).alias("runs"))
+    return blocks.select("shard", "source", "slot", F.col("runs.doc_id").alias("doc_ids"), F.array_join("runs.text", " ").alias("text"))

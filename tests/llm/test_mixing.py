@@ -81,6 +81,30 @@ def test_mixed_texts_are_runs_of_the_documents(small, edge):
         assert +taken == +wanted
 
 
+def test_blocks_are_whole(small, edge, empty):
+    assert m.mixed_blocks(empty).count() == 0
+    for docs in (small, edge):
+        streams, uses = {}, Counter()
+        rows = m.mixed_blocks(docs).collect()
+        for r in rows:
+            words = WORD.findall(r.text)
+            uses[r.source, r.text] += 1
+            streams.setdefault(r.source, []).append(len(words))
+        shorter = {s: {t for (of, t) in uses if of == s and len(WORD.findall(t)) < m.BLOCK_WORDS} for s in streams}
+        assert all(max(n) <= m.BLOCK_WORDS for n in streams.values())
+        assert all(len(t) <= 1 for t in shorter.values()), {s: [len(WORD.findall(x)) for x in t] for s, t in shorter.items()}
+        for s in streams:
+            slots = sorted(r.slot for r in rows if r.source == s)
+            assert slots == list(range(len(slots)))
+        taken = Counter()
+        for r in m.taken_digest(docs).collect():
+            taken[None] += r.taken
+        assert sum(sum(n) for n in streams.values()) == taken[None]
+        runs = Counter((r.doc_id, t) for r in m.mixed_documents(docs).collect() for t in [r.text])
+        assert sum(len(r.doc_ids) for r in rows) == sum(runs.values())
+        assert Counter(i for r in rows for i in r.doc_ids) == Counter({i: sum(n for (d, _), n in runs.items() if d == i) for i in {d for d, _ in runs}})
+
+
 def test_shards_draw_every_source(spark):
     plan = spark.createDataFrame([("a", 0, 60_000, 150_000.0), ("b", 1, 90_000, 40_000.0), (None, 2, 10, 0.0)], "source string, source_no int, source_size long, target double")
     rows = m.slots(plan, block_words=10, shard_slots=500).collect()
