@@ -85,6 +85,10 @@ def _narrow(points: DataFrame, where: Column | None, dim: int) -> DataFrame:
     return base.select(*[c for c in points.columns if c not in HEAVY])
 
 
+# Result ids that go into a pushed filter, and rows whose texts are broadcast.
+MAX_PUSHED_IDS = 1_000
+
+
 def search(points: DataFrame, vector: Sequence[float], top_k: int = 5, metric: str = "cosine",
            where: Column | None = None) -> DataFrame:
     """T-01: the ``top_k`` nearest points (filters first, F-06), with column ``distance``.
@@ -100,13 +104,18 @@ def search(points: DataFrame, vector: Sequence[float], top_k: int = 5, metric: s
 def attach_text(points: DataFrame, results: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     """Add the chunk ``text`` of the (at most k per query) result rows.
 
-    The result ids are collected (a bounded list) and pushed into the index scan
-    as ``id IN (...)``, so the large text column is read only near the winners.
+    Up to :data:`MAX_PUSHED_IDS` result ids are pushed into the index scan as
+    ``id IN (...)``, so the large text column is read only near the winners, and
+    the texts found are broadcast. The results of a larger batch are joined by id.
+    A null id has a null text.
     """
-    ids = sorted({r[0] for r in results.select(id_col).collect()})
     if "text" not in points.columns:
         return results.withColumn("text", F.lit(None).cast("string"))
-    texts = points.where(F.col("id").isin(ids)).select(F.col("id").alias(id_col), "text")
+    texts = points.select(F.col("id").alias(id_col), "text")
+    ids = [r[0] for r in results.select(id_col).where(F.col(id_col).isNotNull()).distinct().limit(MAX_PUSHED_IDS + 1).collect()]
+    if len(ids) > MAX_PUSHED_IDS:
+        return results.join(texts, on=id_col, how="left")
+    texts = texts.where(F.col(id_col).isin(sorted(ids)))
     return results.join(F.broadcast(texts), on=id_col, how="left")
 
 

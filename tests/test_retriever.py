@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from logevidence.operators.embedding import HashEncoder
-from logevidence.operators.retrieval import (batch_search, build_where, retrieve, search, shape_results)
+from logevidence.operators import retrieval
+from logevidence.operators.retrieval import (attach_text, batch_search, build_where, retrieve, search, shape_results)
 from logevidence.functions.vectors import score_of
 
 
@@ -74,3 +75,16 @@ def test_batch_equals_single(spark):
 def test_blank_query_rejected(spark):
     with pytest.raises(ValueError):
         retrieve(spark, points(spark), "   ", HashEncoder(2))
+
+
+def test_texts_of_few_and_of_many_results(spark, monkeypatch):
+    texts = points(spark).withColumn("text", F.concat(F.lit("text of "), "id"))
+    results = spark.createDataFrame([(1, "a"), (2, "b"), (2, "a"), (3, "gone"), (4, None)], "query_id int, chunk_id string")
+    wanted = {(1, "a", "text of a"), (2, "b", "text of b"), (2, "a", "text of a"), (3, "gone", None), (4, None, None)}
+    for most in (1_000, 1):
+        monkeypatch.setattr(retrieval, "MAX_PUSHED_IDS", most)
+        rows = attach_text(texts, results).select("query_id", "chunk_id", "text").collect()
+        assert len(rows) == 5 and {tuple(r) for r in rows} == wanted
+    plan = attach_text(texts, results)._jdf.queryExecution().logical().toString()
+    assert " IN (" not in plan.upper() and "broadcast" not in plan
+    assert attach_text(texts.drop("text"), results).where("text is null").count() == 5
