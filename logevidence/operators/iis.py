@@ -3,8 +3,9 @@
 The ``#Fields:`` directive in force for a line is the latest one above it in the
 same file (an as-of join by line number). Directives are rare, so they alone are
 grouped: by slices of a file's lines, the last ones of slices by slices of
-slices, and the last ones of those by file. A line looks the three small tables
-up by equality; it is neither shuffled nor sorted where AQE finds them small.
+slices, and the last ones of those by file. The three tables are looked up once
+per slice, not per line; a line then looks up its slice. The lines are shuffled
+once at most, by slices, so that no task has a whole file.
 """
 
 from __future__ import annotations
@@ -52,21 +53,26 @@ def active_headers(lines: DataFrame, width: int = IIS_WIDTH) -> DataFrame:
         last = F.element_at(F.col(name), -1)
         return rows.select("__k", *by, last["l"].alias("l"), last["f"].alias("f"))
 
+    def latest(name: str, before: Column) -> Column:
+        return F.try_element_at(F.filter(name, lambda e: e["at"] < before), F.lit(-1))
+
     in_slice = grouped(heads, ["__s1"], "l", "__a1")
     slices = last_of(in_slice, ["__s1"], "__a1").withColumn("__s2", F.floor(F.col("__s1") / width))
     in_slices = grouped(slices, ["__s2"], "__s1", "__a2")
     in_file = grouped(last_of(in_slices, ["__s2"], "__a2"), [], "__s2", "__a3")
 
     s1, s2 = F.floor(line / width), F.floor(F.floor(line / width) / width)
-    out = (
-        lines.withColumns({"__k": F.col(key), "__s1": s1, "__s2": s2})
-        .join(in_slice, ["__k", "__s1"], "left").join(in_slices, ["__k", "__s2"], "left").join(in_file, ["__k"], "left")
+    keyed = lines.withColumns({"__k": F.col(key), "__s1": s1})
+    # One row per slice that has lines: its own directives and the latest one before it.
+    known = (
+        keyed.select("__k", "__s1", s2.alias("__s2")).distinct()
+        .join(in_slice, ["__k", "__s1"], "left")
+        .join(in_slices, ["__k", "__s2"], "left")
+        .select("__k", "__s1", "__s2", "__a1", latest("__a2", F.col("__s1")).alias("__b2"))
+        .join(in_file, ["__k"], "left")
     )
-
-    def latest(name: str, before: Column) -> Column:
-        return F.try_element_at(F.filter(name, lambda e: e["at"] < before), F.lit(-1))
-
-    out = out.withColumn("__h", F.coalesce(latest("__a1", line + 1), latest("__a2", F.col("__s1")), latest("__a3", F.col("__s2"))))
+    known = known.select("__k", "__s1", "__a1", F.coalesce("__b2", latest("__a3", F.col("__s2"))).alias("__b"))
+    out = keyed.join(known, ["__k", "__s1"], "left").withColumn("__h", F.coalesce(latest("__a1", line + 1), F.col("__b")))
     return out.select(*lines.columns, F.col("__h.l").alias("header_line"), F.col("__h.f").alias("header_fields"))
 
 
