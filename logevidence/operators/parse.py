@@ -31,6 +31,10 @@ def _iis(lines: DataFrame, iis_fields=DEFAULT_IIS_FIELDS, iis_fields_from_header
 PARSERS = {"haproxy": _haproxy, "iis": _iis}
 
 
+# Files whose detected kinds (a path and a kind each) are broadcast; those of more are joined.
+MAX_BROADCAST_FILES = 50_000
+
+
 class ParseError(Exception):
     """Raised under ``on_parse_error='fail'``, naming file, line and raw text."""
 
@@ -55,11 +59,13 @@ def classify_lines(
     if fixed is not None:
         return PARSERS[fixed](lines.withColumn("source", F.lit(fixed)), **opts)
     det = detect_sources(lines).select("source_path", "source")
-    kinds = [r["source"] for r in det.select("source").distinct().collect()]  # two at most
+    kinds = {r["source"]: r["count"] for r in det.groupBy("source").count().collect()}  # two at most
     if len(kinds) < 2:
-        kind = kinds[0] if kinds else "haproxy"
+        kind = next(iter(kinds), "haproxy")
         return PARSERS[kind](lines.withColumn("source", F.lit(kind)), **opts)
-    # One row per file; AQE broadcasts it where it is measured to be small.
+    # One row per file: broadcast up to a number of files, so that the lines are not shuffled for it.
+    if sum(kinds.values()) <= MAX_BROADCAST_FILES:
+        det = F.broadcast(det)
     tagged = lines.drop("source").join(det, on="source_path", how="inner")
     hap_lines = tagged.where(F.col("source") == "haproxy")
     iis_lines = tagged.where(F.col("source") == "iis")

@@ -4,7 +4,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
+from logevidence.operators import parse
 from logevidence.operators.iis import active_headers
+from logevidence.operators.parse import classify_lines
 
 LINES = "source_path string, source_file string, line_number long, raw string"
 
@@ -48,3 +50,23 @@ def test_headers_in_far_slices_and_without_a_line_number(spark):
         want = (line - 1) // 130 * 130 + 1 if name == "u_ex1.log" and line else None
         assert header == want, (name, line)
         assert fields == (["date", "time", f"f{want}"] if want else None)
+
+
+def mixed_lines(spark):
+    hap = [("/logs/a.log", "a.log", i, f"not a log line {i}") for i in range(1, 30)]
+    return spark.createDataFrame(hap + iis_file("u_ex1.log", 30, 10), LINES)
+
+
+def test_kinds_of_files_are_not_joined_by_shuffling_lines(spark):
+    with plain_joins(spark):
+        plan = classify_lines(mixed_lines(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [source_path" not in plan
+
+
+def test_kinds_of_many_files_are_joined(spark, monkeypatch):
+    want = sorted(map(str, classify_lines(mixed_lines(spark)).collect()))
+    monkeypatch.setattr(parse, "MAX_BROADCAST_FILES", 1)
+    with plain_joins(spark):
+        many = classify_lines(mixed_lines(spark))
+        assert "SortMergeJoin [source_path" in many._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, many.collect())) == want
