@@ -47,18 +47,32 @@ def unit_count_vectors(buckets: pd.Series, dim: int) -> pd.Series:
 _TOKEN_RE = re.compile(TOKEN_SPLIT)
 _BUCKETS: dict[tuple[str, int], int] = {}
 
+# Tokens whose buckets a worker remembers, and texts encoded at a time: a worker's
+# memory is that of one Arrow batch and one block, whatever the size of the input.
+CACHED_TOKENS = 100_000
+BLOCK_TEXTS = 256
+
 
 def _bucket(tok: str, dim: int) -> int:
     key = (tok, dim)
     b = _BUCKETS.get(key)
     if b is None:
-        if len(_BUCKETS) > 1_000_000:  # bounded per-worker cache
+        if len(_BUCKETS) >= CACHED_TOKENS:  # bounded per-worker cache
             _BUCKETS.clear()
         b = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % dim
         _BUCKETS[key] = b
     return b
 
 
+def encode_texts(texts: pd.Series, dim: int) -> pd.Series:
+    """The unit count vector of every text, made in blocks of :data:`BLOCK_TEXTS`."""
+    out: list = []
+    for a in range(0, len(texts), BLOCK_TEXTS):
+        buckets = [text_buckets(t, dim) for t in texts[a : a + BLOCK_TEXTS]]
+        out.extend(unit_count_vectors(pd.Series(buckets, dtype=object), dim))
+    return pd.Series(out, dtype=object)
+
+
 def text_buckets(text: str | None, dim: int) -> list[int]:
     """Python twin of :func:`logevidence.functions.vectors.token_buckets` (same tokens, same md5 buckets)."""
     if not text:
@@ -84,7 +98,7 @@ class HashEncoder:
 
         @pandas_udf(T.ArrayType(T.FloatType()))
         def _unit(texts: pd.Series) -> pd.Series:
-            return unit_count_vectors(pd.Series([text_buckets(t, dim) for t in texts], dtype=object), dim)
+            return encode_texts(texts, dim)
 
         return _unit(F.col(text) if isinstance(text, str) else text)
 

@@ -171,8 +171,9 @@ def retrieve(spark: SparkSession, points: DataFrame, query: str, encoder, *, top
 
 # -- batched retrieval ---------------------------------------------------------
 
-# Numbers of one block of distances inside a task (points x queries).
+# Numbers of one block of distances inside a task (points x queries), and points scored at a time.
 BLOCK_DISTANCES = 1 << 20
+BLOCK_POINTS = 1 << 10
 
 
 def _distances(mat: np.ndarray, qmat: np.ndarray, metric: str) -> np.ndarray:
@@ -201,15 +202,15 @@ def _task_topk(points: DataFrame, qids: list[str], qmat: np.ndarray, k: int, met
     def run(batches):
         best = [(np.empty(0, dtype=object), np.empty(0)) for _ in qids]
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            ids, mat = pdf["id"].to_numpy(), np.vstack(pdf["embedding"].to_numpy()).astype(np.float64)
-            step = max(1, BLOCK_DISTANCES // len(ids))
-            for a in range(0, len(qids), step):
-                d = _distances(mat, qmat[a : a + step], metric)
-                for j in range(d.shape[1]):
-                    have_ids, have_d = best[a + j]
-                    best[a + j] = _best(np.concatenate([have_ids, ids]), np.concatenate([have_d, d[:, j]]), k)
+            for b in range(0, len(pdf), BLOCK_POINTS):
+                part = pdf[b : b + BLOCK_POINTS]
+                ids, mat = part["id"].to_numpy(), np.vstack(part["embedding"].to_numpy()).astype(np.float64)
+                step = max(1, BLOCK_DISTANCES // len(ids))
+                for a in range(0, len(qids), step):
+                    d = _distances(mat, qmat[a : a + step], metric)
+                    for j in range(d.shape[1]):
+                        have_ids, have_d = best[a + j]
+                        best[a + j] = _best(np.concatenate([have_ids, ids]), np.concatenate([have_d, d[:, j]]), k)
         for qid, (ids, d) in zip(qids, best):
             if len(ids):
                 yield pd.DataFrame({"query_id": qid, "id": ids, "distance": d})

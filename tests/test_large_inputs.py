@@ -1,10 +1,14 @@
 """What grows with the input: shuffles of lines, tasks' shares of a file, workers' memory, runs of a search."""
 
+import tracemalloc
 from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from logevidence.operators import parse
+from logevidence.operators import embedding, parse
+from logevidence.operators.embedding import encode_texts, text_buckets, unit_count_vectors
 from logevidence.operators.iis import active_headers
 from logevidence.operators.parse import classify_lines
 
@@ -70,3 +74,22 @@ def test_kinds_of_many_files_are_joined(spark, monkeypatch):
         many = classify_lines(mixed_lines(spark))
         assert "SortMergeJoin [source_path" in many._jdf.queryExecution().executedPlan().toString()
         assert sorted(map(str, many.collect())) == want
+
+
+def test_encoder_memory_does_not_grow_with_the_batch():
+    texts = pd.Series([" ".join(f"w{(i * 7 + j) % 500}" for j in range(40)) for i in range(6_000)] + [None, ""])
+    want = unit_count_vectors(pd.Series([text_buckets(t, 384) for t in texts], dtype=object), 384)
+    tracemalloc.start()
+    got = encode_texts(texts, 384)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+    assert peak < 3 * len(texts) * 384 * 4  # the vectors, and a block's work
+
+
+def test_remembered_tokens_are_bounded(monkeypatch):
+    monkeypatch.setattr(embedding, "CACHED_TOKENS", 10)
+    monkeypatch.setattr(embedding, "_BUCKETS", {})
+    once = text_buckets(" ".join(f"t{i}" for i in range(50)), 384)
+    assert len(embedding._BUCKETS) <= 10
+    assert once == [text_buckets(f"t{i}", 384)[0] for i in range(50)]
