@@ -101,17 +101,27 @@ def search(points: DataFrame, vector: Sequence[float], top_k: int = 5, metric: s
     return scored.orderBy(order_key("distance"), F.col("id")).limit(top_k)
 
 
+def _stored(results: DataFrame) -> DataFrame:
+    """The same rows, computed once and read back from the shared folder."""
+    spark = results.sparkSession
+    path = shared_dir(spark, "results")
+    results.write.parquet(path)
+    return spark.read.schema(results.schema).parquet(path)
+
+
 def attach_text(points: DataFrame, results: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     """Add the chunk ``text`` of the (at most k per query) result rows.
 
     Up to :data:`MAX_PUSHED_IDS` result ids are pushed into the index scan as
     ``id IN (...)``, so the large text column is read only near the winners, and
     the texts found are broadcast. The results of a larger batch are joined by id.
-    A null id has a null text.
+    A null id has a null text. The results are written first, as they are read twice:
+    the search behind them runs once.
     """
     if "text" not in points.columns:
         return results.withColumn("text", F.lit(None).cast("string"))
     texts = points.select(F.col("id").alias(id_col), "text")
+    results = _stored(results)
     ids = [r[0] for r in results.select(id_col).where(F.col(id_col).isNotNull()).distinct().limit(MAX_PUSHED_IDS + 1).collect()]
     if len(ids) > MAX_PUSHED_IDS:
         return results.join(texts, on=id_col, how="left")

@@ -11,6 +11,7 @@ from logevidence.operators import embedding, parse
 from logevidence.operators.embedding import encode_texts, text_buckets, unit_count_vectors
 from logevidence.operators.iis import active_headers
 from logevidence.operators.parse import classify_lines
+from logevidence.operators.retrieval import attach_text
 
 LINES = "source_path string, source_file string, line_number long, raw string"
 
@@ -93,3 +94,17 @@ def test_remembered_tokens_are_bounded(monkeypatch):
     once = text_buckets(" ".join(f"t{i}" for i in range(50)), 384)
     assert len(embedding._BUCKETS) <= 10
     assert once == [text_buckets(f"t{i}", 384)[0] for i in range(50)]
+
+
+def test_search_behind_results_runs_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        seen.add(1)
+        return x
+
+    texts = spark.createDataFrame([(c, f"text of {c}") for c in "abc"], "id string, text string")
+    found = spark.createDataFrame([(1, "a"), (2, "b")], "rank int, chunk_id string")
+    found = found.withColumn("chunk_id", F.udf(counted, "string")("chunk_id"))
+    rows = {tuple(r) for r in attach_text(texts, found).select("rank", "chunk_id", "text").collect()}
+    assert rows == {(1, "a", "text of a"), (2, "b", "text of b")} and seen.value == 2
