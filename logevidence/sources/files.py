@@ -32,6 +32,9 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions.text import LINE_BREAK_IN_ROW, split_lines
 
+# Files whose blocks (one row per block) are broadcast; those of more files are joined.
+MAX_BROADCAST_FILES = 10_000
+
 # Rows end at line feeds only; the other boundaries are found in the decoded rows.
 LINE_FEED = "\n"
 
@@ -145,7 +148,8 @@ def number_lines(text: DataFrame, encoding: str = "utf-8", boundaries: str = LIN
     block the lines of a task are consecutive, so ``mid - first_mid`` is the
     offset in the block; earlier blocks of the same file contribute their
     line counts through an exclusive prefix sum over the block table (one row per
-    block), which AQE broadcasts where it is measured to be small.
+    block). Up to :data:`MAX_BROADCAST_FILES` files it is broadcast, so that the
+    lines are not shuffled for their numbers. Names are decoded once per block.
 
     A carriage return before the line feed, or at the file's end, belongs to
     it. A last row without a line feed has no empty line after a boundary at its
@@ -162,8 +166,8 @@ def number_lines(text: DataFrame, encoding: str = "utf-8", boundaries: str = LIN
     else:
         raw = _decoder(name)(F.col("value").cast("binary"))
     rows = text.select(
-        _plain_name(F.col("_metadata.file_path")).alias("source_path"),
-        _plain_name(F.col("_metadata.file_name")).alias("source_file"),
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("_metadata.file_size").alias("file_size"),
         (F.octet_length("value") + 1).cast("long").alias("size"),
@@ -171,23 +175,25 @@ def number_lines(text: DataFrame, encoding: str = "utf-8", boundaries: str = LIN
         raw.endswith("\r").alias("returned"),
     )
     parts = F.when(F.col("row").rlike(boundaries), F.split("row", boundaries, -1)).otherwise(F.array("row"))
-    lines = rows.select("source_path", "source_file", "block", "file_size", "size", "returned", F.size(parts).alias("parts"), F.posexplode(parts).alias("part", "raw"))
+    lines = rows.select("file_path", "file_name", "block", "file_size", "size", "returned", F.size(parts).alias("parts"), F.posexplode(parts).alias("part", "raw"))
     scan = lines.withColumn("mid", F.monotonically_increasing_id())
-    blocks = scan.groupBy("source_path", "block").agg(
+    blocks = scan.groupBy("file_path", "file_name", "block").agg(
         F.min("mid").alias("first_mid"), F.count(F.lit(1)).alias("n"), F.max("mid").alias("last_mid"),
         F.sum(F.when(F.col("part") == 0, F.col("size"))).alias("bytes"), F.max("file_size").alias("file_size"),
     )
-    in_file = Window.partitionBy("source_path")
+    in_file = Window.partitionBy("file_path")
     before = in_file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     # Rows count a line feed each; a byte order mark (3 bytes) isn't among the rows' bytes.
     over = F.sum("bytes").over(in_file) - F.col("file_size")
     offs = blocks.select(
-        "source_path", "block",
+        "file_path", "block", _plain_name(F.col("file_path")).alias("source_path"), _plain_name(F.col("file_name")).alias("source_file"),
         (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first_mid") + 1).alias("delta"),
         F.when((F.col("block") == F.max("block").over(in_file)) & over.isin(1, -2), F.col("last_mid")).alias("open_mid"),
     )
     after_boundary = (F.col("part") == F.col("parts") - 1) & (F.col("part") > 0) & (F.col("raw") == "") & ~F.col("returned")
-    return scan.join(offs, on=["source_path", "block"], how="inner").where(
+    if 0 < len(text.inputFiles()) <= MAX_BROADCAST_FILES:
+        offs = F.broadcast(offs)
+    return scan.drop("file_name").join(offs, on=["file_path", "block"], how="inner").where(
         ~(after_boundary & F.col("mid").eqNullSafe(F.col("open_mid")))
     ).select("source_path", "source_file", (F.col("mid") + F.col("delta")).alias("line_number"), "raw")
 

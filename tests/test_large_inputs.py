@@ -12,6 +12,8 @@ from logevidence.operators.embedding import encode_texts, text_buckets, unit_cou
 from logevidence.operators.iis import active_headers
 from logevidence.operators.parse import classify_lines
 from logevidence.operators.retrieval import attach_text
+from logevidence.sources import files
+from logevidence.sources.files import read_lines
 
 LINES = "source_path string, source_file string, line_number long, raw string"
 
@@ -108,3 +110,33 @@ def test_search_behind_results_runs_once(spark):
     found = found.withColumn("chunk_id", F.udf(counted, "string")("chunk_id"))
     rows = {tuple(r) for r in attach_text(texts, found).select("rank", "chunk_id", "text").collect()}
     assert rows == {(1, "a", "text of a"), (2, "b", "text of b")} and seen.value == 2
+
+
+def log_folder(path, n=3_000):
+    for name in ("a b#1.log", "c+d.log"):
+        with open(f"{path}/{name}", "w") as fh:
+            fh.writelines(f"{name} {i}{chr(11) if i % 7 == 0 else ''}\n" for i in range(n))
+    return path
+
+
+def test_numbered_lines_are_not_shuffled(spark, tmpdir_path):
+    with plain_joins(spark):
+        plan = read_lines(spark, log_folder(tmpdir_path))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_numbered_lines_of_many_files_are_joined(spark, tmpdir_path, monkeypatch):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        want = sorted(map(tuple, read_lines(spark, log_folder(tmpdir_path)).collect()))
+        monkeypatch.setattr(files, "MAX_BROADCAST_FILES", 1)
+        with plain_joins(spark):
+            many = read_lines(spark, tmpdir_path)
+            assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString()
+            assert sorted(map(tuple, many.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    for name in ("a b#1.log", "c+d.log"):
+        numbers = [line for path, file, line, _ in want if file == name and path.endswith(f"/{name}")]
+        assert numbers == list(range(1, len(numbers) + 1)) and len(numbers) > 3_000
