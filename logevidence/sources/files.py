@@ -175,7 +175,9 @@ def number_lines(text: DataFrame, encoding: str = "utf-8", boundaries: str = LIN
         raw.endswith("\r").alias("returned"),
     )
     parts = F.when(F.col("row").rlike(boundaries), F.split("row", boundaries, -1)).otherwise(F.array("row"))
-    lines = rows.select("file_path", "file_name", "block", "file_size", "size", "returned", F.size(parts).alias("parts"), F.posexplode(parts).alias("part", "raw"))
+    # Counted below the explode: beside it, every line would split its whole row again.
+    split = rows.withColumn("pieces", parts).withColumn("parts", F.size("pieces"))
+    lines = split.select("file_path", "file_name", "block", "file_size", "size", "returned", "parts", F.posexplode("pieces").alias("part", "raw"))
     scan = lines.withColumn("mid", F.monotonically_increasing_id())
     blocks = scan.groupBy("file_path", "file_name", "block").agg(
         F.min("mid").alias("first_mid"), F.count(F.lit(1)).alias("n"), F.max("mid").alias("last_mid"),

@@ -140,3 +140,10 @@ def test_numbered_lines_of_many_files_are_joined(spark, tmpdir_path, monkeypatch
     for name in ("a b#1.log", "c+d.log"):
         numbers = [line for path, file, line, _ in want if file == name and path.endswith(f"/{name}")]
         assert numbers == list(range(1, len(numbers) + 1)) and len(numbers) > 3_000
+
+
+def test_rows_are_not_split_again_for_each_of_their_lines(spark, tmpdir_path):
+    """Nothing above the explode has a pattern of line boundaries in it."""
+    plan = read_lines(spark, log_folder(tmpdir_path))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    explodes = [i for i, x in enumerate(plan) if "Generate posexplode" in x]
+    assert explodes and not any("split(" in x or "RLIKE" in x for x in plan[: explodes[0]])
