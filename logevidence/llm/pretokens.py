@@ -32,6 +32,26 @@ def stretches(text: str) -> list[str]:
     return CUT.split(text) if ODD_SPACES.search(text) else text.split(" ")
 
 
+class _Stretches(dict):
+    """Numbers of stretches; one that is new is cut into pre-tokens when it is first asked for."""
+
+    def __init__(self, splitter: Splitter, space: str):
+        self.space, self.find, self.pieces, self.flat, self.ends = space, splitter.find, splitter.pieces, splitter.flat, splitter.ends
+
+    def __missing__(self, stretch: str) -> int:
+        space, flat, pieces = self.space, self.flat, self.pieces
+        if space and stretch.isalpha():
+            flat.append(pieces[space + stretch])
+        elif space and stretch[-1:] in (".", ",") and stretch[:-1].isalpha():
+            flat.append(pieces[space + stretch[:-1]])
+            flat.append(pieces[stretch[-1]])
+        else:
+            flat.extend(map(pieces.__getitem__, self.find(space + stretch)))
+        self[stretch] = number = len(self.ends) - 1
+        self.ends.append(len(flat))
+        return number
+
+
 class Splitter:
     """Numbers distinct pre-tokens from 0 in order of appearance."""
 
@@ -39,33 +59,16 @@ class Splitter:
         self.find = compiled(pattern).findall
         self.pieces: dict[str, int] = defaultdict()
         self.pieces.default_factory = self.pieces.__len__
-        # Stretches with and without a space before; the pre-tokens of all one after another, and their ends.
-        self.spaced: dict[str, int] = {}
-        self.first: dict[str, int] = {}
+        # The pre-tokens of all stretches one after another, and their ends; numbers of those with and without a space before.
         self.flat, self.ends = array("i"), array("q", [0])
+        self.spaced, self.first = _Stretches(self, " "), _Stretches(self, "")
 
     def __len__(self) -> int:
         return len(self.ends) - 1
 
-    def _number(self, known: dict[str, int], stretch: str, space: str) -> None:
-        flat, pieces = self.flat, self.pieces
-        if space and stretch.isalpha():
-            flat.append(pieces[space + stretch])
-        elif space and stretch[-1:] in (".", ",") and stretch[:-1].isalpha():
-            flat.append(pieces[space + stretch[:-1]])
-            flat.append(pieces[stretch[-1]])
-        else:
-            flat.extend(map(pieces.__getitem__, self.find(space + stretch)))
-        known[stretch] = len(self.ends) - 1
-        self.ends.append(len(flat))
-
     def split(self, text: str) -> list[int]:
         """Numbers of the stretches of ``text``, for gather()."""
         first, *rest = stretches(text)
-        if first not in self.first:
-            self._number(self.first, first, "")
-        for s in set(rest).difference(self.spaced):
-            self._number(self.spaced, s, " ")
         return [self.first[first], *map(self.spaced.__getitem__, rest)]
 
     def offsets(self, start: int = 0) -> tuple[np.ndarray, np.ndarray]:

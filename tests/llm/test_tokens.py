@@ -149,3 +149,11 @@ def test_files_are_in_order(spark, small):
     token_store.write_token_files(small, path)
     found = [i for f in sorted(Path(path).glob("part-*.parquet")) for ids in pq.read_table(f).column("doc_ids").to_pylist() for i in ids]
     assert found == sorted(i for i, _ in rows_of(small))
+
+
+def test_stretches_are_numbered_as_they_come():
+    """One look at each stretch: no second pass over a text's new ones, in an order of its own."""
+    splitter, names = Splitter(bpe.public_tokenizers.PATTERN), [f"w{'abcdefgh'[i % 8]}{i}" for i in range(300)]
+    assert splitter.split(" ".join(names)) == list(range(300))
+    assert splitter.split(" ".join([names[0], *names[:0:-1]])) == [0, *range(299, 0, -1)]
+    assert splitter.split(f"new {names[0]}, {names[1]}") == [300, 301, 1] and len(splitter) == 302
