@@ -31,21 +31,30 @@ def small_star(edges: DataFrame) -> DataFrame:
     )
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``edges`` (u long, v long) -> (node, root): root is the smallest node that node reaches.
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether each node has one edge to a smaller node, or only edges to larger ones: nothing is left to contract."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("down")))).alias("end"))
+    return ends.groupBy("end.node").agg(F.sum("end.down").alias("down"), F.count(F.lit(1)).alias("n")).where("down > 0 and n > 1").count() == 0
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """``edges`` (u long, v long) -> (u, v): every node but the smallest of its component, with that smallest one.
 
     Minima are aggregated before the shuffle and joined back, so no task
     collects a component. Each round's edges are written to the shared folder;
-    the rounds end when the edge set stays the same. Nodes without an edge to
+    the rounds end when the edges are stars around smallest nodes. Nodes without an edge to
     another node aren't returned; an empty table gives an empty result.
+    ``edges`` is read several times: pass a table, or a union of tables.
     """
-    edges = written(edges.select("u", "v").where("u != v").distinct(), "edges")
-    seen = None
+    edges = edges.select("u", "v").where("u != v")
     while True:
         edges = written(small_star(large_star(edges)), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
+        if _is_star_forest(edges):
+            return edges
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``edges`` (u long, v long) -> (node, root): root is the smallest node that node reaches; see stars()."""
+    edges = stars(written(edges.select("u", "v").where("u != v").distinct(), "edges"))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)

@@ -122,3 +122,32 @@ def test_register_test_of_the_join(spark):
                     wanted.append(100 * k + band)
     frame = spark.createDataFrame(rows, "i int, a struct<band int, sketch array<long>>, b struct<sketch array<long>>")
     assert sorted(r.i for r in frame.where(sk._registers_allow("a", "b")).collect()) == wanted
+
+
+def test_parities_tell_the_difference_from_below(spark):
+    """Bits never exceed the elements that two sets differ in, and pairs with too many go before the full sets meet."""
+    rng = np.random.default_rng(8)
+    rows, wanted = [], []
+    for k, own in enumerate((0, 5, 22, 23, 60, 200)):  # of 200 and 200 elements, 44 in all may differ
+        pool = rng.choice(1 << 62, 200 + own, replace=False).astype(np.uint64)
+        a, b = np.sort(pool[:200]), np.sort(pool[own:])
+        bits = int(np.bitwise_count((sk.parities(a) ^ sk.parities(b)).view(np.uint64)).sum())
+        assert bits <= 2 * own and (bits > 0) == (own > 0)
+        rows.append((k, *((len(s), sk.parities(s).tolist()) for s in (a, b))))
+        if 180 * bits <= 20 * 400:
+            wanted.append(k)
+        assert (k in wanted) == (own < 60) or own == 23  # similar ones stay
+    side = "struct<n long, parity array<long>>"
+    frame = spark.createDataFrame(rows, f"i int, a {side}, b {side}")
+    assert sorted(r.i for r in frame.where(sk._parities_allow("a", "b")).collect()) == wanted
+
+
+def test_stars_end_without_a_round_that_changes_nothing(spark, monkeypatch):
+    from logevidence.llm import components as c
+
+    rounds, kept = [], c.written
+    monkeypatch.setattr(c, "written", lambda df, name: rounds.append(name) or kept(df, name))
+    edges = spark.createDataFrame([(min(9, i), max(9, i)) for i in range(20) if i != 9] + [(30, 31), (40, 40)], "u long, v long")
+    assert sorted(map(tuple, c.stars(edges).collect())) == [(i, 0) for i in range(1, 20)] + [(31, 30)]
+    assert len(rounds) == 1
+    assert c.stars(edges.where("u > 100")).count() == 0
