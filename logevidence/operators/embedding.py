@@ -45,7 +45,6 @@ def unit_count_vectors(buckets: pd.Series, dim: int) -> pd.Series:
 
 
 _TOKEN_RE = re.compile(TOKEN_SPLIT)
-_BUCKETS: dict[tuple[str, int], int] = {}
 
 # Tokens whose buckets a worker remembers, and texts encoded at a time: a worker's
 # memory is that of one Arrow batch and one block, whatever the size of the input.
@@ -53,15 +52,20 @@ CACHED_TOKENS = 100_000
 BLOCK_TEXTS = 256
 
 
-def _bucket(tok: str, dim: int) -> int:
-    key = (tok, dim)
-    b = _BUCKETS.get(key)
-    if b is None:
-        if len(_BUCKETS) >= CACHED_TOKENS:  # bounded per-worker cache
-            _BUCKETS.clear()
-        b = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % dim
-        _BUCKETS[key] = b
-    return b
+class _Buckets(dict):
+    """Buckets of the tokens that this worker remembers; a new token's is computed when it is first asked for."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def __missing__(self, tok: str) -> int:
+        if len(self) >= CACHED_TOKENS:  # bounded per-worker cache
+            self.clear()
+        self[tok] = b = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % self.dim
+        return b
+
+
+_BUCKETS: dict[int, _Buckets] = {}
 
 
 def encode_texts(texts: pd.Series, dim: int) -> pd.Series:
@@ -77,7 +81,11 @@ def text_buckets(text: str | None, dim: int) -> list[int]:
     """Python twin of :func:`logevidence.functions.vectors.token_buckets` (same tokens, same md5 buckets)."""
     if not text:
         return []
-    return [_bucket(t, dim) for t in _TOKEN_RE.split(text.lower()) if t]
+    tokens = _TOKEN_RE.split(text.lower())
+    # Separators at the ends of a text leave an empty token there, and only there.
+    if dim not in _BUCKETS:
+        _BUCKETS[dim] = _Buckets(dim)
+    return list(map(_BUCKETS[dim].__getitem__, tokens[not tokens[0] : len(tokens) - (not tokens[-1])]))
 
 
 class HashEncoder:
@@ -105,7 +113,7 @@ class HashEncoder:
     def encode_local(self, texts: list[str]) -> list[list[float]]:
         """The same vectors computed in this process (for a handful of query texts)."""
         vecs = unit_count_vectors(pd.Series([text_buckets(t, self.dim) for t in texts], dtype=object), self.dim)
-        return [[float(x) for x in v] for v in vecs]
+        return [v.tolist() for v in vecs]
 
     def buckets_column(self, text: str | Column) -> Column:
         """Bucket ids as a JVM expression (used to cross-check the Python path)."""

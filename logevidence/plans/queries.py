@@ -405,10 +405,13 @@ def _as_stage_files(spark: SparkSession, path: str, stage: str) -> str:
 
 def q_stage_jobs(spark: SparkSession, sf: str) -> DataFrame:
     """S-09/X-02/E-03..E-05/P-26: chunk files named by stage through a batch encoder, the index job and the retrieval job."""
-    chunks, records, root = (shared_dir(spark, f"stage-{x}") for x in ("chunks", "records", "index"))
+    events, chunks, records, root = (shared_dir(spark, f"stage-{x}") for x in ("events", "chunks", "records", "index"))
     params = Params(embedding_dim=D.HASH_DIM, top_k=5)
     encoder = BatchEncoder(lambda: HashEncoder(D.HASH_DIM).encode_local, "batched-hash")
-    write_chunks(D.log_chunks(spark, sf), chunks)
+    # Numbering the events and cutting them into chunks both read them: written first, lines are parsed once.
+    parsed = D.haproxy_events(spark, sf)
+    parsed.write.parquet(events)
+    write_chunks(chunk_events(spark.read.schema(parsed.schema).parquet(events), D.CHUNK_SIZE, D.CHUNK_OVERLAP), chunks)
     embed_chunks_job(spark, _as_stage_files(spark, chunks, "chunks"), records, encoder, input_format="stage",
                      output_format="jsonl", params=params)
     index_embeddings(spark, _as_stage_files(spark, records, "embeddings"), root, params, input_format="stage")

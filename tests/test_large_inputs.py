@@ -1,5 +1,6 @@
 """What grows with the input: shuffles of lines, tasks' shares of a file, workers' memory, runs of a search."""
 
+import hashlib
 import tracemalloc
 from contextlib import contextmanager
 
@@ -147,3 +148,32 @@ def test_rows_are_not_split_again_for_each_of_their_lines(spark, tmpdir_path):
     plan = read_lines(spark, log_folder(tmpdir_path))._jdf.queryExecution().optimizedPlan().toString().splitlines()
     explodes = [i for i, x in enumerate(plan) if "Generate posexplode" in x]
     assert explodes and not any("split(" in x or "RLIKE" in x for x in plan[: explodes[0]])
+
+
+def test_tokens_are_looked_up_in_the_cache_of_their_dim(monkeypatch):
+    monkeypatch.setattr(embedding, "CACHED_TOKENS", 10)
+    monkeypatch.setattr(embedding, "_BUCKETS", {})
+    texts = [" ".join(f"t{i}" for i in range(50)), "", " ,;", " t1,,t2 ", "T1", None]
+    for dim in (7, 384):
+        got = [text_buckets(t, dim) for t in texts]
+        assert got[0] == [int(hashlib.md5(f"t{i}".encode()).hexdigest()[:8], 16) % dim for i in range(50)]
+        assert got[1:] == [[], [], got[0][1:3], [got[0][1]], []]
+        assert len(embedding._BUCKETS[dim]) <= 10
+
+
+def test_stage_jobs_parse_the_lines_once(spark, monkeypatch):
+    """Chunks are cut from written events: their plan holds no line parser, neither for the counts nor for the rows."""
+    from logevidence.plans import queries as Q
+
+    class Cut(Exception):
+        pass
+
+    def write_chunks(chunks, path):
+        raise Cut(chunks._jdf.queryExecution().analyzed().toString())
+
+    monkeypatch.setattr(Q, "write_chunks", write_chunks)
+    try:
+        Q.q_stage_jobs(spark, "/root/testdata/sf0.001")
+    except Cut as e:
+        plan = str(e)
+    assert "line_number" in plan and "haproxy[" not in plan
