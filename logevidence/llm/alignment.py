@@ -15,7 +15,9 @@ of its distinct pairs once and gets each one's count back.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
+import os
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
@@ -36,16 +38,21 @@ BYTE_LEVEL_PATH = public_tokenizers.path("byte_bpe_50k.json")
 PIECES_PATH = public_tokenizers.path("piece_bpe_32k.model")
 # Fixed value: what pieces have for a space.
 SPACE_MARK = "\u2581"
-# Distinct stretches that a worker process remembers at most before a block, and bytes of them and their groups.
-REMEMBERED = 400_000
-REMEMBERED_BYTES = 48 << 20
+# Distinct stretches that a worker process remembers at most before a block, and bytes of them and their groups;
+# beyond either, half as much is kept.
+REMEMBERED = 200_000
+REMEMBERED_BYTES = 24 << 20
+# Stretches that go through the tokenizers at once: what these return takes many times the bytes.
+LEARNED = 8_192
 # Bytes of text whose tokens are held at once, and of a block; a longer text stands alone.
 CHUNK_BYTES = 1 << 19
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+# Blocks of a file: Spark's reader holds a file's rows together.
+FILE_BLOCKS = 16
 
 BLOCK = (
     "block long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, hashes array<string>, "
-    "pairs array<long>, totals array<long>, places binary, widths binary, stretches binary, ends array<long>"
+    "pairs array<long>, totals array<long>, ends array<long>, sizes array<long>, packed binary"
 )
 
 
@@ -137,13 +144,26 @@ class Stretches:
     def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.shown: list[bytes] = []
-        self.size = 0
+        # Of each stretch: bytes of it and its groups, and uses (fewer count as time goes on).
+        self.sizes, self.used = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         # Of each stretch: tokens of a and b, groups, links; all 0 where a tokenizer doesn't give its bytes back.
         self.counts = np.zeros((4, 0), dtype=np.int64)
         self.links, self.begins = np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
 
     def full(self) -> bool:
-        return len(self.shown) > REMEMBERED or self.size > REMEMBERED_BYTES
+        return len(self.shown) > REMEMBERED or int(self.sizes.sum()) > REMEMBERED_BYTES
+
+    def thin(self) -> None:
+        """Forget all but those used most, more than once, up to half of what may be remembered."""
+        most = np.argsort(-self.used, kind="stable")[: REMEMBERED // 2]
+        most = most[(self.used[most] > 1) & (np.cumsum(self.sizes[most]) <= REMEMBERED_BYTES // 2)]
+        kept = np.sort(most)
+        names, shown = list(self.number), self.shown  # numbers are in order
+        self.number = {names[i]: k for k, i in enumerate(kept.tolist())}
+        self.shown = [shown[i] for i in kept.tolist()]
+        self.links = gather(kept, self.links, self.begins)
+        self.counts, self.sizes, self.used = self.counts[:, kept], self.sizes[kept], self.used[kept] >> 1
+        self.begins = np.concatenate([[0], np.cumsum(self.counts[3])])
 
     def split(self, text: str) -> list[str]:
         if not self.b.by_word:
@@ -161,11 +181,24 @@ class Stretches:
         return [np.fromiter(map(known, c), dtype=np.int64, count=len(c)) for c in cut]
 
     def _learn(self, new: list[str]) -> None:
+        found = [self._aligned(new[i : i + LEARNED]) for i in range(0, len(new), LEARNED)]
+        counts = np.concatenate([f[0] for f in found], axis=1)
+        self.links = np.concatenate([self.links, *(f[1] for f in found)])
+        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(counts[3])])
+        self.counts = np.concatenate([self.counts, counts], axis=1)
+        self.number.update(zip(new, range(len(self.shown), len(self.shown) + len(new))))
+        for _, _, shown, sizes in found:
+            self.shown += shown
+            self.sizes = np.concatenate([self.sizes, sizes])
+        self.used = np.concatenate([self.used, np.zeros(len(new), dtype=np.int64)])
+
+    def _aligned(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """Of each of ``new``: counts, links (one after another), groups as shown, and bytes."""
         spaced = [f" {s}" for s in new]
         raw = [s.encode() for s in spaced]
         x, y = self.a.encode(spaced), self.b.encode(new)
         good = x.faithful(raw, np.diff(self.a.decoded[1])) & y.faithful(raw, np.diff(self.b.decoded[1]))
-        counts = np.zeros((4, len(new)), dtype=np.int64)
+        counts, links = np.zeros((4, len(new)), dtype=np.int64), np.zeros(0, dtype=np.int64)
         shown = [b""] * len(new)
         if good.any():
             x, y = x.of(good), y.of(good)
@@ -179,20 +212,24 @@ class Stretches:
             ends = np.cumsum(np.diff(table[1])[marks])[np.cumsum(x.counts + y.counts) - 1].tolist()
             for i, start, end in zip(np.flatnonzero(good).tolist(), [0, *ends], ends):
                 shown[i] = text[start:end]
-            self.links = np.concatenate([self.links, links])
-        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(counts[3])])
-        self.counts = np.concatenate([self.counts, counts], axis=1)
-        self.number.update(zip(new, range(len(self.shown), len(self.shown) + len(new))))
-        self.shown += shown
-        self.size += sum(map(len, raw)) + sum(map(len, shown))
+        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(new)) + np.fromiter(map(len, shown), dtype=np.int64, count=len(new))
+        return counts, links, shown, sizes
 
 
 @cache
 def _stretches(byte_level: bytes, pieces: bytes) -> Stretches:
     """One a worker process: what it has learned serves its next tasks too."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; each thread would hold memory of its own
     return Stretches(byte_level, pieces)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system; else a worker process keeps most of the most it has had."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def _table(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Byte strings one after another, and where each begins: for gather()."""
     return np.frombuffer(b"".join(values), dtype=np.uint8), np.concatenate([[0], np.cumsum(np.fromiter(map(len, values), dtype=np.int64, count=len(values)))])
@@ -236,9 +273,20 @@ def _chunks(texts: list[str | None]) -> Iterator[list[int]]:
         yield run
 
 
+def _packed(lists: list[np.ndarray]) -> tuple[np.ndarray, bytes]:
+    """Lists of small numbers -> their lengths, and all of them compressed: Spark holds and moves a block as one row."""
+    values = np.concatenate(lists).astype(np.int32)
+    return np.array([len(x) for x in lists]), pa.compress(values, codec="zstd", asbytes=True)
+
+
+def _unpacked(sizes: np.ndarray, packed: pa.Buffer) -> list[np.ndarray]:
+    values = np.frombuffer(pa.decompress(packed, decompressed_size=4 * int(sizes.sum()), codec="zstd"), dtype=np.int32)
+    return np.split(values, np.cumsum(sizes)[:-1])
+
+
 def _block(number: int, doc_ids: list[int | None], texts: list[str | None], known: Stretches) -> dict:
     if known.full():
-        known.forget()
+        known.thin()
     n = len(texts)
     counts = np.zeros((4, n), dtype=np.int64)
     hashes, found = [""] * n, [np.zeros(0, dtype=np.int64)] * n
@@ -251,19 +299,21 @@ def _block(number: int, doc_ids: list[int | None], texts: list[str | None], know
                 hashes[i] = hashlib.sha256(memoryview(text)[:-1]).hexdigest()  # nothing follows the last group
     stretches, at = np.unique(np.concatenate(found), return_inverse=True)
     pairs, places = np.unique(gather(stretches, known.links, known.begins), return_inverse=True)
-    widths = known.counts[3, stretches]
+    widths, uses = known.counts[3, stretches], np.bincount(at, minlength=len(stretches))
+    known.used[stretches] += uses
     totals = np.zeros(len(pairs), dtype=np.int64)
-    np.add.at(totals, places, np.repeat(np.bincount(at, minlength=len(stretches)), widths))
+    np.add.at(totals, places, np.repeat(uses, widths))
+    sizes, packed = _packed([places, widths, at])
     return {
         "block": number, "doc_ids": doc_ids, "n_a": counts[0], "n_b": counts[1], "n_groups": counts[2], "n_links": counts[3], "hashes": hashes, "pairs": pairs, "totals": totals,
-        "places": places.astype(np.int32).tobytes(), "widths": widths.astype(np.int32).tobytes(), "stretches": at.astype(np.int32).tobytes(), "ends": np.cumsum(list(map(len, found))),
+        "ends": np.cumsum(list(map(len, found))), "sizes": sizes, "packed": packed,
     }
 
 
 def blocks(docs: DataFrame, byte_level: bytes, pieces: bytes) -> DataFrame:
     """``docs`` (doc_id, text, ...) -> aligned documents, many a row: their counts, and their links by distinct pair."""
     longs = pa.list_(pa.int64())
-    kinds = {"block": pa.int64(), "hashes": pa.list_(pa.string()), "places": pa.binary(), "widths": pa.binary(), "stretches": pa.binary()}
+    kinds = {"block": pa.int64(), "hashes": pa.list_(pa.string()), "packed": pa.binary()}
     names = [c.split()[0] for c in BLOCK.split(", ")]
     schema = pa.schema([(c, kinds.get(c, longs)) for c in names])
 
@@ -279,6 +329,7 @@ def blocks(docs: DataFrame, byte_level: bytes, pieces: bytes) -> DataFrame:
                 size += len(t or "")
                 if size > BLOCK_BYTES or i == len(texts) - 1:
                     yield pa.RecordBatch.from_pylist([_block(number, ids[start : i + 1], texts[start : i + 1], known)], schema=schema)
+                    give_back()
                     number, start, size = number + 1, i + 1, 0
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(made, BLOCK)
@@ -303,12 +354,13 @@ def _documents(rows: DataFrame) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _stretches.cache_clear()  # the worker process aligns no more texts
+        give_back()
         for batch in batches:
             for row in range(batch.num_rows):
                 column = lambda c, row=row: batch.column(c)[row].values
                 known = batch.column("known")[row].values
                 count, best = (known.field(f).to_numpy(zero_copy_only=False).astype(np.int64) if known is not None else np.zeros(0, np.int64) for f in ("count", "best"))
-                places, widths, stretches = (np.frombuffer(batch.column(c)[row].as_buffer(), dtype=np.int32) for c in ("places", "widths", "stretches"))
+                places, widths, stretches = _unpacked(column("sizes").to_numpy(), batch.column("packed")[row].as_buffer())
                 ends = column("ends").to_numpy()
                 # Pairs' figures summed by stretch, and those of its stretches by document.
                 n_best, count_sum = (_sums(_sums(of[places], np.cumsum(widths))[stretches], ends) for of in (best, count))
@@ -330,7 +382,7 @@ def align(docs: DataFrame, byte_level_path: str = BYTE_LEVEL_PATH, pieces_path:
     count each. Pairs: (pair, count, best), pair = a id << 32 | b id. An empty
     table gives empty results.
     """
-    made = written(blocks(docs, read_file(byte_level_path), read_file(pieces_path)), "aligned")
+    made = written(blocks(docs, read_file(byte_level_path), read_file(pieces_path)), "aligned", FILE_BLOCKS)
     counts = written(pair_counts(made), "counts")
     asked = made.select("block", F.explode("pairs").alias("pair")).join(counts, "pair")
     # A block has a bounded number of pairs.

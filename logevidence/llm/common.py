@@ -36,11 +36,12 @@ def read_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, file_rows: int = 0) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends
-    here, and lost executors lose nothing of it."""
+    here, and lost executors lose nothing of it. Files of large rows hold
+    ``file_rows`` of them at most."""
     path = shared_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", file_rows).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -140,3 +140,52 @@ def test_stretches_are_those_of_whole_texts(libraries, monkeypatch):
     wanted = brute(libraries, texts)
     assert cut["n_links"].tolist() == [r[3] for r in wanted] and cut["hashes"] == [r[6] for r in wanted]
     assert sum(r[3] > 0 for r in wanted) > 500
+
+
+def test_stretches_go_through_the_tokenizers_in_bounded_runs(libraries, monkeypatch):
+    monkeypatch.setattr(al, "LEARNED", 50, raising=False)
+    known, most = al.Stretches(al.read_file(al.BYTE_LEVEL_PATH), al.read_file(al.PIECES_PATH)), []
+    for side in (known.a, known.b):
+        monkeypatch.setattr(side, "encode", lambda texts, encode=side.encode: most.append(len(texts)) or encode(texts))
+    texts = [" ".join(f"w{i}x{k}" for i in range(40)) for k in range(20)] + ODD
+    row = al._block(0, list(range(len(texts))), texts, known)
+    assert max(most) <= 50 and sum(most) == 2 * len(known.number)
+    assert row["hashes"] == [r[6] for r in brute(libraries, texts)]
+
+
+def test_stretches_in_use_stay_remembered(libraries, monkeypatch):
+    monkeypatch.setattr(al, "REMEMBERED", 100)
+    known = al.Stretches(al.read_file(al.BYTE_LEVEL_PATH), al.read_file(al.PIECES_PATH))
+    common = [f"common{i}" for i in range(30)]
+    for k in range(6):
+        texts = [" ".join(common * 2 + [f"rare{k}x{i}" for i in range(90)])] * 2 + ["common1 日本𒆳語"]
+        row = al._block(k, [1, 2, 3], texts, known)
+        wanted = brute(libraries, texts)
+        assert row["hashes"] == [r[6] for r in wanted] and row["n_links"].tolist() == [r[3] for r in wanted]
+        assert len(known.number) == len(known.shown) == len(known.used) == len(known.sizes) == known.counts.shape[1] <= 200
+        known.thin()
+        assert set(common) <= set(known.number) and len(known.number) <= 50
+    monkeypatch.setattr(al, "REMEMBERED_BYTES", 100)
+    known.thin()
+    assert known.sizes.sum() <= 50 and not known.full()
+
+
+def test_blocks_are_small_rows_and_few_a_file(spark, small, monkeypatch):
+    text = [r.text for r in small.where("length(text) > 500").limit(40).collect()]
+    known = al.Stretches(al.read_file(al.BYTE_LEVEL_PATH), al.read_file(al.PIECES_PATH))
+    row = al._block(0, list(range(len(text))), text, known)
+    places, widths, stretches = al._unpacked(row["sizes"], al.pa.py_buffer(row["packed"]))
+    assert widths.sum() == len(places) and len(stretches) == row["ends"][-1] and places.max() < len(row["pairs"])
+    assert len(row["packed"]) < 4 * row["sizes"].sum() / 1.5
+    assert al._unpacked(al.np.zeros(3, dtype=int), al.pa.py_buffer(al._packed([[], [], []])[1]))[2].tolist() == []
+    rows = spark.range(50, numPartitions=1)
+    assert len(al.written(rows, "few", 16).inputFiles()) == 4 and al.written(rows, "few", 16).count() == 50
+    assert len(al.written(rows, "all").inputFiles()) == 1
+
+
+def test_a_worker_uses_one_thread(monkeypatch):
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    al._stretches.cache_clear()
+    al._stretches(al.read_file(al.BYTE_LEVEL_PATH), al.read_file(al.PIECES_PATH))
+    assert al.os.environ["TOKENIZERS_PARALLELISM"] == "false"
+    al._stretches.cache_clear()
