@@ -41,7 +41,8 @@ def written(df: DataFrame, name: str, file_rows: int = 0) -> DataFrame:
     here, and lost executors lose nothing of it. Files of large rows hold
     ``file_rows`` of them at most."""
     path = shared_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").option("maxRecordsPerFile", file_rows).parquet(path)
+    limit = {"maxRecordsPerFile": file_rows} if file_rows else {}
+    df.write.options(compression="zstd", **limit).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
